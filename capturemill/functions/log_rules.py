@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from capturemill.functions.columns import fixed, thousands
 
-LINE = F.col
 MAX_NUMBERS = 4
 
 
@@ -177,41 +176,51 @@ RULES: dict[str, list[Rule]] = {
 }
 
 
-def rule_columns(
-    total_images: Column | None = None, device: str = "[iGPU]", rules: dict[str, list[Rule]] | None = None
-) -> dict[str, Column]:
-    """Columns ``rule``, ``n1``..``n4``, ``value`` and ``text`` for a table with ``tool`` and ``line``."""
-    line, tool = F.col("line"), F.col("tool")
+FIELDS = (*[f"n{n}" for n in range(1, MAX_NUMBERS + 1)], "value", "text")
+
+
+def _readers(rules: dict[str, list[Rule]] | None, total_images: Column | None, device: str):
     total = F.lit(None).cast("long") if total_images is None else total_images
-    readers = [
-        (owner, Reader(rule, line, total, device))
-        for owner, owned in (rules or RULES).items() for rule in owned
-    ]
-    chosen = F.lit(None).cast("string")
+    return {
+        owner: [Reader(rule, F.col("line"), total, device) for rule in owned]
+        for owner, owned in (rules or RULES).items()
+    }
+
+
+def rule_match(rules: dict[str, list[Rule]] | None = None) -> Column:
+    """Struct of the winning rule and its fields, null where no rule of the tool matches.
+
+    One expression tests each rule once and reads fields only in the winning branch.
+    """
+    def fields(r: Reader) -> Column:
+        numbers = [
+            (r.number(n) if n <= r.rule.numbers else F.lit(None)).cast("long").alias(f"n{n}")
+            for n in range(1, MAX_NUMBERS + 1)
+        ]
+        value = r.decimal() if r.rule.decimal else F.lit(None)
+        text = r.text() if r.rule.text else F.lit(None)
+        return F.struct(F.lit(r.rule.id).alias("rule"), *numbers, value.cast("double").alias("value"),
+                        text.cast("string").alias("text"))
+
     by_tool = None
-    for owner in dict.fromkeys(o for o, _ in readers):
+    for owner, readers in _readers(rules, None, "").items():
         branch = None
-        for reader in (r for o, r in readers if o == owner):
-            id_ = F.lit(reader.rule.id)
-            branch = F.when(reader.test(), id_) if branch is None else branch.when(reader.test(), id_)
-        by_tool = F.when(tool == owner, branch) if by_tool is None else by_tool.when(tool == owner, branch)
-    chosen = by_tool if by_tool is not None else chosen
-
-    def pick(make: Callable[[Reader], Column | None], kind: str) -> Column:
-        out = None
-        for _, reader in readers:
-            value = make(reader)
-            if value is None:
-                continue
-            hit = F.col("rule") == reader.rule.id
-            out = F.when(hit, value) if out is None else out.when(hit, value)
-        return (F.lit(None) if out is None else out).cast(kind)
+        for r in readers:
+            branch = F.when(r.test(), fields(r)) if branch is None else branch.when(r.test(), fields(r))
+        hit = F.col("tool") == owner
+        by_tool = F.when(hit, branch) if by_tool is None else by_tool.when(hit, branch)
+    return by_tool
 
-    fields = {
-        f"n{n}": pick(lambda r, n=n: r.number(n) if n <= r.rule.numbers else None, "long")
-        for n in range(1, MAX_NUMBERS + 1)
-    }
-    fields["value"] = pick(lambda r: r.decimal() if r.rule.decimal else None, "double")
-    fields["text"] = pick(lambda r: r.text() if r.rule.text else None, "string")
-    fields["message"] = F.coalesce(pick(lambda r: r.rule.message(r) if r.rule.message else None, "string"), line)
-    return {"rule": chosen, **fields}
+
+def rule_message(
+    total_images: Column | None = None, device: str = "[iGPU]", rules: dict[str, list[Rule]] | None = None
+) -> Column:
+    """The text shown for a line whose ``rule`` is known; the line itself where the rule has no message."""
+    out = None
+    for readers in _readers(rules, total_images, device).values():
+        for r in readers:
+            if r.rule.message is None:
+                continue
+            hit = F.col("rule") == r.rule.id
+            out = F.when(hit, r.rule.message(r)) if out is None else out.when(hit, r.rule.message(r))
+    return F.coalesce(out, F.col("line"))

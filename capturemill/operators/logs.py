@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from capturemill.functions.log_rules import (
-    Rule, block_bounds, block_message, is_spike, is_spurious, rule_columns,
+    FIELDS, RULES, Rule, block_bounds, block_message, is_spike, is_spurious, rule_match, rule_message,
 )
 from capturemill.operators.numbering import running_folds
 
@@ -25,8 +25,24 @@ def classify(
     A ``total_images`` column, where present, completes the messages that need it.
     """
     total = F.col("total_images").cast("long") if "total_images" in lines.columns else None
-    columns = rule_columns(total, device, rules)
-    return lines.withColumn("rule", columns.pop("rule")).withColumns(columns)
+    matched = lines.withColumn("__match", rule_match(rules)).select(
+        *lines.columns, *[F.col("__match")[name].alias(name) for name in ("rule", *FIELDS)]
+    )
+    return matched.withColumn("message", rule_message(total, device, rules))
+
+
+def _classify_tools(lines: DataFrame, *tools: str) -> DataFrame:
+    """Classified lines of a few tools; the expression then holds the rules of those tools only."""
+    return classify(lines.where(F.col("tool").isin(*tools)), rules={t: RULES[t] for t in tools})
+
+
+def _kept(classified: DataFrame, keys: list[str], entry: Column) -> DataFrame:
+    """Keys and fields of the lines with an entry.
+
+    A generator does the filtering: a plain filter on the rule would be pushed below the
+    projection and evaluate every pattern twice.
+    """
+    return classified.select(*keys, F.explode(F.array_compact(F.array(entry))).alias("__e")).select(*keys, "__e.*")
 
 
 def label_match_blocks(classified: DataFrame, images: DataFrame) -> DataFrame:
@@ -106,19 +122,16 @@ def run_metrics(lines: DataFrame) -> DataFrame:
 
 def run_metric_lists(lines: DataFrame) -> DataFrame:
     """The values behind the appended counters, one row each in place of unbounded lists."""
-    found = classify(lines).where(F.col("rule").isin("T1", "T5"))
-    return found.select(
-        "run_id", "tool", "seq",
-        F.when(F.col("rule") == "T1", "features").otherwise("matches").alias("counter"),
-        F.coalesce("n3", "n1").alias("count"),
+    entry = F.when(F.col("rule") == "T1", F.struct(F.lit("features").alias("counter"), F.col("n3").alias("count"))).when(
+        F.col("rule") == "T5", F.struct(F.lit("matches").alias("counter"), F.col("n1").alias("count"))
     )
+    return _kept(_classify_tools(lines, "extract", "match"), ["run_id", "tool", "seq"], entry)
 
 
 def registration_progress(lines: DataFrame) -> DataFrame:
     """Cameras registered so far and running triangulated points, at each mapper line that moves them."""
-    moved = classify(lines.where(F.col("tool") == "map")).where(F.col("rule").isin("T7", "T12")).select(
-        "run_id", "seq", "rule", "n1", "n2"
-    )
+    entry = F.when(F.col("rule").isin("T7", "T12"), F.struct("rule", "n1", "n2"))
+    moved = _kept(_classify_tools(lines, "map"), ["run_id", "seq"], entry)
     count = F.when(F.col("rule") == "T7", F.struct(F.col("seq").alias("at"), F.col("n2").alias("registered")))
     points = F.when(F.col("rule") == "T12", F.col("n1"))
     folded = running_folds(moved, ["run_id"], "seq", {"__last": ("max", count), "points": ("sum", points)})

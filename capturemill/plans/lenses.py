@@ -76,6 +76,8 @@ LENSES: dict[str, str] = {
         SELECT CAST(0 AS BIGINT) AS mesh_id, p_partkey AS vertex_id, CAST(p_partkey % 20 AS DOUBLE) AS x,
                CAST(floor(p_partkey / 20) AS DOUBLE) AS y, p_retailprice / 1000 AS z
         FROM {part}""",
+    "bent_vertices": """
+        SELECT mesh_id, vertex_id, x + CASE WHEN vertex_id % 11 = 0 THEN 5 ELSE 0 END AS x, y, z FROM vertices""",
     "faces": """
         SELECT CAST(0 AS BIGINT) AS mesh_id, p_partkey * 2 + h AS face_id,
                CASE h WHEN 0 THEN p_partkey ELSE p_partkey + 1 END AS v0,
@@ -169,3 +171,13 @@ def lens(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One lens over the parquet tables of a folder."""
     files = {t: f"parquet.`{sf_dir.rstrip('/')}/{t}.parquet`" for t in TABLES}
     return spark.sql(f"WITH {lens_text([name], files, 'element_at(embedding, {i})')} SELECT * FROM {name}")
+
+
+def stream_lens(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A lens over the events table read as a stream."""
+    file = f"{sf_dir.rstrip('/')}/events.parquet"
+    events = spark.readStream.schema(spark.read.parquet(file).schema).option("pathGlobFilter", "events.parquet").parquet(
+        sf_dir
+    )
+    text = lens_text([name], {**{t: t for t in TABLES}, "events": "{events}"})
+    return spark.sql(f"WITH {text} SELECT * FROM {name}", events=events)

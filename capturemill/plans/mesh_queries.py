@@ -117,7 +117,8 @@ def hole_count(spark, lens):
     return mesh.hole_count(lens("faces"))
 
 
-FACTOR, MIN_FACES = 1.3, 20
+FACTOR, MIN_FACES = 3.0, 20
+BENT = GEOMETRY.replace("vertices p", "bent_vertices p")
 FATES = f"""
     mean AS (SELECT mesh_id, sum(edge01 + edge12 + edge20) / (count(*) * 3) AS m FROM geometry GROUP BY 1),
     flagged AS (SELECT g.mesh_id, face_id, v0, v1, v2, greatest(edge01, edge12, edge20) > m * {FACTOR} AS long_edge
@@ -134,18 +135,18 @@ FATES = f"""
       SELECT mesh_id, face_id, v0, v1, v2, CASE WHEN n < {MIN_FACES} THEN 'small_component' ELSE 'kept' END FROM labelled)"""
 
 
-@query("remove_spurious", "faces", "vertices", sql=f"""
-    WITH {GEOMETRY}, {FATES} SELECT mesh_id, face_id, v0, v1, v2 FROM fates WHERE fate = 'kept'""")
+@query("remove_spurious", "faces", "bent_vertices", sql=f"""
+    WITH {BENT}, {FATES} SELECT mesh_id, face_id, v0, v1, v2 FROM fates WHERE fate = 'kept'""")
 def remove_spurious(spark, lens):
-    return mesh.remove_spurious(lens("faces"), lens("vertices"), FACTOR, MIN_FACES)
+    return mesh.remove_spurious(lens("faces"), lens("bent_vertices"), FACTOR, MIN_FACES)
 
 
-@query("spurious_report", "faces", "vertices", sql=f"""
-    WITH {GEOMETRY}, {FATES} SELECT mesh_id, count(*) FILTER (WHERE fate = 'kept') AS kept,
+@query("spurious_report", "faces", "bent_vertices", sql=f"""
+    WITH {BENT}, {FATES} SELECT mesh_id, count(*) FILTER (WHERE fate = 'kept') AS kept,
       count(*) FILTER (WHERE fate = 'long_edge') AS long_edge_removed,
       count(*) FILTER (WHERE fate = 'small_component') AS small_component_removed FROM fates GROUP BY 1""")
 def spurious_report(spark, lens):
-    return mesh.spurious_report(lens("faces"), lens("vertices"), FACTOR, MIN_FACES)
+    return mesh.spurious_report(lens("faces"), lens("bent_vertices"), FACTOR, MIN_FACES)
 
 
 def _smoothed(source: str) -> str:
