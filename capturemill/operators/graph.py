@@ -2,24 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from capturemill.session import checkpointed
 
 MAX_ROUNDS = 60
+# Edges a task contracts at a time; bounds its memory.
+CONTRACT_EDGES = 500_000
 
 
 def connected_components(edges: DataFrame, group: str = "capture_id") -> DataFrame:
     """Label every node of (group, u, v) with the smallest node id of its component.
 
-    Alternating large-star and small-star rounds (Kiveris et al., 2014).  Each star
-    is one pre-aggregated minimum per node and one join back, so a hub is never
-    gathered in one task; its rows are split by the skew join.  A reliable
-    checkpoint ends every round, and the rounds stop when the edges no longer change.
+    Every task first replaces the edges it happens to hold by stars, a pre-aggregation
+    that shortens paths before anything is shuffled.  Alternating large-star and
+    small-star rounds (Kiveris et al., 2014) follow.  Each star is one pre-aggregated
+    minimum per node and one join back, so a hub is never gathered in one task; its
+    rows are split by the skew join.  A reliable checkpoint ends every round, and the
+    rounds stop when the edges no longer change.
     """
-    links = _both_ways_less(edges.select(group, "u", "v"))
-    links = checkpointed(links)
+    plain = edges.select(F.col(group).cast("long").alias(group), F.col("u").cast("long"), F.col("v").cast("long"))
+    links = checkpointed(_contracted(plain.where("u <> v")).distinct())
     state = _fingerprint(links)
     for _ in range(MAX_ROUNDS):
         links = checkpointed(_small_star(_large_star(links, group), group))
@@ -36,12 +44,45 @@ def connected_components(edges: DataFrame, group: str = "capture_id") -> DataFra
     )
 
 
-def _both_ways_less(edges: DataFrame) -> DataFrame:
-    """Edges as (high, low), loops and repeats dropped."""
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Edges (group, high, low) of stars that join the same nodes, task by task."""
     group = edges.columns[0]
-    return edges.select(group, F.greatest("u", "v").alias("high"), F.least("u", "v").alias("low")).where(
-        F.col("high") > F.col("low")
-    ).distinct()
+
+    def contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += len(batch)
+            if rows >= CONTRACT_EDGES:
+                yield _stars(pd.concat(held), group)
+                held, rows = [], 0
+        if rows:
+            yield _stars(pd.concat(held), group)
+
+    return edges.mapInPandas(contract, f"{group} bigint, high bigint, low bigint")
+
+
+def _stars(edges: pd.DataFrame, group: str) -> pd.DataFrame:
+    """Every node of some edges with the smallest node it is joined to."""
+    n = len(edges)
+    groups, in_group = np.unique(edges[group].to_numpy(), return_inverse=True)
+    names, in_names = np.unique(np.concatenate([edges["u"], edges["v"]]), return_inverse=True)
+    keys, ends = np.unique(np.tile(in_group, 2) * len(names) + in_names, return_inverse=True)
+    u, v = ends[:n], ends[n:]
+    root = np.arange(len(keys))
+    while True:
+        a, b = root[u], root[v]
+        if (a == b).all():
+            break
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+    moved = np.flatnonzero(root != np.arange(len(keys)))
+    return pd.DataFrame({
+        group: groups[keys[moved] // len(names)],
+        "high": names[keys[moved] % len(names)],
+        "low": names[keys[root[moved]] % len(names)],
+    })
 
 
 def _fingerprint(links: DataFrame) -> tuple:
@@ -60,9 +101,8 @@ def _large_star(links: DataFrame, group: str) -> DataFrame:
         group, "node", F.least("m", "node").alias("m")
     )
     larger = around.where(F.col("other") > F.col("node"))
-    return larger.join(least, [group, "node"]).select(
-        group, F.col("other").alias("high"), F.col("m").alias("low")
-    ).distinct()
+    # repeats are left to the small star, which drops them
+    return larger.join(least, [group, "node"]).select(group, F.col("other").alias("high"), F.col("m").alias("low"))
 
 
 def _small_star(links: DataFrame, group: str) -> DataFrame:
