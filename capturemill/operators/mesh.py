@@ -128,13 +128,12 @@ def hole_count(faces: DataFrame) -> DataFrame:
 def _without_long_edges(faces: DataFrame, vertices: DataFrame, factor: float) -> DataFrame:
     """Faces with a flag for an edge longer than ``factor`` times the mean face edge of the mesh."""
     geometry = face_geometry(faces, vertices)
-    mean = small_side(geometry.groupBy(*MESH).agg(
-        (F.sum(F.col("edge01") + F.col("edge12") + F.col("edge20")) / (F.count(F.lit(1)) * 3)).alias("mean_edge")
-    ))
+    around = F.col("edge01") + F.col("edge12") + F.col("edge20")
+    mean = small_side(geometry.groupBy(*MESH).agg((F.sum(around) / (F.count(around) * 3)).alias("mean_edge")))
     longest = F.greatest("edge01", "edge12", "edge20")
     return geometry.join(mean, MESH).select(
         *MESH, "face_id", "v0", "v1", "v2",
-        F.coalesce(longest > F.col("mean_edge") * factor, F.lit(True)).alias("long_edge"),
+        (around.isNull() | (longest > F.col("mean_edge") * factor)).alias("long_edge"),
     )
 
 

@@ -75,7 +75,7 @@ def mtl_lines(spark: SparkSession, path: str, mesh: Callable[[Column], Column] =
 
 def texture_names(lines: DataFrame) -> DataFrame:
     """Every texture named by a material file, in order: (mesh_id, seq, texture)."""
-    name = F.regexp_extract(F.trim("line"), r"^map_Kd\s+(.*\S)", 1)
+    name = F.regexp_extract("line", r"^\s*map_Kd\S*\s+(.*\S)", 1)
     return lines.select("mesh_id", "seq", name.alias("texture")).where(F.col("texture") != "")
 
 

@@ -161,13 +161,12 @@ def _ascii_ranges(headers: DataFrame) -> DataFrame:
     ranges = headers.where((F.col("kind") == "ascii") & (body > 0)).select(
         "path", "start", "nv", "nf", "size",
         F.explode(F.sequence(F.col("start"), F.col("size") - 1, F.lit(RANGE_BYTES).cast("long"))).alias("at"),
-    )
-    schema = "path string, start bigint, nv bigint, nf bigint, size bigint, at bigint, ends bigint"
+    ).withColumn("length", F.least(F.lit(RANGE_BYTES).cast("long"), F.col("size") - F.col("at"))).drop("size")
+    schema = "path string, start bigint, nv bigint, nf bigint, at bigint, length bigint, ends bigint"
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ends = [read_range(p, a, min(RANGE_BYTES, s - a)).count(b"\n")
-                    for p, a, s in zip(batch["path"], batch["at"], batch["size"])]
+            ends = [read_range(*r).count(b"\n") for r in zip(batch["path"], batch["at"], batch["length"])]
             yield batch.assign(ends=ends)
 
     counted = _spread(ranges).mapInPandas(count, schema)
@@ -175,9 +174,9 @@ def _ascii_ranges(headers: DataFrame) -> DataFrame:
     return counted.withColumn("before", F.coalesce(F.sum("ends").over(earlier), F.lit(0).cast("long")))
 
 
-def _lines_of(path: str, start: int, at: int, size: int, before: int) -> Iterator[tuple[int, list[str]]]:
+def _lines_of(path: str, start: int, at: int, length: int, before: int) -> Iterator[tuple[int, list[str]]]:
     """Numbered lines that begin inside one range."""
-    end = min(at + RANGE_BYTES, size)
+    end = at + length
     cursor, index, place = FileCursor(path, at if at == start else at - 1), before, at
     try:
         if at != start:
@@ -198,7 +197,7 @@ def _ascii_rows(headers: DataFrame, columns: str, row_of: Callable) -> DataFrame
         for batch in batches:
             for r in batch.itertuples(index=False):
                 try:
-                    found = (row for i, words in _lines_of(r.path, r.start, r.at, r.size, r.before)
+                    found = (row for i, words in _lines_of(r.path, r.start, r.at, r.length, r.before)
                              if (row := row_of(r, i, words)) is not None)
                     for rows in in_batches(found):
                         names = [c.strip().split(" ")[0] for c in columns.split(",")]

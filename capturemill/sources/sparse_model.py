@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from capturemill.sources.ranges import FileCursor, in_batches
 
 # Record layouts, little-endian.
-POINT_RECORD = struct.Struct("<QdddBBBd")
-IMAGE_RECORD = struct.Struct("<IdddddddI")
-COUNT = struct.Struct("<Q")
+POINT_RECORD = "<QdddBBBd"
+IMAGE_RECORD = "<IdddddddI"
+COUNT = "<Q"
 TRACK_ITEM_BYTES = 8
 POINT2D_BYTES = 24
 LARGEST_ID = 2**63 - 1
@@ -34,6 +34,10 @@ POSE_COLUMNS = (
 )
 
 
+def _take(cursor: FileCursor, layout: str) -> tuple:
+    return struct.unpack(layout, cursor.exactly(struct.calcsize(layout)))
+
+
 def capture_from_path(path: F.Column) -> F.Column:
     """Capture number: the nearest folder above the file whose name is a number."""
     return F.regexp_extract(path, r"^.*/(\d+)/", 1).try_cast("long")
@@ -50,11 +54,11 @@ def load_sparse_points(
     def points_of(file: str) -> Iterator[tuple]:
         cursor = FileCursor(file)
         try:
-            for _ in range(COUNT.unpack(cursor.exactly(8))[0]):
-                ident, x, y, z, r, g, b, error = POINT_RECORD.unpack(cursor.exactly(POINT_RECORD.size))
+            for _ in range(_take(cursor, COUNT)[0]):
+                ident, x, y, z, r, g, b, error = _take(cursor, POINT_RECORD)
                 if ident > LARGEST_ID:
                     raise ValueError(f"point id {ident} does not fit a signed 64-bit number")
-                length = COUNT.unpack(cursor.exactly(8))[0]
+                length = _take(cursor, COUNT)[0]
                 track = None
                 if tracks:
                     items = np.frombuffer(cursor.take(length * TRACK_ITEM_BYTES), dtype="<u4")
@@ -78,10 +82,10 @@ def load_poses(
     def poses_of(file: str) -> Iterator[tuple]:
         cursor = FileCursor(file)
         try:
-            for _ in range(COUNT.unpack(cursor.exactly(8))[0]):
-                ident, *pose, camera = IMAGE_RECORD.unpack(cursor.exactly(IMAGE_RECORD.size))
+            for _ in range(_take(cursor, COUNT)[0]):
+                ident, *pose, camera = _take(cursor, IMAGE_RECORD)
                 name = cursor.until(b"\x00").decode("utf-8", errors="ignore")
-                points = COUNT.unpack(cursor.exactly(8))[0]
+                points = _take(cursor, COUNT)[0]
                 cursor.skip(points * POINT2D_BYTES)
                 yield file, ident, pose[:4], pose[4:], camera, name, points, None
         except Exception as problem:  # noqa: BLE001 - told in the row
