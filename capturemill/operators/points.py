@@ -32,7 +32,7 @@ def exact_percentiles(points: DataFrame, qs: Sequence[float]) -> DataFrame:
     """Exact interpolated percentiles per capture and axis: (capture_id, axis, q, value).
 
     A sketch brackets each percentile; the bracket holds a few ten-thousandths of
-    the rows, so only those values are sorted.  Values below are merely counted, and
+    the rows, so only those values are sorted.  Values outside are merely counted, and
     equal values collapse before the shuffle.
     """
     tall = points.select(
@@ -52,16 +52,22 @@ def exact_percentiles(points: DataFrame, qs: Sequence[float]) -> DataFrame:
         for i, q in enumerate(qs)
     ])).alias("t")).select("capture_id", "axis", "n", "t.*")
     targets = small_side(targets)
-    near = tall.join(targets, ["capture_id", "axis"]).where(F.col("v") <= F.col("high"))
-    kept = near.withColumn("v", F.when(F.col("v") >= F.col("low"), F.col("v")))
-    counted = kept.groupBy("capture_id", "axis", "i", "q", "n", "v").agg(F.count(F.lit(1)).alias("c"))
-    order = Window.partitionBy("capture_id", "axis", "i").orderBy(F.col("v").asc_nulls_first())
+    v = F.col("v")
+    side = F.when(v < F.col("low"), -1).when(v > F.col("high"), 1).otherwise(0)
+    near = tall.where(v.isNotNull()).join(targets, ["capture_id", "axis"]).withColumn("side", side)
+    # below and above the bracket only the count and the adjoining value matter
+    counted = near.groupBy(
+        "capture_id", "axis", "i", "q", "n", "side", F.when(F.col("side") == 0, v).alias("inner")
+    ).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("least"), F.max("v").alias("most")).withColumn(
+        "v", F.when(F.col("side") < 0, F.col("most")).otherwise(F.col("least"))
+    )
+    order = Window.partitionBy("capture_id", "axis", "i").orderBy("side", "v")
     running = counted.withColumn("upto", F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     position = F.col("q") * (F.col("n") - 1)
     lower, upper = F.floor(position), F.ceil(position)
 
     def value_at(rank):
-        return F.min(F.when(F.col("v").isNotNull() & (F.col("upto") > rank), F.col("v")))
+        return F.min(F.when(F.col("upto") > rank, F.col("v")))
 
     return running.groupBy("capture_id", "axis", "i", "q", "n").agg(
         value_at(lower).alias("v0"), value_at(upper).alias("v1")
