@@ -37,7 +37,7 @@ def connected_components(edges: DataFrame, group: str = "capture_id") -> DataFra
         state = now
     else:
         raise RuntimeError("connected components did not settle")
-    nodes = edges.select(group, F.col("u").alias("node")).unionByName(edges.select(group, F.col("v").alias("node")))
+    nodes = plain.select(group, F.explode(F.array("u", "v")).alias("node"))
     roots = links.select(group, F.col("high").alias("node"), F.col("low").alias("component"))
     return nodes.distinct().join(roots, [group, "node"], "left").select(
         group, "node", F.coalesce("component", "node").alias("component")
@@ -94,13 +94,12 @@ def _fingerprint(links: DataFrame) -> tuple:
 
 def _large_star(links: DataFrame, group: str) -> DataFrame:
     """Join every larger neighbour of a node to the node's smallest neighbour."""
-    around = links.select(group, F.col("high").alias("node"), F.col("low").alias("other")).unionByName(
-        links.select(group, F.col("low").alias("node"), F.col("high").alias("other"))
-    )
+    ends = [F.struct(F.col(a).alias("node"), F.col(b).alias("other")) for a, b in (("high", "low"), ("low", "high"))]
+    around = links.select(group, F.explode(F.array(*ends)).alias("e")).select(group, "e.node", "e.other")
     least = around.groupBy(group, "node").agg(F.min("other").alias("m")).select(
         group, "node", F.least("m", "node").alias("m")
     )
-    larger = around.where(F.col("other") > F.col("node"))
+    larger = links.select(group, F.col("low").alias("node"), F.col("high").alias("other"))
     # repeats are left to the small star, which drops them
     return larger.join(least, [group, "node"]).select(group, F.col("other").alias("high"), F.col("m").alias("low"))
 

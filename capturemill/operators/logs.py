@@ -9,6 +9,7 @@ from capturemill.functions.log_rules import (
     FIELDS, RULES, Rule, block_bounds, block_message, is_spike, is_spurious, rule_match, rule_message,
 )
 from capturemill.operators.numbering import running_folds
+from capturemill.session import checkpointed
 
 # Seconds a step may take before it is stopped.
 STEP_LIMITS = {
@@ -131,7 +132,7 @@ def run_metric_lists(lines: DataFrame) -> DataFrame:
 def registration_progress(lines: DataFrame) -> DataFrame:
     """Cameras registered so far and running triangulated points, at each mapper line that moves them."""
     entry = F.when(F.col("rule").isin("T7", "T12"), F.struct("rule", "n1", "n2"))
-    moved = _kept(_classify_tools(lines, "map"), ["run_id", "seq"], entry)
+    moved = checkpointed(_kept(_classify_tools(lines, "map"), ["run_id", "seq"], entry))
     count = F.when(F.col("rule") == "T7", F.struct(F.col("seq").alias("at"), F.col("n2").alias("registered")))
     points = F.when(F.col("rule") == "T12", F.col("n1"))
     folded = running_folds(moved, ["run_id"], "seq", {"__last": ("max", count), "points": ("sum", points)})
@@ -212,21 +213,21 @@ def log_times(lines: DataFrame, starts: DataFrame) -> DataFrame:
     """
     group = ["run_id", "tool"]
     clock = F.struct(F.col("seq").alias("at"), F.col("clock_seconds").alias("clock"))
-    headed = with_header(lines).select(*group, "seq", "line", "clock_seconds")
+    # the line texts stay out of the folds; narrow rows are written between them
+    headed = checkpointed(with_header(lines).select(*group, "seq", "clock_seconds"))
     known = F.when(F.col("clock_seconds").isNotNull(), clock)
     earlier = running_folds(headed, group, "seq", {"__before": ("max", known)}, exclusive=True)
     begin = F.hour("started") * 3600 + F.minute("started") * 60 + F.second("started")
     joined = earlier.join(starts.select(*group, "started"), group)
     previous = F.coalesce(F.col("__before.clock"), begin)
-    steps = joined.withColumn(
-        "__step",
+    steps = checkpointed(joined.select(
+        *group, "seq", "started",
         F.when(F.col("clock_seconds").isNull(), 0)
         .otherwise(F.col("clock_seconds") - previous
-                   + F.when(F.col("clock_seconds") < previous, 86400).otherwise(0)).cast("long"),
-    )
-    timed = running_folds(steps, group, "seq", {"elapsed_seconds": ("sum", F.col("__step"))})
-    return timed.select(
-        *group, "seq", "line", "elapsed_seconds",
+                   + F.when(F.col("clock_seconds") < previous, 86400).otherwise(0)).cast("long").alias("__step"),
+    ))
+    return running_folds(steps, group, "seq", {"elapsed_seconds": ("sum", F.col("__step"))}).select(
+        *group, "seq", "elapsed_seconds",
         (F.col("started") + F.make_dt_interval(secs=F.col("elapsed_seconds"))).alias("line_time"),
     )
 

@@ -32,6 +32,7 @@ def nearest_two(descriptors: DataFrame, pairs: DataFrame, chunk: int = CHUNK) ->
     """
     image = ["capture_id", "image_id"]
     sizes = descriptors.groupBy(*image).agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).alias("chunks"))
+    sizes = small_side(sizes)
     chunks = (
         descriptors.select(*image, "feature_id", "descriptor").join(sizes, image)
         .withColumn("chunk", F.pmod(F.xxhash64("feature_id"), F.col("chunks")))

@@ -57,7 +57,8 @@ def name_pairs(pairs: DataFrame, images: DataFrame) -> DataFrame:
         .join(side(2), ["capture_id", "image_id2"], "left")
         .select(
             "capture_id", "pair_id", "image_id1", "image_id2",
-            label(1).alias("name1"), label(2).alias("name2"), "rows",
+            label(1).alias("name1"), label(2).alias("name2"),
+            *[c for c in pairs.columns if c not in ("capture_id", "pair_id")],
         )
     )
 

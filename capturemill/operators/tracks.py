@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from capturemill.operators.summaries import error_grade
-from capturemill.session import small_side
+from capturemill.session import counted_side, small_side
 
 # Tracks seen by more images than this are counted by tiles instead of row pairs.
 LONG_TRACK = 256
@@ -32,19 +32,17 @@ def covisibility(observations: DataFrame, long_track: int = LONG_TRACK, tile: in
     counts per image pair from one matrix product, whatever the track length.
     No track is shortened or left out.
     """
-    seen = observations.select("capture_id", "point3d_id", "image_id").distinct()
-    lengths = seen.groupBy("capture_id", "point3d_id").agg(F.count(F.lit(1)).alias("images"))
-    long_points = small_side(lengths.where(F.col("images") > long_track).select("capture_id", "point3d_id"))
     key = ["capture_id", "point3d_id"]
-    if long_points.isEmpty():
-        return _pairs_by_join(seen).groupBy("capture_id", "image_id1", "image_id2").agg(
-            F.sum("shared").alias("shared")
-        )
-    short = seen.join(long_points, key, "left_anti")
-    hot = seen.join(long_points, key, "left_semi")
-    return _pairs_by_join(short).unionByName(_pairs_by_tiles(hot, tile)).groupBy(
-        "capture_id", "image_id1", "image_id2"
-    ).agg(F.sum("shared").alias("shared"))
+    rows = observations.select(*key, "image_id")
+    # counting rows, repeats included, can only take more points through the tiles
+    lengths = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"))
+    long_points, count = counted_side(lengths.where(F.col("rows") > long_track).select(*key))
+    seen = rows.distinct()
+    if count == 0:
+        return _pairs_by_join(seen)
+    short = _pairs_by_join(seen.join(long_points, key, "left_anti"))
+    hot = _pairs_by_tiles(seen.join(long_points, key, "left_semi"), tile)
+    return short.unionByName(hot).groupBy("capture_id", "image_id1", "image_id2").agg(F.sum("shared").alias("shared"))
 
 
 def _pairs_by_join(seen: DataFrame) -> DataFrame:
@@ -114,13 +112,14 @@ def neighbor_views(covisible: DataFrame, k: int | DataFrame, max_k: int = 12) ->
     ``k`` is a number, or a table (capture_id, number_views) as made by the densify
     rule; then ``max_k`` bounds the rank before that table is joined.
     """
-    one = covisible.select("capture_id", F.col("image_id1").alias("image_id"),
-                           F.col("image_id2").alias("neighbor_id"), "shared")
-    other = covisible.select("capture_id", F.col("image_id2").alias("image_id"),
-                             F.col("image_id1").alias("neighbor_id"), "shared")
+    ends = [F.struct(F.col(f"image_id{a}").alias("image_id"), F.col(f"image_id{b}").alias("neighbor_id"))
+            for a, b in ((1, 2), (2, 1))]
+    both = covisible.select("capture_id", "shared", F.explode(F.array(*ends)).alias("e")).select(
+        "capture_id", "e.image_id", "e.neighbor_id", "shared"
+    )
     order = Window.partitionBy("capture_id", "image_id").orderBy(F.col("shared").desc(), "neighbor_id")
     bound = k if isinstance(k, int) else max_k
-    ranked = one.unionByName(other).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= bound)
+    ranked = both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= bound)
     if isinstance(k, int):
         return ranked
     return ranked.join(k.select("capture_id", "number_views"), "capture_id").where(

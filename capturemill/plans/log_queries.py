@@ -175,7 +175,8 @@ def _timed(lens):
 
 @query("log_times", "clock_lines", "clock_starts", sql=f"WITH {TIMED} SELECT * FROM timed")
 def log_times(spark, lens):
-    return _timed(lens).drop("line_time")
+    lines = lens("clock_lines").select("run_id", "tool", "seq", "line")
+    return _timed(lens).drop("line_time").join(lines, ["run_id", "tool", "seq"])
 
 
 @query("step_durations", "clock_lines", "clock_starts", sql=f"""

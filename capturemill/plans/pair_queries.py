@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from capturemill.functions.columns import encode_pair
 from capturemill.operators import graph, images, matching, pairs, summaries, tracks
 from capturemill.plans.catalog import query
+from capturemill.session import checkpointed
 
 DECODED = "pair_id // 2147483647 AS image_id1, pair_id % 2147483647 AS image_id2"
 MATCHING = """
@@ -41,10 +42,11 @@ def match_report(spark, lens):
         "capture_id", encode_pair(F.col("image_id1"), F.col("image_id2")).alias("pair_id"),
         F.greatest(F.col("shared") - 20, F.lit(0)).alias("rows"),
     )
-    best = pairs.top_pairs(found)
-    named = pairs.name_pairs(best.drop("rank"), lens("images")).drop("rows")
+    # both the ranking and the summary read the pairs: write them once
+    found = checkpointed(found)
+    named = pairs.name_pairs(pairs.top_pairs(found), lens("images"))
     summary = summaries.matching_summary(lens("images"), found)
-    return best.join(named, ["capture_id", "pair_id"]).join(summary, "capture_id").select(
+    return named.join(summary, "capture_id").select(
         "capture_id", "rank", "name1", "name2", "rows", "pairs_tested", "pairs_matched", "success_pct", "verdict"
     )
 

@@ -55,11 +55,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_side(df: DataFrame, max_rows: int = SMALL_TABLE_ROWS) -> DataFrame:
-    """Materialise a per-group table and broadcast it only when it is proven small.
+def counted_side(df: DataFrame, max_rows: int = SMALL_TABLE_ROWS) -> tuple[DataFrame, int]:
+    """Materialise a per-group table, broadcast it only when it is proven small, and tell its rows.
 
     Beyond ``max_rows`` the table is returned without a hint: the join is then a
     shuffle join, whose hot keys adaptive execution splits.
     """
     kept = checkpointed(df)
-    return F.broadcast(kept) if kept.count() <= max_rows else kept
+    rows = kept.count()
+    return (F.broadcast(kept) if rows <= max_rows else kept), rows
+
+
+def small_side(df: DataFrame, max_rows: int = SMALL_TABLE_ROWS) -> DataFrame:
+    """The table of :func:`counted_side` alone."""
+    return counted_side(df, max_rows)[0]
