@@ -1,15 +1,13 @@
 """PLY point clouds and meshes, read by byte ranges.
 
 Headers are read in tasks first.  A body of fixed records, and an ASCII body, is
-then cut into ranges that any task can read alone; only bodies with list
-properties on their vertices have to be walked by one task per file, with a
-bounded buffer.
+then cut into ranges that any task can read alone.  A body with list properties
+on its vertices is first hopped through to find where ranges of vertices begin.
 """
 
 from __future__ import annotations
 
 import json
-import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from capturemill.sources.mesh_text import mesh_from_path
-from capturemill.sources.ranges import FileCursor, in_batches, read_range
+from capturemill.sources.ranges import FileCursor, hop_ranges, in_batches, read_range
 
 # Scalar types and the 13-byte triangle record.
 SCALARS = {
@@ -46,7 +44,7 @@ def read_header(path: str) -> dict:
             raw = cursor.until(b"\n")
             at += len(raw) + 1
             words = raw.decode("utf-8", errors="ignore").split()
-            if not raw and at > cursor._size:
+            if not raw and not cursor.left:
                 raise ValueError("no end_header")
             if words == ["end_header"]:
                 break
@@ -228,34 +226,70 @@ def _fixed_vertices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield _vertex_frame(r.path, r.first + done, np.frombuffer(raw, dtype=record))
 
 
-def _walk_listed(path: str, start: int, nv: int, props: list[list[str]]) -> Iterator:
-    """Vertices of a body with list properties: (scalar record bytes, list values); then the cursor."""
-    record = _record(props)
-    lists = [(np.dtype("<" + SCALARS[p[1]]), np.dtype("<" + SCALARS[p[2]])) for p in props if p[0] == "list"]
-    cursor = FileCursor(path, start)
-    for _ in range(nv):
-        scalars = cursor.exactly(record.itemsize)
-        views: list[int] = []
-        for count_type, item_type in lists:
-            n = int(np.frombuffer(cursor.exactly(count_type.itemsize), count_type)[0])
-            views += np.frombuffer(cursor.exactly(n * item_type.itemsize), item_type).tolist()
-        yield scalars, views
-    yield cursor
+def _lists(props: list[list[str]]) -> list[tuple[np.dtype, np.dtype]]:
+    return [(np.dtype("<" + SCALARS[p[1]]), np.dtype("<" + SCALARS[p[2]])) for p in props if p[0] == "list"]
+
+
+def _listed_ranges(headers: DataFrame) -> DataFrame:
+    """Ranges (path, props, first, rows, at) of bodies with list properties; faces follow as one span."""
+    split = RANGE_BYTES
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                props = json.loads(r.props)
+                scalars, lists = _record(props).itemsize, _lists(props)
+
+                def hop(cursor: FileCursor) -> None:
+                    cursor.exactly(scalars)
+                    for count_type, item_type in lists:
+                        n = int(np.frombuffer(cursor.exactly(count_type.itemsize), count_type)[0])
+                        if n * item_type.itemsize > cursor.left:
+                            raise EOFError("list runs past the end of the file")
+                        cursor.skip(n * item_type.itemsize)
+
+                cursor = FileCursor(r.path, r.start)
+                rows = [("vertex", r.path, r.props, first, n, at, None)
+                        for at, first, n in hop_ranges(cursor, r.nv, hop, split)]
+                try:
+                    # the walk stops early only where the body is cut short
+                    if r.nv:
+                        check = FileCursor(r.path, rows[-1][5])
+                        for _ in range(rows[-1][4]):
+                            hop(check)
+                        check.close()
+                    rows.append(("face", r.path, r.props, 0, r.nf, cursor.position, None))
+                except EOFError as problem:
+                    rows = [("vertex", r.path, r.props, 0, 0, 0, str(problem))]
+                cursor.close()
+                yield pd.DataFrame(rows, columns=["part", "path", "props", "first", "rows", "at", "problem"])
+
+    schema = "part string, path string, props string, first bigint, rows bigint, at bigint, problem string"
+    return headers.where(F.col("kind") == "listed").mapInPandas(cut, schema)
 
 
 def _listed_vertices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for r in batch.itertuples(index=False):
-            props, first = json.loads(r.props), 0
-            record = _record(props)
-            try:
-                walked = (item for item in _walk_listed(r.path, r.start, r.nv, props) if isinstance(item, tuple))
-                for rows in in_batches(walked):
-                    data = np.frombuffer(b"".join(s for s, _ in rows), dtype=record)
-                    yield _vertex_frame(r.path, first, data, [[int(v) for v in views] for _, views in rows], True)
-                    first += len(rows)
-            except (EOFError, ValueError, struct.error) as problem:
-                yield _problem(r.path, VERTEX, str(problem))
+            if r.problem:
+                yield _problem(r.path, VERTEX, r.problem)
+                continue
+            props, first = json.loads(r.props), r.first
+            record, lists = _record(props), _lists(props)
+            cursor = FileCursor(r.path, r.at)
+
+            def vertex() -> tuple[bytes, list[int]]:
+                scalars, views = cursor.exactly(record.itemsize), []
+                for count_type, item_type in lists:
+                    n = int(np.frombuffer(cursor.exactly(count_type.itemsize), count_type)[0])
+                    views += np.frombuffer(cursor.exactly(n * item_type.itemsize), item_type).astype(np.int64).tolist()
+                return scalars, views
+
+            for rows in in_batches(vertex() for _ in range(r.rows)):
+                data = np.frombuffer(b"".join(s for s, _ in rows), dtype=record)
+                yield _vertex_frame(r.path, first, data, [views for _, views in rows], True)
+                first += len(rows)
+            cursor.close()
 
 
 def ply_vertices(headers: DataFrame, mesh: Callable[[Column], Column] = mesh_from_path) -> DataFrame:
@@ -270,11 +304,11 @@ def ply_vertices(headers: DataFrame, mesh: Callable[[Column], Column] = mesh_fro
     ranges = _record_ranges(fixed.where(whole), F.col("nv"), F.col("start"), F.col("__stride"))
     short = fixed.where(~whole).select("path", F.lit("vertex body is too short").alias("problem"))
     told = headers.where(F.col("problem").isNotNull()).select("path", "problem").unionByName(short)
-    listed = headers.where(F.col("kind") == "listed")
+    listed = _listed_ranges(headers).where(F.col("part") == "vertex")
     rows = (
         _spread(ranges).mapInPandas(_fixed_vertices, VERTEX)
         .unionByName(_ascii_rows(headers, VERTEX, _ascii_vertex))
-        .unionByName(listed.mapInPandas(_listed_vertices, VERTEX))
+        .unionByName(_spread(listed).mapInPandas(_listed_vertices, VERTEX))
         .unionByName(told, allowMissingColumns=True)
     )
     return rows.withColumn("mesh_id", mesh(F.col("path")))
@@ -306,46 +340,19 @@ def _fixed_faces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield _face_frame(r.path, r.first + done, raw)
 
 
-def _listed_faces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for r in batch.itertuples(index=False):
-            try:
-                *_, cursor = _last(_walk_listed(r.path, r.start, r.nv, json.loads(r.props)))
-            except (EOFError, ValueError) as problem:
-                yield _problem(r.path, FACE, str(problem))
-                continue
-            left = cursor._size - cursor._at + len(cursor._buffer) - cursor._used
-            step, done = (8 << 20) // TRIANGLE.itemsize, 0
-            while left >= r.nf * TRIANGLE.itemsize and done < r.nf:
-                rows = min(step, r.nf - done)
-                yield _face_frame(r.path, done, cursor.exactly(rows * TRIANGLE.itemsize))
-                done += rows
-            cursor.close()
-
-
-def _last(items: Iterator) -> tuple:
-    last = None
-    for last in items:
-        pass
-    return (last,)
-
-
 def ply_faces(headers: DataFrame, mesh: Callable[[Column], Column] = mesh_from_path) -> DataFrame:
     """Triangles of the files in a header table.
 
     Binary faces are taken as 13-byte triangles, and none is given when the body is
     shorter than that; ASCII faces of other sizes are left out.
     """
-    fixed = headers.where(F.col("kind") == "fixed").withColumn(
-        "__at", F.col("start") + F.col("nv") * _stride(headers)
-    ).where(F.col("size") >= F.col("__at") + F.col("nf") * TRIANGLE.itemsize)
-    ranges = _record_ranges(fixed, F.col("nf"), F.col("__at"), F.lit(TRIANGLE.itemsize).cast("long"))
-    listed = headers.where((F.col("kind") == "listed") & (F.col("nf") > 0))
-    rows = (
-        _spread(ranges).mapInPandas(_fixed_faces, FACE)
-        .unionByName(_ascii_rows(headers, FACE, _ascii_face))
-        .unionByName(listed.mapInPandas(_listed_faces, FACE))
-    )
+    fixed = headers.where(F.col("kind") == "fixed").withColumn("__at", F.col("start") + F.col("nv") * _stride(headers))
+    spans = _listed_ranges(headers.where(F.col("nf") > 0)).where(F.col("part") == "face")
+    listed = spans.join(headers.select("path", "size", "nf"), "path").withColumn("__at", F.col("at"))
+    body = [d.select("path", "props", "size", "nf", "__at") for d in (fixed, listed)]
+    whole = body[0].unionByName(body[1]).where(F.col("size") >= F.col("__at") + F.col("nf") * TRIANGLE.itemsize)
+    ranges = _record_ranges(whole, F.col("nf"), F.col("__at"), F.lit(TRIANGLE.itemsize).cast("long"))
+    rows = _spread(ranges).mapInPandas(_fixed_faces, FACE).unionByName(_ascii_rows(headers, FACE, _ascii_face))
     return rows.withColumn("mesh_id", mesh(F.col("path")))
 
 

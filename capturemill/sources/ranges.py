@@ -8,6 +8,8 @@ from urllib.parse import unquote
 from pyarrow import fs
 
 READ_BLOCK = 8 << 20
+# Files of variable-length records above this size are cut into ranges of about this size.
+SPLIT_BYTES = 64 << 20
 
 
 class FileCursor:
@@ -47,12 +49,28 @@ class FileCursor:
 
     def until(self, mark: bytes) -> bytes:
         """Bytes up to a one-byte mark, which is consumed; all that is left if it never comes."""
-        out = bytearray()
-        while piece := self.take(1):
-            if piece == mark:
+        out = []
+        while True:
+            end = self._buffer.find(mark, self._used)
+            if end >= 0:
+                out.append(self._buffer[self._used:end])
+                self._used = end + 1
                 break
-            out += piece
-        return bytes(out)
+            out.append(self._buffer[self._used:])
+            self._buffer, self._used = b"", 0
+            if self._at >= self._size:
+                break
+            self._buffer = self._file.read_at(READ_BLOCK, self._at)
+            self._at += len(self._buffer)
+        return b"".join(out)
+
+    @property
+    def position(self) -> int:
+        return self._at - len(self._buffer) + self._used
+
+    @property
+    def left(self) -> int:
+        return self._size - self.position
 
     def close(self) -> None:
         self._file.close()
@@ -82,3 +100,22 @@ def in_batches(rows: Iterator[tuple], size: int = 20_000) -> Iterator[list[tuple
             held = []
     if held:
         yield held
+
+
+def hop_ranges(cursor: FileCursor, count: int, hop, split: int) -> Iterator[tuple[int, int, int]]:
+    """Ranges (offset, first record, records) of about ``split`` bytes over variable-length records.
+
+    ``hop`` moves the cursor over one record.  A record the file cuts short ends the
+    walk; all records not walked are left in the last range, where decoding meets the damage.
+    """
+    start, first = cursor.position, 0
+    for n in range(count):
+        try:
+            hop(cursor)
+        except EOFError:
+            break
+        if cursor.position - start >= split and n + 1 < count:
+            yield start, first, n + 1 - first
+            start, first = cursor.position, n + 1
+    if first < count:
+        yield start, first, count - first

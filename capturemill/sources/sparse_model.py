@@ -1,7 +1,8 @@
 """Binary sparse models: fleets of points3D.bin and images.bin files.
 
-Records have variable length, so a file is read front to back by one task with a
-bounded buffer; the fleet of files is what spreads over the cluster.
+Records have variable length.  Small files are one unit of work each; a large file
+is first hopped through from record to record, which only tells where ranges of
+records begin, and the ranges are then decoded by as many tasks.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capturemill.sources.ranges import FileCursor, in_batches
+from capturemill.sources.ranges import SPLIT_BYTES, FileCursor, hop_ranges, in_batches
 
 # Record layouts, little-endian.
 POINT_RECORD = "<QdddBBBd"
@@ -44,75 +45,106 @@ def capture_from_path(path: F.Column) -> F.Column:
 
 
 def load_sparse_points(
-    spark: SparkSession, path: str, capture: Callable[[F.Column], F.Column] = capture_from_path, tracks: bool = True
+    spark: SparkSession, path: str, capture: Callable[[F.Column], F.Column] = capture_from_path, tracks: bool = True,
+    split_bytes: int = SPLIT_BYTES,
 ) -> DataFrame:
     """Points of all points3D.bin files below a folder.
 
     A damaged file gives the points before the damage, then one row with only
     ``problem`` set.  ``tracks=False`` skips the tracks while decoding.
     """
-    def points_of(file: str) -> Iterator[tuple]:
-        cursor = FileCursor(file)
-        try:
-            for _ in range(_take(cursor, COUNT)[0]):
-                ident, x, y, z, r, g, b, error = _take(cursor, POINT_RECORD)
-                if ident > LARGEST_ID:
-                    raise ValueError(f"point id {ident} does not fit a signed 64-bit number")
-                length = _take(cursor, COUNT)[0]
-                track = None
-                if tracks:
-                    items = np.frombuffer(cursor.take(length * TRACK_ITEM_BYTES), dtype="<u4")
-                    pairs = items[: len(items) // 2 * 2].reshape(-1, 2).tolist()
-                    track = [{"image_id": i, "point2d_idx": p} for i, p in pairs]
-                else:
-                    cursor.skip(length * TRACK_ITEM_BYTES)
-                yield file, ident, x, y, z, r, g, b, error, track, None
-        except Exception as problem:  # noqa: BLE001 - told in the row
-            yield file, None, None, None, None, None, None, None, None, None, str(problem)
-        finally:
-            cursor.close()
-
-    return _decoded(spark, path, "points3D.bin", points_of, POINT_COLUMNS, capture)
+    def hop(cursor: FileCursor) -> None:
+        cursor.skip(struct.calcsize(POINT_RECORD))
+        cursor.skip(_take(cursor, COUNT)[0] * TRACK_ITEM_BYTES)
+
+    def point(cursor: FileCursor) -> tuple:
+        ident, x, y, z, r, g, b, error = _take(cursor, POINT_RECORD)
+        if ident > LARGEST_ID:
+            raise ValueError(f"point id {ident} does not fit a signed 64-bit number")
+        length = _take(cursor, COUNT)[0]
+        track = None
+        if tracks:
+            items = np.frombuffer(cursor.take(length * TRACK_ITEM_BYTES), dtype="<u4")
+            pairs = items[: len(items) // 2 * 2].reshape(-1, 2).tolist()
+            track = [{"image_id": i, "point2d_idx": p} for i, p in pairs]
+        else:
+            cursor.skip(length * TRACK_ITEM_BYTES)
+        return ident, x, y, z, r, g, b, error, track
+
+    return _decoded(spark, path, "points3D.bin", hop, point, POINT_COLUMNS, capture, split_bytes)
 
 
 def load_poses(
-    spark: SparkSession, path: str, capture: Callable[[F.Column], F.Column] = capture_from_path
+    spark: SparkSession, path: str, capture: Callable[[F.Column], F.Column] = capture_from_path,
+    split_bytes: int = SPLIT_BYTES,
 ) -> DataFrame:
     """Camera poses of all images.bin files below a folder; damage is told as for points."""
-    def poses_of(file: str) -> Iterator[tuple]:
-        cursor = FileCursor(file)
-        try:
-            for _ in range(_take(cursor, COUNT)[0]):
-                ident, *pose, camera = _take(cursor, IMAGE_RECORD)
-                name = cursor.until(b"\x00").decode("utf-8", errors="ignore")
-                points = _take(cursor, COUNT)[0]
-                cursor.skip(points * POINT2D_BYTES)
-                yield file, ident, pose[:4], pose[4:], camera, name, points, None
-        except Exception as problem:  # noqa: BLE001 - told in the row
-            yield file, None, None, None, None, None, None, str(problem)
-        finally:
-            cursor.close()
+    def hop(cursor: FileCursor) -> None:
+        cursor.skip(struct.calcsize(IMAGE_RECORD))
+        cursor.until(b"\x00")
+        cursor.skip(_take(cursor, COUNT)[0] * POINT2D_BYTES)
+
+    def pose(cursor: FileCursor) -> tuple:
+        ident, *numbers, camera = _take(cursor, IMAGE_RECORD)
+        name = cursor.until(b"\x00").decode("utf-8", errors="ignore")
+        points = _take(cursor, COUNT)[0]
+        cursor.skip(points * POINT2D_BYTES)
+        return ident, numbers[:4], numbers[4:], camera, name, points
 
-    return _decoded(spark, path, "images.bin", poses_of, POSE_COLUMNS, capture)
+    return _decoded(spark, path, "images.bin", hop, pose, POSE_COLUMNS, capture, split_bytes)
 
 
-def _decoded(spark, path, file_name, rows_of, columns, capture) -> DataFrame:
+RANGE_COLUMNS = "path string, at bigint, records bigint, problem string"
+
+
+def _decoded(spark, path, file_name, hop, record, columns, capture, split_bytes) -> DataFrame:
     names = [field.split(" ")[0] for field in columns.replace("array<struct<", "").split(", ")]
+    width = len(names) - 2
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for file, size in zip(batch["path"], batch["length"]):
+                cursor = FileCursor(file)
+                try:
+                    count = _take(cursor, COUNT)[0]
+                    if size <= split_bytes:
+                        rows.append((file, 8, count, None))
+                    else:
+                        rows += [(file, at, n, None) for at, _, n in hop_ranges(cursor, count, hop, split_bytes)]
+                except EOFError as problem:
+                    rows.append((file, 0, 0, str(problem)))
+                finally:
+                    cursor.close()
+            yield pd.DataFrame(rows, columns=["path", "at", "records", "problem"])
+
+    def rows_of(file: str, at: int, count: int, problem: str | None) -> Iterator[tuple]:
+        cursor = FileCursor(file, at)
+        try:
+            for _ in range(count):
+                yield file, *record(cursor), None
+        except Exception as damage:  # noqa: BLE001 - told in the row
+            problem = str(damage)
+        finally:
+            cursor.close()
+        if problem:
+            yield file, *[None] * width, problem
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for file in batch["path"]:
-                for rows in in_batches(rows_of(file)):
+            for r in batch.itertuples(index=False):
+                for rows in in_batches(rows_of(r.path, r.at, r.records, r.problem)):
                     yield pd.DataFrame({
                         name: pd.Series([row[i] for row in rows], dtype=object) for i, name in enumerate(names)
                     })
 
+    slots = spark.sparkContext.defaultParallelism
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", file_name)
-        .load(path).select("path")
+        .load(path).select("path", "length").repartition(slots)
     )
-    spread = files.repartition(spark.sparkContext.defaultParallelism)
-    return spread.mapInPandas(decode, columns).withColumn("capture_id", capture(F.col("path")))
+    ranges = files.mapInPandas(cut, RANGE_COLUMNS).repartition(slots, "path", "at")
+    return ranges.mapInPandas(decode, columns).withColumn("capture_id", capture(F.col("path")))
 
 
 def good_rows(decoded: DataFrame) -> DataFrame:

@@ -38,6 +38,8 @@ def test_sparse_points(spark, tmp_path):
     assert (first["x"], first["y"], first["z"], first["r"], first["g"], first["b"], first["error"]) == (1.5, -2.0, 3.25, 255, 0, 128, 0.5)
     assert [tuple(t) for t in first["track"]] == [(1, 10), (4294967295, 3)]
     assert sorted(r["capture_id"] for r in sparse_model.problems(loaded).collect()) == [3, 4, 5]
+    cut = sparse_model.load_sparse_points(spark, str(tmp_path), split_bytes=30)
+    assert sorted(map(repr, cut.select(*loaded.columns).collect())) == sorted(map(repr, loaded.collect()))
     bare = sparse_model.load_sparse_points(spark, str(tmp_path / "1"), tracks=False)
     assert [r["track"] for r in bare.collect()] == [None] * 3
 
@@ -61,6 +63,8 @@ def test_poses(spark, tmp_path):
     put(tmp_path / "11", "images.bin", whole)
     put(tmp_path / "12", "images.bin", whole[:-100])
     loaded = sparse_model.load_poses(spark, str(tmp_path)).cache()
+    cut = sparse_model.load_poses(spark, str(tmp_path), split_bytes=30)
+    assert sorted(map(repr, cut.select(*loaded.columns).collect())) == sorted(map(repr, loaded.collect()))
     good = {(r["capture_id"], r["image_id"]): r for r in sparse_model.good_rows(loaded).collect()}
     assert set(good) == {(11, 1), (11, 2), (12, 1)}
     assert good[11, 1]["name"] == "café 1.jpg" and good[11, 2]["name"] == "b.jpg"
@@ -110,7 +114,9 @@ def test_ply_fixed(spark, tmp_path, monkeypatch):
     assert vertices_of(spark, tmp_path / "d") == []
 
 
-def test_ply_list_property(spark, tmp_path):
+@pytest.mark.parametrize("size", [20, 1 << 20])
+def test_ply_list_property(spark, tmp_path, monkeypatch, size):
+    monkeypatch.setattr(ply, "RANGE_BYTES", size)
     props = XYZ + "property uchar red\nproperty list uint8 uint32 view_indices\nproperty list uchar float view_weights\n"
     body = b"".join(struct.pack("<fffB", i, 0, 1, 9) + struct.pack("<B" + "I" * i, i, *range(i)) + struct.pack("<Bf", 1, 2.0) for i in range(4))
     put(tmp_path / "1", "m.ply", PLY_HEAD.format("binary_little_endian", 4, props, 2).encode() + body + triangle(0, 1, 2) + triangle(1, 2, 3))
@@ -118,6 +124,10 @@ def test_ply_list_property(spark, tmp_path):
     assert faces_of(spark, tmp_path) == [(0, 0, 1, 2), (1, 1, 2, 3)]
     views = {r["vertex_id"]: r["views"] for r in ply.load_ply(spark, str(tmp_path))[0].collect()}
     assert views[3][:3] == [0, 1, 2]
+    data = (tmp_path / "1" / "m.ply").read_bytes()
+    put(tmp_path / "cut" / "1", "m.ply", data[:-40])
+    told = ply.load_ply(spark, str(tmp_path / "cut"))
+    assert [bool(r["problem"]) for r in told[0].collect()] == [True] and told[1].count() == 0
 
 
 @pytest.mark.parametrize("size", [7, 16, 1 << 20])
