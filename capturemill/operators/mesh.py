@@ -260,22 +260,20 @@ def sample_mesh(
 ) -> DataFrame:
     """Points on the surface, uniform by area; draws depend on (face, number, seed) only."""
     counts = sample_counts(faces, vertices, n, density).where(F.col("samples") > 0)
-    chunks = counts.withColumn(
+    # corners are joined to chunks of draws, so that only faces and chunks are shuffled, never the points
+    chunks = counts.join(with_corner_positions(faces, vertices), [*MESH, "face_id"]).withColumn(
         "__chunk", F.explode(F.sequence(F.lit(0).cast("long"), long_div(F.col("samples") - 1, DRAW_CHUNK)))
     ).repartition(*MESH, "face_id", "__chunk")
     first = F.col("__chunk") * DRAW_CHUNK
-    draws = chunks.select(
-        *MESH, "face_id",
-        F.explode(F.sequence(first, F.least(first + DRAW_CHUNK, F.col("samples")) - 1)).alias("draw"),
+    draws = chunks.withColumn(
+        "draw", F.explode(F.sequence(first, F.least(first + DRAW_CHUNK, F.col("samples")) - 1))
     )
 
     def uniform(stream: int):
         bits = F.xxhash64(*MESH, "face_id", "draw", F.lit(seed).cast("long"), F.lit(stream))
         return F.pmod(bits, F.lit(1 << 53)).cast("double") / float(1 << 53)
 
-    placed = draws.withColumns({"__r": F.sqrt(uniform(1)), "__s": uniform(2)}).join(
-        with_corner_positions(faces, vertices), [*MESH, "face_id"]
-    )
+    placed = draws.withColumns({"__r": F.sqrt(uniform(1)), "__s": uniform(2)})
     r, s = F.col("__r"), F.col("__s")
     return placed.select(*MESH, "face_id", "draw", *[
         ((1 - r) * F.col(f"p0{a}") + r * (1 - s) * F.col(f"p1{a}") + r * s * F.col(f"p2{a}")).alias(a) for a in AXES

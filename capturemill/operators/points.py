@@ -39,16 +39,13 @@ def exact_percentiles(points: DataFrame, qs: Sequence[float]) -> DataFrame:
         "capture_id", F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("v")) for a in AXES])).alias("e")
     ).select("capture_id", "e.axis", "e.v")
     margin = 2.0 / SKETCH_ACCURACY
+    ends = [end for q in qs for end in (max(q - margin, 0.0), min(q + margin, 1.0))]
     brackets = tall.groupBy("capture_id", "axis").agg(
-        F.count("v").alias("n"),
-        *[
-            F.percentile_approx("v", [max(q - margin, 0.0), min(q + margin, 1.0)], SKETCH_ACCURACY).alias(f"b{i}")
-            for i, q in enumerate(qs)
-        ],
+        F.count("v").alias("n"), F.percentile_approx("v", ends, SKETCH_ACCURACY).alias("ends")
     )
     targets = brackets.select("capture_id", "axis", "n", F.explode(F.array(*[
         F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q"),
-                 F.col(f"b{i}")[0].alias("low"), F.col(f"b{i}")[1].alias("high"))
+                 F.col("ends")[2 * i].alias("low"), F.col("ends")[2 * i + 1].alias("high"))
         for i, q in enumerate(qs)
     ])).alias("t")).select("capture_id", "axis", "n", "t.*")
     targets = small_side(targets)

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from capturemill.operators.summaries import error_grade
 from capturemill.session import counted_side, small_side
 
-# Tracks seen by more images than this are counted by tiles instead of row pairs.
+# Tracks longer than this, and longer than this share of their capture's images, are
+# counted by tiles; below that share tiles would be nearly empty and row pairs are cheaper.
 LONG_TRACK = 256
+DENSE_SHARE = 0.01
 # Images and points per tile: a tile pair is one small matrix product.
-TILE = 512
+TILE = 1024
 
 
 def explode_tracks(points: DataFrame) -> DataFrame:
@@ -26,22 +28,28 @@ def explode_tracks(points: DataFrame) -> DataFrame:
 def covisibility(observations: DataFrame, long_track: int = LONG_TRACK, tile: int = TILE) -> DataFrame:
     """Images sharing 3D points: (capture_id, image_id1 < image_id2, shared).
 
-    Ordinary tracks meet in an equi-join on the point.  A point seen by very many
-    images would write the square of its track there, so tracks longer than
-    ``long_track`` are laid out as tiles of images by points; a tile pair yields
-    counts per image pair from one matrix product, whatever the track length.
-    No track is shortened or left out.
+    Ordinary tracks meet in an equi-join on the point.  A point seen by a good part of
+    a large capture would write the square of its track there, so tracks longer than
+    ``long_track`` (and than 1 % of the images) are laid out as tiles of images by
+    points; a tile pair yields counts per image pair from one matrix product, whatever
+    the track length.  No track is shortened or left out.
     """
     key = ["capture_id", "point3d_id"]
     rows = observations.select(*key, "image_id")
     # counting rows, repeats included, can only take more points through the tiles
     lengths = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"))
-    long_points, count = counted_side(lengths.where(F.col("rows") > long_track).select(*key))
+    long_points, count = counted_side(lengths.where(F.col("rows") > long_track))
     seen = rows.distinct()
     if count == 0:
         return _pairs_by_join(seen)
-    short = _pairs_by_join(seen.join(long_points, key, "left_anti"))
-    hot = _pairs_by_tiles(seen.join(long_points, key, "left_semi"), tile)
+    captures = rows.join(long_points.select("capture_id").distinct(), "capture_id", "left_semi").groupBy(
+        "capture_id"
+    ).agg(F.approx_count_distinct("image_id").alias("images"))
+    dense = small_side(
+        long_points.join(captures, "capture_id").where(F.col("rows") > F.col("images") * DENSE_SHARE).select(*key)
+    )
+    short = _pairs_by_join(seen.join(dense, key, "left_anti"))
+    hot = _pairs_by_tiles(seen.join(dense, key, "left_semi"), tile)
     return short.unionByName(hot).groupBy("capture_id", "image_id1", "image_id2").agg(F.sum("shared").alias("shared"))
 
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from capturemill.functions import columns
 from capturemill.operators import artifacts, devices, images
 from capturemill.plans.catalog import query
 
@@ -185,3 +186,46 @@ def device_inventory(spark, lens):
       ON c.host = d.host""")
 def host_tier(spark, lens):
     return devices.host_tier(lens("devices"), _inventory(lens))
+
+
+# --- column helpers ------------------------------------------------------------------------------
+
+@query("display_names", "camera_tags", sql="""
+    WITH long AS (SELECT image_id, make || chr(9) || ' ' || model || '  of the ' || make || ' series' AS name FROM camera_tags),
+    clean AS (SELECT image_id, trim(regexp_replace(name, '[\\t ]+', ' ', 'g')) AS name FROM long)
+    SELECT image_id, CASE WHEN length(name) <= 36 THEN name ELSE substr(name, 1, 35) || '...' END AS display FROM clean""")
+def display_names(spark, lens):
+    name = F.concat("make", F.lit("\t "), "model", F.lit("  of the "), "make", F.lit(" series"))
+    return lens("camera_tags").select("image_id", columns.display_name(name).alias("display"))
+
+
+@query("viewer_colors", "points3d", sql="""
+    SELECT capture_id, point3d_id, round(round(r / 255, 9), 6) AS red, round(round(g / 255, 9), 6) AS green,
+      round(round(b / 255, 9), 6) AS blue, CAST(1 AS DOUBLE) AS alpha FROM points3d""")
+def viewer_colors(spark, lens):
+    color = columns.unit_color(F.col("r"), F.col("g"), F.col("b"))
+    return lens("points3d").select(
+        "capture_id", "point3d_id", *[color[i].alias(c) for i, c in enumerate(("red", "green", "blue", "alpha"))]
+    )
+
+
+@query("number_formats", "points3d", sql="""
+    SELECT capture_id, point3d_id, format('{:,}', point3d_id * 1009) AS whole, format('{:,.0f}', x * 1000) AS rounded,
+      format('{:.1f}', x) AS tenth, format('{:.3f}', error) AS thousandth FROM points3d""")
+def number_formats(spark, lens):
+    return lens("points3d").select(
+        "capture_id", "point3d_id", columns.thousands(F.col("point3d_id") * 1009).alias("whole"),
+        columns.thousands(F.col("x") * 1000).alias("rounded"), columns.fixed(F.col("x"), 1).alias("tenth"),
+        columns.fixed(F.col("error"), 3).alias("thousandth"),
+    )
+
+
+@query("path_forms", "image_paths", sql="""
+    SELECT capture_id, image_id, path AS slashed, regexp_extract(path, '[^/]+$') AS base,
+      regexp_replace(path, '[.][^./]*$', '.png') AS swapped, substr(path, 8) AS inside FROM image_paths""")
+def path_forms(spark, lens):
+    back = columns.forward_slashes(F.replace("path", F.lit("/"), F.lit("\\")))
+    return lens("image_paths").select(
+        "capture_id", "image_id", back.alias("slashed"), columns.base_name(back).alias("base"),
+        columns.with_extension(back, ".png").alias("swapped"), columns.relative_path(back, F.lit("/shots/")).alias("inside"),
+    )

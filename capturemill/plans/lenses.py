@@ -123,6 +123,8 @@ LENSES: dict[str, str] = {
         SELECT CAST(p_partkey % 4 AS BIGINT) AS capture_id, p_partkey AS image_id, 600 + p_size * 90 AS width,
                400 + (p_partkey % 53) * 80 AS height
         FROM {part}""",
+    "supplier_nations": """
+        SELECT s_suppkey AS run_id, s_nationkey AS nation FROM {supplier}""",
     "image_paths": """
         SELECT CAST(s_nationkey % 3 AS BIGINT) AS capture_id, s_suppkey AS image_id,
                concat('/shots/', CAST(s_nationkey AS VARCHAR(9)), '/', s_name, '.jpg') AS path

@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from capturemill.functions.columns import long_div
 from capturemill.operators import logs, summaries
+from capturemill.operators.numbering import numbered
 from capturemill.plans.catalog import query
 
 
@@ -187,3 +189,64 @@ def log_times(spark, lens):
       FROM timed GROUP BY 1, 2) d""")
 def step_durations(spark, lens):
     return logs.step_durations(_timed(lens))
+
+
+# --- host facts and block names ------------------------------------------------------------------
+
+# One header block per supplier, which stands for a run.
+def _header(lens):
+    n, key = F.col("nation"), F.col("run_id")
+    texts = F.array(
+        F.concat(F.lit("CPU: Model "), n, F.lit(" @ 2GHz ("), key % 16 + 1, F.lit(" cores)")),
+        F.concat(F.lit("RAM: "), key % 64, F.lit(".5GB Physical Memory")),
+        F.concat(F.lit("OS: System "), n),
+        F.concat(F.lit("Disk: "), key % 900, F.lit(".25GB (999.5GB) space")),
+        F.lit("MEMORYINFO: {"),
+        F.concat(F.lit("PageFaultCount "), key),
+        F.concat(F.lit("PeakWorkingSetSize "), key % 50, F.lit(".75MB")),
+        F.lit("} ENDINFO"),
+    )
+    hosts = lens("supplier_nations")
+    return hosts.select("run_id", F.posexplode(texts).alias("k", "text")).select(
+        "run_id", (F.col("k") + 1).cast("long").alias("seq"), F.concat(F.lit("07:05:01 [App     ] "), "text").alias("line")
+    )
+
+
+@query("host_facts", "supplier_nations", sql="""
+    SELECT run_id, 'Model ' || nation || ' @ 2GHz' AS cpu, run_id % 16 + 1 AS cores, run_id % 64 + 0.5::DOUBLE AS ram_gb,
+      'System ' || nation AS os, run_id % 900 + 0.25::DOUBLE AS disk_free_gb, 999.5::DOUBLE AS disk_total_gb
+    FROM supplier_nations""")
+def host_facts(spark, lens):
+    return logs.host_facts(_header(lens))
+
+
+@query("memory_info", "supplier_nations", sql="""
+    SELECT run_id, CAST(6 AS BIGINT) AS seq, 'PageFaultCount' AS key, CAST(run_id AS DOUBLE) AS value, NULL AS unit
+    FROM supplier_nations UNION ALL
+    SELECT run_id, 7, 'PeakWorkingSetSize', run_id % 50 + 0.75::DOUBLE, 'MB' FROM supplier_nations""")
+def memory_info(spark, lens):
+    return logs.memory_info(_header(lens))
+
+
+@query("label_match_blocks", "images", sql="""
+    WITH placed AS (SELECT capture_id AS run_id, row_number() OVER (PARTITION BY capture_id ORDER BY image_id) AS p,
+        count(*) OVER (PARTITION BY capture_id) AS n, name FROM images),
+    blocks AS (SELECT DISTINCT run_id, (p - 1) // 50 + 1 AS b, (n - 1) // 50 + 1 AS bs, n FROM placed)
+    SELECT k.run_id, k.b AS seq, 'Processing match block ' || b || '/' || bs || CASE WHEN (b - 1) * 50 + 1 = least(b * 50, k.n)
+        THEN ' (Image: ' || f.name || ')' ELSE ' (Images: ' || f.name || ' to ' || l.name || ')' END AS message
+    FROM blocks k JOIN placed f ON f.run_id = k.run_id AND f.p = (b - 1) * 50 + 1
+    JOIN placed l ON l.run_id = k.run_id AND l.p = least(b * 50, k.n)""")
+def label_match_blocks(spark, lens):
+    """A block line for every block of every capture, named by the images of the block."""
+    shots = numbered(lens("images").withColumnRenamed("capture_id", "run_id"), ["run_id"], "image_id", "position").select(
+        "run_id", F.col("position").alias("image_id"), "name"
+    )
+    totals = shots.groupBy("run_id").agg(F.max("image_id").alias("n"))
+    blocks = totals.select("run_id", long_div(F.col("n") - 1, 50).alias("last")).select(
+        "run_id", "last", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("b")
+    )
+    lines = blocks.select(
+        "run_id", F.lit("match").alias("tool"), (F.col("b") + 1).alias("seq"),
+        F.concat(F.lit("Matching block ["), F.col("b") + 1, F.lit("/"), F.col("last") + 1, F.lit("]")).alias("line"),
+    )
+    return logs.label_match_blocks(logs.classify(lines), shots).select("run_id", "seq", "message")

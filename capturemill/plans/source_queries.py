@@ -1,12 +1,18 @@
 """Queries that write a lens to files and read it back through the sources."""
 
+import os
+import sqlite3
+import struct
+import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from capturemill.plans.catalog import query
 from capturemill.session import shared_folder
-from capturemill.sources import captures, manifest, mesh_export, mesh_text, ply, text_lines
+from capturemill.sources import captures, feature_db, manifest, mesh_export, mesh_text, ply, sparse_model, text_lines
+from capturemill.sources.ranges import file_system
 
 
 def _folder(spark):
@@ -128,3 +134,96 @@ def texture_map(spark, lens):
         F.when(m % 5 > 2, F.lit("a_texture.png")), F.when(m % 7 > 1, F.lit("other.jpg")),
     ))
     return mesh_text.texture_map(lines, tags.select("mesh_id", F.explode(names).alias("name")))
+
+
+# --- binary files written by tasks ---------------------------------------------------------------
+
+# Rows per written file; bounds what one task holds.
+FILE_ROWS = 5_000
+
+
+def _write(path: str, data: bytes) -> None:
+    system, inner = file_system(path)
+    system.create_dir(os.path.dirname(inner), recursive=True)
+    with system.open_output_stream(inner) as out:
+        out.write(data)
+
+
+def _written(df, folder, encode, key, name):
+    """Write slices of each capture to ``folder/<slice>/<capture>/<name>``; gives the folder.
+
+    A slice is a stretch of at most ``FILE_ROWS`` ids, so no task holds a capture.
+    """
+    def write(rows: pd.DataFrame) -> pd.DataFrame:
+        slice_, capture = int(rows["slice"].iloc[0]), int(rows["capture_id"].iloc[0])
+        path = f"{folder}/s{slice_}/{capture}/{name}"
+        _write(path, encode(rows))
+        return pd.DataFrame({"path": [path]})
+
+    sliced = df.withColumn("slice", F.floor(F.col(key) / F.lit(FILE_ROWS)))
+    sliced.groupBy("capture_id", "slice").applyInPandas(write, "path string").write.format("noop").mode("overwrite").save()
+    return folder
+
+
+def _point_file(rows: pd.DataFrame) -> bytes:
+    out = [struct.pack("<Q", len(rows))]
+    for r in rows.itertuples():
+        track = [r.point3d_id % 7, r.point3d_id % 11][: r.point3d_id % 3]
+        out.append(struct.pack("<QdddBBBdQ", r.point3d_id, r.x, r.y, r.z, r.r, r.g, r.b, r.error, len(track)))
+        out += [struct.pack("<II", image, n) for n, image in enumerate(track)]
+    return b"".join(out)
+
+
+@query("sparse_points_round_trip", "points3d", sql="""
+    SELECT capture_id, point3d_id, round(x, 6) AS x, y, z, r, g, b, error, point3d_id % 3 AS track_length,
+      CASE WHEN point3d_id % 3 > 0 THEN point3d_id % 7 END AS first_image FROM points3d""")
+def sparse_points_round_trip(spark, lens):
+    """Points written as points3D.bin files by the tasks and decoded again."""
+    folder = _written(lens("points3d"), _folder(spark), _point_file, "point3d_id", "points3D.bin")
+    loaded = sparse_model.good_rows(sparse_model.load_sparse_points(spark, folder))
+    return loaded.select(
+        "capture_id", "point3d_id", "x", "y", "z", "r", "g", "b", "error", F.size("track").alias("track_length"),
+        F.try_element_at("track", F.lit(1))["image_id"].alias("first_image"),
+    )
+
+
+def _pose_file(rows: pd.DataFrame) -> bytes:
+    out = [struct.pack("<Q", len(rows))]
+    for r in rows.itertuples():
+        out.append(struct.pack("<IdddddddI", r.image_id, r.qw, r.qx, r.qy, r.qz, r.tx, r.ty, r.tz, 3))
+        out.append(f"é{r.image_id}.jpg".encode() + b"\x00" + struct.pack("<Q", r.image_id % 4) + bytes(24 * (r.image_id % 4)))
+    return b"".join(out)
+
+
+@query("poses_round_trip", "poses", sql="""
+    SELECT capture_id, image_id, """ + ", ".join(f"round(round({c}, 9), 6) + 0.0 AS {c}" for c in ("qw", "qz", "tx", "tz")) + """,
+      CAST(3 AS BIGINT) AS camera_id, 'é' || image_id || '.jpg' AS name, image_id % 4 AS n_points2d FROM poses""")
+def poses_round_trip(spark, lens):
+    """Poses written as images.bin files by the tasks and decoded again."""
+    folder = _written(lens("poses"), _folder(spark), _pose_file, "image_id", "images.bin")
+    return sparse_model.good_rows(sparse_model.load_poses(spark, folder)).select(
+        "capture_id", "image_id", F.col("q")[0].alias("qw"), F.col("q")[3].alias("qz"),
+        F.col("t")[0].alias("tx"), F.col("t")[2].alias("tz"), "camera_id", "name", "n_points2d",
+    )
+
+
+def _database(rows: pd.DataFrame) -> bytes:
+    with tempfile.TemporaryDirectory() as folder:
+        path = os.path.join(folder, "f.db")
+        base = sqlite3.connect(path)
+        base.execute("CREATE TABLE images(image_id INTEGER, name TEXT)")
+        base.execute("CREATE TABLE keypoints(image_id INTEGER, rows INTEGER)")
+        base.execute("CREATE TABLE two_view_geometries(pair_id INTEGER, rows INTEGER)")
+        base.executemany("INSERT INTO two_view_geometries VALUES (?, ?)", rows[["pair_id", "rows"]].astype(object).values.tolist())
+        base.commit()
+        base.close()
+        with open(path, "rb") as file:
+            return file.read()
+
+
+@query("feature_db_round_trip", "pairs", sql="SELECT capture_id, pair_id, rows FROM pairs WHERE rows > 0")
+def feature_db_round_trip(spark, lens):
+    """Pairs written as SQLite databases by the tasks, read back and filtered."""
+    keyed = lens("pairs").withColumn("key", F.pmod(F.col("pair_id"), F.lit(2147483647)))
+    folder = _written(keyed, _folder(spark), _database, "key", "features.db")
+    return feature_db.load_feature_db(spark, folder)["pairs"].where("rows > 0")
