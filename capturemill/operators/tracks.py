@@ -39,21 +39,22 @@ def covisibility(observations: DataFrame, long_track: int = LONG_TRACK, tile: in
     # counting rows, repeats included, can only take more points through the tiles
     lengths = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"))
     long_points, count = counted_side(lengths.where(F.col("rows") > long_track))
-    seen = rows.distinct()
     if count == 0:
-        return _pairs_by_join(seen)
+        return _pairs_by_join(rows)
     captures = rows.join(long_points.select("capture_id").distinct(), "capture_id", "left_semi").groupBy(
         "capture_id"
     ).agg(F.approx_count_distinct("image_id").alias("images"))
     dense = small_side(
         long_points.join(captures, "capture_id").where(F.col("rows") > F.col("images") * DENSE_SHARE).select(*key)
     )
-    short = _pairs_by_join(seen.join(dense, key, "left_anti"))
-    hot = _pairs_by_tiles(seen.join(dense, key, "left_semi"), tile)
+    short = _pairs_by_join(rows.join(dense, key, "left_anti"))
+    hot = _pairs_by_tiles(rows.join(dense, key, "left_semi").distinct(), tile)
     return short.unionByName(hot).groupBy("capture_id", "image_id1", "image_id2").agg(F.sum("shared").alias("shared"))
 
 
-def _pairs_by_join(seen: DataFrame) -> DataFrame:
+def _pairs_by_join(rows: DataFrame) -> DataFrame:
+    # one exchange serves the deduplication and both sides of the join; no point is hot here
+    seen = rows.repartition("capture_id", "point3d_id").distinct()
     left = seen.withColumnRenamed("image_id", "image_id1")
     right = seen.withColumnRenamed("image_id", "image_id2")
     return (

@@ -1,4 +1,8 @@
-"""Queries over image sets, artifacts and devices."""
+"""Queries over image sets, artifacts and devices.
+
+Remainders of ids only tell who belongs to a second input (the selected, held or cached
+images, the outcomes known); every row of the table takes part.
+"""
 
 from pyspark.sql import functions as F
 
