@@ -45,6 +45,27 @@ def stream_run_metrics(spark, lens):
     return logs.latest_updates(spark, f"{folder}/out", ["run_id", "tool"])
 
 
-@query("stalled_runs", "log_lines")
+# Alerts that the lines alone decide: a later line shows the silence, or a line passes the limit.
+STALLED = """
+    slots AS (SELECT run_id, tool, time_bucket(INTERVAL '1 minute', ts) AS slot, epoch_us(min(ts)) // 1000 AS f, epoch_us(max(ts)) // 1000 AS l,
+        1000 * CASE tool WHEN 'densify' THEN 7200 WHEN 'mesh' THEN 1800 ELSE 3600 END AS lim
+      FROM log_lines GROUP BY 1, 2, 3
+      HAVING time_bucket(INTERVAL '1 minute', ts) + INTERVAL '1 minute' <= (SELECT max(ts) FROM log_lines) - INTERVAL '1 minute'),
+    seen AS (SELECT *, min(f) OVER (PARTITION BY run_id, tool) AS started,
+        lead(f) OVER (PARTITION BY run_id, tool ORDER BY slot) AS next FROM slots),
+    due AS (SELECT *, least(started + lim, l + 3600000) AS due FROM seen),
+    alerts AS (SELECT *, row_number() OVER (PARTITION BY run_id, tool ORDER BY slot) AS k FROM due
+      WHERE next > due OR l > started + lim)"""
+
+
+@query("stalled_runs", "log_lines", sql=f"""
+    WITH {STALLED}
+    SELECT run_id, tool, CASE WHEN due = started + lim THEN 'over_limit' ELSE 'silent' END AS reason,
+      started AS started_ms, l AS last_ms, due AS alert_ms FROM alerts WHERE k = 1""")
 def stalled_runs(spark, lens):
-    return _appended(spark, logs.stalled_runs(_lines(lens), silence=3600))
+    """Every run of this table pauses for over an hour at some time, so no alert waits for a timer."""
+    found = _appended(spark, logs.stalled_runs(_lines(lens), silence=3600))
+    return found.select(
+        "run_id", "tool", "reason", F.unix_millis("started").alias("started_ms"),
+        F.unix_millis("last_line").alias("last_ms"), F.unix_millis("alert_at").alias("alert_ms"),
+    )

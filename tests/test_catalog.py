@@ -5,8 +5,8 @@ import pytest
 import check
 from __spark_entry__ import entry, oracle_sql, queries
 
-# Queries without SQL: random draws and timer-driven alerts; covered by their own tests.
-WITHOUT_SQL = {"sample_mesh", "stalled_runs"}
+# Random draws have no SQL; they are covered by their own tests.
+WITHOUT_SQL = {"sample_mesh"}
 
 
 @pytest.fixture(scope="module")

@@ -50,3 +50,13 @@ def test_results_do_not_depend_on_partitions(spark):
     out = [sorted(map(tuple, running_folds(df.repartition(n), ["g"], "k", {"s": ("sum", F.col("v"))}).collect()))
            for n in (1, 8)]
     assert out[0] == out[1]
+
+
+def test_broadcast_only_when_counted_small(spark):
+    from capturemill.session import counted_side
+
+    df = spark.range(100)
+    for limit, hinted in ((100, True), (99, False)):
+        side, rows = counted_side(df, max_rows=limit)
+        plan = spark.range(10).join(side, "id")._jdf.queryExecution().logical().toString()
+        assert rows == 100 and ("UnresolvedHint" in plan or "ResolvedHint" in plan) == hinted
