@@ -27,6 +27,8 @@ LOOKS_LIKE = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l",
 }
+# Signs that are more often punctuation than a letter.
+MARKS = "!(|+"
 SEPARATORS = ".-_*~·,'/\\:;"
 EDGES = ".,;:?\"'`´()[]{}<>«»“”„‚‘’…*_~-–—/\\#&=%^"
 
@@ -102,7 +104,7 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
             j += 1
         run = j - i
         if char in LOOKS_LIKE:
-            options = [(letter, SIGN) for letter in LOOKS_LIKE[char]]
+            options = [(letter, SIGN) for letter in LOOKS_LIKE[char]] + ([("", DROPPED)] if char in MARKS else [])
         elif char.isalpha():
             options = [(char, 0.0)]
         elif char in SEPARATORS:
@@ -112,7 +114,7 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
         if options[0][0] == "":
             steps.append(options)
         elif run >= 3:
-            steps.append([(letter * n, cost + SHORTENED) for letter, cost in options for n in (1, 2)])
+            steps.append([(letter * n, cost + SHORTENED) for letter, cost in options for n in (1, 2) if letter or n == 1])
         elif run == 2 and char not in LOOKS_LIKE:
             steps.append([(char * 2, 0.0)])
         else:
