@@ -19,11 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capturemill.llm.common import WordNumbers, byte_texts, gather_runs, number_words, saved, slices
+from capturemill.llm.common import byte_texts, gather_runs, number_words, saved, slices
 
 CAPACITY = 2048
 # Text bytes a task tokenizes at a time.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
+# Words a Python worker remembers, and words in a line to encode.
+MOST_WORDS, LINE_WORDS = 1_000_000, 1_000
+SEPARATOR = "<|startoftext|>"
 GROUP_PIECES = 4000
 ROUNDS = 3
 
@@ -31,30 +34,69 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 PACKED = f"{PIECES}, uid bigint, bin bigint, offset bigint, bins bigint, bound bigint"
 
 
-@functools.lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class WordTokens(dict):
+    """Words met by a Python worker, numbered, with their token ids; cleared at ``MOST_WORDS``.
 
-    return Tokenizer.from_file(path)
+    The tokenizer never joins characters across white space, so the ids of a text are those of
+    its words, and each word is encoded once.  New words are encoded in long lines, set apart by
+    a special token whose id no ordinary word can give.
+    """
 
+    def __init__(self, path: str):
+        super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.fresh: list[bytes] = []
+        self.flat, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        self.fresh.append(word)
+        return number
+
+    def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of all texts in a row, and how many each text has."""
+        if len(self) > MOST_WORDS:
+            self.clear()
+            self.flat, self.lengths = self.flat[:0], self.lengths[:0]
+        words, sizes = number_words(texts, self)
+        if self.fresh:
+            flat, lengths = self._encoded([w.decode("utf-8", "replace") for w in self.fresh])
+            self.flat, self.lengths = np.concatenate([self.flat, flat]), np.concatenate([self.lengths, lengths])
+            self.fresh = []
+        first = np.cumsum(self.lengths) - self.lengths
+        each = self.lengths[words]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        return self.flat[gather_runs(first[words], each)], np.diff(ends[bounds])
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain = [w for w in words if "<|" not in w]
+        lines = [f" {SEPARATOR} ".join([*plain[i:i + LINE_WORDS], ""]) for i in range(0, len(plain), LINE_WORDS)]
+        parts = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+        flat = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        marks = np.flatnonzero(flat == self.tokenizer.token_to_id(SEPARATOR))
+        lengths = np.diff(np.concatenate([[-1], marks])) - 1
+        flat = np.delete(flat, marks)
+        if len(plain) == len(words):
+            return flat, lengths
+        # words that may spell a special token are encoded one by one
+        pieces, out = iter(np.split(flat, np.cumsum(lengths)[:-1])), []
+        for word in words:
+            out.append(next(pieces) if "<|" not in word else np.array(
+                self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32))
+        return np.concatenate(out), np.array([len(o) for o in out], np.int64)
+
+
+@functools.lru_cache(maxsize=1)
+def word_tokens(path: str) -> WordTokens:
+    return WordTokens(path)
 
-def token_ids(texts: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Token ids of all texts in a row, and how many each text has.
 
-    The tokenizer never joins characters across white space, so each distinct word is
-    encoded once and the ids of a text are those of its words.
-    """
-    numbers = WordNumbers()
-    words, sizes = number_words(texts, numbers)
-    vocabulary = [w.decode("utf-8", "replace") for w in numbers.words()]
-    ids = [e.ids for e in _tokenizer(path).encode_batch_fast(vocabulary, add_special_tokens=False)]
-    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter((i for part in ids for i in part), np.int64, int(lengths.sum()))
-    first = np.cumsum(lengths) - lengths
-    ends = np.concatenate([[0], np.cumsum(lengths[words])])
-    bounds = np.concatenate([[0], np.cumsum(sizes)])
-    return flat[gather_runs(first[words], lengths[words])], np.diff(ends[bounds])
+def token_ids(texts: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
+    return word_tokens(path).ids(texts)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
