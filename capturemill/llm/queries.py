@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capturemill.llm import ann, langid, minhash, mixing, packing, simhash, toxicity, warc
+from capturemill.llm import ann, hmm, langid, minhash, mixing, packing, simhash, toxicity, warc
 from capturemill.llm.common import fold_of, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -33,6 +33,11 @@ FROM p LEFT JOIN f USING (payload_digest)
 """
 
 
+def op2_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of all documents, learnt from the documents that are not held out."""
+    return hmm.scores(table(spark, sf_dir, "documents"), fold_of("doc_id", 5) == 1)
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents by 4-word shingles at similarity 0.8."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
@@ -83,6 +88,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(mixing.mix(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op3_minhash, op4_langid, op6_simhash, op7_packing, op8_toxicity, op9_ann, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_hmm, op3_minhash, op4_langid, op6_simhash, op7_packing, op8_toxicity, op9_ann, op10_mixing)}
 
 ORACLE = {"op1_warc": OP1_SQL, "op3_minhash": OP3_SQL}
