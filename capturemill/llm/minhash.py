@@ -6,9 +6,10 @@ by XOR and bit counts, corrected for chance agreement; what may reach the thresh
 the full shingle sets.
 
 Equal sets are one class from the start.  A bucket's members are first compared with its smallest
-member only, each by its best estimate; once these links have been joined into components, only members
-of different components meet.  So a large group of near copies costs about one comparison for each member,
-and no link between components is lost.
+member only, each by its best estimate.  Once these links have been joined into components, only members
+of different components meet: the best estimates between two components come first, more of them in each
+round and all of them in the last.  So a large group of near copies costs a few comparisons for each member, and
+no link between components is lost.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +35,11 @@ HASHES = ROWS * BANDS
 WORDS = HASHES * BITS // 64
 NIBBLES = 0x1111111111111111
 SLICE_BYTES = 4 << 20
-# A candidate stays unless its estimate lies six standard deviations under the threshold.
-DEVIATIONS = 6.0
+# A candidate stays unless its estimate lies five standard deviations under the threshold.
+DEVIATIONS = 5.0
+# Pairs that two components may send from one tile of a bucket, round by round; the last round sends all.
+SENT = (1, 4, 32, None)
+TILE = 256
 
 _DRAW = np.random.default_rng(20_240_301)
 FACTORS = _DRAW.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -133,8 +138,8 @@ def _some_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if count <= SMALL_TABLE_ROWS else ids, "doc_id", "left_semi")
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (u, v) of documents with 100 * intersection >= percent * union on their full sets."""
+def shingle_table(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(doc_id, hashes) of some documents, saved."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = byte_texts(batch["text"])
@@ -144,6 +149,12 @@ def confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Da
                     pa.array([s.tobytes() for s in shingle_sets(texts[low:high], width)], pa.binary()),
                 ], names=["doc_id", "hashes"])
 
+    wanted = _some_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids)
+    return saved(wanted.mapInArrow(sets, "doc_id bigint, hashes binary").dropDuplicates(["doc_id"]), "sets")
+
+
+def confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) of documents with 100 * intersection >= percent * union on their full sets."""
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -153,14 +164,99 @@ def confirmed(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Da
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    wanted = _some_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids)
-    table = saved(wanted.mapInArrow(sets, "doc_id bigint, hashes binary"), "sets").dropDuplicates(["doc_id"])
-    joined = pairs.join(table.select(F.col("doc_id").alias("v"), F.col("hashes").alias("b")), "v").join(
-        table.select(F.col("doc_id").alias("u"), F.col("hashes").alias("a")), "u")
+    joined = pairs.join(sets.select(F.col("doc_id").alias("v"), F.col("hashes").alias("b")), "v").join(
+        sets.select(F.col("doc_id").alias("u"), F.col("hashes").alias("a")), "u")
     return joined.select("u", "v", "a", "b").mapInArrow(compare, "u bigint, v bigint")
 
 
+def _tile_pairs(ids: np.ndarray, parts: np.ndarray, signs: np.ndarray, first: np.ndarray, second: np.ndarray, least: float, most: int | None) -> list[tuple[int, int]]:
+    """Pairs of a tile in different components, best estimate first.
+
+    ``first`` and ``second`` are the members of the two blocks.  Two components that have sent ``most`` pairs count as
+    one from then on.
+    """
+    chance = 1.0 / (1 << BITS)
+    differing = np.zeros((len(first), len(second)), np.int64)
+    for w in range(WORDS):
+        x = signs[first, w][:, None] ^ signs[second, w][None, :]
+        x |= x >> np.uint64(1)
+        x |= x >> np.uint64(2)
+        differing += np.bitwise_count(x & np.uint64(NIBBLES))
+    near = (1.0 - differing / HASHES - chance) / (1.0 - chance)
+    u, v = np.nonzero((near >= least) & (ids[first][:, None] < ids[second][None, :]) & (parts[first][:, None] != parts[second][None, :]))
+    if first is not second:  # either end may be the smaller
+        p, q = np.nonzero((near >= least) & (ids[first][:, None] > ids[second][None, :]) & (parts[first][:, None] != parts[second][None, :]))
+        u, v = np.concatenate([u, p]), np.concatenate([v, q])
+    order = np.argsort(-near[u, v], kind="stable")
+    a, b = first[u[order]], second[v[order]]
+    low, high = np.minimum(ids[a], ids[b]).tolist(), np.maximum(ids[a], ids[b]).tolist()
+    if most is None:
+        return list(zip(low, high, strict=True))
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            root[x] = root.get(root[x], root[x])
+            x = root[x]
+        return x
+
+    sent: dict[tuple[int, int], int] = {}
+    out = []
+    for x, y, p, q in zip(low, high, parts[a].tolist(), parts[b].tolist(), strict=True):
+        p, q = sorted((find(p), find(q)))
+        if p == q:
+            continue
+        out.append((x, y))
+        sent[p, q] = sent.get((p, q), 0) + 1
+        if sent[p, q] >= most:
+            root[q] = p
+    return out
+
+
+def crossing_pairs(members: DataFrame, least: float, most: int | None) -> DataFrame:
+    """Pairs of members (bucket, blocks, doc_id, component, signature) of one bucket in different components, by estimate.
+
+    A bucket is cut into blocks of about ``TILE`` members, and two blocks meet in a task of their own.
+    """
+    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    tiles = members.withColumn("own", own).withColumn("other", other).select(
+        F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("tile"),
+        "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "signature")
+    spread = tiles.repartition("tile").sortWithinPartitions("tile", "bucket", "i", "j", "doc_id")
+
+    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            table = pa.Table.from_batches(held).combine_chunks()
+            keys = np.stack([table[c].to_numpy() for c in ("bucket", "i", "j")], axis=1)
+            edges = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            # the last tile may go on in the next batch
+            if len(edges):
+                yield pairs(table.slice(0, int(edges[-1])), edges[:-1])
+                held = table.slice(int(edges[-1])).to_batches()
+        if held:
+            yield pairs(pa.Table.from_batches(held).combine_chunks(), np.zeros(0, np.int64))
+
+    def pairs(table: pa.Table, edges: np.ndarray) -> pa.RecordBatch:
+        ids, parts, own, i, j = (table[c].to_numpy() for c in ("doc_id", "component", "own", "i", "j"))
+        signs = pc.list_flatten(table["signature"]).to_numpy().view(np.uint64).reshape(-1, WORDS)
+        out: list[tuple[int, int]] = []
+        bounds = [0, *edges.tolist(), len(ids)]
+        for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+            rows = np.arange(low, high)
+            if high - low > 1:
+                same = i[low] == j[low]
+                first = rows if same else rows[own[low:high] == i[low]]
+                second = first if same else rows[own[low:high] == j[low]]
+                out += _tile_pairs(ids, parts, signs, first, second, least, most)
+        u, v = zip(*out, strict=True) if out else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return spread.mapInArrow(cross, "u bigint, v bigint").distinct()
+
+
 def _components(links: DataFrame) -> DataFrame:
     return connected_components(links.select(F.lit(0).cast("long").alias("g"), "u", "v"), "g").select(
         F.col("node").alias("doc_id"), "component")
@@ -183,31 +279,34 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     firsts = buckets.groupBy("bucket").agg(F.min("doc_id").alias("u"), F.max("doc_id").alias("most")).where("u < most")
     shared = saved(buckets.join(firsts.select("bucket", "u"), "bucket"), "buckets")
 
+    least = least_estimate(percent / 100)
     marks = heads.select("doc_id", "signature")
     u_marks = marks.select(F.col("doc_id").alias("u"), F.col("signature").alias("u_signature"))
     v_marks = marks.select(F.col("doc_id").alias("v"), F.col("signature").alias("v_signature"))
     leaders = shared.select("u", F.col("doc_id").alias("v")).where("u < v").distinct().join(v_marks, "v").join(u_marks, "u")
-    leaders = leaders.withColumn("near", estimate(F.col("u_signature"), F.col("v_signature"))).where(
-        F.col("near") >= least_estimate(percent / 100))
-    best = saved(leaders.groupBy("v").agg(F.max(F.struct("near", (-F.col("u")).alias("back"))).alias("best")).select(
+    leaders = leaders.withColumn("near", estimate(F.col("u_signature"), F.col("v_signature"))).where(F.col("near") >= least)
+    tested = saved(leaders.groupBy("v").agg(F.max(F.struct("near", (-F.col("u")).alias("back"))).alias("best")).select(
         (-F.col("best.back")).alias("u"), "v"), "best")
-    links = saved(confirmed(docs, best, width, percent), "links")
+    sets = shingle_table(docs, shared.select("doc_id").distinct(), width)
+    links = saved(confirmed(sets, tested, percent), "links")
     parts = _components(links)
 
-    # buckets whose members are in different components by now
-    placed = saved(shared.join(parts, "doc_id", "left").select(
-        "bucket", "doc_id", F.coalesce("component", "doc_id").alias("component")), "placed")
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("bucket")
-    members = saved(placed.join(mixed, "bucket").join(marks, "doc_id"), "members")
-    left = members.select("bucket", F.col("doc_id").alias("u"), F.col("component").alias("cu"), F.col("signature").alias("su"))
-    right = members.select(F.col("bucket").alias("other"), F.col("doc_id").alias("v"), F.col("component").alias("cv"), F.col("signature").alias("sv"))
-    crossing = left.join(right, (F.col("bucket") == F.col("other")) & (F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & (
-        estimate(F.col("su"), F.col("sv")) >= least_estimate(percent / 100)))
-    crossing = saved(crossing.select("u", "v").distinct().join(best, ["u", "v"], "left_anti"), "crossing")
-    if crossing.limit(1).count():
-        more = saved(confirmed(docs, crossing, width, percent), "links")
+    for most in SENT:
+        # buckets whose members are in different components by now
+        placed = saved(shared.join(parts, "doc_id", "left").select(
+            "bucket", "doc_id", F.coalesce("component", "doc_id").alias("component")), "placed")
+        mixed = placed.groupBy("bucket").agg(
+            F.min("component").alias("a"), F.max("component").alias("b"), F.ceil(F.count(F.lit(1)) / TILE).alias("blocks")
+        ).where("a < b").select("bucket", "blocks")
+        crossing = saved(crossing_pairs(placed.join(mixed, "bucket").join(marks, "doc_id"), least, most), "crossing")
+        if not crossing.limit(1).count():
+            break
+        fresh = saved(crossing.join(tested, ["u", "v"], "left_anti"), "fresh")
+        more = saved(confirmed(sets, fresh, percent), "links")
+        tested = tested.unionByName(fresh)
         if more.limit(1).count():
-            parts = _components(links.unionByName(more))
+            links = links.unionByName(more)
+            parts = _components(links)
 
     named = classes.join(parts, F.col("rep") == F.col("doc_id"), "left").select(
         "digest", F.coalesce("component", "rep").alias("component_id"))
