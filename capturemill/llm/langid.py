@@ -28,6 +28,8 @@ PROBES = 4
 LEAST_RATE = 1e-5
 LEAST_OF_BEST = 0.5
 SLICE_BYTES = 4 << 20
+# Words a task remembers.
+MOST_WORDS = 500_000
 UNKNOWN = "und"
 LANE = 32
 
@@ -52,28 +54,32 @@ def gram_counts(docs: DataFrame, languages: list[str]) -> DataFrame:
     place = {name: i for i, name in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, dict[str, int]] = defaultdict(lambda: defaultdict(int))
+        held: dict[int, tuple[WordNumbers, np.ndarray]] = {}
         for batch in batches:
             texts, langs = byte_texts(batch["text"]), batch["lang"].to_pylist()
             for name in sorted(set(langs)):
                 own = [t for t, lang in zip(texts, langs, strict=True) if lang == name]
-                total = held[place[name]]
                 for low, high in slices(map(len, own), SLICE_BYTES):
-                    numbers = WordNumbers()
+                    numbers, total = held.get(place[name], (WordNumbers(), np.zeros(0, np.int64)))
                     words, _ = number_words(own[low:high], numbers)
-                    for word, n in zip(numbers.words(), np.bincount(words, minlength=len(numbers)).tolist(), strict=True):
-                        for gram in grams(word):
-                            total[gram] += n
-            if sum(map(len, held.values())) > 2_000_000:
+                    now = np.bincount(words, minlength=len(numbers))
+                    now[:len(total)] += total
+                    held[place[name]] = numbers, now
+            if sum(len(numbers) for numbers, _ in held.values()) > MOST_WORDS:
                 yield from _counted(held)
-                held.clear()
+                held = {}
         yield from _counted(held)
 
     return docs.select("text", "lang").mapInArrow(count, "gram string, language int, n bigint")
 
 
-def _counted(held: dict[int, dict[str, int]]) -> Iterator[pa.RecordBatch]:
-    for language, counts in held.items():
+def _counted(held: dict[int, tuple[WordNumbers, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Counts of the n-grams of counted words; each distinct word is cut up once."""
+    for language, (numbers, total) in held.items():
+        counts: dict[str, int] = defaultdict(int)
+        for word, n in zip(numbers, total.tolist(), strict=True):
+            for gram in grams(word):
+                counts[gram] += n
         yield pa.RecordBatch.from_arrays([
             pa.array(counts.keys(), pa.string()), pa.array(np.full(len(counts), language, np.int32)), pa.array(counts.values(), pa.int64()),
         ], names=["gram", "language", "n"])
@@ -136,20 +142,38 @@ class GramLanguages(dict):
         return lanes
 
 
-def found_counts(texts: list[bytes], cache: GramLanguages) -> np.ndarray:
-    """Per text the number of n-grams, then of those found in each language."""
-    numbers = WordNumbers()
-    words, sizes = number_words(texts, numbers)
-    lanes = len(cache.filters.languages) + 1
-    look, size = cache.__getitem__, lanes * LANE // 8
-    packed = b"".join(sum(map(look, grams(word))).to_bytes(size, "little") for word in numbers.words())
-    each = np.frombuffer(packed, f"<u{LANE // 8}").reshape(-1, lanes).astype(np.float64)
-    out = np.zeros((len(texts), lanes))
-    filled = np.flatnonzero(sizes)
-    if len(filled):
-        starts = (np.cumsum(sizes) - sizes)[filled]
-        out[filled] = np.add.reduceat(each[words], starts, axis=0)
-    return out
+class WordLanguages(dict):
+    """Words a task has met, numbered, with the counts of their n-grams; cleared at ``MOST_WORDS``."""
+
+    def __init__(self, filters: Filters):
+        super().__init__()
+        self.grams, self.lanes = GramLanguages(filters), len(filters.languages) + 1
+        self.fresh: list[bytes] = []
+        self.counts = np.zeros((0, self.lanes), np.uint32)
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        self.fresh.append(word)
+        return number
+
+    def found(self, texts: list[bytes]) -> np.ndarray:
+        """Per text the number of n-grams, then of those found in each language."""
+        if len(self) > MOST_WORDS:
+            self.clear()
+            self.grams.clear()
+            self.counts = self.counts[:0]
+        words, sizes = number_words(texts, self)
+        if self.fresh:
+            look, size = self.grams.__getitem__, self.lanes * LANE // 8
+            packed = b"".join(sum(map(look, grams(word))).to_bytes(size, "little") for word in self.fresh)
+            self.counts = np.concatenate([self.counts, np.frombuffer(packed, f"<u{LANE // 8}").reshape(-1, self.lanes)])
+            self.fresh = []
+        out = np.zeros((len(texts), self.lanes))
+        filled = np.flatnonzero(sizes)
+        if len(filled):
+            starts = (np.cumsum(sizes) - sizes)[filled]
+            out[filled] = np.add.reduceat(self.counts[words], starts, axis=0, dtype=np.int64)
+        return out
 
 
 def decide(counts: np.ndarray, filters: Filters) -> tuple[list[str], np.ndarray]:
@@ -175,16 +199,14 @@ def identify(docs: DataFrame, filters: Filters, *carry: str) -> DataFrame:
     chosen = docs.select(*[F.col(f"`{c}`") for c in carry], F.col("text").alias("__text"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = GramLanguages(shared.value)
+        cache = WordLanguages(shared.value)
         for batch in batches:
             texts = byte_texts(batch["__text"])
             for low, high in slices(map(len, texts), SLICE_BYTES):
-                names, scores = decide(found_counts(texts[low:high], cache), shared.value)
+                names, scores = decide(cache.found(texts[low:high]), shared.value)
                 yield pa.RecordBatch.from_arrays(
                     [*(batch[c].slice(low, high - low) for c in carry), pa.array(names, pa.string()), pa.array(scores)],
                     names=[*carry, "lang_pred", "score"])
-            if len(cache) > 2_000_000:
-                cache.clear()
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]]
     return chosen.mapInArrow(score, ", ".join([*kinds, "lang_pred string", "score double"]))

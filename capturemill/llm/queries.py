@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capturemill.llm import ann, hmm, langid, minhash, mixing, packing, simhash, toxicity, warc
+from capturemill.llm import ann, hmm, langid, minhash, mixing, packing, repeats, simhash, toxicity, warc
 from capturemill.llm.common import fold_of, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -62,6 +62,11 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.held_out_identification(table(spark, sf_dir, "documents"), fold_of("doc_id", 4) == 2)
 
 
+def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without passages of 100 bytes that also start earlier."""
+    return repeats.without_repeats(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts, and the documents within three bits."""
     prints = simhash.compared(table(spark, sf_dir, "documents"))
@@ -88,6 +93,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(mixing.mix(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_hmm, op3_minhash, op4_langid, op6_simhash, op7_packing, op8_toxicity, op9_ann, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_hmm, op3_minhash, op4_langid, op5_suffix, op6_simhash, op7_packing, op8_toxicity, op9_ann, op10_mixing)}
 
 ORACLE = {"op1_warc": OP1_SQL, "op3_minhash": OP3_SQL}
