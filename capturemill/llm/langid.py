@@ -196,20 +196,23 @@ def identify(docs: DataFrame, filters: Filters, *carry: str) -> DataFrame:
     language with score 0.  Other columns are not looked at.
     """
     shared = docs.sparkSession.sparkContext.broadcast(filters)
-    chosen = docs.select(*[F.col(f"`{c}`") for c in carry], F.col("text").alias("__text"))
+    # carried columns travel under names of their own, the text once
+    names = {c: "__text" if c == "text" else f"c{i}" for i, c in enumerate(carry)}
+    chosen = docs.select(F.col("text").alias("__text"), *[F.col(f"`{c}`").alias(n) for c, n in names.items() if c != "text"])
+    types = {f.name: f.dataType.simpleString() for f in chosen.schema.fields}
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordLanguages(shared.value)
         for batch in batches:
             texts = byte_texts(batch["__text"])
             for low, high in slices(map(len, texts), SLICE_BYTES):
-                names, scores = decide(cache.found(texts[low:high]), shared.value)
+                found, scores = decide(cache.found(texts[low:high]), shared.value)
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch[c].slice(low, high - low) for c in carry), pa.array(names, pa.string()), pa.array(scores)],
-                    names=[*carry, "lang_pred", "score"])
+                    [*(batch[n].slice(low, high - low) for n in names.values()), pa.array(found, pa.string()), pa.array(scores)],
+                    names=[*names.values(), "lang_pred", "score"])
 
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]]
-    return chosen.mapInArrow(score, ", ".join([*kinds, "lang_pred string", "score double"]))
+    out = chosen.mapInArrow(score, ", ".join([*(f"{n} {types[n]}" for n in names.values()), "lang_pred string", "score double"]))
+    return out.select(*[F.col(n).alias(c) for c, n in names.items()], "lang_pred", "score")
 
 
 def held_out_identification(docs: DataFrame, held_out: Column) -> DataFrame:

@@ -347,12 +347,19 @@ def covered(chunk: Chunk, settled: list[bytes]) -> np.ndarray:
     return np.cumsum(change, dtype=np.int16)[:-1] > 0
 
 
+def _whole_characters(data: np.ndarray, edges: np.ndarray) -> str:
+    """What is left between removed stretches, without characters that lost a byte."""
+    bounds = [0, *edges.tolist(), len(data)]
+    return "".join(data[a:b].tobytes().decode("utf-8", "ignore") for a, b in zip(bounds[::2], bounds[1::2], strict=True))
+
+
 def without_repeats(docs: DataFrame, *carry: str, with_text: bool = False, chunk_bytes: int = CHUNK_BYTES, hot_runs: int = HOT_RUNS) -> DataFrame:
     """Each document with its repeated bytes removed: (carried columns, n_bytes, n_removed, n_spans, kept_sha256).
 
     A byte goes if a string of ``LENGTH`` bytes that covers it also starts earlier: in a document of smaller doc_id,
     or earlier in the same one.  Ids that repeat are ordered among themselves, a null id comes first.  Null and empty
-    texts have no bytes.  ``with_text`` adds what is left as ``kept`` and the removed stretches as ``spans`` (start, end).
+    texts have no bytes.  ``with_text`` adds what is left as ``kept``, without characters that lost a byte, and the removed
+    stretches as ``spans`` (start, end); ``kept_sha256`` is of the bytes that are left.
     Carried columns may have any name; an empty table gives no rows.
     """
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
@@ -363,7 +370,7 @@ def without_repeats(docs: DataFrame, *carry: str, with_text: bool = False, chunk
     found = settled_runs(saved(meetings(repeated_runs(sent, hot_runs), range_bits), "meetings"))
     parts = sent.where("span = -1").select("chunk", F.lit(b"").alias("settled")).unionByName(found)
     results = ["n_bytes bigint", "n_removed bigint", "n_spans bigint", "kept_sha256 string"]
-    results += ["kept binary", "spans array<struct<start:bigint,end:bigint>>"] if with_text else []
+    results += ["kept string", "spans array<struct<start:bigint,end:bigint>>"] if with_text else []
     kinds = [f"{n} {named.schema[n].dataType.simpleString()}" for n in names]
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -379,10 +386,10 @@ def without_repeats(docs: DataFrame, *carry: str, with_text: bool = False, chunk
             spans.append(len(edges) // 2)
             sha.append(hashlib.sha256(rest).hexdigest())
             if with_text:
-                kept.append(rest)
+                kept.append(_whole_characters(data, edges))
                 stretches.append([{"start": a, "end": b} for a, b in edges.reshape(-1, 2).tolist()])
         columns = [*chunk.rows.columns, pa.array(chunk.sizes), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(sha, pa.string())]
-        columns += [pa.array(kept, pa.binary()), pa.array(stretches, spans_type)] if with_text else []
+        columns += [pa.array(kept, pa.string()), pa.array(stretches, spans_type)] if with_text else []
         return pa.table(columns, names=[*names, *(r.split()[0] for r in results)])
 
     done = parts.groupBy("chunk").applyInArrow(finish, ", ".join([*kinds, *results]))
