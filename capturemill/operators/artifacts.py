@@ -39,16 +39,28 @@ def _has(*names: str):
     return F.coalesce(F.max(F.col("name").isin(*names)), F.lit(False))
 
 
-def pick_artifact(artifacts: DataFrame, candidates: Sequence[str], default: str | None = None) -> DataFrame:
-    """First existing candidate of each capture, else the default."""
-    return artifacts.groupBy("capture_id").agg(
+def _for_all(artifacts: DataFrame, captures: DataFrame | None) -> DataFrame:
+    """Artifact names of all captures; one that has none gets a row with a null name."""
+    if captures is None:
+        return artifacts
+    return captures.select("capture_id").distinct().join(artifacts, "capture_id", "left")
+
+
+def pick_artifact(
+    artifacts: DataFrame, candidates: Sequence[str], default: str | None = None, captures: DataFrame | None = None
+) -> DataFrame:
+    """First existing candidate of each capture, else the default.
+
+    Captures are those of ``captures``, or only those that have an artifact at all.
+    """
+    return _for_all(artifacts, captures).groupBy("capture_id").agg(
         F.coalesce(_first_present(candidates), F.lit(default).cast("string")).alias("name")
     )
 
 
-def view_mode(artifacts: DataFrame) -> DataFrame:
+def view_mode(artifacts: DataFrame, captures: DataFrame | None = None) -> DataFrame:
     """2 with a mesh, 1 with a dense scene, else 0; and whether a textured model exists."""
-    return artifacts.groupBy("capture_id").agg(
+    return _for_all(artifacts, captures).groupBy("capture_id").agg(
         F.when(_has(*ANY_MESH), 2).when(_has(DENSE_SCENE), 1).otherwise(0).alias("mode"),
         _has(*MODELS).alias("has_model"),
     )
@@ -60,7 +72,7 @@ def best_model(models: DataFrame) -> DataFrame:
     return models.where(F.col("size") > 0).groupBy("capture_id").agg(best.alias("b")).select("capture_id", "b.*")
 
 
-def stage_outcome(artifacts: DataFrame, steps: DataFrame) -> DataFrame:
+def stage_outcome(artifacts: DataFrame, steps: DataFrame, captures: DataFrame | None = None) -> DataFrame:
     """Inputs of the mesh, refine and texture stages of each capture.
 
     ``steps`` is (capture_id, step, ok) for the steps ``refine`` and ``texture_ply``.
@@ -70,7 +82,7 @@ def stage_outcome(artifacts: DataFrame, steps: DataFrame) -> DataFrame:
         F.coalesce(F.bool_or(F.when(F.col("step") == s, F.col("ok"))), F.lit(False)).alias(s)
         for s in ("refine", "texture_ply")
     ])
-    held = artifacts.groupBy("capture_id").agg(
+    held = _for_all(artifacts, captures).groupBy("capture_id").agg(
         _has(DENSE_SCENE).alias("dense"),
         _has(REFINED_SCENE).alias("refined_scene"),
         _has(REFINED_SCENE, REFINED_MESH).alias("refined"),

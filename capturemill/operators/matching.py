@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from capturemill.functions.columns import encode_pair
@@ -50,13 +50,19 @@ def nearest_two(descriptors: DataFrame, pairs: DataFrame, chunk: int = CHUNK) ->
             F.col("ids").alias(f"ids{n}"), F.col("values").alias(f"values{n}"),
         )
 
-    met = (
-        pairs.select("capture_id", "image_id1", "image_id2").distinct()
-        .join(side(1), ["capture_id", "image_id1"]).join(side(2), ["capture_id", "image_id2"])
-    )
-    candidates = met.groupBy("capture_id", "image_id1", "chunk1", "image_id2", "chunk2").applyInPandas(
-        _chunk_neighbours, NEAREST
-    )
+    def chunk_numbers(n: int) -> tuple[Column, DataFrame]:
+        counts = sizes.select("capture_id", F.col("image_id").alias(f"image_id{n}"), F.col("chunks").alias(f"chunks{n}"))
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"chunks{n}") - 1)), counts
+
+    # pairs of images become pairs of chunks before any descriptor is joined, and the joins are on the chunks
+    units = pairs.select("capture_id", "image_id1", "image_id2").distinct()
+    for n in (1, 2):
+        numbers, counts = chunk_numbers(n)
+        units = units.join(counts, ["capture_id", f"image_id{n}"]).withColumn(f"chunk{n}", numbers).drop(f"chunks{n}")
+    unit = ["capture_id", "image_id1", "chunk1", "image_id2", "chunk2"]
+    met = units.join(side(1), ["capture_id", "image_id1", "chunk1"]).join(side(2), ["capture_id", "image_id2", "chunk2"])
+    # all five keys: the Python step would otherwise keep all partners of one image together
+    candidates = met.repartition(*unit).groupBy(*unit).applyInPandas(_chunk_neighbours, NEAREST)
     order = Window.partitionBy("capture_id", "image_id1", "image_id2", "feature1").orderBy("distance", "feature2")
     return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= 2)
 

@@ -221,6 +221,8 @@ def estimate_normals(vertices: DataFrame, faces: DataFrame) -> DataFrame:
 # Areas are summed as whole multiples of the largest face over this, so sums do not depend on order.
 AREA_STEPS = 1 << 31
 DRAW_CHUNK = 10_000
+# Draws are whole numbers modulo this prime, so other engines can repeat them.
+PRIME = 2_147_483_647
 
 
 def sample_counts(
@@ -258,7 +260,11 @@ def sample_counts(
 def sample_mesh(
     faces: DataFrame, vertices: DataFrame, n: int | None = None, density: float | None = None, seed: int = 0
 ) -> DataFrame:
-    """Points on the surface, uniform by area; draws depend on (face, number, seed) only."""
+    """Points on the surface, uniform by area; draws depend on (mesh, face, number, seed) only.
+
+    A draw is a chain of multiplications and fifth powers modulo a prime, of which the fifth power is
+    a permutation.
+    """
     counts = sample_counts(faces, vertices, n, density).where(F.col("samples") > 0)
     # corners are joined to chunks of draws, so that only faces and chunks are shuffled, never the points
     chunks = counts.join(with_corner_positions(faces, vertices), [*MESH, "face_id"]).withColumn(
@@ -269,9 +275,21 @@ def sample_mesh(
         "draw", F.explode(F.sequence(first, F.least(first + DRAW_CHUNK, F.col("samples")) - 1))
     )
 
+    def fifth(x):
+        square = F.pmod(x * x, F.lit(PRIME))
+        return F.pmod(F.pmod(square * square, F.lit(PRIME)) * x, F.lit(PRIME))
+
+    def part(x):
+        return F.pmod(x.cast("long"), F.lit(PRIME))
+
+    draws = draws.withColumn("__a", part(part(F.col("face_id")) * 48_271 + part(F.col("draw")) + 1))
+    for column in MESH:
+        draws = draws.withColumn("__a", part(fifth(F.col("__a")) * 69_621 + part(F.col(column)) + 2))
+    draws = draws.withColumn("__a", fifth(F.col("__a"))).withColumns({
+        f"__s{stream}": part(F.col("__a") * 39_373 + (2 * seed + 3 + stream)) for stream in (1, 2)})
+
     def uniform(stream: int):
-        bits = F.xxhash64(*MESH, "face_id", "draw", F.lit(seed).cast("long"), F.lit(stream))
-        return F.pmod(bits, F.lit(1 << 53)).cast("double") / float(1 << 53)
+        return fifth(F.col(f"__s{stream}")).cast("double") / float(PRIME)
 
     placed = draws.withColumns({"__r": F.sqrt(uniform(1)), "__s": uniform(2)})
     r, s = F.col("__r"), F.col("__s")

@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from capturemill.operators.summaries import error_grade
-from capturemill.session import counted_side, small_side
+from capturemill.session import small_side
 
-# Tracks longer than this, and longer than this share of their capture's images, are
-# counted by tiles; below that share tiles would be nearly empty and row pairs are cheaper.
-LONG_TRACK = 256
-DENSE_SHARE = 0.01
-# Images and points per tile: a tile pair is one small matrix product.
-TILE = 1024
+# Images per chunk of a track: a unit of work writes at most about the square of this many pairs.
+CHUNK = 256
 
 
 def explode_tracks(points: DataFrame) -> DataFrame:
@@ -25,101 +19,38 @@ def explode_tracks(points: DataFrame) -> DataFrame:
     )
 
 
-def covisibility(observations: DataFrame, long_track: int = LONG_TRACK, tile: int = TILE) -> DataFrame:
+def covisibility(observations: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Images sharing 3D points: (capture_id, image_id1 < image_id2, shared).
 
-    Ordinary tracks meet in an equi-join on the point.  A point seen by a good part of
-    a large capture would write the square of its track there, so tracks longer than
-    ``long_track`` (and than 1 % of the images) are laid out as tiles of images by
-    points; a tile pair yields counts per image pair from one matrix product, whatever
-    the track length.  No track is shortened or left out.
+    The images of a point are cut into chunks by hash, about ``chunk`` images each.  Two chunks of a point
+    are one unit of work with a key of its own, so the pairs of a point that all images see are
+    written by many tasks, and each task adds up its pairs before they are shuffled.  No
+    track is shortened or left out.
     """
-    key = ["capture_id", "point3d_id"]
-    rows = observations.select(*key, "image_id")
-    # counting rows, repeats included, can only take more points through the tiles
-    lengths = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"))
-    long_points, count = counted_side(lengths.where(F.col("rows") > long_track))
-    if count == 0:
-        return _pairs_by_join(rows)
-    captures = rows.join(long_points.select("capture_id").distinct(), "capture_id", "left_semi").groupBy(
-        "capture_id"
-    ).agg(F.approx_count_distinct("image_id").alias("images"))
-    dense = small_side(
-        long_points.join(captures, "capture_id").where(F.col("rows") > F.col("images") * DENSE_SHARE).select(*key)
-    )
-    short = _pairs_by_join(rows.join(dense, key, "left_anti"))
-    hot = _pairs_by_tiles(rows.join(dense, key, "left_semi").distinct(), tile)
-    return short.unionByName(hot).groupBy("capture_id", "image_id1", "image_id2").agg(F.sum("shared").alias("shared"))
-
-
-def _pairs_by_join(rows: DataFrame) -> DataFrame:
-    # one exchange serves the deduplication and both sides of the join; no point is hot here
-    seen = rows.repartition("capture_id", "point3d_id").distinct()
-    left = seen.withColumnRenamed("image_id", "image_id1")
-    right = seen.withColumnRenamed("image_id", "image_id2")
-    return (
-        left.join(right, ["capture_id", "point3d_id"])
-        .where(F.col("image_id1") < F.col("image_id2"))
-        .groupBy("capture_id", "image_id1", "image_id2").agg(F.count(F.lit(1)).alias("shared"))
-    )
-
-
-def _pairs_by_tiles(hot: DataFrame, tile: int) -> DataFrame:
-    def parts(rows):
-        return F.ceil(rows / F.lit(tile)).cast("long")
-
-    sizes = small_side(hot.groupBy("capture_id").agg(
-        parts(F.countDistinct("image_id")).alias("image_tiles"),
-        parts(F.countDistinct("point3d_id")).alias("point_tiles"),
-    ))
-    cells = (
-        hot.join(sizes, "capture_id")
-        .withColumn("image_tile", F.pmod(F.xxhash64("image_id"), F.col("image_tiles")))
-        .withColumn("point_tile", F.pmod(F.xxhash64("point3d_id"), F.col("point_tiles")))
-        .groupBy("capture_id", "point_tile", "image_tile")
-        .agg(F.collect_list("image_id").alias("images"), F.collect_list("point3d_id").alias("points"))
-    )
-    left = cells.select(
-        "capture_id", "point_tile", F.col("image_tile").alias("tile1"),
-        F.col("images").alias("images1"), F.col("points").alias("points1"),
-    )
-    right = cells.select(
-        "capture_id", "point_tile", F.col("image_tile").alias("tile2"),
-        F.col("images").alias("images2"), F.col("points").alias("points2"),
-    )
-    met = left.join(right, ["capture_id", "point_tile"]).where(F.col("tile1") <= F.col("tile2"))
-    return met.groupBy("capture_id", "point_tile", "tile1", "tile2").applyInPandas(
-        _tile_product, "capture_id bigint, image_id1 bigint, image_id2 bigint, shared bigint"
-    )
-
-
-def _tile_product(met: pd.DataFrame) -> pd.DataFrame:
-    """Shared points of the image pairs of one tile pair (one row of observation lists)."""
-    row = next(met.itertuples(index=False))
-    images1, at1 = np.unique(np.asarray(row.images1), return_inverse=True)
-    images2, at2 = np.unique(np.asarray(row.images2), return_inverse=True)
-    points, where = np.unique(np.concatenate([row.points1, row.points2]), return_inverse=True)
-    left = np.zeros((len(images1), len(points)), dtype=np.float32)
-    right = np.zeros((len(images2), len(points)), dtype=np.float32)
-    left[at1, where[: len(at1)]] = 1
-    right[at2, where[len(at1):]] = 1
-    shared = left @ right.T
-    i, j = np.nonzero(shared)
-    first, second, count = images1[i], images2[j], shared[i, j].astype(np.int64)
-    if row.tile1 == row.tile2:
-        keep = first < second
-        first, second, count = first[keep], second[keep], count[keep]
-    return pd.DataFrame({
-        "capture_id": row.capture_id, "image_id1": np.minimum(first, second),
-        "image_id2": np.maximum(first, second), "shared": count,
-    })
-
-
-def neighbor_views(covisible: DataFrame, k: int | DataFrame, max_k: int = 12) -> DataFrame:
+    point = ["capture_id", "point3d_id"]
+    seen = observations.select(*point, "image_id").distinct()
+    # the count of a point's images is spread by image first, so a hot point is no single group of rows
+    long = small_side(seen.groupBy(*point).agg(F.count(F.lit(1)).alias("images")).where(F.col("images") > chunk).select(
+        *point, F.ceil(F.col("images") / chunk).alias("chunks")))
+    cut = seen.join(long, point, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    cut = cut.withColumn("own", F.pmod(F.xxhash64("image_id"), F.col("chunks")))
+    units = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))).select(
+        *point, F.least("own", "other").alias("chunk1"), F.greatest("own", "other").alias("chunk2"), "own", "image_id")
+    key = [*point, "chunk1", "chunk2"]
+    left = units.where("own = chunk1").select(*key, F.col("image_id").alias("first"))
+    right = units.where("own = chunk2").select(*key, F.col("image_id").alias("second"))
+    # inside one chunk every pair is met once, between two chunks the smaller id comes first
+    met = left.join(right, key).where((F.col("chunk1") < F.col("chunk2")) | (F.col("first") < F.col("second")))
+    return met.where("first <> second").select(
+        "capture_id", F.least("first", "second").alias("image_id1"), F.greatest("first", "second").alias("image_id2")
+    ).groupBy("capture_id", "image_id1", "image_id2").agg(F.count(F.lit(1)).alias("shared"))
+
+
+def neighbor_views(covisible: DataFrame, k: int | DataFrame) -> DataFrame:
     """The images sharing most points with each image, best first, ties by id.
 
     ``k`` is a number, or a table (capture_id, number_views) as made by the densify
-    rule; then ``max_k`` bounds the rank before that table is joined.
+    rule; its largest number bounds the ranks before the table is joined.
     """
     ends = [F.struct(F.col(f"image_id{a}").alias("image_id"), F.col(f"image_id{b}").alias("neighbor_id"))
             for a, b in ((1, 2), (2, 1))]
@@ -127,11 +58,13 @@ def neighbor_views(covisible: DataFrame, k: int | DataFrame, max_k: int = 12) ->
         "capture_id", "e.image_id", "e.neighbor_id", "shared"
     )
     order = Window.partitionBy("capture_id", "image_id").orderBy(F.col("shared").desc(), "neighbor_id")
-    bound = k if isinstance(k, int) else max_k
+    if not isinstance(k, int):
+        k = k.select("capture_id", "number_views")
+    bound = k if isinstance(k, int) else k.agg(F.max("number_views")).first()[0] or 0
     ranked = both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= bound)
     if isinstance(k, int):
         return ranked
-    return ranked.join(k.select("capture_id", "number_views"), "capture_id").where(
+    return ranked.join(k, "capture_id").where(
         F.col("rank") <= F.col("number_views")
     ).drop("number_views")
 

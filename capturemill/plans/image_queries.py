@@ -73,13 +73,13 @@ def camera_labels(spark, lens):
 
 
 @query("cache_diff", "images", sql="""
-    WITH now AS (SELECT capture_id, name FROM images WHERE image_id % 5 <> 0),
+    WITH now AS (SELECT capture_id, name FROM images WHERE image_id % 5 <> 0 OR image_id % 3 = 0),
     held AS (SELECT capture_id, name FROM images WHERE image_id % 3 <> 0)
     SELECT *, 'load' AS action FROM (SELECT * FROM now EXCEPT SELECT * FROM held) a UNION ALL
     SELECT *, 'evict' FROM (SELECT * FROM held EXCEPT SELECT * FROM now) b""")
 def cache_diff(spark, lens):
     return images.cache_diff(
-        lens("images").where("image_id % 5 <> 0"), lens("images").where("image_id % 3 <> 0"), ["capture_id", "name"]
+        lens("images").where("image_id % 5 <> 0 OR image_id % 3 = 0"), lens("images").where("image_id % 3 <> 0"), ["capture_id", "name"]
     )
 
 
@@ -95,42 +95,43 @@ def _pick(names, default):
     other = "NULL" if default is None else f"'{default}'"
     return f"""
     SELECT capture_id, coalesce(min_by(name, rank) FILTER (WHERE rank IS NOT NULL), CAST({other} AS VARCHAR)) AS name
-    FROM (SELECT *, CASE name {ranks} END AS rank FROM artifacts) a GROUP BY 1"""
+    FROM (SELECT c.capture_id, name, CASE name {ranks} END AS rank FROM captures c LEFT JOIN artifacts a ON a.capture_id = c.capture_id) a
+    GROUP BY 1"""
 
 
-@query("pick_view_mesh", "artifacts", sql=_pick(artifacts.VIEW_MESHES, artifacts.VIEW_MESHES[0]))
+@query("pick_view_mesh", "artifacts", "captures", sql=_pick(artifacts.VIEW_MESHES, artifacts.VIEW_MESHES[0]))
 def pick_view_mesh(spark, lens):
-    return artifacts.pick_artifact(lens("artifacts"), artifacts.VIEW_MESHES, artifacts.VIEW_MESHES[0])
+    return artifacts.pick_artifact(lens("artifacts"), artifacts.VIEW_MESHES, artifacts.VIEW_MESHES[0], captures=lens("captures"))
 
 
-@query("pick_any_mesh", "artifacts", sql=_pick(artifacts.ANY_MESH, None))
+@query("pick_any_mesh", "artifacts", "captures", sql=_pick(artifacts.ANY_MESH, None))
 def pick_any_mesh(spark, lens):
-    return artifacts.pick_artifact(lens("artifacts"), artifacts.ANY_MESH)
+    return artifacts.pick_artifact(lens("artifacts"), artifacts.ANY_MESH, captures=lens("captures"))
 
 
-@query("pick_export_ply", "artifacts", sql=_pick(artifacts.EXPORT_PLY, None))
+@query("pick_export_ply", "artifacts", "captures", sql=_pick(artifacts.EXPORT_PLY, None))
 def pick_export_ply(spark, lens):
-    return artifacts.pick_artifact(lens("artifacts"), artifacts.EXPORT_PLY)
+    return artifacts.pick_artifact(lens("artifacts"), artifacts.EXPORT_PLY, captures=lens("captures"))
 
 
-@query("pick_texture_mesh", "artifacts", sql=_pick(artifacts.TEXTURE_MESHES, None))
+@query("pick_texture_mesh", "artifacts", "captures", sql=_pick(artifacts.TEXTURE_MESHES, None))
 def pick_texture_mesh(spark, lens):
-    return artifacts.pick_artifact(lens("artifacts"), artifacts.TEXTURE_MESHES)
+    return artifacts.pick_artifact(lens("artifacts"), artifacts.TEXTURE_MESHES, captures=lens("captures"))
 
 
-@query("pick_mesh_input", "artifacts", sql=_pick(artifacts.MESH_INPUTS, artifacts.MESH_INPUTS[0]))
+@query("pick_mesh_input", "artifacts", "captures", sql=_pick(artifacts.MESH_INPUTS, artifacts.MESH_INPUTS[0]))
 def pick_mesh_input(spark, lens):
-    return artifacts.pick_artifact(lens("artifacts"), artifacts.MESH_INPUTS, artifacts.MESH_INPUTS[0])
+    return artifacts.pick_artifact(lens("artifacts"), artifacts.MESH_INPUTS, artifacts.MESH_INPUTS[0], captures=lens("captures"))
 
 
-@query("view_mode", "artifacts", sql="""
+@query("view_mode", "artifacts", "captures", sql="""
     SELECT capture_id, CAST(CASE WHEN bool_or(name IN ('scene_dense_mesh_texture.ply', 'scene_dense_mesh_texture.obj',
         'scene_dense_mesh_refine.ply', 'scene_dense_mesh.ply', 'scene_mesh.ply')) THEN 2
       WHEN bool_or(name = 'scene_dense.mvs') THEN 1 ELSE 0 END AS BIGINT) AS mode,
-      bool_or(name IN ('scene_dense_mesh_texture.glb', 'scene_dense_mesh_texture.obj')) AS has_model
-    FROM artifacts GROUP BY 1""")
+      coalesce(bool_or(name IN ('scene_dense_mesh_texture.glb', 'scene_dense_mesh_texture.obj')), false) AS has_model
+    FROM captures c LEFT JOIN artifacts a USING (capture_id) GROUP BY 1""")
 def view_mode(spark, lens):
-    return artifacts.view_mode(lens("artifacts"))
+    return artifacts.view_mode(lens("artifacts"), lens("captures"))
 
 
 @query("best_model", "models", sql="""
@@ -140,11 +141,12 @@ def best_model(spark, lens):
     return artifacts.best_model(lens("models"))
 
 
-@query("stage_outcome", "artifacts", "steps", sql="""
-    WITH h AS (SELECT a.capture_id, bool_or(name = 'scene_dense.mvs') AS dense,
+@query("stage_outcome", "artifacts", "steps", "captures", sql="""
+    WITH n AS (SELECT c.capture_id, coalesce(name, '') AS name FROM captures c LEFT JOIN artifacts a ON a.capture_id = c.capture_id),
+    h AS (SELECT capture_id, bool_or(name = 'scene_dense.mvs') AS dense,
         bool_or(name = 'scene_dense_mesh.ply') AS dm, bool_or(name = 'scene_mesh.ply') AS sm,
         bool_or(name = 'scene_dense_mesh_refine.ply') AS rp, bool_or(name = 'scene_dense_mesh_refine.mvs') AS rm
-      FROM artifacts a GROUP BY 1),
+      FROM n GROUP BY 1),
     s AS (SELECT capture_id, coalesce(bool_or(ok) FILTER (WHERE step = 'refine'), false) AS refine,
         coalesce(bool_or(ok) FILTER (WHERE step = 'texture_ply'), false) AS ply FROM steps GROUP BY 1),
     b AS (SELECT h.*, coalesce(refine, false) AS refine, coalesce(ply, false) AS ply,
@@ -158,7 +160,7 @@ def best_model(spark, lens):
       CASE WHEN refine AND rm THEN 'scene_dense_mesh_refine.mvs' ELSE mesh_scene END AS texture_scene,
       texture_mesh, texture_mesh IS NOT NULL AS run_texture, texture_mesh IS NOT NULL AND ply AS run_obj FROM b""")
 def stage_outcome(spark, lens):
-    return artifacts.stage_outcome(lens("artifacts"), lens("steps"))
+    return artifacts.stage_outcome(lens("artifacts"), lens("steps"), lens("captures"))
 
 
 # --- devices -------------------------------------------------------------------------------------

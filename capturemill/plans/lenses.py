@@ -29,10 +29,12 @@ LENSES: dict[str, str] = {
         SELECT CAST(s_nationkey % 3 AS BIGINT) AS capture_id, l_suppkey AS image_id, count(*) * 5 AS rows
         FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey GROUP BY 1, 2""",
     "pairs": """
-        SELECT a.capture_id, a.image_id * 2147483647 + b.image_id AS pair_id, greatest(count(*) - 20, 0) AS rows
-        FROM observations a JOIN observations b
-          ON a.capture_id = b.capture_id AND a.point3d_id = b.point3d_id AND a.image_id < b.image_id
-        GROUP BY a.capture_id, a.image_id, b.image_id""",
+        SELECT capture_id, image_id * 2147483647 + next_id AS pair_id, CAST(sum(n) AS BIGINT) AS rows FROM (
+          SELECT capture_id, image_id, lead(image_id) OVER (PARTITION BY capture_id, point3d_id ORDER BY image_id) AS next_id, 1 AS n
+          FROM observations
+          UNION ALL
+          SELECT capture_id, image_id, lead(image_id) OVER (PARTITION BY capture_id ORDER BY image_id) AS next_id, 0 AS n FROM images
+        ) t WHERE next_id IS NOT NULL GROUP BY capture_id, image_id, next_id""",
     "descriptors": """
         SELECT CAST(label % 3 AS BIGINT) AS capture_id, CAST(label AS BIGINT) AS image_id, vec_id AS feature_id,
                embedding AS descriptor
@@ -73,42 +75,44 @@ LENSES: dict[str, str] = {
     "clock_starts": """
         SELECT run_id, tool, min(ts) AS started FROM log_lines GROUP BY 1, 2""",
     "vertices": """
-        SELECT CAST(0 AS BIGINT) AS mesh_id, p_partkey AS vertex_id, CAST(p_partkey % 20 AS DOUBLE) AS x,
+        SELECT CAST(m AS BIGINT) AS mesh_id, p_partkey AS vertex_id, CAST(p_partkey % 20 AS DOUBLE) AS x,
                CAST(floor(p_partkey / 20) AS DOUBLE) AS y, p_retailprice / 1000 AS z
-        FROM {part}""",
+        FROM (SELECT *, 0 AS m FROM {part} UNION ALL SELECT *, 1 AS m FROM {part}) t""",
     "bent_vertices": """
         SELECT mesh_id, vertex_id, x + CASE WHEN vertex_id % 11 = 0 THEN 5 ELSE 0 END AS x, y, z FROM vertices""",
     "faces": """
-        SELECT CAST(0 AS BIGINT) AS mesh_id, p_partkey * 2 + h AS face_id,
+        SELECT CAST(CASE WHEN p_size > 1 THEN 0 ELSE 1 END AS BIGINT) AS mesh_id, p_partkey * 2 + h AS face_id,
                CASE h WHEN 0 THEN p_partkey ELSE p_partkey + 1 END AS v0,
                CASE h WHEN 0 THEN p_partkey + 1 ELSE p_partkey + 21 END AS v1, p_partkey + 20 AS v2
         FROM (SELECT p_partkey, p_size, 0 AS h FROM {part} UNION ALL SELECT p_partkey, p_size, 1 AS h FROM {part}) t
-        WHERE p_partkey % 20 < 19 AND p_partkey + 20 <= (SELECT max(p_partkey) FROM {part}) AND p_size > 1""",
+        WHERE p_partkey % 20 < 19 AND p_partkey + 20 <= (SELECT max(p_partkey) FROM {part})""",
     "artifacts": """
         SELECT user_id AS capture_id,
           CASE event_id % 6 WHEN 0 THEN 'scene.mvs' WHEN 1 THEN 'scene_dense.mvs' WHEN 2 THEN 'scene_dense_mesh.ply'
             WHEN 3 THEN 'scene_dense_mesh_refine.ply' WHEN 4 THEN 'scene_dense_mesh_texture.obj'
             ELSE 'scene_mesh.ply' END AS name,
           count(*) * 1000 AS size
-        FROM {events} WHERE value > 250 GROUP BY 1, 2""",
+        FROM {events} GROUP BY 1, 2""",
+    "captures": """
+        SELECT c_custkey AS capture_id FROM {customer} UNION SELECT user_id AS capture_id FROM {events}""",
     "steps": """
         SELECT DISTINCT user_id AS capture_id, CASE event_id % 2 WHEN 0 THEN 'refine' ELSE 'texture_ply' END AS step,
                user_id % 3 > 0 AS ok
         FROM {events}""",
     "models": """
-        SELECT user_id AS capture_id, event_type AS model, CAST(floor(max(value)) AS BIGINT) AS size
-        FROM {events} WHERE value < 20 GROUP BY 1, 2""",
+        SELECT user_id AS capture_id, event_type AS model, CAST(floor(min(value) / 10) AS BIGINT) AS size
+        FROM {events} GROUP BY 1, 2""",
     "corners": """
-        SELECT CAST(0 AS BIGINT) AS mesh_id, face_id, corner, v_idx, vt_idx, face_id * 4 + corner AS pos FROM (
-          SELECT l_orderkey AS face_id, l_partkey AS v_idx,
-                 CASE WHEN l_suppkey % 10 = 0 THEN -1 ELSE l_suppkey END AS vt_idx,
-                 row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS corner
-          FROM {lineitem}) t
-        WHERE corner <= 3""",
+        SELECT mesh_id, face_id * 64 + CAST(floor(k / 3) AS BIGINT) AS face_id, k % 3 + 1 AS corner, v_idx, vt_idx, face_id * 64 + k AS pos FROM (
+          SELECT l_orderkey % 2 AS mesh_id, l_orderkey AS face_id,
+                 CASE WHEN l_partkey % 13 = 0 THEN -l_partkey - 1 ELSE l_partkey END AS v_idx,
+                 CASE WHEN l_suppkey % 10 = 0 THEN -1 WHEN l_suppkey % 10 = 9 THEN l_suppkey + 1000000 ELSE l_suppkey END AS vt_idx,
+                 row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS k
+          FROM {lineitem}) t""",
     "texcoords": """
-        SELECT CAST(0 AS BIGINT) AS mesh_id, s_suppkey AS vt_idx, CAST(s_suppkey AS DOUBLE) / 100 AS u,
+        SELECT CAST(m AS BIGINT) AS mesh_id, s_suppkey AS vt_idx, CAST(s_suppkey AS DOUBLE) / 100 AS u,
                CAST(s_suppkey % 7 AS DOUBLE) / 7 AS v
-        FROM {supplier} WHERE s_suppkey % 10 < 9""",
+        FROM (SELECT *, 0 AS m FROM {supplier} UNION ALL SELECT *, 1 AS m FROM {supplier}) t""",
     "devices": """
         SELECT s_name AS host, 'probe_a' AS probe,
           CASE s_suppkey % 5 WHEN 0 THEN 'NVIDIA GeForce RTX 3060' WHEN 1 THEN 'AMD Radeon(TM) Graphics'
@@ -177,9 +181,9 @@ def lens(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def stream_lens(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A lens over the events table read as a stream."""
-    file = f"{sf_dir.rstrip('/')}/events.parquet"
-    events = spark.readStream.schema(spark.read.parquet(file).schema).option("pathGlobFilter", "events.parquet").parquet(
-        sf_dir
-    )
+    path = f"{sf_dir.rstrip('/')}/events.parquet"
+    # a table that is not there fails here; one file or a folder of parts is matched by its own name
+    schema = spark.read.parquet(path).schema
+    events = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{sf_dir.rstrip('/')}/event[s].parquet")
     text = lens_text([name], {**{t: t for t in TABLES}, "events": "{events}"})
     return spark.sql(f"WITH {text} SELECT * FROM {name}", events=events)

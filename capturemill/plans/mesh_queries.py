@@ -14,9 +14,9 @@ def resolve_corners(spark, lens):
 
 
 @query("unresolved_corners", "corners", "vertices", sql="""
-    SELECT * FROM corners c WHERE NOT EXISTS (SELECT 1 FROM vertices v WHERE v.vertex_id = c.v_idx AND v.vertex_id % 7 > 0)""")
+    SELECT * FROM corners c WHERE NOT EXISTS (SELECT 1 FROM vertices v WHERE v.vertex_id = c.v_idx AND v.mesh_id = c.mesh_id)""")
 def unresolved_corners(spark, lens):
-    known = lens("vertices").where("vertex_id % 7 > 0").withColumnRenamed("vertex_id", "v_idx")
+    known = lens("vertices").withColumnRenamed("vertex_id", "v_idx")
     return mesh.unresolved_corners(lens("corners"), known)
 
 
@@ -42,7 +42,8 @@ def _unpacked(lens):
     SELECT i.mesh_id, i.vertex_id, p.x, p.y, round(round(CAST(CAST(p.z AS FLOAT) AS DOUBLE), 9), 6) AS z,
       round(round(CAST(CAST(coalesce(t.u, 0) AS FLOAT) AS DOUBLE), 9), 6) AS u,
       round(round(CAST(CAST(1 - coalesce(t.v, 0) AS FLOAT) AS DOUBLE), 9), 6) AS v
-    FROM idx i JOIN vertices p ON p.vertex_id = i.v_idx LEFT JOIN texcoords t ON t.vt_idx = i.vt_idx""")
+    FROM idx i JOIN vertices p ON p.mesh_id = i.mesh_id AND p.vertex_id = i.v_idx
+    LEFT JOIN texcoords t ON t.mesh_id = i.mesh_id AND t.vt_idx = i.vt_idx""")
 def unpack_obj_vertices(spark, lens):
     return _unpacked(lens)[0]
 
@@ -177,17 +178,40 @@ def estimate_normals(spark, lens):
     return mesh.estimate_normals(lens("vertices"), lens("faces"))
 
 
-@query("sample_counts", "faces", "vertices", sql=f"""
-    WITH {GEOMETRY}, top AS (SELECT mesh_id, max(twice / 2) AS largest FROM geometry GROUP BY 1),
+SAMPLES = f"""{GEOMETRY}, top AS (SELECT mesh_id, max(twice / 2) AS largest FROM geometry GROUP BY 1),
     weighed AS (SELECT g.mesh_id, face_id, CAST(round_even(twice / 2 / largest * 2147483648, 0) AS HUGEINT) AS w
                 FROM geometry g JOIN top ON top.mesh_id = g.mesh_id),
     upto AS (SELECT *, sum(w) OVER (PARTITION BY mesh_id ORDER BY face_id ROWS UNBOUNDED PRECEDING) AS c,
-                    sum(w) OVER (PARTITION BY mesh_id) AS total FROM weighed)
-    SELECT mesh_id, face_id, CAST(c * 5000 // total - (c - w) * 5000 // total AS BIGINT) AS samples FROM upto""")
+                    sum(w) OVER (PARTITION BY mesh_id) AS total FROM weighed),
+    samples AS (SELECT mesh_id, face_id, CAST(c * 5000 // total - (c - w) * 5000 // total AS BIGINT) AS samples FROM upto)"""
+
+
+@query("sample_counts", "faces", "vertices", sql=f"WITH {SAMPLES} SELECT * FROM samples")
 def sample_counts(spark, lens):
     return mesh.sample_counts(lens("faces"), lens("vertices"), n=5000)
 
 
-@query("sample_mesh", "faces", "vertices")
+def _fifth(x: str) -> str:
+    """The fifth power modulo the prime, each product below 2**62."""
+    square = f"({x} * {x} % {mesh.PRIME})"
+    return f"({square} * {square} % {mesh.PRIME} * {x} % {mesh.PRIME})"
+
+
+SEED = 7
+DRAWS = f"""
+    d0 AS (SELECT mesh_id, face_id, unnest(range(samples)) AS draw FROM samples),
+    d1 AS (SELECT *, (face_id % {mesh.PRIME} * 48271 + draw % {mesh.PRIME} + 1) % {mesh.PRIME} AS a FROM d0),
+    d2 AS (SELECT *, ({_fifth('a')} * 69621 + mesh_id % {mesh.PRIME} + 2) % {mesh.PRIME} AS b FROM d1),
+    d3 AS (SELECT *, ({_fifth('b')} * 39373 + {2 * SEED + 4}) % {mesh.PRIME} AS s1,
+                     ({_fifth('b')} * 39373 + {2 * SEED + 5}) % {mesh.PRIME} AS s2 FROM d2),
+    d4 AS (SELECT mesh_id, face_id, draw, sqrt(CAST({_fifth('s1')} AS DOUBLE) / {mesh.PRIME}.0) AS r,
+                  CAST({_fifth('s2')} AS DOUBLE) / {mesh.PRIME}.0 AS s FROM d3)"""
+
+
+@query("sample_mesh", "faces", "vertices", sql=f"""
+    WITH {SAMPLES}, {DRAWS}
+    SELECT d.mesh_id, d.face_id, draw, """ + ", ".join(
+    f"round(round((1 - r) * p0{a} + r * (1 - s) * p1{a} + r * s * p2{a}, 9), 6) AS {a}" for a in "xyz"
+) + " FROM d4 d JOIN placed f ON f.mesh_id = d.mesh_id AND f.face_id = d.face_id")
 def sample_mesh(spark, lens):
-    return mesh.sample_mesh(lens("faces"), lens("vertices"), n=5000, seed=7)
+    return mesh.sample_mesh(lens("faces"), lens("vertices"), n=5000, seed=SEED)

@@ -31,16 +31,23 @@ NAMES = f"""
               LEFT JOIN images b ON b.capture_id = p.capture_id AND b.image_id = p.image_id2)"""
 
 
-@query("match_report", "images", "observations", "pairs", sql=f"""
-    WITH {MATCHING}, {TOP}, {NAMES}
+SHARED = """
+    shared AS (SELECT a.capture_id, a.image_id AS image_id1, b.image_id AS image_id2, count(*) AS shared
+      FROM observations a JOIN observations b
+        ON a.capture_id = b.capture_id AND a.point3d_id = b.point3d_id AND a.image_id < b.image_id
+      GROUP BY 1, 2, 3)"""
+
+
+@query("match_report", "images", "observations", sql=f"""
+    WITH {SHARED}, pairs AS (SELECT capture_id, image_id1 * 2147483647 + image_id2 AS pair_id, shared AS rows FROM shared),
+    {MATCHING}, {TOP}, {NAMES}
     SELECT t.capture_id, t.rank, n.name1, n.name2, t.rows, m.pairs_tested, m.pairs_matched, m.success_pct, m.verdict
     FROM top t JOIN named n ON n.capture_id = t.capture_id AND n.pair_id = t.pair_id
     JOIN matching m ON m.capture_id = t.capture_id""")
 def match_report(spark, lens):
     """Which pairs match best in each capture, and is the capture good enough?"""
     found = tracks.covisibility(lens("observations")).select(
-        "capture_id", encode_pair(F.col("image_id1"), F.col("image_id2")).alias("pair_id"),
-        F.greatest(F.col("shared") - 20, F.lit(0)).alias("rows"),
+        "capture_id", encode_pair(F.col("image_id1"), F.col("image_id2")).alias("pair_id"), F.col("shared").alias("rows"),
     )
     # both the ranking and the summary read the pairs: write them once
     found = checkpointed(found)
@@ -122,11 +129,6 @@ def registration_groups(spark, lens):
 
 # --- tracks --------------------------------------------------------------------------------------
 
-SHARED = """
-    shared AS (SELECT a.capture_id, a.image_id AS image_id1, b.image_id AS image_id2, count(*) AS shared
-      FROM observations a JOIN observations b
-        ON a.capture_id = b.capture_id AND a.point3d_id = b.point3d_id AND a.image_id < b.image_id
-      GROUP BY 1, 2, 3)"""
 NEIGHBORS = """
     ranked AS (SELECT *, row_number() OVER (PARTITION BY capture_id, image_id ORDER BY shared DESC, neighbor_id) AS rank
       FROM (SELECT capture_id, image_id1 AS image_id, image_id2 AS neighbor_id, shared FROM shared UNION ALL
@@ -140,8 +142,8 @@ def covisibility(spark, lens):
 
 @query("covisibility_long_tracks", "observations", sql=f"WITH {SHARED} SELECT * FROM shared")
 def covisibility_long_tracks(spark, lens):
-    """The same counts with every track of over three images taken through the tiles."""
-    return tracks.covisibility(lens("observations"), long_track=3, tile=64)
+    """The same counts with every track of over two images cut into chunks."""
+    return tracks.covisibility(lens("observations"), chunk=2)
 
 
 @query("neighbor_views", "observations", sql=f"""

@@ -1,9 +1,7 @@
 """Queries that write a lens to files and read it back through the sources."""
 
 import os
-import sqlite3
 import struct
-import tempfile
 import uuid
 
 import pandas as pd
@@ -11,7 +9,7 @@ from pyspark.sql import functions as F
 
 from capturemill.plans.catalog import query
 from capturemill.session import shared_folder
-from capturemill.sources import captures, feature_db, manifest, mesh_export, mesh_text, ply, sparse_model, text_lines
+from capturemill.sources import captures, manifest, mesh_export, mesh_text, ply, sparse_model, text_lines
 from capturemill.sources.ranges import file_system
 
 
@@ -49,7 +47,7 @@ def ply_vertices_round_trip(spark, lens):
 
 
 @query("ply_faces_round_trip", "vertices", "faces", sql="""
-    SELECT mesh_id, row_number() OVER (ORDER BY face_id) - 1 AS face_id, v0, v1, v2 FROM faces""")
+    SELECT mesh_id, row_number() OVER (PARTITION BY mesh_id ORDER BY face_id) - 1 AS face_id, v0, v1, v2 FROM faces""")
 def ply_faces_round_trip(spark, lens):
     folder = _folder(spark)
     mesh_export.write_ply(*_mesh(lens), folder, partitions=1)
@@ -66,7 +64,7 @@ def obj_vertices_round_trip(spark, lens):
 
 
 @query("obj_corners_round_trip", "vertices", "faces", sql="""
-    WITH f AS (SELECT mesh_id, row_number() OVER (ORDER BY face_id) - 1 AS face_id, v0, v1, v2 FROM faces)
+    WITH f AS (SELECT mesh_id, row_number() OVER (PARTITION BY mesh_id ORDER BY face_id) - 1 AS face_id, v0, v1, v2 FROM faces)
     SELECT mesh_id, face_id, c AS corner, CASE c WHEN 1 THEN v0 WHEN 2 THEN v1 ELSE v2 END AS v_idx,
       CAST(-1 AS BIGINT) AS vt_idx, face_id * 4 + c AS pos FROM f JOIN (VALUES (1), (2), (3)) t(c) ON true""")
 def obj_corners_round_trip(spark, lens):
@@ -75,30 +73,78 @@ def obj_corners_round_trip(spark, lens):
     return mesh_text.load_obj(spark, folder, pattern="part-*", parts=True)[2]
 
 
-@query("captures_round_trip", "artifacts", "models", sql="""
-    SELECT * FROM models WHERE capture_id IN (SELECT capture_id FROM artifacts WHERE name = 'scene.mvs')""")
+@query("captures_round_trip", "artifacts", "models", sql="SELECT * FROM models")
 def captures_round_trip(spark, lens):
-    """Tables of the captures that have a scene, saved and loaded back."""
+    """All captures with models, each given its scene, saved and loaded back."""
     folder = _folder(spark)
-    whole = lens("artifacts").where("name = 'scene.mvs'").select("capture_id")
-    tables = {
-        name: lens(name).join(whole, "capture_id", "left_semi") for name in ("artifacts", "models")
-    }
-    captures.save_captures(tables, folder)
+    scenes = lens("models").select("capture_id", F.lit("scene.mvs").alias("name"), F.lit(1000).cast("bigint").alias("size")).distinct()
+    held = lens("artifacts").where("name <> 'scene.mvs'").unionByName(scenes)
+    captures.save_captures({"artifacts": held.join(scenes.select("capture_id"), "capture_id", "left_semi"), "models": lens("models")}, folder)
     return captures.load_captures(spark, folder, ["models"])["models"].select("capture_id", "model", "size")
 
 
-@query("artifact_listing", "artifacts", sql="""
-    SELECT capture_id, count(*) > 0 AS listed FROM artifacts GROUP BY 1""")
+def _written_files(files, folder):
+    """Write (path, bytes) rows as files of so many bytes below the folder."""
+    def write(batches):
+        for rows in batches:
+            for path, size in zip(rows["path"], rows["bytes"], strict=True):
+                _write(f"{folder}/{path}", b"x" * int(size))
+            yield rows[["path"]]
+
+    files.select("path", "bytes").mapInPandas(write, "path string").write.format("noop").mode("overwrite").save()
+    return folder
+
+
+@query("artifact_listing", "artifacts", sql="SELECT capture_id, name, size FROM artifacts")
 def artifact_listing(spark, lens):
-    """Folders per capture, written from the artifact table and listed without reading them."""
+    """A file for each artifact, as large as the table says, listed without reading any."""
+    files = lens("artifacts").select(F.concat_ws("/", "capture_id", "name").alias("path"), F.col("size").alias("bytes"))
+    return manifest.artifact_listing(spark, _written_files(files, _folder(spark)))
+
+
+# Image files of all kinds, some in folders of their own, and files that are none.
+ENDINGS = (".jpg", ".JPEG", ".png", ".tif", ".TIFF", ".txt", ".jpg.bak", ".Png")
+
+
+def _image_folder(spark, lens):
+    ending = F.element_at(F.array(*[F.lit(e) for e in ENDINGS]), (F.col("image_id") % 8 + 1).cast("int"))
+    name = F.concat(F.expr("left(name, length(name) - 4)"), ending)
+    below = F.when(F.col("image_id") % 3 == 0, F.concat(F.lit("more/"), F.col("capture_id"), F.lit("/"))).otherwise("")
+    files = lens("images").select(F.concat(below, name).alias("path"), (F.col("image_id") % 5 + 1).alias("bytes"))
+    return _written_files(files, _folder(spark))
+
+
+IMAGES_SQL = """
+    SELECT left(name, length(name) - 4) || CASE image_id % 8 """ + " ".join(
+    f"WHEN {i} THEN '{e}'" for i, e in enumerate(ENDINGS)) + """ END AS name, image_id % 5 + 1 AS size
+    FROM images WHERE image_id % 8 NOT IN (5, 6)"""
+
+
+@query("image_manifest", "images", sql=IMAGES_SQL)
+def image_manifest(spark, lens):
+    """Image files of any level, by ending whatever its case."""
+    return manifest.image_manifest(spark, _image_folder(spark, lens)).select("name", "size")
+
+
+@query("image_manifest_flat", "images", sql=IMAGES_SQL + " AND image_id % 3 > 0")
+def image_manifest_flat(spark, lens):
+    """Image files of the topmost level only."""
+    return manifest.image_manifest(spark, _image_folder(spark, lens), recursive=False).select("name", "size")
+
+
+@query("log_lines", "log_lines", sql="""
+    WITH placed AS (SELECT tool, line, row_number() OVER (PARTITION BY tool ORDER BY seq) AS place FROM log_lines)
+    SELECT tool, CAST(2 * place - 1 AS BIGINT) AS seq, line FROM placed""")
+def log_lines(spark, lens):
+    """Lines between blank ones and with blanks around them, read as one file per tool, trimmed, the blank lines dropped."""
     folder = _folder(spark)
-    lens("artifacts").withColumn("folder", F.col("capture_id")).repartition(4, "folder").select(
-        "folder", "name"
-    ).write.partitionBy("folder").text(folder)
-    listed = manifest.listing(spark, folder)
-    number = F.regexp_extract("path", r"folder=(\d+)/", 1).cast("long")
-    return listed.groupBy(number.alias("capture_id")).agg((F.count_if(F.col("size") > 0) > 0).alias("listed"))
+    texts = lens("log_lines").select("tool", "seq", F.explode(F.array(
+        F.struct(F.lit(0).alias("n"), F.concat(F.lit(" \t"), "line", F.lit("  ")).alias("line")),
+        F.struct(F.lit(1).alias("n"), F.lit(" \t ").alias("line")),
+    )).alias("e")).select("tool", "seq", "e.n", "e.line")
+    # a file of its own for each tool, written in order by one task per tool
+    texts.repartition("tool").sortWithinPartitions("tool", "seq", "n").select("tool", "line").write.partitionBy("tool").text(folder)
+    return text_lines.log_lines(spark, folder, "*.txt").select(F.regexp_extract("path", "tool=([a-z]+)", 1).alias("tool"), "seq", "line")
 
 
 # Material text: the number of a customer is a mesh, three lines each.
@@ -205,25 +251,3 @@ def poses_round_trip(spark, lens):
         "capture_id", "image_id", F.col("q")[0].alias("qw"), F.col("q")[3].alias("qz"),
         F.col("t")[0].alias("tx"), F.col("t")[2].alias("tz"), "camera_id", "name", "n_points2d",
     )
-
-
-def _database(rows: pd.DataFrame) -> bytes:
-    with tempfile.TemporaryDirectory() as folder:
-        path = os.path.join(folder, "f.db")
-        base = sqlite3.connect(path)
-        base.execute("CREATE TABLE images(image_id INTEGER, name TEXT)")
-        base.execute("CREATE TABLE keypoints(image_id INTEGER, rows INTEGER)")
-        base.execute("CREATE TABLE two_view_geometries(pair_id INTEGER, rows INTEGER)")
-        base.executemany("INSERT INTO two_view_geometries VALUES (?, ?)", rows[["pair_id", "rows"]].astype(object).values.tolist())
-        base.commit()
-        base.close()
-        with open(path, "rb") as file:
-            return file.read()
-
-
-@query("feature_db_round_trip", "pairs", sql="SELECT capture_id, pair_id, rows FROM pairs WHERE rows > 0")
-def feature_db_round_trip(spark, lens):
-    """Pairs written as SQLite databases by the tasks, read back and filtered."""
-    keyed = lens("pairs").withColumn("key", F.pmod(F.col("pair_id"), F.lit(2147483647)))
-    folder = _written(keyed, _folder(spark), _database, "key", "features.db")
-    return feature_db.load_feature_db(spark, folder)["pairs"].where("rows > 0")

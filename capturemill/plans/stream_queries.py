@@ -45,14 +45,13 @@ def stream_run_metrics(spark, lens):
     return logs.latest_updates(spark, f"{folder}/out", ["run_id", "tool"])
 
 
-# Alerts that the lines alone decide: a later line shows the silence, or a line passes the limit.
+# The clock stands at the last line of any run.
 STALLED = """
     slots AS (SELECT run_id, tool, time_bucket(INTERVAL '1 minute', ts) AS slot, epoch_us(min(ts)) // 1000 AS f, epoch_us(max(ts)) // 1000 AS l,
         1000 * CASE tool WHEN 'densify' THEN 7200 WHEN 'mesh' THEN 1800 ELSE 3600 END AS lim
-      FROM log_lines GROUP BY 1, 2, 3
-      HAVING time_bucket(INTERVAL '1 minute', ts) + INTERVAL '1 minute' <= (SELECT max(ts) FROM log_lines) - INTERVAL '1 minute'),
+      FROM log_lines GROUP BY 1, 2, 3),
     seen AS (SELECT *, min(f) OVER (PARTITION BY run_id, tool) AS started,
-        lead(f) OVER (PARTITION BY run_id, tool ORDER BY slot) AS next FROM slots),
+        coalesce(lead(f) OVER (PARTITION BY run_id, tool ORDER BY slot), (SELECT max(l) FROM slots)) AS next FROM slots),
     due AS (SELECT *, least(started + lim, l + 3600000) AS due FROM seen),
     alerts AS (SELECT *, row_number() OVER (PARTITION BY run_id, tool ORDER BY slot) AS k FROM due
       WHERE next > due OR l > started + lim)"""
@@ -63,9 +62,20 @@ STALLED = """
     SELECT run_id, tool, CASE WHEN due = started + lim THEN 'over_limit' ELSE 'silent' END AS reason,
       started AS started_ms, l AS last_ms, due AS alert_ms FROM alerts WHERE k = 1""")
 def stalled_runs(spark, lens):
-    """Every run of this table pauses for over an hour at some time, so no alert waits for a timer."""
-    found = _appended(spark, logs.stalled_runs(_lines(lens), silence=3600))
-    return found.select(
+    folder = _folder(spark)
+    logs.write_slots(_lines(lens), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return logs.stalled_runs(spark.read.parquet(f"{folder}/out"), silence=3600).select(
         "run_id", "tool", "reason", F.unix_millis("started").alias("started_ms"),
         F.unix_millis("last_line").alias("last_ms"), F.unix_millis("alert_at").alias("alert_ms"),
     )
+
+
+@query("stream_log_lines", "log_lines", sql="SELECT run_id, tool, seq, date_trunc('milliseconds', ts) AS ts, line FROM log_lines")
+def stream_log_lines(spark, lens):
+    """Lines written as JSON segments, some with blanks around them and some blank, read as a stream."""
+    folder = _folder(spark)
+    lines = lens("log_lines").select("run_id", "tool", "seq", F.col("ts").cast("timestamp").alias("ts"), "line")
+    blank = lines.where("seq % 3 = 0").withColumn("line", F.lit(" \t "))
+    wide = lines.withColumn("line", F.when(F.col("seq") % 2 == 0, F.concat(F.lit("  "), "line", F.lit("\t"))).otherwise(F.col("line")))
+    wide.unionByName(blank).repartition(4, "run_id").write.json(f"{folder}/in")
+    return _appended(spark, logs.stream_log_lines(spark, f"{folder}/in")).withColumn("ts", F.col("ts").cast("timestamp_ntz"))

@@ -12,7 +12,7 @@ IMAGE_FILES = r"\.(png|jpe?g|tiff?)$"
 
 
 def listing(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """Files under a folder: (path, name, size, mtime).  Contents are never read."""
+    """Files under a folder: (path, name, size, mtime).  Contents are never read; files without bytes are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     return files.select(
         "path", base_name(F.col("path")).alias("name"), F.col("length").alias("size"),

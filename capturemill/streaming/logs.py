@@ -6,18 +6,15 @@ and ``ts`` are set where the line is written.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import datetime as dt
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from capturemill.operators.logs import STEP_LIMITS, classify, counter_aggregates
 from capturemill.schemas import LOG_LINES
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 def stream_log_lines(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
     """Log segments (JSON lines) as a stream; lines are trimmed and empty ones dropped."""
@@ -41,13 +38,16 @@ def stream_classify(lines: DataFrame) -> DataFrame:
     return classify(lines)
 
 
-def stream_run_metrics(lines: DataFrame, delay: str = "10 minutes") -> DataFrame:
+def stream_run_metrics(lines: DataFrame, delay: str | None = None) -> DataFrame:
     """Counters per run and tool, kept up to date as lines arrive (update mode).
 
-    Lines delivered twice count once.  All folds are free of order, so the last row
-    written for a run equals the batch result.
+    Lines delivered twice count once, and lines of any age count, so the last row written for a run equals the
+    batch result whatever the order of arrival; the state keeps the number of every line.  A ``delay`` bounds
+    that state: then lines later than the watermark are dropped, and counted in the query progress
+    (``numRowsDroppedByWatermark``), and the result may lack them.
     """
-    once = lines.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["run_id", "tool", "seq"])
+    key = ["run_id", "tool", "seq"]
+    once = lines.dropDuplicates(key) if delay is None else lines.withWatermark("ts", delay).dropDuplicatesWithinWatermark(key)
     return classify(once).groupBy("run_id", "tool").agg(*counter_aggregates())
 
 
@@ -75,8 +75,6 @@ def latest_updates(spark: SparkSession, folder: str, keys: list[str]) -> DataFra
 
 # --- stalled runs --------------------------------------------------------------------------------
 
-ALERT = "run_id bigint, tool string, reason string, started timestamp, last_line timestamp, alert_at timestamp"
-
 
 def step_limit(tool: Column) -> Column:
     """Seconds a step may take, by tool; null for an unknown tool."""
@@ -84,80 +82,44 @@ def step_limit(tool: Column) -> Column:
     return limits[tool]
 
 
-def stalled_runs(lines: DataFrame, silence: int = 600, delay: str = "1 minute", slot: str = "1 minute") -> DataFrame:
-    """One alert per run and tool that outlives its step limit or stays silent for ``silence`` seconds.
+def write_slots(lines: DataFrame, folder: str, checkpoint: str, slot: str = "1 minute", **trigger) -> StreamingQuery:
+    """Fold every batch of lines into time slots of its runs and append those to a table.
 
-    Lines are first folded into ``slot``-long windows, so a talkative run sends its
-    state one row per window (``silence`` has to be longer than that).  Alerts come from event-time timers; lines later than
-    the watermark are dropped, and counted in the query progress
-    (``numRowsDroppedByWatermark``).  Needs the RocksDB state store.
+    No state is kept and no line is too late: slots of one run and time add up when they are read.  A batch
+    that is retried replaces its own folder.
     """
-    lines.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    slots = lines.withWatermark("ts", delay).groupBy("run_id", "tool", F.window("ts", slot)).agg(
-        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
-    ).select(
-        "run_id", "tool", F.window_time("window").alias("slot_ts"),
-        F.unix_millis(F.col("first_ts").cast("timestamp")).alias("first_ms"),
-        F.unix_millis(F.col("last_ts").cast("timestamp")).alias("last_ms"),
-        (F.coalesce(step_limit(F.col("tool")), F.lit(10**9)) * 1000).cast("bigint").alias("limit_ms"),
-    )
-    return slots.groupBy("run_id", "tool").transformWithStateInPandas(
-        statefulProcessor=StallWatch(silence * 1000), outputStructType=ALERT, outputMode="append", timeMode="eventTime",
-    )
+    def write(batch: DataFrame, number: int) -> None:
+        batch.groupBy("run_id", "tool", F.window("ts", slot).alias("w")).agg(
+            F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
+        ).select("run_id", "tool", F.col("w.start").alias("slot"), "first_ts", "last_ts").write.mode("overwrite").parquet(
+            f"{folder}/batch={number}")
 
+    return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(
+        **(trigger or {"availableNow": True})).start()
 
-class StallWatch(StatefulProcessor):
-    """Remembers first and last line of a run; a timer fires at the earlier of both deadlines."""
-
-    def __init__(self, silence_ms: int):
-        self.silence_ms = silence_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.seen = handle.getValueState("seen", "first_ms bigint, last_ms bigint, limit_ms bigint, timer_ms bigint, alerted boolean")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first = last = timer = None
-        alerted, alert = False, None
-        if self.seen.exists():
-            first, last, limit, timer, alerted = self.seen.get()
-        slots = pd.concat(list(rows)).sort_values("first_ms")
-        limit = int(slots["limit_ms"].iloc[0])
-        for low, high in zip(slots["first_ms"].tolist(), slots["last_ms"].tolist()):
-            if first is not None and not alerted and low > self._due(first, last, limit):
-                alerted, alert = True, self._alert(key, first, last, limit)
-            first = low if first is None else min(first, low)
-            last = high if last is None else max(last, high)
-            if not alerted and last > first + limit:
-                alerted, alert = True, self._alert(key, first, last, limit)
-        if timer is not None:
-            self.handle.deleteTimer(timer)
-            timer = None
-        if not alerted:
-            timer = self._due(first, last, limit)
-            self.handle.registerTimer(timer)
-        self.seen.update((first, last, limit, timer, alerted))
-        if alert is not None:
-            yield alert
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.seen.exists():
-            return
-        first, last, limit, _, alerted = self.seen.get()
-        if not alerted:
-            self.seen.update((first, last, limit, None, True))
-            yield self._alert(key, first, last, limit)
-
-    def _due(self, first: int, last: int, limit: int) -> int:
-        return min(first + limit, last + self.silence_ms)
-
-    def _alert(self, key, first: int, last: int, limit: int) -> pd.DataFrame:
-        due = self._due(first, last, limit)
-        at = pd.to_datetime([first, last, due], unit="ms", utc=True)
-        return pd.DataFrame({
-            "run_id": [key[0]], "tool": [key[1]], "reason": ["over_limit" if due == first + limit else "silent"],
-            "started": [at[0]], "last_line": [at[1]], "alert_at": [at[2]],
-        })
-
-    def close(self) -> None:
-        pass
+
+def stalled_runs(slots: DataFrame, silence: int = 600, now: dt.datetime | None = None) -> DataFrame:
+    """One alert per run and tool that outlives its step limit or stays silent for ``silence`` seconds.
+
+    ``slots`` is what :func:`write_slots` has written so far; ``silence`` has to be longer than a slot.  The clock
+    stands at ``now``, or at the last line of any run.  The alerts depend on the lines only, never on the order
+    in which they came, and a run that never speaks again is found as soon as the clock has passed its deadline.
+    A run has one row per slot it spoke in, which is what the window over it sees.
+    """
+    seen = slots.groupBy("run_id", "tool", "slot").agg(F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
+    if now is None:
+        now = seen.agg(F.max("last_ts")).first()[0]
+    millis = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
+    line = Window.partitionBy("run_id", "tool").orderBy("slot")
+    run = Window.partitionBy("run_id", "tool")
+    timed = seen.select("run_id", "tool", "slot", millis("first_ts").alias("first"), millis("last_ts").alias("last")).withColumns({
+        "limit": (F.coalesce(step_limit(F.col("tool")), F.lit(10**9)) * 1000).cast("bigint"),
+        "started": F.min("first").over(run),
+        "next": F.coalesce(F.lead("first").over(line), F.unix_millis(F.lit(now).cast("timestamp"))),
+    }).withColumn("due", F.least(F.col("started") + F.col("limit"), F.col("last") + silence * 1000))
+    late = timed.where((F.col("next") > F.col("due")) | (F.col("last") > F.col("started") + F.col("limit")))
+    first = late.groupBy("run_id", "tool").agg(F.min_by(F.struct("started", "last", "due", "limit"), "slot").alias("a"))
+    return first.select(
+        "run_id", "tool", F.when(F.col("a.due") == F.col("a.started") + F.col("a.limit"), "over_limit").otherwise("silent").alias("reason"),
+        *[F.timestamp_millis(f"a.{c}").alias(name) for c, name in (("started", "started"), ("last", "last_line"), ("due", "alert_at"))],
+    )

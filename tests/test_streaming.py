@@ -2,10 +2,15 @@
 
 import datetime as dt
 import json
+import os
+import random
 
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from capturemill.operators import logs as batch
+from capturemill.plans import CATALOG
 from capturemill.plans.lenses import lens
 from capturemill.streaming import logs
 
@@ -29,7 +34,7 @@ def test_stream_metrics_equal_batch_over_many_segments(spark, sf_dir, tmp_path):
         part = rows.iloc[n::4] if n else rows.iloc[: len(rows)]
         part.to_json(folder / f"{n}.json", orient="records", lines=True)
     stream = logs.stream_log_lines(spark, str(folder), files_per_trigger=1)
-    logs.write_updates(logs.stream_run_metrics(stream, "2000 days"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    logs.write_updates(logs.stream_run_metrics(stream), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     got = logs.latest_updates(spark, str(tmp_path / "out"), ["run_id", "tool"])
     want = batch.run_metrics(lines)
     assert sorted(map(repr, got.select(*want.columns).collect())) == sorted(map(repr, want.collect()))
@@ -44,23 +49,45 @@ def test_stream_trims_and_classifies(spark, tmp_path):
     assert [(r["line"], r["rule"], r["n1"]) for r in rows] == [("Triangulated 5 points", "T12", 5)]
 
 
-def test_stalled_runs(spark, tmp_path):
+HOUR = 3600
+# run 1 talks until its mapper limit is passed; run 2 falls silent and later speaks again; run 3 is quiet at the end but
+# within the limit of silence; run 4 only moves the clock on; run 5 never speaks again, which only the clock shows.
+TALK = [(1, "map", i, i * 300, "x") for i in range(14)]
+SILENT = [(2, "match", i, i * 60, "x") for i in range(5)] + [(2, "match", 9, 2 * HOUR, "back")]
+QUIET = [(3, "densify", i, HOUR + i * 500, "x") for i in range(3)]
+CLOCK = [(4, "bundle", 1, HOUR + 3900, "x")]
+GONE = [(5, "extract", i, i * 10, "x") for i in range(4)]
+
+
+@pytest.mark.parametrize("order", ["given", "reversed", "shuffled", "equal times"])
+def test_stalled_runs_in_any_order(spark, tmp_path, order):
     folder = tmp_path / "in"
-    hour = 3600
-    # run 1 talks until its mapper limit is passed; run 2 falls silent and later speaks again;
-    # run 3 is quiet at the end but within the limit of silence; run 4 only moves the clock on.
-    talk = [(1, "map", i, i * 300, "x") for i in range(14)]
-    silent = [(2, "match", i, i * 60, "x") for i in range(5)] + [(2, "match", 9, 2 * hour, "back")]
-    quiet = [(3, "densify", i, hour + i * 500, "x") for i in range(3)]
-    rows = sorted(talk + silent + quiet, key=lambda r: r[3])
-    for n in range(0, len(rows), 6):
-        segment(folder, f"{n:03d}.json", rows[n:n + 6])
-    segment(folder, "900.json", [(4, "bundle", 1, 2 * hour + 120, "x")])
-    stream = logs.stalled_runs(logs.stream_log_lines(spark, str(folder), files_per_trigger=1), silence=3000)
-    stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
-        "checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
-    alerts = {r["run_id"]: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert set(alerts) == {1, 2}
+    rows = sorted(TALK + SILENT + QUIET + CLOCK + GONE, key=lambda r: r[3])
+    names = [f"{n:03d}.json" for n in range(0, len(rows), 5)]
+    for name, n in zip(names, range(0, len(rows), 5), strict=True):
+        segment(folder, name, rows[n:n + 5])
+    if order == "reversed":
+        names.reverse()
+    elif order == "shuffled":
+        random.Random(3).shuffle(names)
+    for n, name in enumerate(names):
+        at = 1_700_000_000 + (0 if order == "equal times" else 10 * n)
+        os.utime(folder / name, (at, at))
+    stream = logs.stream_log_lines(spark, str(folder), files_per_trigger=1)
+    logs.write_slots(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    alerts = {r["run_id"]: r for r in logs.stalled_runs(spark.read.parquet(str(tmp_path / "out")), silence=3000).collect()}
+    assert set(alerts) == {1, 2, 5}
     seconds = lambda t: int(t.timestamp()) - int(START.timestamp())
     assert (alerts[1]["reason"], seconds(alerts[1]["alert_at"])) == ("over_limit", 3600)
     assert (alerts[2]["reason"], seconds(alerts[2]["alert_at"]), seconds(alerts[2]["last_line"])) == ("silent", 3240, 240)
+    assert (alerts[5]["reason"], seconds(alerts[5]["alert_at"]), seconds(alerts[5]["last_line"])) == ("silent", 3030, 30)
+
+
+def test_streams_read_a_table_of_part_files(spark, sf_dir, tmp_path):
+    whole = spark.read.parquet(f"{sf_dir}/events.parquet")
+    whole.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    got = CATALOG["stream_classify"].run(spark, str(tmp_path))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, CATALOG["stream_classify"].run(spark, sf_dir).collect()))
+    assert got.count() > 0
+    with pytest.raises(AnalysisException):
+        CATALOG["stream_classify"].run(spark, str(tmp_path / "nothing"))
