@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from capturemill.session import shared_folder
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 # A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -26,11 +27,20 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """Write a table once to the shared folder and read it back, which cuts its lineage."""
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def saved(df: DataFrame, label: str, batch_rows: int | None = None) -> DataFrame:
+    """Write a table once to the shared folder and read it back, which cuts its lineage.
+
+    ``batch_rows`` bounds the rows that Python steps of this table get at a time, for wide rows.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, label)
+    before = spark.conf.get(BATCH_ROWS)
+    if batch_rows:
+        spark.conf.set(BATCH_ROWS, str(min(batch_rows, int(before))))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ascii_lower(c: Column | str) -> Column:

@@ -7,15 +7,15 @@ the full shingle sets.
 
 Equal sets are one class from the start.  A bucket's members are first compared with its smallest
 member only, each by its best estimate.  Once these links have been joined into components, only members
-of different components meet: the best estimates between two components come first, more of them in each
-round and all of them in the last.  So a large group of near copies costs a few comparisons for each member, and
-no link between components is lost.
+of different components meet: the best estimate between two components of a bucket first, and then, in tiles that
+hold the full sets, all pairs that may reach the threshold and are still apart.  A tile sends on only the links that
+join two components, so no step writes the pairs of a large group, and no link between components is lost.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -35,10 +35,11 @@ HASHES = ROWS * BANDS
 WORDS = HASHES * BITS // 64
 NIBBLES = 0x1111111111111111
 SLICE_BYTES = 4 << 20
+# Rows a Python step gets at a time: texts, and pairs of sets.
+TEXT_ROWS, PAIR_ROWS = 1_000, 500
 # A candidate stays unless its estimate lies five standard deviations under the threshold.
 DEVIATIONS = 5.0
-# Pairs that two components may send from one tile of a bucket, round by round; the last round sends all.
-SENT = (1, 4, 32, None)
+# Members in a block; two blocks of a bucket or cluster are compared by one task.
 TILE = 256
 
 _DRAW = np.random.default_rng(20_240_301)
@@ -150,7 +151,7 @@ def shingle_table(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 ], names=["doc_id", "hashes"])
 
     wanted = _some_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids)
-    return saved(wanted.mapInArrow(sets, "doc_id bigint, hashes binary").dropDuplicates(["doc_id"]), "sets")
+    return saved(wanted.mapInArrow(sets, "doc_id bigint, hashes binary").dropDuplicates(["doc_id"]), "sets", TEXT_ROWS)
 
 
 def confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -169,12 +170,10 @@ def confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return joined.select("u", "v", "a", "b").mapInArrow(compare, "u bigint, v bigint")
 
 
-def _tile_pairs(ids: np.ndarray, parts: np.ndarray, signs: np.ndarray, first: np.ndarray, second: np.ndarray, least: float, most: int | None) -> list[tuple[int, int]]:
-    """Pairs of a tile in different components, best estimate first.
-
-    ``first`` and ``second`` are the members of the two blocks.  Two components that have sent ``most`` pairs count as
-    one from then on.
-    """
+def _candidates(tile: pa.Table, first: np.ndarray, second: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of two blocks in different components whose estimate reaches ``least``, best first."""
+    ids, parts = tile["doc_id"].to_numpy(), tile["component"].to_numpy()
+    signs = pc.list_flatten(tile["signature"]).to_numpy().view(np.uint64).reshape(-1, WORDS)
     chance = 1.0 / (1 << BITS)
     differing = np.zeros((len(first), len(second)), np.int64)
     for w in range(WORDS):
@@ -183,80 +182,109 @@ def _tile_pairs(ids: np.ndarray, parts: np.ndarray, signs: np.ndarray, first: np
         x |= x >> np.uint64(2)
         differing += np.bitwise_count(x & np.uint64(NIBBLES))
     near = (1.0 - differing / HASHES - chance) / (1.0 - chance)
-    u, v = np.nonzero((near >= least) & (ids[first][:, None] < ids[second][None, :]) & (parts[first][:, None] != parts[second][None, :]))
-    if first is not second:  # either end may be the smaller
-        p, q = np.nonzero((near >= least) & (ids[first][:, None] > ids[second][None, :]) & (parts[first][:, None] != parts[second][None, :]))
-        u, v = np.concatenate([u, p]), np.concatenate([v, q])
+    apart = parts[first][:, None] != parts[second][None, :]
+    if first is second:  # each pair once
+        apart &= ids[first][:, None] < ids[second][None, :]
+    u, v = np.nonzero(apart & (near >= least))
     order = np.argsort(-near[u, v], kind="stable")
-    a, b = first[u[order]], second[v[order]]
-    low, high = np.minimum(ids[a], ids[b]).tolist(), np.maximum(ids[a], ids[b]).tolist()
-    if most is None:
-        return list(zip(low, high, strict=True))
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while root.get(x, x) != x:
-            root[x] = root.get(root[x], root[x])
-            x = root[x]
+    return first[u[order]], second[v[order]]
+
+
+class Roots(dict):
+    """Components that count as one."""
+
+    def find(self, x: int) -> int:
+        while (y := self.get(x, x)) != x:
+            self[x] = x = self.get(y, y)
         return x
 
-    sent: dict[tuple[int, int], int] = {}
-    out = []
-    for x, y, p, q in zip(low, high, parts[a].tolist(), parts[b].tolist(), strict=True):
-        p, q = sorted((find(p), find(q)))
-        if p == q:
+
+def best_pairs(tile: pa.Table, first: np.ndarray, second: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """The best pair of any two components of a tile, as long as others have not joined them."""
+    a, b = _candidates(tile, first, second, least)
+    ids, parts, roots, out = tile["doc_id"].to_numpy(), tile["component"].to_numpy(), Roots(), []
+    for x, y, p, q in zip(ids[a].tolist(), ids[b].tolist(), parts[a].tolist(), parts[b].tolist(), strict=True):
+        p, q = roots.find(p), roots.find(q)
+        if p != q:
+            roots[q] = p
+            out.append((min(x, y), max(x, y)))
+    return out
+
+
+def candidate_ties(tile: pa.Table, first: np.ndarray, second: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Every member that has a candidate, tied to the smallest such member of the tile."""
+    a, b = _candidates(tile, first, second, least)
+    some = np.unique(tile["doc_id"].to_numpy()[np.concatenate([a, b])])
+    return [(int(some[0]), int(x)) for x in some[1:]]
+
+
+def tile_links(tile: pa.Table, first: np.ndarray, second: np.ndarray, least: float, percent: int) -> list[tuple[int, int]]:
+    """Confirmed links that join two components; pairs already joined in this tile need no comparison."""
+    a, b = _candidates(tile, first, second, least)
+    ids, parts, roots, out = tile["doc_id"].to_numpy(), tile["component"].to_numpy(), Roots(), []
+    sets = [np.frombuffer(h, np.uint64) for h in tile["hashes"].to_pylist()]
+    for i, j, p, q in zip(a.tolist(), b.tolist(), parts[a].tolist(), parts[b].tolist(), strict=True):
+        p, q = roots.find(p), roots.find(q)
+        x, y = sets[i], sets[j]
+        if p == q or 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
             continue
-        out.append((x, y))
-        sent[p, q] = sent.get((p, q), 0) + 1
-        if sent[p, q] >= most:
-            root[q] = p
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        if 100 * both >= percent * (len(x) + len(y) - both):
+            roots[q] = p
+            out.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
     return out
 
 
-def crossing_pairs(members: DataFrame, least: float, most: int | None) -> DataFrame:
-    """Pairs of members (bucket, blocks, doc_id, component, signature) of one bucket in different components, by estimate.
+def over_tiles(members: DataFrame, group: str, step: Callable[..., list[tuple[int, int]]], *args) -> DataFrame:
+    """Distinct (u, v) that ``step`` finds in the tiles of members (group, blocks, doc_id, component, signature, ...).
 
-    A bucket is cut into blocks of about ``TILE`` members, and two blocks meet in a task of their own.
+    A group is cut into blocks of about ``TILE`` members, and two blocks meet in one task.  Tiles are read one after
+    the other, so a task holds one tile and one batch.
     """
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    tiles = members.withColumn("own", own).withColumn("other", other).select(
-        F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("tile"),
-        "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "signature")
-    spread = tiles.repartition("tile").sortWithinPartitions("tile", "bucket", "i", "j", "doc_id")
+    tiles = members.withColumn("own", own).withColumn("other", other).withColumns(
+        {"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", "blocks").withColumn("tile", F.xxhash64(group, "i", "j"))
+    spread = tiles.repartition("tile").sortWithinPartitions("tile", group, "i", "j", "doc_id")
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        found: set[tuple[int, int]] = set()
         for batch in batches:
             held.append(batch)
             table = pa.Table.from_batches(held).combine_chunks()
-            keys = np.stack([table[c].to_numpy() for c in ("bucket", "i", "j")], axis=1)
-            edges = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            keys = np.stack([table[c].to_numpy() for c in (group, "i", "j")], axis=1)
+            edges = (np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()
             # the last tile may go on in the next batch
-            if len(edges):
-                yield pairs(table.slice(0, int(edges[-1])), edges[:-1])
-                held = table.slice(int(edges[-1])).to_batches()
+            if edges:
+                pairs(table, [0, *edges], found)
+                held = table.slice(edges[-1]).to_batches()
         if held:
-            yield pairs(pa.Table.from_batches(held).combine_chunks(), np.zeros(0, np.int64))
+            pairs(table := pa.Table.from_batches(held).combine_chunks(), [0, len(table)], found)
+        u, v = zip(*found, strict=True) if found else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    def pairs(table: pa.Table, edges: np.ndarray) -> pa.RecordBatch:
-        ids, parts, own, i, j = (table[c].to_numpy() for c in ("doc_id", "component", "own", "i", "j"))
-        signs = pc.list_flatten(table["signature"]).to_numpy().view(np.uint64).reshape(-1, WORDS)
-        out: list[tuple[int, int]] = []
-        bounds = [0, *edges.tolist(), len(ids)]
+    def pairs(table: pa.Table, bounds: list[int], found: set[tuple[int, int]]) -> None:
         for low, high in zip(bounds[:-1], bounds[1:], strict=True):
-            rows = np.arange(low, high)
             if high - low > 1:
-                same = i[low] == j[low]
-                first = rows if same else rows[own[low:high] == i[low]]
-                second = first if same else rows[own[low:high] == j[low]]
-                out += _tile_pairs(ids, parts, signs, first, second, least, most)
-        u, v = zip(*out, strict=True) if out else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+                tile = table.slice(low, high - low).combine_chunks()
+                own, i, j = (tile[c].to_numpy() for c in ("own", "i", "j"))
+                first = np.flatnonzero(own == i[0])
+                found.update(step(tile, first, first if i[0] == j[0] else np.flatnonzero(own == j[0]), *args))
 
     return spread.mapInArrow(cross, "u bigint, v bigint").distinct()
 
 
+def _mixed_members(shared: DataFrame, parts: DataFrame, marks: DataFrame) -> DataFrame:
+    """Members of the buckets that hold different components."""
+    placed = saved(shared.join(parts, "doc_id", "left").select(
+        "bucket", "doc_id", F.coalesce("component", "doc_id").alias("component")), "placed")
+    mixed = placed.groupBy("bucket").agg(
+        F.min("component").alias("a"), F.max("component").alias("b"), F.ceil(F.count(F.lit(1)) / TILE).alias("blocks")
+    ).where("a < b").select("bucket", "blocks")
+    return placed.join(mixed, "bucket").join(marks, "doc_id")
+
+
 def _components(links: DataFrame) -> DataFrame:
     return connected_components(links.select(F.lit(0).cast("long").alias("g"), "u", "v"), "g").select(
         F.col("node").alias("doc_id"), "component")
@@ -271,7 +299,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     dropped together; a row without an id joins the component of its equals, or is kept if it has none.
     Other columns are not looked at.
     """
-    signed = saved(signatures(docs, width), "signatures")
+    signed = saved(signatures(docs, width), "signatures", TEXT_ROWS)
     classes = signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     heads = saved(signed.where("digest is not null and doc_id is not null").join(
         classes, "digest").where("doc_id = rep").dropDuplicates(["doc_id"]).select("doc_id", "signature", "bands"), "heads")
@@ -288,24 +316,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     tested = saved(leaders.groupBy("v").agg(F.max(F.struct("near", (-F.col("u")).alias("back"))).alias("best")).select(
         (-F.col("best.back")).alias("u"), "v"), "best")
     sets = shingle_table(docs, shared.select("doc_id").distinct(), width)
-    links = saved(confirmed(sets, tested, percent), "links")
+    links = saved(confirmed(sets, tested, percent), "links", PAIR_ROWS)
     parts = _components(links)
 
-    for most in SENT:
-        # buckets whose members are in different components by now
-        placed = saved(shared.join(parts, "doc_id", "left").select(
-            "bucket", "doc_id", F.coalesce("component", "doc_id").alias("component")), "placed")
-        mixed = placed.groupBy("bucket").agg(
-            F.min("component").alias("a"), F.max("component").alias("b"), F.ceil(F.count(F.lit(1)) / TILE).alias("blocks")
-        ).where("a < b").select("bucket", "blocks")
-        crossing = saved(crossing_pairs(placed.join(mixed, "bucket").join(marks, "doc_id"), least, most), "crossing")
-        if not crossing.limit(1).count():
-            break
-        fresh = saved(crossing.join(tested, ["u", "v"], "left_anti"), "fresh")
-        more = saved(confirmed(sets, fresh, percent), "links")
-        tested = tested.unionByName(fresh)
-        if more.limit(1).count():
-            links = links.unionByName(more)
+    best = over_tiles(_mixed_members(shared, parts, marks), "bucket", best_pairs, least)
+    best = saved(best.join(tested, ["u", "v"], "left_anti"), "best")
+    if best.limit(1).count():
+        links = saved(links.unionByName(confirmed(sets, best, percent)), "links", PAIR_ROWS)
+        parts = _components(links)
+        members = _mixed_members(shared, parts, marks)
+        # candidates that are still apart, gathered in clusters so that each is compared with its sets once
+        ties = saved(over_tiles(members, "bucket", candidate_ties, least), "ties")
+        if ties.limit(1).count():
+            clusters = saved(_components(ties).select("doc_id", F.col("component").alias("cluster")), "clusters")
+            sizes = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("blocks"))
+            apart = clusters.join(sizes, "cluster").join(parts, "doc_id", "left").select(
+                "cluster", "blocks", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+            apart = apart.join(marks, "doc_id").join(sets, "doc_id")
+            links = links.unionByName(saved(over_tiles(apart, "cluster", tile_links, least, percent), "links", PAIR_ROWS))
             parts = _components(links)
 
     named = classes.join(parts, F.col("rep") == F.col("doc_id"), "left").select(
