@@ -36,7 +36,8 @@ WINDOW_GRAMS = LENGTH - GRAM + 1  # k-grams in a window, so an anchor lies 0 to
 BEFORE = WINDOW_GRAMS - 1
 BLOCK = 25
 CHUNK_BYTES = 4 << 20
-STEP = 1 << 20  # window starts handled at a time
+STEP = 1 << 18  # window starts handled at a time
+TEXT_ROWS = 2_000  # texts a Python step gets at a time
 HOT_RUNS = 50_000
 
 _DRAW = np.random.default_rng(77)
@@ -48,6 +49,7 @@ PLACE_BITS = np.uint64(23)
 # An anchored run as it meets others: document and place order it, the anchor lies ``off`` behind the first of
 # ``n`` windows, and those are the windows from ``at`` on of run ``run`` in its chunk.
 MEETING = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("ordinal", "<u4"), ("anchor", "<u8"), ("run", "<u4"), ("off", "u1"), ("n", "u1"), ("at", "u1")])
+SENT = np.dtype([("hash", "<u8"), ("run", "<u4")])
 SETTLED = np.dtype([("run", "<u4"), ("bits", "u1", ((WINDOW_GRAMS + 7) // 8,))])
 
 
@@ -63,32 +65,38 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def anchored_runs(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> dict[str, np.ndarray]:
-    """Runs of windows with one anchor in a row of texts: text, first and last window, anchor and its hash.
+def anchored_runs(data: np.ndarray, sizes: np.ndarray) -> dict[str, np.ndarray]:
+    """Runs of windows with one anchor in a row of texts: text, first and last window, anchor.
 
-    A window's anchor is the first of its k-grams whose hash is smallest in its upper 41 bits.
+    A window's anchor is the first of its k-grams whose hash is smallest in its upper 41 bits.  Windows are handled
+    ``STEP`` at a time, so only runs are held for the whole row.
     """
-    parts = []
-    counts = np.maximum(sizes - LENGTH + 1, 0)
+    starts = np.cumsum(sizes) - sizes
+    stops = starts + np.maximum(sizes - LENGTH + 1, 0)
+    parts: list[np.ndarray] = []
     for low in range(0, len(data) - LENGTH + 1, STEP):
-        piece = data[low:low + STEP + LENGTH - 1]
-        h = gram_hashes(piece)
-        x = (h >> PLACE_BITS << PLACE_BITS) | np.arange(len(h), dtype=np.uint64)
-        for shift in (1, 2, 4, 8, 16, 32):
+        x = gram_hashes(data[low:low + STEP + LENGTH - 1])
+        x >>= PLACE_BITS
+        x <<= PLACE_BITS
+        x |= np.arange(len(x), dtype=np.uint64)
+        for shift in (1, 2, 4, 8, 16, 32, WINDOW_GRAMS - 64):
             x = np.minimum(x[:-shift], x[shift:])
-        x = np.minimum(x[:-(WINDOW_GRAMS - 64)], x[WINDOW_GRAMS - 64:])
-        place = (x & np.uint64((1 << int(PLACE_BITS)) - 1)).astype(np.int64)
-        parts.append((place + low, h[place]))
-    if not parts:
-        none = np.zeros(0, np.int64)
-        return {"text": none, "first": none, "last": none, "anchor": none, "hash": none.astype(np.uint64)}
-    anchor, hashes = (np.concatenate(p) for p in zip(*parts, strict=True))
-    window = gather_runs(starts, counts)
-    text = np.repeat(np.arange(len(sizes)), counts)
-    anchor, hashes = anchor[window], hashes[window]
-    opens = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])])) if len(window) else np.zeros(0, np.int64)
-    closes = np.append(opens[1:], len(window)) - 1 if len(opens) else opens
-    return {"text": text[opens], "first": window[opens], "last": window[closes], "anchor": anchor[opens], "hash": hashes[opens]}
+        high = low + len(x)
+        near = np.arange(np.searchsorted(stops, low, side="right"), np.searchsorted(starts, high))
+        begin = np.maximum(starts[near], low)
+        count = np.maximum(np.minimum(stops[near], high) - begin, 0)
+        window = gather_runs(begin, count)
+        text = np.repeat(near, count)
+        anchor = (x[window - low] & np.uint64((1 << int(PLACE_BITS)) - 1)).astype(np.int64) + low
+        if len(window):
+            opens = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])]))
+            closes = np.append(opens[1:], len(window)) - 1
+            parts.append(np.stack([text[opens], window[opens], window[closes], anchor[opens]]))
+    runs = np.concatenate(parts, axis=1) if parts else np.zeros((4, 0), np.int64)
+    # a run that goes over from one step to the next is one
+    fresh = np.concatenate([[True], (runs[0, 1:] != runs[0, :-1]) | (runs[3, 1:] != runs[3, :-1])])[:runs.shape[1]]
+    at = np.flatnonzero(fresh)
+    return {"text": runs[0, at], "first": runs[1, at], "last": np.maximum.reduceat(runs[2], at) if len(at) else runs[2], "anchor": runs[3, at]}
 
 
 class Chunk:
@@ -104,7 +112,7 @@ class Chunk:
         texts = [texts[i] for i in order.tolist()]
         data = np.frombuffer(b"".join(texts), np.uint8)
         sizes = np.array([len(t) for t in texts], np.int64)
-        runs = anchored_runs(data, np.cumsum(sizes) - sizes, sizes)
+        runs = anchored_runs(data, sizes)
         view = memoryview(data)
         digest = np.fromiter((xxhash.xxh3_64_intdigest(view[a:b + LENGTH]) for a, b in zip(runs["first"].tolist(), runs["last"].tolist(), strict=True)), np.uint64, len(runs["first"]))
         key = (digest ^ (runs["anchor"] - runs["first"]).astype(np.uint64)) * MIX
@@ -113,9 +121,10 @@ class Chunk:
         return cls(data, sizes, ids[order], runs, settled, rows.take(pa.array(order)))
 
     def write(self, path: str) -> None:
+        """One compressed file: the carried rows, and arrays.  Runs of a text follow each other, so their lengths say where they are."""
         held = io.BytesIO()
         first, last, anchor = (self.runs[k] for k in ("first", "last", "anchor"))
-        np.savez(held, data=self.data, sizes=self.sizes, ids=self.ids, text=self.runs["text"].astype(np.uint32), first=first.astype(np.uint64),
+        np.savez(held, data=self.data, sizes=self.sizes, ids=self.ids, runs=np.bincount(self.runs["text"], minlength=len(self.sizes)).astype(np.uint32),
                  windows=(last - first + 1).astype(np.uint8), off=(anchor - first).astype(np.uint8), settled=np.packbits(self.settled))
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, self.rows.schema) as out:
@@ -124,7 +133,7 @@ class Chunk:
         system, inner = file_system(path)
         system.create_dir(inner.rpartition("/")[0], recursive=True)
         with system.open_output_stream(inner, compression=None) as file:
-            file.write(zstandard.compress(len(rows).to_bytes(8, "little") + rows + held.getvalue(), 3))
+            file.write(zstandard.compress(len(rows).to_bytes(8, "little") + rows + held.getbuffer(), 3))
 
     @classmethod
     def read(cls, path: str) -> Chunk:
@@ -133,47 +142,59 @@ class Chunk:
             whole = zstandard.decompress(file.read())
         size = int.from_bytes(whole[:8], "little")
         rows = pa.ipc.open_stream(whole[8:8 + size]).read_all()
-        held = np.load(io.BytesIO(whole[8 + size:]))
-        first = held["first"].astype(np.int64)
-        runs = {"text": held["text"].astype(np.int64), "first": first, "last": first + held["windows"] - 1, "anchor": first + held["off"]}
-        return cls(held["data"], held["sizes"], held["ids"], runs, np.unpackbits(held["settled"], count=len(first)).astype(bool), rows)
-
-
-def write_chunks(docs: DataFrame, carry: list[str], range_bits: int, chunk_bytes: int) -> DataFrame:
-    """Chunk files, and what they send to each hash range: (chunk, span, runs); span -1 names the chunk itself.  Saved."""
+        held = np.load(io.BytesIO(memoryview(whole)[8 + size:]))
+        sizes, windows = held["sizes"], held["windows"].astype(np.int64)
+        text = np.repeat(np.arange(len(sizes)), held["runs"])
+        before = np.cumsum(windows) - windows
+        opens = np.cumsum(held["runs"].astype(np.int64)) - held["runs"]
+        first = (np.cumsum(sizes) - sizes)[text] + before - before[np.minimum(opens, max(len(before) - 1, 0))][text] if len(text) else text
+        runs = {"text": text, "first": first, "last": first + windows - 1, "anchor": first + held["off"]}
+        return cls(held["data"], sizes, held["ids"], runs, np.unpackbits(held["settled"], count=len(first)).astype(bool), rows)
+
+
+def write_chunks(docs: DataFrame, carry: list[str], chunk_bytes: int) -> DataFrame:
+    """Write the chunk files; gives their names, saved."""
     folder = scratch(docs.sparkSession, "chunks")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = byte_texts(batch["__text"])
-            ids = batch["__id"].to_numpy()
-            rows = pa.Table.from_batches([batch.select(carry)])
-            for low, high in slices(map(len, texts), chunk_bytes):
-                chunk = Chunk.of(texts[low:high], ids[low:high], rows.slice(low, high - low))
+            lengths = pc.fill_null(pc.binary_length(batch["__text"]), 0).to_pylist()
+            ids, rows = batch["__id"].to_numpy(), pa.Table.from_batches([batch.select(carry)])
+            for low, high in slices(lengths, chunk_bytes):
                 path = f"{folder}/{uuid.uuid4().hex}"
-                chunk.write(path)
+                Chunk.of(byte_texts(batch["__text"].slice(low, high - low)), ids[low:high], rows.slice(low, high - low)).write(path)
+                yield pa.RecordBatch.from_pydict({"chunk": [path]})
+
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("__id"), F.col("text").alias("__text"), *[f"`{c}`" for c in carry])
+    return saved(rows.mapInArrow(cut, "chunk string"), "chunks", TEXT_ROWS)
+
+
+def sent_runs(chunks: DataFrame, range_bits: int) -> DataFrame:
+    """What each chunk sends to each hash range: (chunk, span, runs), the hashes and numbers of its runs that are not settled."""
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch["chunk"].to_pylist():
+                chunk = Chunk.read(path)
                 free = np.flatnonzero(~chunk.settled)
-                hashes = chunk.runs["hash"][free]
+                hashes = _hash_at(chunk.data, chunk.runs["anchor"][free])
                 order = np.argsort(hashes)
-                sent = np.empty(len(order), np.dtype([("hash", "<u8"), ("run", "<u4")]))
+                sent = np.empty(len(order), SENT)
                 sent["hash"], sent["run"] = hashes[order], free[order]
                 span = (sent["hash"] >> np.uint64(64 - range_bits)).astype(np.int64)
                 edges = np.flatnonzero(np.concatenate([[True], span[1:] != span[:-1]])) if len(span) else np.zeros(0, np.int64)
-                blobs = [s.tobytes() for s in np.split(sent, edges[1:])] if len(edges) else []
                 yield pa.RecordBatch.from_pydict({
-                    "chunk": [path] * (len(edges) + 1), "span": [-1, *span[edges].tolist()], "runs": [b"", *blobs]},
+                    "chunk": [path] * len(edges), "span": span[edges].tolist(),
+                    "runs": [part.tobytes() for part in np.split(sent, edges[1:])] if len(edges) else []},
                     schema=pa.schema([("chunk", pa.string()), ("span", pa.int64()), ("runs", pa.binary())]))
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("__id"), F.col("text").alias("__text"), *[f"`{c}`" for c in carry])
-    return saved(rows.mapInArrow(cut, "chunk string, span bigint, runs binary"), "runs")
+    return chunks.mapInArrow(send, "chunk string, span bigint, runs binary")
 
 
 def repeated_runs(sent: DataFrame, hot_runs: int) -> DataFrame:
     """(chunk, runs, hot): the runs of each chunk whose anchors occur again anywhere."""
     def pick(table: pa.Table) -> pa.Table:
         blobs = table["runs"].to_pylist()
-        dtype = np.dtype([("hash", "<u8"), ("run", "<u4")])
-        parts = [np.frombuffer(b, dtype) for b in blobs]
+        parts = [np.frombuffer(b, SENT) for b in blobs]
         every = np.concatenate(parts)
         of = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
         _, where, counts = np.unique(every["hash"], return_inverse=True, return_counts=True)
@@ -187,7 +208,7 @@ def repeated_runs(sent: DataFrame, hot_runs: int) -> DataFrame:
             out["hot"].append(np.packbits(times[part] > hot_runs).tobytes())
         return pa.table(out, schema=pa.schema([("chunk", pa.string()), ("runs", pa.binary()), ("hot", pa.binary())]))
 
-    return sent.where("span >= 0").groupBy("span").applyInArrow(pick, "chunk string, runs binary, hot binary")
+    return sent.groupBy("span").applyInArrow(pick, "chunk string, runs binary, hot binary")
 
 
 def meetings(repeated: DataFrame, range_bits: int) -> DataFrame:
@@ -366,9 +387,9 @@ def without_repeats(docs: DataFrame, *carry: str, with_text: bool = False, chunk
     range_bits = min(40, max(6, int(np.ceil(np.log2(max(total / chunk_bytes, 1))))))
     names = [f"c{i}" for i in range(len(carry))]
     named = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names, strict=True)])
-    sent = write_chunks(named, names, range_bits, chunk_bytes)
-    found = settled_runs(saved(meetings(repeated_runs(sent, hot_runs), range_bits), "meetings"))
-    parts = sent.where("span = -1").select("chunk", F.lit(b"").alias("settled")).unionByName(found)
+    chunks = write_chunks(named, names, chunk_bytes)
+    found = settled_runs(meetings(repeated_runs(sent_runs(chunks, range_bits), hot_runs), range_bits))
+    parts = chunks.select("chunk", F.lit(b"").alias("settled")).unionByName(found)
     results = ["n_bytes bigint", "n_removed bigint", "n_spans bigint", "kept_sha256 string"]
     results += ["kept string", "spans array<struct<start:bigint,end:bigint>>"] if with_text else []
     kinds = [f"{n} {named.schema[n].dataType.simpleString()}" for n in names]
