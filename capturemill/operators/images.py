@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from capturemill.functions.columns import camera_name, display_name, normal_path, with_extension
+from capturemill.session import small_side
 
 # The quality presets; any unknown name means the last one.
 PRESET_FIELDS = (
@@ -28,13 +29,15 @@ def presets(spark: SparkSession) -> DataFrame:
 
 
 def capture_settings(captures: DataFrame, table: DataFrame | None = None) -> DataFrame:
-    """Attach the preset of each capture, as (capture_id, preset, settings...)."""
-    table = presets(captures.sparkSession) if table is None else table
-    known = [row[0] for row in PRESETS]
-    chosen = F.when(F.col("preset").isin(known), F.col("preset")).otherwise(F.lit(FALLBACK_PRESET))
-    return captures.select("capture_id", chosen.alias("preset")).join(F.broadcast(table), "preset", "left").select(
-        "capture_id", *table.columns
-    )
+    """Attach the preset of each capture, as (capture_id, preset, settings...).
+
+    A name that the table does not hold becomes the fallback preset.
+    """
+    table = small_side(presets(captures.sparkSession) if table is None else table)
+    known = table.select(F.col("preset").alias("__known")).distinct()
+    named = captures.select("capture_id", "preset").join(known, F.col("preset") == F.col("__known"), "left")
+    return named.select("capture_id", F.coalesce("__known", F.lit(FALLBACK_PRESET)).alias("preset")).join(
+        table, "preset", "left").select("capture_id", *table.columns)
 
 
 def remove_images(images: DataFrame, selected: DataFrame) -> DataFrame:

@@ -148,7 +148,8 @@ def face_components(faces: DataFrame) -> DataFrame:
 
 def _spurious(faces: DataFrame, vertices: DataFrame, factor: float, min_faces: int) -> DataFrame:
     flagged = checkpointed(_without_long_edges(faces, vertices, factor))
-    grouped = face_components(flagged.where(~F.col("long_edge")))
+    # sizes and faces both read the components
+    grouped = checkpointed(face_components(flagged.where(~F.col("long_edge"))))
     sizes = grouped.groupBy(*MESH, "component").agg(F.count(F.lit(1)).alias("component_faces"))
     return flagged.where("long_edge").withColumn("fate", F.lit("long_edge")).select(
         *MESH, "face_id", "v0", "v1", "v2", "fate"

@@ -28,6 +28,12 @@ def bounds(points: DataFrame) -> DataFrame:
     )
 
 
+# Levels of the quad split counted in one pass, and the finest level.
+SPLIT_LEVELS, FINEST = 13, 52
+# Slices of the values inside a bracket.
+SLICES = 256
+
+
 def exact_percentiles(points: DataFrame, qs: Sequence[float]) -> DataFrame:
     """Exact interpolated percentiles per capture and axis: (capture_id, axis, q, value).
 
@@ -58,8 +64,19 @@ def exact_percentiles(points: DataFrame, qs: Sequence[float]) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("least"), F.max("v").alias("most")).withColumn(
         "v", F.when(F.col("side") < 0, F.col("most")).otherwise(F.col("least"))
     )
-    order = Window.partitionBy("capture_id", "axis", "i").orderBy("side", "v")
-    running = counted.withColumn("upto", F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # values in order are cut into slices by a second sketch, so a window sees one slice or the totals of all slices
+    key = ["capture_id", "axis", "i"]
+    counted = checkpointed(counted)
+    edges = counted.where("side = 0").groupBy(*key).agg(
+        F.percentile_approx("v", [n / SLICES for n in range(1, SLICES)], 10 * SLICES).alias("edges"))
+    sliced = counted.join(small_side(edges), key, "left").withColumn("slice", F.when(F.col("side") < 0, -1).when(F.col("side") > 0, SLICES).otherwise(
+        F.size(F.filter("edges", lambda e: e <= F.col("v")))))
+    totals = sliced.groupBy(*key, "slice").agg(F.sum("c").alias("total"))
+    before = totals.select(*key, "slice", F.coalesce(F.sum("total").over(
+        Window.partitionBy(*key).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    order = Window.partitionBy(*key, "slice").orderBy("v")
+    running = sliced.join(small_side(before), [*key, "slice"]).withColumn(
+        "upto", F.col("before") + F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     position = F.col("q") * (F.col("n") - 1)
     lower, upper = F.floor(position), F.ceil(position)
 
@@ -172,14 +189,14 @@ def restore_coordinates(points: DataFrame, transforms: DataFrame) -> DataFrame:
     return points.join(transforms, "capture_id").withColumns(moved).select(*points.columns)
 
 
-def split_subscenes(points: DataFrame, max_points: int, depth: int = 10) -> DataFrame:
+def split_subscenes(points: DataFrame, max_points: int) -> DataFrame:
     """Quad split of the ground plane until no cell holds more than ``max_points``.
 
-    Cells are counted once on the finest grid and rolled up through all levels; each
-    point takes the coarsest ancestor cell that is small enough, or the finest cell.
-    Adds ``level``, ``cell_x`` and ``cell_y``.
+    Points are placed on a grid of 2**52 by 2**52, as fine as a double share of the extent can be.  Cells are
+    counted ``SPLIT_LEVELS`` levels at a time; each point takes the coarsest ancestor cell that is small enough,
+    and only cells that are still too large are counted any finer.  Adds ``level``, ``cell_x``, ``cell_y`` and
+    ``undivided``: points of the finest level that no split can part, more than ``max_points`` in one place.
     """
-    n = 1 << depth
     ground = ("x", "y")
     box = small_side(points.groupBy("capture_id").agg(
         *[F.min(a).alias(f"lo_{a}") for a in ground], *[F.max(a).alias(f"hi_{a}") for a in ground]
@@ -188,32 +205,46 @@ def split_subscenes(points: DataFrame, max_points: int, depth: int = 10) -> Data
     def fine(a: str):
         extent = F.col(f"hi_{a}") - F.col(f"lo_{a}")
         share = F.when(extent > 0, (F.col(a) - F.col(f"lo_{a}")) / extent).otherwise(0.0)
-        return F.least(F.floor(share * n), F.lit(n - 1)).cast("long")
-
-    placed = points.join(box, "capture_id").select(*points.columns, fine("x").alias("__fx"), fine("y").alias("__fy"))
-    counts = placed.groupBy("capture_id", "__fx", "__fy").agg(F.count(F.lit(1)).alias("__n"))
-    counts = checkpointed(counts)
-
-    def at_level(c: str):
-        return F.call_function("shiftright", F.col(c), F.lit(depth) - F.col("level")).alias(f"cell_{c[-1]}")
+        return F.least(F.floor(share * float(1 << FINEST)), F.lit((1 << FINEST) - 1)).cast("long")
 
-    levels = counts.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth)))).select(
-        "capture_id", "__fx", "__fy", "__n", "level", at_level("__fx"), at_level("__fy")
-    )
-    cell = ["capture_id", "level", "cell_x", "cell_y"]
-    small = levels.groupBy(*cell).agg(F.sum("__n").alias("__n")).where(
-        (F.col("__n") <= max_points) | (F.col("level") == depth)
-    )
-    chosen = levels.drop("__n").join(small.drop("__n"), cell).groupBy("capture_id", "__fx", "__fy").agg(
-        F.min(F.struct("level", "cell_x", "cell_y")).alias("c")
-    ).select("capture_id", "__fx", "__fy", "c.*")
-    return placed.join(chosen, ["capture_id", "__fx", "__fy"]).select(
-        *points.columns, "level", "cell_x", "cell_y"
-    )
+    def above(column: str, level: int):
+        return F.call_function("shiftright", F.col(column), F.lit(FINEST - level))
 
-
-def subscene_sizes(points: DataFrame, max_points: int, depth: int = 10) -> DataFrame:
+    placed = points.join(box, "capture_id").select(*points.columns, fine("x").alias("__fx"), fine("y").alias("__fy"))
+    cells = placed.select("capture_id", "__fx", "__fy")
+    chosen: list[DataFrame] = []
+    for top in range(0, FINEST, SPLIT_LEVELS):
+        low = top + SPLIT_LEVELS
+        counts = checkpointed(cells.groupBy("capture_id", above("__fx", low).alias("__kx"), above("__fy", low).alias("__ky")).agg(
+            F.count(F.lit(1)).alias("__n")))
+
+        def at_level(c: str, low: int = low):
+            return F.call_function("shiftright", F.col(f"__k{c}"), F.lit(low) - F.col("level")).alias(f"cell_{c}")
+
+        # level 0 is the whole capture; later rounds begin one level below the cells they divide
+        levels = counts.withColumn("level", F.explode(F.sequence(F.lit(top + 1 if top else 0), F.lit(low)))).select(
+            "capture_id", "__kx", "__ky", "__n", "level", at_level("x"), at_level("y"))
+        cell = ["capture_id", "level", "cell_x", "cell_y"]
+        small = levels.groupBy(*cell).agg(F.sum("__n").alias("__cell")).where(
+            (F.col("__cell") <= max_points) | (F.col("level") == FINEST))
+        found = checkpointed(levels.drop("__n").join(small, cell).groupBy("capture_id", "__kx", "__ky").agg(
+            F.min(F.struct("level", "cell_x", "cell_y", (F.col("__cell") > max_points).alias("undivided"))).alias(f"__c{low}")))
+        chosen.append(found)
+        left = checkpointed(counts.join(found, ["capture_id", "__kx", "__ky"], "left_anti").select("capture_id", "__kx", "__ky"))
+        if left.limit(1).count() == 0:
+            break
+        cells = placed.select("capture_id", "__fx", "__fy", above("__fx", low).alias("__kx"), above("__fy", low).alias("__ky")).join(
+            left, ["capture_id", "__kx", "__ky"], "left_semi").select("capture_id", "__fx", "__fy")
+    out = placed
+    for n, found in enumerate(chosen):
+        low = (n + 1) * SPLIT_LEVELS
+        out = out.withColumns({"__kx": above("__fx", low), "__ky": above("__fy", low)}).join(found, ["capture_id", "__kx", "__ky"], "left")
+    cell = F.coalesce(*[F.col(f"__c{(n + 1) * SPLIT_LEVELS}") for n in range(len(chosen))])
+    return out.select(*[F.col(c) for c in points.columns], cell.alias("__cell")).select(*points.columns, "__cell.*")
+
+
+def subscene_sizes(points: DataFrame, max_points: int) -> DataFrame:
     """Number of points of each sub-scene."""
-    return split_subscenes(points, max_points, depth).groupBy("capture_id", "level", "cell_x", "cell_y").agg(
+    return split_subscenes(points, max_points).groupBy("capture_id", "level", "cell_x", "cell_y", "undivided").agg(
         F.count(F.lit(1)).alias("points")
     )

@@ -49,22 +49,43 @@ LENSES: dict[str, str] = {
           CASE event_type WHEN 'view' THEN 'extract' WHEN 'error' THEN 'match' WHEN 'click' THEN 'map'
                           WHEN 'signup' THEN 'densify' ELSE 'mesh' END AS tool,
           CASE event_type
-            WHEN 'view' THEN concat('Processed file [', event_id % 50 + 1, '/50] name=img', event_id % 50,
-                                    '.jpg num_features=', CAST(floor(value * 40) AS BIGINT))
-            WHEN 'error' THEN CASE WHEN event_id % 3 = 0 THEN 'Matching block [1/2, 2/2]'
-              WHEN event_id % 3 = 1 THEN concat(CAST(floor(value) AS BIGINT), ' matches for image pair')
+            WHEN 'view' THEN CASE
+              WHEN event_id % 11 = 9 THEN concat('Elapsed time: ', event_id % 60, ' [minutes]')
+              WHEN event_id % 11 = 10 THEN concat('Processed file [', event_id % 50 + 1, '/50] name=img.jpg')
+              WHEN event_id % 11 = 8 THEN concat('Processed file [1/50] name=a.jpg num_features=', event_id, ' Elapsed time: 1')
+              ELSE concat('Processed file [', event_id % 50 + 1, '/50] name=img', event_id % 50,
+                          '.jpg num_features=', CAST(floor(value * 40) AS BIGINT)) END
+            WHEN 'error' THEN CASE
+              WHEN event_id % 6 = 0 THEN 'Matching block [1/2, 2/2]'
+              WHEN event_id % 6 = 1 THEN concat(CAST(floor(value) AS BIGINT), ' matches for image pair')
+              WHEN event_id % 6 = 2 THEN concat('Matching block [', event_id % 9 + 1, '/9]')
+              WHEN event_id % 6 = 3 THEN 'All pairs Geometrically Verified'
+              WHEN event_id % 6 = 4 THEN concat('Matching block [1/3, 2/3] ', event_id, ' matches for image pair')
               ELSE 'unrelated text' END
             WHEN 'click' THEN CASE
-              WHEN event_id % 4 = 0 THEN concat('Registering image #', event_id, ' (', event_id % 40 + 1, ')')
-              WHEN event_id % 4 = 1 THEN concat('Triangulated ', CAST(floor(value) AS BIGINT), ' points')
-              WHEN event_id % 4 = 2 THEN concat('Mean reprojection error: ', event_id % 3, '.', event_id % 10, 'px')
-              ELSE 'Bundle adjustment: Merged observations: 7' END
+              WHEN event_id % 10 = 0 THEN concat('Registering image #', event_id, ' (', event_id % 40 + 1, ')')
+              WHEN event_id % 10 = 1 THEN concat('Triangulated ', CAST(floor(value) AS BIGINT), ' points')
+              WHEN event_id % 10 = 2 THEN concat('Mean reprojection error: ', event_id % 3, '.', event_id % 7, 'px')
+              WHEN event_id % 10 = 3 THEN 'Bundle adjustment: Merged observations: 7'
+              WHEN event_id % 10 = 4 THEN concat('Image has ', event_id % 90, ' / ', event_id, ' inliers')
+              WHEN event_id % 10 = 5 THEN concat('Merged observations: ', event_id)
+              WHEN event_id % 10 = 6 THEN concat('Completed observations: ', event_id)
+              WHEN event_id % 10 = 7 THEN concat('Filtered observations: ', event_id)
+              WHEN event_id % 10 = 8 THEN concat('Registering image #', event_id, ' (', event_id % 30 + 1, '), Triangulated 4 points')
+              ELSE 'Retriangulation' END
             WHEN 'signup' THEN CASE
-              WHEN event_id % 2 = 0 THEN concat('Depth-map for image ', event_id % 50, ' estimated using 4 images: 768x1024')
-              ELSE concat('Densifying point-cloud completed: ', CAST(floor(value * 100) AS BIGINT), ' points') END
-            ELSE CASE WHEN event_id % 3 = 0 THEN concat(event_id, ' vertices, ', event_id * 2, ' faces')
-              WHEN event_id % 3 = 1 THEN concat('Removed ', event_id % 9, ' spurious faces')
-              ELSE concat('Closed ', event_id % 7, ' holes') END
+              WHEN event_id % 5 = 0 THEN concat('Depth-map for image ', event_id % 50, ' estimated using 4 images: 768x1024')
+              WHEN event_id % 5 = 1 THEN concat('Densifying point-cloud completed: ', CAST(floor(value * 100) AS BIGINT), ' points')
+              WHEN event_id % 5 = 2 THEN concat('Depth-maps dense fused and filtered: ', event_id % 40, ' depth-maps, 5 depths, ', event_id * 3, ' points')
+              WHEN event_id % 5 = 3 THEN concat('Point-cloud trimmed to ROI: ', event_id * 2, ' points removed')
+              ELSE concat('Depth-maps dense fused: 3 depth-maps, ', event_id, ' points; densifying completed: 5 points') END
+            ELSE CASE
+              WHEN event_id % 6 = 0 THEN concat(event_id, ' vertices, ', event_id * 2, ' faces')
+              WHEN event_id % 6 = 1 THEN concat('Removed ', event_id % 9, ' spurious faces')
+              WHEN event_id % 6 = 2 THEN concat('Closed ', event_id % 7, ' holes')
+              WHEN event_id % 6 = 3 THEN concat('Removed ', event_id % 8, ' Spikes')
+              WHEN event_id % 6 = 4 THEN concat('remove ', event_id % 5, ' isolated parts')
+              ELSE concat(event_id, ' vertices, 9 faces, removed 3 spurious, closed 2 holes') END
           END AS line
         FROM {events}""",
     "clock_lines": """

@@ -12,33 +12,45 @@ def _num(pattern: str, n: int = 1) -> str:
     return f"TRY_CAST(nullif(regexp_extract(line, '{pattern}', {n}), '') AS BIGINT)"
 
 
-# The rules that the log lens can meet, first match wins inside a tool.
+# The rules in their order, first match wins inside a tool.
 CLASSIFIED = rf"""
     ruled AS (SELECT *, CASE tool
         WHEN 'extract' THEN CASE WHEN regexp_matches(line, 'Processed file \[(\d+)/(\d+)\]')
-                                  AND regexp_matches(line, 'num_features=(\d+)') THEN 'T1' END
+                                  AND regexp_matches(line, 'num_features=(\d+)') THEN 'T1'
+                                 WHEN contains(line, 'Elapsed time:') THEN 'T2' END
         WHEN 'match' THEN CASE WHEN regexp_matches(line, 'Matching block \[(\d+)/(\d+),\s*(\d+)/(\d+)\]') THEN 'T3'
-                               WHEN regexp_matches(line, '(\d+) matches for image pair') THEN 'T5' END
+                               WHEN regexp_matches(line, 'Matching block \[(\d+)/(\d+)\]') THEN 'T4'
+                               WHEN regexp_matches(line, '(\d+) matches for image pair') THEN 'T5'
+                               WHEN contains(lower(line), 'geometrically verified') THEN 'T6' END
         WHEN 'map' THEN CASE WHEN regexp_matches(line, 'Registering image #(\d+) \((\d+)\)') THEN 'T7'
+                             WHEN regexp_matches(line, 'Image has (\d+)\s*/\s*(\d+) inliers') THEN 'T8'
                              WHEN contains(line, 'Bundle adjustment') THEN 'T9'
                              WHEN regexp_matches(line, 'Merged observations: (\d+)') THEN 'T10'
+                             WHEN regexp_matches(line, 'Completed observations: (\d+)') THEN 'T11'
                              WHEN regexp_matches(line, 'Triangulated (\d+) points') THEN 'T12'
+                             WHEN regexp_matches(line, 'Filtered observations: (\d+)') THEN 'T13'
                              WHEN regexp_matches(line, 'Mean reprojection error: ([\d.]+)px') THEN 'T14' END
         WHEN 'densify' THEN CASE WHEN regexp_matches(line, 'Depth-map for image\s+(\d+) estimated') THEN 'T15'
-                                 WHEN regexp_matches(line, '[Dd]ensif(?:y|ying).*?completed.*?(\d+) points') THEN 'T17' END
+                                 WHEN regexp_matches(line, 'Depth-maps dense fused.*?(\d+) depth-maps.*?(\d+) points') THEN 'T16'
+                                 WHEN regexp_matches(line, '[Dd]ensif(?:y|ying).*?completed.*?(\d+) points') THEN 'T17'
+                                 WHEN regexp_matches(line, 'Point-cloud trimmed.*?(\d+) points removed') THEN 'T18' END
         WHEN 'mesh' THEN CASE WHEN regexp_matches(line, '(\d+) vertices, (\d+) faces') THEN 'T19'
                               WHEN regexp_matches(line, '[Rr]emoved? (\d+)') THEN 'T20'
                               WHEN regexp_matches(line, '[Cc]losed? (\d+) holes') THEN 'T21' END
       END AS rule FROM log_lines),
     classified AS (SELECT *,
         CASE rule WHEN 'T1' THEN {_num(r'Processed file \[(\d+)/')} WHEN 'T3' THEN {_num(r'block \[(\d+)/')}
-          WHEN 'T5' THEN {_num(r'(\d+) matches')} WHEN 'T7' THEN {_num(r'image #(\d+)')}
+          WHEN 'T4' THEN {_num(r'block \[(\d+)/')} WHEN 'T5' THEN {_num(r'(\d+) matches')} WHEN 'T7' THEN {_num(r'image #(\d+)')}
+          WHEN 'T8' THEN {_num(r'has (\d+)')} WHEN 'T10' THEN {_num(r'observations: (\d+)')}
+          WHEN 'T11' THEN {_num(r'observations: (\d+)')} WHEN 'T13' THEN {_num(r'observations: (\d+)')}
           WHEN 'T12' THEN {_num(r'Triangulated (\d+)')} WHEN 'T15' THEN {_num(r'image\s+(\d+)')}
-          WHEN 'T17' THEN {_num(r'(\d+) points')} WHEN 'T19' THEN {_num(r'(\d+) vertices')}
+          WHEN 'T16' THEN {_num(r'(\d+) depth-maps')} WHEN 'T17' THEN {_num(r'(\d+) points')}
+          WHEN 'T18' THEN {_num(r'(\d+) points removed')} WHEN 'T19' THEN {_num(r'(\d+) vertices')}
           WHEN 'T20' THEN {_num(r'[Rr]emoved? (\d+)')} WHEN 'T21' THEN {_num(r'[Cc]losed? (\d+)')} END AS n1,
         CASE rule WHEN 'T1' THEN {_num(r'\[\d+/(\d+)\]')} WHEN 'T3' THEN {_num(r'block \[\d+/(\d+)')}
+          WHEN 'T4' THEN {_num(r'block \[\d+/(\d+)')} WHEN 'T8' THEN {_num(r'/\s*(\d+) inliers')}
           WHEN 'T7' THEN {_num(r'\((\d+)\)')} WHEN 'T15' THEN {_num(r'using\s+(\d+)')}
-          WHEN 'T19' THEN {_num(r'(\d+) faces')} END AS n2,
+          WHEN 'T16' THEN {_num(r'depth-maps.*?(\d+) points')} WHEN 'T19' THEN {_num(r'(\d+) faces')} END AS n2,
         CASE rule WHEN 'T1' THEN {_num(r'num_features=(\d+)')} WHEN 'T3' THEN {_num(r',\s*(\d+)/')}
           WHEN 'T15' THEN {_num(r'images:\s*(\d+)x')} END AS n3,
         CASE rule WHEN 'T3' THEN {_num(r',\s*\d+/(\d+)')} WHEN 'T15' THEN {_num(r'x(\d+)')} END AS n4,
@@ -49,16 +61,26 @@ CLASSIFIED = rf"""
 MESSAGE = """
     CASE rule
       WHEN 'T1' THEN '[iGPU] ' || text || ': ' || format('{:,}', n3) || ' features (' || n1 || '/' || n2 || ')'
+      WHEN 'T2' THEN '  ⏱ ' || line
       WHEN 'T3' THEN 'Processing match block [' || n1 || '/' || n2 || ', ' || n3 || '/' || n4 || ']...'
+      WHEN 'T4' THEN 'Processing match block ' || n1 || '/' || n2 || ' (Images: Image ' || (n1 * 50 - 49) || ' to Image ' || n1 * 50 || ')'
+      WHEN 'T6' THEN '  ✓ ' || line
       WHEN 'T7' THEN 'Adding camera ' || n1 || ' (' || n2 || ' of ?)'
+      WHEN 'T8' THEN '  → ' || n1 || ' of ' || n2 || ' feature matches used'
       WHEN 'T9' THEN '  Adjusting...'
+      WHEN 'T10' THEN '  → Merged ' || n1 || ' track observations'
+      WHEN 'T11' THEN '  → Completed ' || n1 || ' observations'
       WHEN 'T12' THEN '  → Triangulated ' || format('{:,}', n1) || ' new 3D points'
+      WHEN 'T13' THEN '  → Filtered ' || n1 || ' outlier observations'
       WHEN 'T14' THEN '  → Mean reprojection error: ' || format('{:.3f}', value) || 'px (' ||
         CASE WHEN value < 1 THEN '✓ good' WHEN value < 2 THEN '⚠ high' ELSE '✗ poor' END || ')'
       WHEN 'T15' THEN '[CPU] Estimating depth map for image ' || n1 || ' (' || n3 || '×' || n4 || ', ' || n2 || ' views)'
+      WHEN 'T16' THEN '  → Fused ' || n1 || ' depth maps → ' || format('{:,}', n2) || ' candidate points'
       WHEN 'T17' THEN '  → Dense cloud: ' || format('{:,}', n1) || ' points'
+      WHEN 'T18' THEN '  → Trimmed ' || format('{:,}', n1) || ' points outside ROI'
       WHEN 'T19' THEN '  → Mesh: ' || format('{:,}', n1) || ' vertices, ' || format('{:,}', n2) || ' faces'
-      WHEN 'T20' THEN '  → Cleaned ' || n1 || ' spurious components'
+      WHEN 'T20' THEN '  → Cleaned ' || n1 || CASE WHEN contains(lower(line), 'spurious') THEN ' spurious components'
+        WHEN contains(lower(line), 'spike') THEN ' spikes' ELSE ' artifacts' END
       WHEN 'T21' THEN '  → Closed ' || n1 || ' holes'
       ELSE line END AS message"""
 
@@ -77,7 +99,7 @@ METRICS = f"""
       CAST(sum(n1) FILTER (WHERE rule = 'T12') AS BIGINT) AS triangulated_points,
       CAST(nullif(count(*) FILTER (WHERE rule = 'T15'), 0) AS BIGINT) AS depth_maps,
       {_last("n2", "rule = 'T7'")} AS registered, {_last("value", "rule = 'T14'")} AS mean_error,
-      {_last("n1", "rule = 'T17'")} AS dense_points, {_last("n1", "rule = 'T19'")} AS mesh_vertices,
+      {_last("(CASE rule WHEN 'T16' THEN n2 WHEN 'T17' THEN n1 END)", "true")} AS dense_points, {_last("n1", "rule = 'T19'")} AS mesh_vertices,
       {_last("n2", "rule = 'T19'")} AS mesh_faces,
       {_last("n1", "rule = 'T20' AND contains(lower(line), 'spurious')")} AS spurious_removed,
       {_last("n1", "rule = 'T20' AND contains(lower(line), 'spike') AND NOT contains(lower(line), 'spurious')")}
@@ -175,10 +197,23 @@ def _timed(lens):
     return logs.log_times(lens("clock_lines"), lens("clock_starts"))
 
 
-@query("log_times", "clock_lines", "clock_starts", sql=f"WITH {TIMED} SELECT * FROM timed")
+@query("log_times", "clock_lines", "clock_starts", sql=f"""
+    WITH {TIMED}
+    SELECT t.run_id, t.tool, t.seq, t.line, elapsed_seconds, epoch_us(date_trunc('second', started)) // 1000000 + elapsed_seconds AS line_second
+    FROM timed t JOIN clock_starts s ON s.run_id = t.run_id AND s.tool = t.tool""")
 def log_times(spark, lens):
     lines = lens("clock_lines").select("run_id", "tool", "seq", "line")
-    return _timed(lens).drop("line_time").join(lines, ["run_id", "tool", "seq"])
+    timed = _timed(lens).withColumn("line_second", F.floor(F.unix_millis(F.col("line_time").cast("timestamp")) / 1000))
+    return timed.drop("line_time").join(lines, ["run_id", "tool", "seq"])
+
+
+@query("file_starts", "clock_starts", sql="""
+    SELECT run_id, tool, epoch_us(date_trunc('second', started)) // 1000000 AS second FROM clock_starts""")
+def file_starts(spark, lens):
+    """Start times as tools write them into the names of their log files, read back."""
+    stamp = F.date_format(F.col("started").cast("timestamp"), "yyMMddHHmmss")
+    named = lens("clock_starts").select("run_id", "tool", F.concat(F.lit("/logs/DensifyPointCloud-"), stamp, F.lit("303003E29.log")).alias("name"))
+    return named.select("run_id", "tool", F.unix_seconds(logs.start_from_file_name(F.col("name")).cast("timestamp")).alias("second"))
 
 
 @query("step_durations", "clock_lines", "clock_starts", sql=f"""

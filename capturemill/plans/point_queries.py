@@ -90,12 +90,12 @@ def restore_coordinates(spark, lens):
 
 SPLIT = """
     ext AS (SELECT capture_id, min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM points3d GROUP BY 1),
-    fine AS (SELECT p.*, CAST(least(floor((x - lx) / (hx - lx) * 64), 63) AS BIGINT) AS fx,
-                    CAST(least(floor((y - ly) / (hy - ly) * 64), 63) AS BIGINT) AS fy
+    fine AS (SELECT p.*, CAST(least(floor((x - lx) / (hx - lx) * 1048576), 1048575) AS BIGINT) AS fx,
+                    CAST(least(floor((y - ly) / (hy - ly) * 1048576), 1048575) AS BIGINT) AS fy
              FROM points3d p JOIN ext e ON e.capture_id = p.capture_id),
-    lv AS (SELECT CAST(l AS BIGINT) AS level, CAST(2 ** (6 - l) AS BIGINT) AS w FROM generate_series(0, 6) t(l)),
+    lv AS (SELECT CAST(l AS BIGINT) AS level, CAST(2 ** (20 - l) AS BIGINT) AS w FROM generate_series(0, 20) t(l)),
     cells AS (SELECT capture_id, level, fx // w AS cell_x, fy // w AS cell_y FROM fine JOIN lv ON true
-              GROUP BY 1, 2, 3, 4 HAVING count(*) <= 200 OR level = 6),
+              GROUP BY 1, 2, 3, 4 HAVING count(*) <= 200),
     chosen AS (SELECT f.capture_id, f.fx, f.fy, min(level) AS level
                FROM (SELECT DISTINCT capture_id, fx, fy FROM fine) f JOIN lv ON true
                JOIN cells USING (capture_id, level)
@@ -105,17 +105,17 @@ SPLIT = """
               JOIN lv ON lv.level = c.level)"""
 
 
-@query("split_subscenes", "points3d", sql=f"WITH {SPLIT} SELECT * FROM parts")
+@query("split_subscenes", "points3d", sql=f"WITH {SPLIT} SELECT *, false AS undivided FROM parts")
 def split_subscenes(spark, lens):
-    return points.split_subscenes(lens("points3d"), 200, depth=6).select(
-        "capture_id", "point3d_id", "level", "cell_x", "cell_y"
+    return points.split_subscenes(lens("points3d"), 200).select(
+        "capture_id", "point3d_id", "level", "cell_x", "cell_y", "undivided"
     )
 
 
 @query("subscene_sizes", "points3d", sql=f"""
-    WITH {SPLIT} SELECT capture_id, level, cell_x, cell_y, count(*) AS points FROM parts GROUP BY 1, 2, 3, 4""")
+    WITH {SPLIT} SELECT capture_id, level, cell_x, cell_y, false AS undivided, count(*) AS points FROM parts GROUP BY 1, 2, 3, 4""")
 def subscene_sizes(spark, lens):
-    return points.subscene_sizes(lens("points3d"), 200, depth=6)
+    return points.subscene_sizes(lens("points3d"), 200)
 
 
 # --- poses ---------------------------------------------------------------------------------------

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,9 +30,9 @@ def build_session(app: str = "capturemill", master: str | None = None, **conf: s
 def shared_folder(spark: SparkSession) -> str:
     """The shared checkpoint folder of this cluster.
 
-    ``spark.checkpoint.dir`` is honoured.  A temporary folder is made up only in
-    local mode; on a cluster a missing setting is an error, because a
-    machine-local folder would not survive the loss of an executor.
+    ``spark.checkpoint.dir`` is honoured.  Where it is unset, a local session keeps its files beside its
+    warehouse; on a cluster that is an error, because a machine-local folder would not survive the loss of
+    an executor.  Written tables stay until the folder is cleaned.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
@@ -44,7 +42,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not configured:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder before running iterative operators")
-        configured = tempfile.mkdtemp(prefix="capturemill-checkpoint-")
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
     context.setCheckpointDir(configured)
     return context.getCheckpointDir()
 

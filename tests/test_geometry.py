@@ -149,8 +149,19 @@ def test_split_keeps_every_point_and_limit(spark):
     split = points.split_subscenes(df, 100)
     assert split.select("point3d_id").distinct().count() == len(xy) == split.count()
     sizes = points.subscene_sizes(df, 100).collect()
-    assert all(r["points"] <= 100 or r["level"] == 10 for r in sizes)
-    assert max(r["points"] for r in sizes) >= 400
+    assert all(r["points"] <= 100 or r["undivided"] for r in sizes)
+    assert [r["points"] for r in sizes if r["undivided"]] == [400]
+
+
+def test_split_goes_on_in_a_crowded_corner(spark):
+    """99 % of the points lie in a square a hundred-millionth as wide as the capture."""
+    rng = np.random.default_rng(3)
+    xy = np.concatenate([rng.random((60, 2)), 0.3 + 1e-8 * rng.random((5940, 2))])
+    df = spark.createDataFrame([(1, i, float(x), float(y), 0.0) for i, (x, y) in enumerate(xy)],
+                               "capture_id bigint, point3d_id bigint, x double, y double, z double")
+    sizes = points.subscene_sizes(df, 50).collect()
+    assert sum(r["points"] for r in sizes) == 6000
+    assert all(r["points"] <= 50 and not r["undivided"] for r in sizes) and max(r["level"] for r in sizes) > 26
 
 
 def union_find(edges):
