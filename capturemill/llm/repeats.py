@@ -43,6 +43,7 @@ HOT_RUNS = 50_000
 _DRAW = np.random.default_rng(77)
 BYTE_HASH = _DRAW.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
+POWERS = [np.uint64(pow(int(BASE), 1 << n, 1 << 64)) for n in range(5)]
 MIX = np.uint64(0xD6E8FEB86659FD93)
 PLACE_BITS = np.uint64(23)
 
@@ -55,10 +56,9 @@ SETTLED = np.dtype([("run", "<u4"), ("bits", "u1", ((WINDOW_GRAMS + 7) // 8,))])
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """A hash of the GRAM bytes from each place on, by doubling."""
-    h, width, power = BYTE_HASH[data], 1, BASE
-    while width < GRAM:
-        h = h[:-width] * power + h[width:]
-        width, power = width * 2, power * power
+    h = BYTE_HASH[data]
+    for n, power in enumerate(POWERS):
+        h = h[:-(1 << n)] * power + h[1 << n:]
     h ^= h >> np.uint64(31)
     h *= MIX
     h ^= h >> np.uint64(29)
@@ -251,19 +251,17 @@ def meetings(repeated: DataFrame, range_bits: int) -> DataFrame:
 
 
 def _hash_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The k-gram hashes of some places."""
+    """The k-gram hashes of some places, turned once more: anchors were chosen for small hashes and would crowd the first ranges."""
     out = np.empty(len(at), np.uint64)
     for low in range(0, len(at), 1 << 14):
         part = at[low:low + (1 << 14)]
         # one k-gram per row; the doubling leaves one hash for each
         rows = BYTE_HASH[data[part[:, None] + np.arange(GRAM)]]
-        width, power = 1, BASE
-        while width < GRAM:
-            rows = rows[:, :-width] * power + rows[:, width:]
-            width, power = width * 2, power * power
+        for n, power in enumerate(POWERS):
+            rows = rows[:, :-(1 << n)] * power + rows[:, 1 << n:]
         h = rows[:, 0]
         h = (h ^ (h >> np.uint64(31))) * MIX
-        out[low:low + (1 << 14)] = h ^ (h >> np.uint64(29))
+        out[low:low + (1 << 14)] = (h ^ (h >> np.uint64(29))) * BASE
     return out
 
 
@@ -355,17 +353,23 @@ def settled_runs(meeting: DataFrame) -> DataFrame:
 
 
 def covered(chunk: Chunk, settled: list[bytes]) -> np.ndarray:
-    """Which bytes of the chunk are covered by windows that also start earlier."""
-    starts = [gather_runs(chunk.runs["first"][chunk.settled], (chunk.runs["last"] - chunk.runs["first"] + 1)[chunk.settled])]
+    """Which bytes of the chunk are covered by windows that also start earlier.
+
+    Stretches of windows are marked by their ends only.
+    """
+    change = np.zeros(len(chunk.data) + 1, np.int32)
+    np.add.at(change, chunk.runs["first"][chunk.settled], 1)
+    np.add.at(change, chunk.runs["last"][chunk.settled] + LENGTH, -1)
     for blob in settled:
         rows = np.frombuffer(blob, SETTLED)
-        run, window = np.nonzero(np.unpackbits(rows["bits"], axis=1, count=WINDOW_GRAMS))
-        starts.append(chunk.runs["first"][rows["run"][run]] + window)
-    at = np.unique(np.concatenate(starts))
-    change = np.zeros(len(chunk.data) + 1, np.int8)
-    change[at] += 1
-    change[at + LENGTH] -= 1
-    return np.cumsum(change, dtype=np.int16)[:-1] > 0
+        for low in range(0, len(rows), 4096):
+            part = rows[low:low + 4096]
+            first = chunk.runs["first"][part["run"]]
+            steps = np.diff(np.unpackbits(part["bits"], axis=1, count=WINDOW_GRAMS).astype(np.int8), axis=1, prepend=0, append=0)
+            for sign, reach in ((1, 0), (-1, LENGTH - 1)):
+                run, window = np.nonzero(steps == sign)
+                np.add.at(change, first[run] + window + reach, sign)
+    return np.cumsum(change, out=change)[:-1] > 0
 
 
 def _whole_characters(data: np.ndarray, edges: np.ndarray) -> str:
