@@ -41,8 +41,8 @@ def _mesh(lens):
     {TEXT_VERTICES}, vertex_id % 256 AS r, vertex_id * 7 % 256 AS g, vertex_id * 13 % 256 AS b FROM vertices""")
 def ply_vertices_round_trip(spark, lens):
     folder = _folder(spark)
-    mesh_export.write_ply(*_mesh(lens), folder, partitions=1)
-    vertices, _ = ply.load_ply(spark, folder, mesh_text.mesh_from_path, pattern="part-*")
+    mesh_export.write_ply(*_mesh(lens), folder, partitions=4)
+    vertices, _ = ply.load_ply_text(spark, folder, pattern="part-*", parts=True)
     return vertices.select("mesh_id", "vertex_id", "x", "y", "z", "r", "g", "b")
 
 
@@ -50,8 +50,8 @@ def ply_vertices_round_trip(spark, lens):
     SELECT mesh_id, row_number() OVER (PARTITION BY mesh_id ORDER BY face_id) - 1 AS face_id, v0, v1, v2 FROM faces""")
 def ply_faces_round_trip(spark, lens):
     folder = _folder(spark)
-    mesh_export.write_ply(*_mesh(lens), folder, partitions=1)
-    _, faces = ply.load_ply(spark, folder, mesh_text.mesh_from_path, pattern="part-*")
+    mesh_export.write_ply(*_mesh(lens), folder, partitions=4)
+    _, faces = ply.load_ply_text(spark, folder, pattern="part-*", parts=True)
     return faces.select("mesh_id", "face_id", "v0", "v1", "v2")
 
 
@@ -251,3 +251,88 @@ def poses_round_trip(spark, lens):
         "capture_id", "image_id", F.col("q")[0].alias("qw"), F.col("q")[3].alias("qz"),
         F.col("t")[0].alias("tx"), F.col("t")[2].alias("tz"), "camera_id", "name", "n_points2d",
     )
+
+
+# --- binary PLY and textured OBJ -----------------------------------------------------------------
+
+def _ply_file(rows: pd.DataFrame, listed: bool) -> bytes:
+    """A binary file of the points in order of their ids, each three of them a triangle."""
+    rows = rows.sort_values("point3d_id")
+    count, head = len(rows), ["ply", "format binary_little_endian 1.0", f"element vertex {len(rows)}"]
+    head += [f"property float {a}" for a in "xyz"] + [f"property uchar {c}" for c in ("red", "green", "blue")]
+    head += ["property list uchar uint view_indices"] if listed else []
+    head += [f"element face {count // 3}", "property list uchar int vertex_indices", "end_header"]
+    out = ["\n".join(head).encode() + b"\n"]
+    for r in rows.itertuples():
+        out.append(struct.pack("<fffBBB", r.x, r.y, r.z, r.r, r.g, r.b))
+        if listed:
+            views = [r.point3d_id % 5, r.point3d_id % 9][: r.point3d_id % 3]
+            out.append(struct.pack(f"<B{len(views)}I", len(views), *views))
+    out += [struct.pack("<Biii", 3, n, n + 1, n + 2) for n in range(0, count // 3 * 3, 3)]
+    return b"".join(out)
+
+
+def _ply_files(spark, lens, listed):
+    def encode(rows: pd.DataFrame) -> bytes:
+        return _ply_file(rows, listed)
+
+    folder = _written(lens("points3d"), _folder(spark), encode, "point3d_id", "cloud.ply")
+    return ply.load_ply(spark, folder)
+
+
+FLOATS = ", ".join(f"round(round(CAST(CAST({a} AS FLOAT) AS DOUBLE), 9), 6) AS {a}" for a in "xyz")
+TRIANGLES = f"""
+    SELECT capture_id AS mesh_id, CAST(sum(n // 3) AS BIGINT) AS faces, CAST(sum(3 * (n // 3 * (n // 3 - 1) // 2)) AS BIGINT) AS first_corners
+    FROM (SELECT capture_id, count(*) AS n FROM points3d GROUP BY capture_id, floor(point3d_id / {FILE_ROWS})) s GROUP BY 1"""
+
+
+def _triangle_counts(faces):
+    return faces.where("v1 = v0 + 1 AND v2 = v0 + 2").groupBy("mesh_id").agg(
+        F.count(F.lit(1)).alias("faces"), F.sum("v0").alias("first_corners"))
+
+
+@query("binary_ply_vertices", "points3d", sql=f"SELECT capture_id AS mesh_id, {FLOATS}, r, g, b FROM points3d")
+def binary_ply_vertices(spark, lens):
+    """Points written as binary PLY files of fixed records, read by byte ranges."""
+    return _ply_files(spark, lens, False)[0].select("mesh_id", "x", "y", "z", "r", "g", "b")
+
+
+@query("binary_ply_faces", "points3d", sql=TRIANGLES)
+def binary_ply_faces(spark, lens):
+    return _triangle_counts(_ply_files(spark, lens, False)[1])
+
+
+@query("listed_ply_vertices", "points3d", sql=f"""
+    SELECT capture_id AS mesh_id, {FLOATS}, r, g, b, point3d_id % 3 AS views,
+      CASE WHEN point3d_id % 3 > 0 THEN point3d_id % 5 END AS first_view FROM points3d""")
+def listed_ply_vertices(spark, lens):
+    """The same points with a list of views each, so that no record has a fixed place."""
+    return _ply_files(spark, lens, True)[0].select(
+        "mesh_id", "x", "y", "z", "r", "g", "b", F.size("views").alias("views"), F.try_element_at("views", F.lit(1)).alias("first_view"))
+
+
+@query("listed_ply_faces", "points3d", sql=TRIANGLES)
+def listed_ply_faces(spark, lens):
+    return _triangle_counts(_ply_files(spark, lens, True)[1])
+
+
+def _textured(spark, lens):
+    folder = _folder(spark)
+    vertices = lens("vertices").withColumns({"u": F.col("x") / 20, "v": F.col("y") / 128})
+    mesh_export.write_obj(vertices, lens("faces"), folder, partitions=4)
+    return mesh_text.load_obj(spark, folder, pattern="part-*", parts=True)
+
+
+@query("obj_texture_round_trip", "vertices", "faces", sql="""
+    SELECT mesh_id, vertex_id AS vt_idx, round(round(x / 20, 9), 6) AS u, round(round(y / 128, 9), 6) AS v FROM vertices""")
+def obj_texture_round_trip(spark, lens):
+    return _textured(spark, lens)[1]
+
+
+@query("obj_textured_corners_round_trip", "vertices", "faces", sql="""
+    WITH f AS (SELECT mesh_id, row_number() OVER (PARTITION BY mesh_id ORDER BY face_id) - 1 AS face_id, v0, v1, v2 FROM faces)
+    SELECT mesh_id, face_id, c AS corner, CASE c WHEN 1 THEN v0 WHEN 2 THEN v1 ELSE v2 END AS v_idx,
+      CASE c WHEN 1 THEN v0 WHEN 2 THEN v1 ELSE v2 END AS vt_idx, face_id * 4 + c AS pos
+    FROM f JOIN (VALUES (1), (2), (3)) t(c) ON true""")
+def obj_textured_corners_round_trip(spark, lens):
+    return _textured(spark, lens)[2]

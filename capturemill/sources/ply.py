@@ -15,8 +15,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from capturemill.session import small_side
 from capturemill.sources.mesh_text import mesh_from_path
 from capturemill.sources.ranges import FileCursor, hop_ranges, in_batches, read_range
+from capturemill.sources.text_lines import numbered_lines
 
 # Scalar types and the 13-byte triangle record.
 SCALARS = {
@@ -363,3 +365,37 @@ def load_ply(
     """Vertices and faces of all PLY files below a folder."""
     headers = ply_headers(spark, path, strict, pattern)
     return ply_vertices(headers, mesh), ply_faces(headers, mesh)
+
+
+def load_ply_text(
+    spark: SparkSession, path: str, mesh: Callable[[Column], Column] = mesh_from_path, pattern: str = "*.ply", parts: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """Vertices and faces of ASCII files, split on the JVM; with ``parts`` the ordered text parts of a folder are one file.
+
+    Lines are numbered by any number of tasks, so neither a large file nor an export by many tasks is read as a
+    whole.  Rows are those of :func:`load_ply`: colours default to 255, vertex rows of under three fields and
+    faces of other sizes than three are skipped, the others keep their declared number.
+    """
+    lines = numbered_lines(spark, path, pattern, parts).withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", ""))
+    ends = lines.where(F.col("line") == "end_header").groupBy("path").agg(F.min("seq").alias("head"))
+    ends = small_side(ends)
+
+    def count(element: str) -> Column:
+        return F.coalesce(F.max(F.regexp_extract("line", rf"^element {element} (\d+)$", 1).try_cast("long")), F.lit(0))
+
+    heads = small_side(lines.join(ends, "path").where("seq <= head").groupBy("path", "head").agg(
+        count("vertex").alias("nv"), count("face").alias("nf")))
+    body = lines.join(heads, "path").where("seq > head").select(
+        "path", (F.col("seq") - F.col("head") - 1).alias("i"), "nv", "nf", F.split("line", r"\s+").alias("words"))
+
+    def word(n: int, kind: str) -> Column:
+        return F.col("words")[n - 1].cast(kind)
+
+    colored = F.size("words") >= 6
+    vertices = body.where((F.col("i") < F.col("nv")) & (F.size("words") >= 3)).select(
+        "path", F.col("i").alias("vertex_id"), *[word(n, "float").alias(a) for n, a in enumerate("xyz", 1)],
+        *[F.when(colored, word(n, "smallint")).otherwise(F.lit(255).cast("smallint")).alias(c) for n, c in enumerate("rgb", 4)],
+    )
+    faces = body.where((F.col("i") >= F.col("nv")) & (F.col("i") < F.col("nv") + F.col("nf")) & (F.size("words") >= 4) & (F.col("words")[0] == "3"))
+    faces = faces.select("path", (F.col("i") - F.col("nv")).alias("face_id"), *[word(n + 2, "long").alias(f"v{n}") for n in range(3)])
+    return vertices.withColumn("mesh_id", mesh(F.col("path"))), faces.withColumn("mesh_id", mesh(F.col("path")))
