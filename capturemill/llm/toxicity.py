@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from capturemill.llm.common import WordNumbers, byte_texts, gather_runs, number_words, saved, slices
+from capturemill.llm.minhash import shingle_sets
 from capturemill.session import small_side
 
 # The letters that a sign may stand for.
@@ -40,6 +41,8 @@ PREFIXES = (4, 5, 6)
 # number of words each, so the number of such features is bounded too.
 LEAST_SHARE = 0.002
 SLICE_BYTES = 4 << 20
+SKETCHES = 3
+SKETCH_FACTORS = np.random.default_rng(41).integers(0, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def symbol(char: str) -> int:
@@ -200,6 +203,37 @@ class Reader:
         return found
 
 
+def sketches(labelled: DataFrame) -> DataFrame:
+    """(doc_id, toxic, s0, s1, ...): minima of the hashed 5-word shingles of each text; near copies share most of them."""
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = byte_texts(batch["text"])
+            for low, high in slices(map(len, texts), SLICE_BYTES):
+                least = np.zeros((high - low, SKETCHES), np.int64)
+                for i, hashes in enumerate(shingle_sets(texts[low:high], 5)):
+                    if len(hashes):
+                        least[i] = (hashes[None, :] * SKETCH_FACTORS[:, None]).min(axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch[c].slice(low, high - low) for c in ("doc_id", "toxic")), *(pa.array(least[:, n]) for n in range(SKETCHES))],
+                    names=["doc_id", "toxic", *(f"s{n}" for n in range(SKETCHES))])
+
+    kinds = ["doc_id bigint", "toxic int", *(f"s{n} bigint" for n in range(SKETCHES))]
+    return labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", "text").mapInArrow(sketch, ", ".join(kinds))
+
+
+def unlike(labelled: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of one document for each sketch and label, one sketch after the other.
+
+    A group of near copies keeps few of its documents, so that words of one text do not pass for evidence.
+    """
+    left = saved(sketches(labelled), "sketches")
+    for n in range(SKETCHES):
+        others = [f"s{m}" for m in range(SKETCHES) if m != n]
+        left = left.groupBy(f"s{n}", "toxic").agg(F.min(F.struct("doc_id", *others)).alias("one")).select(
+            "toxic", f"s{n}", "one.*")
+    return left.select("doc_id", "toxic").distinct()
+
+
 def feature_counts(labelled: DataFrame, model: np.ndarray) -> DataFrame:
     """(feature, toxic, clean): documents of (text, toxic) that hold the feature."""
     shared = labelled.sparkSession.sparkContext.broadcast(model)
@@ -230,14 +264,15 @@ class Scorer:
 
 
 def train(labelled: DataFrame, documents: DataFrame) -> Scorer:
-    """A scorer from (text, toxic) rows, each text once per label, and a character model from all documents.
+    """A scorer from (doc_id, text, toxic) rows, near copies once per label, and a character model from all documents.
 
     A feature is evidence if its log odds differ from the whole by more than chance would show among all features (twice
     the logarithm of their number, by the likelihood ratio); its weight is the log odds, drawn in by two
     standard errors.
     """
     model = character_model(documents)
-    once = saved(labelled.where("toxic is not null").select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["text", "toxic"]), "labelled")
+    marked = labelled.where("toxic is not null").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
+    once = saved(marked.join(unlike(marked), ["doc_id", "toxic"]).select("text", "toxic"), "labelled")
     sizes = {r["toxic"]: r["n"] for r in once.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = float(sum(n for k, n in sizes.items() if k == 1)), float(sum(n for k, n in sizes.items() if k != 1))
     bias = float(np.log((bad + 0.5) / (good + 0.5)))
