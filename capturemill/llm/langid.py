@@ -28,8 +28,8 @@ PROBES = 4
 LEAST_RATE = 1e-5
 LEAST_OF_BEST = 0.5
 SLICE_BYTES = 4 << 20
-# Words a task remembers.
-MOST_WORDS = 500_000
+# Words a task remembers, and texts it gets at a time.
+MOST_WORDS, TEXT_ROWS = 400_000, 1_000
 UNKNOWN = "und"
 LANE = 32
 
@@ -102,7 +102,7 @@ def train(docs: DataFrame, slots: int = SLOTS) -> Filters:
     width = max(1, -(-len(languages) // 64))
     table = np.zeros((slots, width), np.uint64)
     if languages:
-        counts = saved(gram_counts(known, languages).groupBy("gram", "language").agg(F.sum("n").alias("n")), "grams")
+        counts = saved(gram_counts(known, languages).groupBy("gram", "language").agg(F.sum("n").alias("n")), "grams", TEXT_ROWS)
         totals = {r["language"]: r["n"] for r in counts.groupBy("language").agg(F.sum("n").alias("n")).collect()}
         total = F.element_at(F.create_map(*[F.lit(x) for pair in totals.items() for x in pair]), F.col("language")) if totals else F.lit(1)
         rated = counts.withColumn("rate", F.col("n") / total)

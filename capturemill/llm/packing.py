@@ -26,6 +26,8 @@ CAPACITY = 2048
 SLICE_BYTES = 4 << 20
 # Words a Python worker remembers, and words in a line to encode.
 MOST_WORDS, LINE_WORDS = 1_000_000, 1_000
+# Texts a task gets at a time.
+TEXT_ROWS = 2_000
 SEPARATOR = "<|startoftext|>"
 GROUP_PIECES = 4000
 ROUNDS = 3
@@ -206,7 +208,7 @@ def pack(
     round they hold twice as many.  A full piece is a sequence of its own.  ``certified`` tells
     that the group of the piece uses as few sequences as its bound allows.  An empty table gives no rows.
     """
-    numbered = saved(pieces(docs, tokenizer, capacity).withColumn("uid", F.monotonically_increasing_id()), "pieces")
+    numbered = saved(pieces(docs, tokenizer, capacity).withColumn("uid", F.monotonically_increasing_id()), "pieces", TEXT_ROWS)
     full = numbered.where(F.col("length") == capacity).select(
         *NAMES, F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("certified"))
     rows = numbered.where(F.col("length") < capacity)
