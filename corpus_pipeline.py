@@ -32,6 +32,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     names = _names(docs)
     found = langid.identify(docs.withColumnsRenamed(names), filters, *names.values())
     least = min(LEAST_SHARE, 1.2 / max(len(filters.languages), 1))
+    # whole texts go through Python: written here, a task holds few of them at a time
+    found = saved(found, "language", langid.TEXT_ROWS)
     kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= least))
     return kept.select(*[F.col("lang_pred" if c == "lang" else n).alias(c) for c, n in names.items()])
 
