@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -41,9 +43,10 @@ def test_rows_of_the_model_are_probabilities(model):
 
 
 def test_held_out_labels_and_disguises(spark, documents):
-    good = ["the people were here", "some nice place today", "this is a good day", "we said hello to them"]
+    draw = random.Random(4)
+    plain = "the people were here some nice place today this is a good day we said hello to them and went home again".split()
     bad = ["idiot", "moron", "stupid", "clown"]
-    rows = [(i, f"{good[i % 4]} {good[i // 4 % 4]} number{i}" + (f" {bad[i // 5 % 4]} you" if i % 5 == 0 else "")) for i in range(400)]
+    rows = [(i, " ".join([*draw.choices(plain, k=14), *([bad[i // 5 % 4]] if i % 5 == 0 else []), *draw.choices(plain, k=5)])) for i in range(400)]
     disguised = [(1000, "the people were 1d10t here"), (1001, "this m0r0n said hello"), (1002, "you s t u p i d people"), (1003, "a clooooown today"),
                  (1004, "some nice place today"), (1005, None), (1006, "")]
     marks = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(400)] + [(9999, 1, 1), (3, 1, None)], "doc_id long, quality int, toxic int")
@@ -59,3 +62,14 @@ def test_edges(spark, documents, edges):
     got = toxicity.held_out_scores(documents(edges), none, F.coalesce(F.col("doc_id") % 5 == 0, F.lit(False))).collect()
     assert len(got) == len(edges) and all(r["score"] == pytest.approx(0.5) for r in got)
     assert toxicity.held_out_scores(documents([]), none, F.lit(False)).count() == 0
+
+
+def test_near_copies_count_once(spark, documents):
+    draw = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    base = draw.choices(words, k=60)
+    copies = [(i, " ".join([*base[:i % 60], draw.choice(words), *base[i % 60 + 1:]])) for i in range(200)]
+    others = [(1000 + i, " ".join(draw.choices(words, k=60))) for i in range(50)]
+    marked = documents(copies + others).selectExpr("doc_id", "text", "1 AS toxic")
+    kept = [r["doc_id"] for r in toxicity.unlike(marked).collect()]
+    assert sum(i < 1000 for i in kept) <= 20 and sum(i >= 1000 for i in kept) == 50
