@@ -22,6 +22,8 @@ from capturemill.llm.common import saved
 BLOCK_ROWS = 1024
 # Blocks of queries a tile holds in memory, and blocks of candidates it streams.
 TILE_QUERIES, TILE_CANDIDATES = 8, 16
+# Beyond this many tiles a task works through several, one after the other.
+MOST_TASKS = 20_000
 
 BLOCKS = "block bigint, role int, dim int, ids binary, vectors binary"
 
@@ -153,7 +155,7 @@ def search(
     row = F.when(F.col("role") == 0, F.array(F.pmod(deal, F.lit(across)))).otherwise(F.sequence(F.lit(0), F.lit(across - 1)).cast("array<bigint>"))
     tiles = blocks.withColumn("across", F.explode(row))
     column = F.when(F.col("role") == 1, F.array(F.pmod(deal, F.lit(down)))).otherwise(F.sequence(F.lit(0), F.lit(down - 1)).cast("array<bigint>"))
-    tiles = tiles.withColumn("down", F.explode(column)).repartition(across * down, "across", "down").sortWithinPartitions(
+    tiles = tiles.withColumn("down", F.explode(column)).repartition(min(across * down, MOST_TASKS), "across", "down").sortWithinPartitions(
         "across", "down", "role", "block")
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

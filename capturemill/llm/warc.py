@@ -24,6 +24,8 @@ from capturemill.sources.ranges import file_system
 
 MAGIC = b"\x1f\x8b\x08"
 RANGE_BYTES = 16 << 20
+# Beyond this many ranges a task reads several, one after the other.
+MOST_TASKS = 50_000
 BLOCK = 1 << 20
 # Payloads below this size are never stored as revisits.
 LEAST_REVISIT = 100
@@ -194,8 +196,8 @@ def read_archives(spark: SparkSession, archives: DataFrame, range_bytes: int = R
     """
     ranges = archives.where("bytes > 0").select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(range_bytes).cast("long"))).alias("start"))
     count = max(1, archives.agg(F.sum(F.ceil(F.col("bytes") / range_bytes))).first()[0] or 0)
-    # every range is a task of its own; ranges hold bytes, so rows need no balance
-    spread = ranges.repartition(int(count), "path", "start")
+    # ranges hold bytes, so rows need no balance
+    spread = ranges.repartition(min(int(count), MOST_TASKS), "path", "start")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
