@@ -1,25 +1,3 @@
-"""Table schemas as DDL.  Unsigned file types are widened; 64-bit ids must stay below 2**63."""
+"""Table schemas as DDL."""
 
-IMAGES = (
-    "capture_id bigint, image_id bigint, path string, name string, width int, height int, make string, model string"
-)
-KEYPOINTS = "capture_id bigint, image_id bigint, rows bigint"
-PAIRS = "capture_id bigint, pair_id bigint, rows bigint"
-OBSERVATIONS = "capture_id bigint, point3d_id bigint, image_id bigint"
-POINTS3D = (
-    "capture_id bigint, point3d_id bigint, x double, y double, z double, r smallint, g smallint, b smallint, "
-    "error double, track array<struct<image_id:bigint,point2d_idx:bigint>>"
-)
-POSES = (
-    "capture_id bigint, image_id bigint, q array<double>, t array<double>, camera_id bigint, name string, "
-    "n_points2d bigint"
-)
-VERTICES = (
-    "mesh_id bigint, vertex_id bigint, x float, y float, z float, r smallint, g smallint, b smallint, "
-    "views array<bigint>"
-)
-FACES = "mesh_id bigint, face_id bigint, v0 bigint, v1 bigint, v2 bigint"
-OBJ_CORNERS = "mesh_id bigint, face_id bigint, corner int, v_idx bigint, vt_idx bigint, pos bigint"
 LOG_LINES = "run_id bigint, tool string, seq bigint, ts timestamp, line string"
-ARTIFACTS = "capture_id bigint, name string, size bigint"
-DEVICES = "host string, probe string, name string"
