@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,11 +25,17 @@ COUNT = "<Q"
 TRACK_ITEM_BYTES = 8
 POINT2D_BYTES = 24
 LARGEST_ID = 2**63 - 1
+POINT = np.dtype([("id", "<u8"), ("x", "<f8"), ("y", "<f8"), ("z", "<f8"), ("r", "u1"), ("g", "u1"), ("b", "u1"), ("error", "<f8"), ("length", "<u8")])
+BLOCK_BYTES = 8 << 20
 
 POINT_COLUMNS = (
     "path string, point3d_id bigint, x double, y double, z double, r smallint, g smallint, b smallint, error double, "
     "track array<struct<image_id:bigint,point2d_idx:bigint>>, problem string"
 )
+POINT_ARROW = pa.schema([
+    ("path", pa.string()), ("point3d_id", pa.int64()), *((c, pa.float64()) for c in "xyz"), *((c, pa.int16()) for c in "rgb"),
+    ("error", pa.float64()), ("track", pa.list_(pa.struct([("image_id", pa.int64()), ("point2d_idx", pa.int64())]))), ("problem", pa.string()),
+])
 POSE_COLUMNS = (
     "path string, image_id bigint, q array<double>, t array<double>, camera_id bigint, name string, "
     "n_points2d bigint, problem string"
@@ -57,21 +64,75 @@ def load_sparse_points(
         cursor.skip(struct.calcsize(POINT_RECORD))
         cursor.skip(_take(cursor, COUNT)[0] * TRACK_ITEM_BYTES)
 
-    def point(cursor: FileCursor) -> tuple:
-        ident, x, y, z, r, g, b, error = _take(cursor, POINT_RECORD)
-        if ident > LARGEST_ID:
-            raise ValueError(f"point id {ident} does not fit a signed 64-bit number")
-        length = _take(cursor, COUNT)[0]
-        track = None
-        if tracks:
-            items = np.frombuffer(cursor.take(length * TRACK_ITEM_BYTES), dtype="<u4")
-            pairs = items[: len(items) // 2 * 2].reshape(-1, 2).tolist()
-            track = [{"image_id": i, "point2d_idx": p} for i, p in pairs]
-        else:
-            cursor.skip(length * TRACK_ITEM_BYTES)
-        return ident, x, y, z, r, g, b, error, track
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                yield from _point_batches(r["path"], r["at"], r["records"], r["problem"], tracks)
+
+    ranges = _ranges(spark, path, "points3D.bin", hop, split_bytes)
+    return ranges.mapInArrow(decode, POINT_COLUMNS).withColumn("capture_id", capture(F.col("path")))
+
 
-    return _decoded(spark, path, "points3D.bin", hop, point, POINT_COLUMNS, capture, split_bytes)
+def _point_batches(file: str, at: int, count: int, problem: str | None, tracks: bool) -> Iterator[pa.RecordBatch]:
+    """Points of one range, decoded block by block: a walk over the track lengths finds the records, arrays the rest.
+
+    A track that the file cuts short keeps its whole items.
+    """
+    head = POINT.itemsize
+    cursor = FileCursor(file, at)
+    data, left = b"", 0 if problem else count
+    try:
+        while left and not problem:
+            data += cursor.take(BLOCK_BYTES)
+            ended = cursor.left == 0
+            places, sizes, place = [], [], 0
+            while left and place + head <= len(data):
+                size = int.from_bytes(data[place + head - 8:place + head], "little") * TRACK_ITEM_BYTES
+                if place + head + size > len(data):
+                    if not ended:
+                        break
+                    size = (len(data) - place - head) // TRACK_ITEM_BYTES * TRACK_ITEM_BYTES
+                    places.append(place)
+                    sizes.append(size)
+                    place, left = len(data), left - 1
+                    break
+                places.append(place)
+                sizes.append(size)
+                place, left = place + head + size, left - 1
+            found, problem = _points_at(file, data, np.array(places, np.int64), np.array(sizes, np.int64), tracks)
+            if found.num_rows:
+                yield found
+            data = data[place:]
+            if left and ended and not problem:
+                fixed = struct.calcsize(POINT_RECORD)
+                problem = f"file ends {(fixed if len(data) < fixed else head) - len(data)} bytes early"
+    finally:
+        cursor.close()
+    if problem:
+        yield pa.RecordBatch.from_pylist([{"path": file, "problem": problem}], schema=POINT_ARROW)
+
+
+def _points_at(file: str, data: bytes, places: np.ndarray, sizes: np.ndarray, tracks: bool) -> tuple[pa.RecordBatch, str | None]:
+    """Records at some places of a block, up to the first whose id does not fit; and what is wrong with that."""
+    raw = np.frombuffer(data, np.uint8)
+    rows = raw[places[:, None] + np.arange(POINT.itemsize)].view(POINT).ravel() if len(places) else np.zeros(0, POINT)
+    large = np.flatnonzero(rows["id"] > LARGEST_ID)
+    problem = None
+    if len(large):
+        problem = f"point id {rows['id'][large[0]]} does not fit a signed 64-bit number"
+        rows, places, sizes = rows[:large[0]], places[:large[0]], sizes[:large[0]]
+    track = pa.nulls(len(rows), POINT_ARROW.field("track").type)
+    if tracks:
+        ends = np.cumsum(sizes)
+        at = np.arange(int(sizes.sum())) + np.repeat(places + POINT.itemsize - (ends - sizes), sizes)
+        items = raw[at].view("<u4").astype(np.int64).reshape(-1, 2)
+        pairs = pa.StructArray.from_arrays([pa.array(items[:, 0]), pa.array(items[:, 1])], ["image_id", "point2d_idx"])
+        offsets = np.concatenate([[0], ends // TRACK_ITEM_BYTES]).astype(np.int32)
+        track = pa.ListArray.from_arrays(offsets, pairs)
+    columns = [pa.array([file] * len(rows), pa.string()), pa.array(rows["id"].astype(np.int64))]
+    columns += [pa.array(rows[c]) for c in "xyz"] + [pa.array(rows[c].astype(np.int16)) for c in "rgb"]
+    columns += [pa.array(rows["error"]), track, pa.nulls(len(rows), pa.string())]
+    return pa.RecordBatch.from_arrays(columns, schema=POINT_ARROW), problem
 
 
 def load_poses(
@@ -97,10 +158,8 @@ def load_poses(
 RANGE_COLUMNS = "path string, at bigint, records bigint, problem string"
 
 
-def _decoded(spark, path, file_name, hop, record, columns, capture, split_bytes) -> DataFrame:
-    names = [field.split(" ")[0] for field in columns.replace("array<struct<", "").split(", ")]
-    width = len(names) - 2
-
+def _ranges(spark: SparkSession, path: str, file_name: str, hop: Callable[[FileCursor], None], split_bytes: int) -> DataFrame:
+    """Ranges of records (path, at, records, problem) of all files of a name; a large file is hopped through by one task."""
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
@@ -118,6 +177,18 @@ def _decoded(spark, path, file_name, hop, record, columns, capture, split_bytes)
                     cursor.close()
             yield pd.DataFrame(rows, columns=["path", "at", "records", "problem"])
 
+    slots = spark.sparkContext.defaultParallelism
+    files = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", file_name)
+        .load(path).select("path", "length").repartition(slots)
+    )
+    return files.mapInPandas(cut, RANGE_COLUMNS).repartition(slots, "path", "at")
+
+
+def _decoded(spark, path, file_name, hop, record, columns, capture, split_bytes) -> DataFrame:
+    names = [field.split(" ")[0] for field in columns.split(", ")]
+    width = len(names) - 2
+
     def rows_of(file: str, at: int, count: int, problem: str | None) -> Iterator[tuple]:
         cursor = FileCursor(file, at)
         try:
@@ -138,12 +209,7 @@ def _decoded(spark, path, file_name, hop, record, columns, capture, split_bytes)
                         name: pd.Series([row[i] for row in rows], dtype=object) for i, name in enumerate(names)
                     })
 
-    slots = spark.sparkContext.defaultParallelism
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", file_name)
-        .load(path).select("path", "length").repartition(slots)
-    )
-    ranges = files.mapInPandas(cut, RANGE_COLUMNS).repartition(slots, "path", "at")
+    ranges = _ranges(spark, path, file_name, hop, split_bytes)
     return ranges.mapInPandas(decode, columns).withColumn("capture_id", capture(F.col("path")))
 
 
