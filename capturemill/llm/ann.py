@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from capturemill.llm.common import saved
+from capturemill.llm.common import releasing, saved
 
 BLOCK_ROWS = 1024
 # Blocks of queries a tile holds in memory, and blocks of candidates it streams.
@@ -87,7 +87,7 @@ def packed_blocks(vectors: DataFrame, id_column: str, vector_column: str, is_que
 
     return vectors.select(
         F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("vector"), is_query.alias("asks"),
-    ).mapInArrow(pack, BLOCKS)
+    ).mapInArrow(releasing(pack), BLOCKS)
 
 
 class QueryBlock:
@@ -184,7 +184,7 @@ def search(
                             query.meet(ids, rows, q)
         yield from ended()
 
-    found = tiles.mapInArrow(multiply, "query_row bigint, query_id bigint, vec_id bigint, score double")
+    found = tiles.mapInArrow(releasing(multiply), "query_row bigint, query_id bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")

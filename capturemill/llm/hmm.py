@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from capturemill.llm.common import WordNumbers, byte_texts, number_words, saved, slices
+from capturemill.llm.common import WordNumbers, byte_texts, number_words, releasing, saved, slices
 
 STATES = 8
 # At most 60,000 words are symbols and at most 1,000,000 are known to every task, whatever the corpus is.
@@ -67,7 +67,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         if len(numbers):
             yield pa.RecordBatch.from_arrays([pa.array(numbers.words(), pa.binary()), pa.array(total)], names=["word", "n"])
 
-    return docs.select("text").mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(releasing(count), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def class_masses(counts: DataFrame) -> DataFrame:
@@ -79,7 +79,7 @@ def class_masses(counts: DataFrame) -> DataFrame:
             total += np.bincount(of, weights=batch["n"].to_numpy() + 0.5, minlength=SUFFIX_CLASSES)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(SUFFIX_CLASSES)), pa.array(total)], names=["class", "mass"])
 
-    return counts.select("word", "n").mapInArrow(add, "class bigint, mass double").groupBy("class").agg(F.sum("mass").alias("mass"))
+    return counts.select("word", "n").mapInArrow(releasing(add), "class bigint, mass double").groupBy("class").agg(F.sum("mass").alias("mass"))
 
 
 @dataclass
@@ -159,7 +159,7 @@ def encoded(docs: DataFrame, held_out: Column, vocabulary: Vocabulary) -> DataFr
                     pa.array(rare, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32())),
                 ], names=[part.split()[0] for part in ENCODED.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text").mapInArrow(encode, ENCODED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text").mapInArrow(releasing(encode), ENCODED)
 
 
 @dataclass
@@ -255,7 +255,7 @@ def baum_welch(rows: DataFrame, chain: Chain, masses: np.ndarray) -> Chain:
         values = np.concatenate([emitted[some], moves])
         yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(values[:, k]) for k in range(states))], names=["symbol", *names])
 
-    summed = rows.select("symbols").mapInArrow(expect, ", ".join(["symbol bigint", *(f"{n} double" for n in names)])).groupBy("symbol").agg(
+    summed = rows.select("symbols").mapInArrow(releasing(expect), ", ".join(["symbol bigint", *(f"{n} double" for n in names)])).groupBy("symbol").agg(
         *[F.sum(n).alias(n) for n in names]).toPandas()
     shared.unpersist()
     keys, values = summed["symbol"].to_numpy(np.int64), summed[names].to_numpy(np.float64)
@@ -299,7 +299,7 @@ def forward_scores(rows: DataFrame, chain: Chain) -> DataFrame:
                     names=[*(c for c in batch.schema.names if c != "symbols"), "chain"])
 
     kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "symbols"]
-    return rows.mapInArrow(score, ", ".join([*kinds, "chain double"]))
+    return rows.mapInArrow(releasing(score), ", ".join([*kinds, "chain double"]))
 
 
 def train(rows: DataFrame, masses: np.ndarray, states: int = STATES) -> Chain:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from capturemill.llm.common import WordNumbers, byte_texts, number_words, saved, slices
+from capturemill.llm.common import WordNumbers, byte_texts, number_words, releasing, saved, slices
 
 ORDERS = (2, 3, 4)
 SLOTS = 1 << 20
@@ -70,7 +70,7 @@ def gram_counts(docs: DataFrame, languages: list[str]) -> DataFrame:
                 held = {}
         yield from _counted(held)
 
-    return docs.select("text", "lang").mapInArrow(count, "gram string, language int, n bigint")
+    return docs.select("text", "lang").mapInArrow(releasing(count), "gram string, language int, n bigint")
 
 
 def _counted(held: dict[int, tuple[WordNumbers, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +211,7 @@ def identify(docs: DataFrame, filters: Filters, *carry: str) -> DataFrame:
                     [*(batch[n].slice(low, high - low) for n in names.values()), pa.array(found, pa.string()), pa.array(scores)],
                     names=[*names.values(), "lang_pred", "score"])
 
-    out = chosen.mapInArrow(score, ", ".join([*(f"{n} {types[n]}" for n in names.values()), "lang_pred string", "score double"]))
+    out = chosen.mapInArrow(releasing(score), ", ".join([*(f"{n} {types[n]}" for n in names.values()), "lang_pred string", "score double"]))
     return out.select(*[F.col(n).alias(c) for c, n in names.items()], "lang_pred", "score")
 
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from capturemill.llm.common import WordNumbers, byte_texts, number_words, saved, slices
+from capturemill.llm.common import WordNumbers, byte_texts, number_words, releasing, saved, slices
 from capturemill.operators.graph import connected_components
 from capturemill.session import SMALL_TABLE_ROWS
 
@@ -111,7 +111,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                     pa.array(packed, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64())),
                 ], names=["doc_id", "n_shingles", "digest", "signature", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, SIGNATURES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(releasing(sign), SIGNATURES)
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -151,7 +151,7 @@ def shingle_table(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 ], names=["doc_id", "hashes"])
 
     wanted = _some_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids)
-    return saved(wanted.mapInArrow(sets, "doc_id bigint, hashes binary").dropDuplicates(["doc_id"]), "sets", TEXT_ROWS)
+    return saved(wanted.mapInArrow(releasing(sets), "doc_id bigint, hashes binary").dropDuplicates(["doc_id"]), "sets", TEXT_ROWS)
 
 
 def confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -167,7 +167,7 @@ def confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
     joined = pairs.join(sets.select(F.col("doc_id").alias("v"), F.col("hashes").alias("b")), "v").join(
         sets.select(F.col("doc_id").alias("u"), F.col("hashes").alias("a")), "u")
-    return joined.select("u", "v", "a", "b").mapInArrow(compare, "u bigint, v bigint")
+    return joined.select("u", "v", "a", "b").mapInArrow(releasing(compare), "u bigint, v bigint")
 
 
 def _candidates(tile: pa.Table, first: np.ndarray, second: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -235,8 +235,8 @@ def tile_links(tile: pa.Table, first: np.ndarray, second: np.ndarray, least: flo
     return out
 
 
-def over_tiles(members: DataFrame, group: str, step: Callable[..., list[tuple[int, int]]], *args) -> DataFrame:
-    """Distinct (u, v) that ``step`` finds in the tiles of members (group, blocks, doc_id, component, signature, ...).
+def over_tiles(members: DataFrame, group: str, compare: Callable[..., list[tuple[int, int]]], *args) -> DataFrame:
+    """Distinct (u, v) that ``compare`` finds in the tiles of members (group, blocks, doc_id, component, signature, ...).
 
     A group is cut into blocks of about ``TILE`` members, and two blocks meet in one task.  Tiles are read one after
     the other, so a task holds one tile and one batch.
@@ -270,9 +270,9 @@ def over_tiles(members: DataFrame, group: str, step: Callable[..., list[tuple[in
                 tile = table.slice(low, high - low).combine_chunks()
                 own, i, j = (tile[c].to_numpy() for c in ("own", "i", "j"))
                 first = np.flatnonzero(own == i[0])
-                found.update(step(tile, first, first if i[0] == j[0] else np.flatnonzero(own == j[0]), *args))
+                found.update(compare(tile, first, first if i[0] == j[0] else np.flatnonzero(own == j[0]), *args))
 
-    return spread.mapInArrow(cross, "u bigint, v bigint").distinct()
+    return spread.mapInArrow(releasing(cross), "u bigint, v bigint").distinct()
 
 
 def _mixed_members(shared: DataFrame, parts: DataFrame, marks: DataFrame) -> DataFrame:

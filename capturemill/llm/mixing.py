@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from capturemill.llm.common import WORD, saved
+from capturemill.llm.common import WORD, releasing, saved
 from capturemill.operators.numbering import running_folds
 from capturemill.session import small_side
 
@@ -181,7 +181,7 @@ def _placed_blocks(blocks: DataFrame, quotas: DataFrame, shard_blocks: int, seed
                 [batch["source_no"], batch["block"], batch["left"], batch["block_size"], batch["opened"], lists],
                 names=["source_no", "block", "left", "block_size", "opened", "placed"])
 
-    return blocks.mapInArrow(place, "source_no bigint, block bigint, left double, block_size bigint, opened boolean, placed array<bigint>")
+    return blocks.mapInArrow(releasing(place), "source_no bigint, block bigint, left double, block_size bigint, opened boolean, placed array<bigint>")
 
 
 def drawn(mixed: DataFrame) -> DataFrame:

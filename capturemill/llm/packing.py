@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capturemill.llm.common import byte_texts, gather_runs, number_words, saved, slices
+from capturemill.llm.common import byte_texts, gather_runs, number_words, releasing, saved, slices
 
 CAPACITY = 2048
 # Text bytes a task tokenizes at a time.
@@ -127,7 +127,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids:
                 yield pa.RecordBatch.from_arrays(columns, names=[*NAMES, "ids"][:len(columns)])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        cut, PIECES + (", ids array<bigint>" if keep_ids else ""))
+        releasing(cut), PIECES + (", ids array<bigint>" if keep_ids else ""))
 
 
 NAMES = ["doc_id", "piece", "start", "length", "ids_crc32"]

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capturemill.llm.common import byte_texts, gather_runs, saved, scratch, slices
+from capturemill.llm.common import byte_texts, gather_runs, releasing, saved, scratch, slices
 from capturemill.llm.suffixes import suffix_array
 from capturemill.sources.ranges import file_system
 
@@ -166,7 +166,7 @@ def write_chunks(docs: DataFrame, carry: list[str], chunk_bytes: int) -> DataFra
                 yield pa.RecordBatch.from_pydict({"chunk": [path]})
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("__id"), F.col("text").alias("__text"), *[f"`{c}`" for c in carry])
-    return saved(rows.mapInArrow(cut, "chunk string"), "chunks", TEXT_ROWS)
+    return saved(rows.mapInArrow(releasing(cut), "chunk string"), "chunks", TEXT_ROWS)
 
 
 def sent_runs(chunks: DataFrame, range_bits: int) -> DataFrame:
@@ -187,7 +187,7 @@ def sent_runs(chunks: DataFrame, range_bits: int) -> DataFrame:
                     "runs": [part.tobytes() for part in np.split(sent, edges[1:])] if len(edges) else []},
                     schema=pa.schema([("chunk", pa.string()), ("span", pa.int64()), ("runs", pa.binary())]))
 
-    return chunks.mapInArrow(send, "chunk string, span bigint, runs binary")
+    return chunks.mapInArrow(releasing(send), "chunk string, span bigint, runs binary")
 
 
 def repeated_runs(sent: DataFrame, hot_runs: int) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from capturemill.llm.common import WordNumbers, byte_texts, gather_runs, number_words, saved, slices
+from capturemill.llm.common import WordNumbers, byte_texts, gather_runs, number_words, releasing, saved, slices
 from capturemill.llm.minhash import shingle_sets
 from capturemill.session import small_side
 
@@ -82,7 +82,7 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["trigram", "n"])
 
-    return docs.select("text").mapInArrow(count, "trigram bigint, n bigint").groupBy("trigram").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(releasing(count), "trigram bigint, n bigint").groupBy("trigram").agg(F.sum("n").alias("n"))
 
 
 def character_model(docs: DataFrame) -> np.ndarray:
@@ -218,7 +218,7 @@ def sketches(labelled: DataFrame) -> DataFrame:
                     names=["doc_id", "toxic", *(f"s{n}" for n in range(SKETCHES))])
 
     kinds = ["doc_id bigint", "toxic int", *(f"s{n} bigint" for n in range(SKETCHES))]
-    return labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", "text").mapInArrow(sketch, ", ".join(kinds))
+    return labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", "text").mapInArrow(releasing(sketch), ", ".join(kinds))
 
 
 def unlike(labelled: DataFrame) -> DataFrame:
@@ -251,7 +251,7 @@ def feature_counts(labelled: DataFrame, model: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(reader.numbers.keys(), pa.string()), pa.array(toxic), pa.array(both - toxic)], names=["feature", "toxic", "clean"])
 
-    return labelled.select("text", "toxic").mapInArrow(count, "feature string, toxic bigint, clean bigint").groupBy("feature").agg(
+    return labelled.select("text", "toxic").mapInArrow(releasing(count), "feature string, toxic bigint, clean bigint").groupBy("feature").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
@@ -272,7 +272,7 @@ def train(labelled: DataFrame, documents: DataFrame) -> Scorer:
     """
     model = character_model(documents)
     marked = labelled.where("toxic is not null").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    once = saved(marked.join(unlike(marked), ["doc_id", "toxic"]).select("text", "toxic"), "labelled")
+    once = saved(marked.join(small_side(unlike(marked)), ["doc_id", "toxic"]).select("text", "toxic"), "labelled")
     sizes = {r["toxic"]: r["n"] for r in once.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = float(sum(n for k, n in sizes.items() if k == 1)), float(sum(n for k, n in sizes.items() if k != 1))
     bias = float(np.log((bad + 0.5) / (good + 0.5)))
@@ -327,7 +327,7 @@ def score(docs: DataFrame, scorer: Scorer, *carry: str) -> DataFrame:
                     names=[*carry, "score"])
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]]
-    return chosen.mapInArrow(rate, ", ".join([*kinds, "score double"]))
+    return chosen.mapInArrow(releasing(rate), ", ".join([*kinds, "score double"]))
 
 
 def held_out_scores(docs: DataFrame, labels: DataFrame, fold: Column) -> DataFrame:

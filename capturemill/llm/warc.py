@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capturemill.llm.common import byte_texts, saved, scratch
+from capturemill.llm.common import byte_texts, releasing, saved, scratch
 from capturemill.sources.ranges import file_system
 
 MAGIC = b"\x1f\x8b\x08"
@@ -100,7 +100,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, date: str = "200
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [path], "bytes": [size], "records": [records]})
 
-    return saved(plan_records(pages).mapInArrow(write, "path string, bytes bigint, records bigint"), "warc-list")
+    return saved(plan_records(pages).mapInArrow(releasing(write), "path string, bytes bigint, records bigint"), "warc-list")
 
 
 class RangeReader:
@@ -216,7 +216,7 @@ def read_archives(spark: SparkSession, archives: DataFrame, range_bytes: int = R
                 if rows:
                     yield _batch(rows, payloads, with_payload)
 
-    return spread.mapInArrow(read, RECORDS + (", payload binary" if with_payload else ""))
+    return spread.mapInArrow(releasing(read), RECORDS + (", payload binary" if with_payload else ""))
 
 
 def _batch(rows: list[tuple], payloads: list[bytes | None], with_payload: bool) -> pa.RecordBatch:
