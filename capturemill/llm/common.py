@@ -58,6 +58,17 @@ def releasing(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
     return run
 
 
+def releasing_groups(function: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """The same for a step that handles one group after the other."""
+    @functools.wraps(function)
+    def run(table: pa.Table) -> pa.Table:
+        out = function(table)
+        give_back()
+        return out
+
+    return run
+
+
 def give_back() -> None:
     """Return freed memory to the system, where the C library can."""
     gc.collect()

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from capturemill.llm.common import byte_texts, gather_runs, releasing, saved, scratch, slices
+from capturemill.llm.common import byte_texts, gather_runs, releasing, releasing_groups, saved, scratch, slices
 from capturemill.llm.suffixes import suffix_array
 from capturemill.sources.ranges import file_system
 
@@ -208,7 +208,7 @@ def repeated_runs(sent: DataFrame, hot_runs: int) -> DataFrame:
             out["hot"].append(np.packbits(times[part] > hot_runs).tobytes())
         return pa.table(out, schema=pa.schema([("chunk", pa.string()), ("runs", pa.binary()), ("hot", pa.binary())]))
 
-    return sent.groupBy("span").applyInArrow(pick, "chunk string, runs binary, hot binary")
+    return sent.groupBy("span").applyInArrow(releasing_groups(pick), "chunk string, runs binary, hot binary")
 
 
 def meetings(repeated: DataFrame, range_bits: int) -> DataFrame:
@@ -247,7 +247,7 @@ def meetings(repeated: DataFrame, range_bits: int) -> DataFrame:
             "bytes": [zstandard.compress(_around(chunk.data, at[a:b], meet[a:b]).tobytes(), 1) for a, b in zip(bounds[:-1], bounds[1:], strict=True)],
         }, schema=pa.schema([("chunk", pa.string()), ("span", pa.int64()), ("runs", pa.binary()), ("bytes", pa.binary())]))
 
-    return repeated.groupBy("chunk").applyInArrow(send, "chunk string, span bigint, runs binary, bytes binary")
+    return repeated.groupBy("chunk").applyInArrow(releasing_groups(send), "chunk string, span bigint, runs binary, bytes binary")
 
 
 def _hash_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -349,7 +349,7 @@ def settled_runs(meeting: DataFrame) -> DataFrame:
             "chunk": [names[of[some[a]]] for a in edges.tolist()], "settled": [out[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)],
         }, schema=pa.schema([("chunk", pa.string()), ("settled", pa.binary())]))
 
-    return meeting.groupBy("span").applyInArrow(settle, "chunk string, settled binary")
+    return meeting.groupBy("span").applyInArrow(releasing_groups(settle), "chunk string, settled binary")
 
 
 def covered(chunk: Chunk, settled: list[bytes]) -> np.ndarray:
@@ -417,5 +417,5 @@ def without_repeats(docs: DataFrame, *carry: str, with_text: bool = False, chunk
         columns += [pa.array(kept, pa.string()), pa.array(stretches, spans_type)] if with_text else []
         return pa.table(columns, names=[*names, *(r.split()[0] for r in results)])
 
-    done = parts.groupBy("chunk").applyInArrow(finish, ", ".join([*kinds, *results]))
+    done = parts.groupBy("chunk").applyInArrow(releasing_groups(finish), ", ".join([*kinds, *results]))
     return done.select(*[F.col(n).alias(c) for n, c in zip(names, carry, strict=True)], *[r.split()[0] for r in results])
