@@ -128,7 +128,7 @@ def mix(
         F.first("blocks").alias("blocks"), F.first("passes").alias("passes"),
         F.sum(F.col("opened").cast("long")).alias("opened_blocks")))
     chosen = dealt.select(*sized.columns, "source_no", "source_size", "target", "passes", "block").join(
-        _placed_blocks(blocks, quotas, shard_blocks, seed), ["source_no", "block"])
+        small_side(_placed_blocks(blocks, quotas, shard_blocks, seed)), ["source_no", "block"])
     split = F.col("opened") & (F.col("left") < F.col("block_size"))
     chosen = chosen.withColumn("once_more", F.col("opened").cast("int"))
     # one block of each source is cut: about block_docs rows
