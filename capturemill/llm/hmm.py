@@ -31,8 +31,7 @@ END = 0
 WINDOW = 256
 # Windows a task handles side by side.
 SIDE_BY_SIDE = 1024
-# Baum-Welch starts on one in START_SHARE of the training texts, then runs over all of them.
-START_SHARE, START_ROUNDS, ROUNDS = 16, 10, 2
+ROUNDS = 12
 SMOOTHING = 20.0
 SLICE_BYTES = 8 << 20
 MOST_WORDS = 1_000_000
@@ -236,7 +235,7 @@ def expected_counts(symbols: list[np.ndarray], chain: Chain) -> tuple[np.ndarray
 
 
 def baum_welch(rows: DataFrame, chain: Chain, masses: np.ndarray) -> Chain:
-    """One round over all texts of ``rows``: counts are summed up across tasks by symbol."""
+    """One round over all texts of ``rows``: counts are summed up across tasks by symbol.  Without texts the chain stays as it is."""
     shared = rows.sparkSession.sparkContext.broadcast(chain)
     states = chain.step.shape[0]
     names = [f"s{k}" for k in range(states)]
@@ -262,6 +261,8 @@ def baum_welch(rows: DataFrame, chain: Chain, masses: np.ndarray) -> Chain:
     emitted, moves = np.zeros_like(chain.emit), np.zeros((2 + states, states))
     emitted[keys[keys >= 0]] = values[keys >= 0]
     moves[-1 - keys[keys < 0]] = values[keys < 0]
+    if not emitted.any():
+        return chain
     share = masses / masses.sum()
     emit = emitted + SMOOTHING * share[:, None]
     start, middle, step = moves[0] + 0.1, moves[1] + 0.1, moves[2:] + 0.1
@@ -303,11 +304,8 @@ def forward_scores(rows: DataFrame, chain: Chain) -> DataFrame:
 
 
 def train(rows: DataFrame, masses: np.ndarray, states: int = STATES) -> Chain:
-    """Baum-Welch on a share of the texts to find the states, then over all of them."""
+    """Baum-Welch, every round over all texts."""
     chain = first_chain(masses, states)
-    some = saved(rows.where(F.pmod(F.xxhash64("uid"), F.lit(START_SHARE)) == 0).select("symbols"), "hmm-start")
-    for _ in range(START_ROUNDS):
-        chain = baum_welch(some, chain, masses)
     for _ in range(ROUNDS):
         chain = baum_welch(rows, chain, masses)
     return chain

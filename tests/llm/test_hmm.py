@@ -86,3 +86,30 @@ def test_no_training_rows(spark, documents):
     got = hmm.scores(documents([(1, "a b"), (2, None)]), F.lit(True), states=2).collect()
     assert sorted((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"]) for r in got) == [(1, 3, 0, 0), (2, 1, 0, 0)]
     assert hmm.scores(documents([]), F.lit(False), states=2).count() == 0
+
+
+def test_every_round_sees_all_training_texts(spark, documents, monkeypatch):
+    docs = documents([(i, "a b a c" if i % 2 else "d e d f") for i in range(20)])
+    v = hmm.vocabulary(hmm.word_counts(docs), 20)
+    rows = hmm.encoded(docs, F.lit(False), v).withColumn("uid", F.col("doc_id"))
+    seen, once = [], hmm.baum_welch
+    monkeypatch.setattr(hmm, "baum_welch", lambda part, chain, masses: seen.append(part.count()) or once(part, chain, masses))
+    hmm.train(rows, v.masses, 2)
+    assert set(seen) == {20}
+
+
+def test_states_part_whatever_the_ids_are(spark, documents):
+    docs = documents([(i, "a b a c" if i % 2 else "d e d f") for i in range(40)])
+    v = hmm.vocabulary(hmm.word_counts(docs), 40)
+    rows = hmm.encoded(docs, F.lit(False), v).withColumn("uid", F.col("doc_id")).where(F.pmod(F.xxhash64("uid"), F.lit(16)) != 0)
+    assert rows.count() >= 20
+    chain = hmm.train(rows, v.masses, 2)
+    assert np.abs(chain.emit[:, 0] - chain.emit[:, 1]).max() > 0.05
+
+
+def test_a_round_without_texts_changes_nothing(spark, documents):
+    docs = documents([(1, "a b"), (2, "c")])
+    v = hmm.vocabulary(hmm.word_counts(docs), 2)
+    first = hmm.first_chain(v.masses, 3)
+    after = hmm.baum_welch(hmm.encoded(docs, F.lit(True), v).where("not held_out"), first, v.masses)
+    assert np.array_equal(after.emit, first.emit) and np.array_equal(after.step, first.step)
