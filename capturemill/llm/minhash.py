@@ -324,17 +324,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     if best.limit(1).count():
         links = saved(links.unionByName(confirmed(sets, best, percent)), "links", PAIR_ROWS)
         parts = _components(links)
-        members = _mixed_members(shared, parts, marks)
-        # candidates that are still apart, gathered in clusters so that each is compared with its sets once
-        ties = saved(over_tiles(members, "bucket", candidate_ties, least), "ties")
-        if ties.limit(1).count():
-            clusters = saved(_components(ties).select("doc_id", F.col("component").alias("cluster")), "clusters")
-            sizes = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("blocks"))
-            apart = clusters.join(sizes, "cluster").join(parts, "doc_id", "left").select(
-                "cluster", "blocks", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-            apart = apart.join(marks, "doc_id").join(sets, "doc_id")
-            links = links.unionByName(saved(over_tiles(apart, "cluster", tile_links, least, percent), "links", PAIR_ROWS))
-            parts = _components(links)
+    # candidates that are still apart, gathered in clusters so that each is compared with its sets once; a best pair
+    # that has been tested says nothing of the other pairs of its components
+    ties = saved(over_tiles(_mixed_members(shared, parts, marks), "bucket", candidate_ties, least), "ties")
+    if ties.limit(1).count():
+        clusters = saved(_components(ties).select("doc_id", F.col("component").alias("cluster")), "clusters")
+        sizes = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("blocks"))
+        apart = clusters.join(sizes, "cluster").join(parts, "doc_id", "left").select(
+            "cluster", "blocks", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+        apart = apart.join(marks, "doc_id").join(sets, "doc_id")
+        links = links.unionByName(saved(over_tiles(apart, "cluster", tile_links, least, percent), "links", PAIR_ROWS))
+        parts = _components(links)
 
     named = classes.join(parts, F.col("rep") == F.col("doc_id"), "left").select(
         "digest", F.coalesce("component", "rep").alias("component_id"))

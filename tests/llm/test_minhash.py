@@ -82,3 +82,19 @@ def test_estimate_follows_similarity(spark, share):
     near = spark.createDataFrame([(signs[0].tolist(), signs[1].tolist())], "a array<long>, b array<long>").select(
         minhash.estimate(F.col("a"), F.col("b"))).first()[0]
     assert abs(near - same / (4000 - same)) < 0.16
+
+
+def test_a_tested_best_pair_does_not_hide_a_link(documents):
+    """2-3 are linked, 1-2 failed and has the best estimate of the two components, 1-3 is a link met in no bucket without 2."""
+    three = (
+        "w436349 x171796 w597818 w380159 w602067 w290547 w492889 w35320 w294481 w134364 w706747 w365666 w206648 w53620 "
+        "w878204 w987608 w261354 x358051 w618867 x882393 w339906 x394941 w860050 w194632 w895655 w429005 w101299 w60636 "
+        "w940735 w909952 w316010 w395870 w870427 w793367 w341665 w505860 w702021 w308065 w958231 w40132"
+    ).split()
+    one, two = list(three), list(three)
+    for words, edits in ((one, {13: "x898413", 19: "x29320", 23: "x482618", 24: "x977677"}), (two, {0: "x621526", 23: "x108603"})):
+        for place, word in edits.items():
+            words[place] = word
+    rows = [(1, " ".join(one)), (2, " ".join(two)), (3, " ".join(three))]
+    got = minhash.near_duplicates(documents(rows), width=1, percent=80)
+    assert sorted(map(tuple, got.collect())) == brute(rows, 1, 80) == [(1, 40, 1, True), (2, 40, 1, False), (3, 40, 1, False)]
