@@ -1,8 +1,9 @@
 """Toxicity scores of restored text: a noisy channel undoes leetspeak, spacing and repetition.
 
 Every token is a lattice: a sign may stand for letters it looks like, a separator between
-letters for nothing, a run of one letter for one or two of them.  A Viterbi search under a character
+letters for nothing, a run of two or more equal letters for one or two of them.  A Viterbi search under a character
 trigram model, learnt from the words of all documents, picks the path.  Tokens whose lattice has a single path need no search.
+A token of signs only may also stay as it is; it, and a word with doubled letters, is read as it is written besides.
 Runs of single characters are tried as one spaced-out word besides.
 
 The scorer adds up evidence weights of words and word beginnings of the restored text.
@@ -10,6 +11,7 @@ The scorer adds up evidence weights of words and word beginnings of the restored
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,15 +28,19 @@ from capturemill.session import small_side
 # The letters that a sign may stand for.
 LOOKS_LIKE = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
-    "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l",
+    "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "#": "h",
 }
 # Signs that are more often punctuation than a letter.
-MARKS = "!(|+"
+MARKS = "!(|+#"
 SEPARATORS = ".-_*~·,'/\\:;"
 EDGES = ".,;:?\"'`´()[]{}<>«»“”„‚‘’…*_~-–—/\\#&=%^"
 
-# Channel costs, natural logs: a sign read as a letter, a separator dropped, a run shortened.
-SIGN, DROPPED, SHORTENED = -1.0, -0.5, -0.7
+# Channel costs, natural logs: a sign read as a letter, a separator dropped, a run of three or more shortened, a single
+# letter written twice, and each sign of a token that stays as it is.
+SIGN, DROPPED, SHORTENED, DOUBLED, LEFT = -1.0, -0.5, -0.7, -4.0, -5.0
+# Decoded tokens a task remembers.
+MOST_DECODED = 200_000
+TWICE, THRICE = re.compile(r"(.)\1", re.DOTALL), re.compile(r"(.)\1\1+", re.DOTALL)
 SYMBOLS = 64
 PREFIXES = (4, 5, 6)
 # A feature takes part if it occurs in this share of the labelled documents of one class.  Documents hold a bounded
@@ -98,8 +104,9 @@ def character_model(docs: DataFrame) -> np.ndarray:
 
 
 def lattice(word: str) -> list[list[tuple[str, float]]]:
-    """Steps of the lattice: each a list of (letters, channel cost)."""
+    """Steps of the lattice: each a list of (letters, channel cost).  Among signs only, none is mere punctuation."""
     steps: list[list[tuple[str, float]]] = []
+    dropped = DROPPED if any(c.isalpha() for c in word) else LEFT
     i = 0
     while i < len(word):
         char, j = word[i], i
@@ -107,7 +114,7 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
             j += 1
         run = j - i
         if char in LOOKS_LIKE:
-            options = [(letter, SIGN) for letter in LOOKS_LIKE[char]] + ([("", DROPPED)] if char in MARKS else [])
+            options = [(letter, SIGN) for letter in LOOKS_LIKE[char]] + ([("", dropped)] if char in MARKS else [])
         elif char.isalpha():
             options = [(char, 0.0)]
         elif char in SEPARATORS:
@@ -118,19 +125,18 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
             steps.append(options)
         elif run >= 3:
             steps.append([(letter * n, cost + SHORTENED) for letter, cost in options for n in (1, 2) if letter or n == 1])
-        elif run == 2 and char not in LOOKS_LIKE:
-            steps.append([(char * 2, 0.0)])
+        elif run == 2:
+            steps.append([(a + b, x + y) for a, x in options for b, y in options] + [(a, x + DOUBLED) for a, x in options if a])
         else:
-            steps += [options] * run
+            steps.append(options)
         i = j
     return steps
 
 
 def restored(word: str, model: np.ndarray) -> str:
-    """The best path through the lattice of a word; a word without any letter stays as it is."""
-    if word.isalpha() and not any(word[i] == word[i + 1] == word[i + 2] for i in range(len(word) - 2)):
-        return word
-    if not any(c.isalpha() for c in word):
+    """The best path through the lattice of a word; a word of signs only also has the path that leaves it as it is."""
+    lettered = any(c.isalpha() for c in word)
+    if not TWICE.search(word) if word.isalpha() else not lettered and not any(c in LOOKS_LIKE for c in word):
         return word
     best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for step in lattice(word):
@@ -145,7 +151,9 @@ def restored(word: str, model: np.ndarray) -> str:
                 if (x, y) not in after or total > after[x, y][0]:
                     after[x, y] = (total, (path, letters) if letters else path)
         best = after
-    (_, path) = max(((s + model[a, b, 0], p) for (a, b), (s, p) in best.items()), key=lambda t: t[0])
+    total, path = max(((s + model[a, b, 0], p) for (a, b), (s, p) in best.items()), key=lambda t: t[0])
+    if not lettered and (path is None or total <= LEFT * len(THRICE.sub(r"\1\1", word))):
+        return word
     out = []
     while path is not None:
         path, letters = path
@@ -158,19 +166,41 @@ def features(word: str) -> list[str]:
     return [word, *(f"{word[:n]}…" for n in PREFIXES if len(word) > n)]
 
 
+class Decoder:
+    """Readings of tokens; what needs a search is searched once as long as it is remembered."""
+
+    def __init__(self, model: np.ndarray):
+        self.model = model
+        self.known: dict[str, list[str]] = {}
+
+    def features(self, word: str) -> list[str]:
+        """Features of the restored word, and of the written one where signs or doubled letters may be meant as they are."""
+        if word.isalpha() and not TWICE.search(word):
+            return features(word)
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) >= MOST_DECODED:
+                self.known.clear()
+            meant = restored(word, self.model)
+            as_written = not THRICE.search(word) if word.isalpha() else not any(c.isalpha() for c in word)
+            self.known[word] = found = list(dict.fromkeys([*features(meant), *(features(word) if as_written else [])]))
+        return found
+
+
 class Reader:
-    """Distinct features of whole texts; distinct tokens are restored once per slice."""
+    """Distinct features of whole texts."""
 
-    def __init__(self, model: np.ndarray, chosen: dict[str, int] | None = None, weights: np.ndarray | None = None):
-        self.model, self.chosen, self.weights = model, chosen, weights
+    def __init__(self, decoder: Decoder, chosen: dict[str, int] | None = None, weights: np.ndarray | None = None):
+        self.decoder, self.chosen, self.weights = decoder, chosen, weights
         self.numbers: dict[str, int] = {}
 
     def of_word(self, word: str) -> list[int]:
         """All features of a word, or the strongest of the chosen ones: a word and its beginnings are one piece of evidence."""
+        found = self.decoder.features(word)
         if self.chosen is not None:
-            known = [self.chosen[f] for f in features(word) if f in self.chosen]
+            known = [self.chosen[f] for f in found if f in self.chosen]
             return [max(known, key=lambda i: abs(self.weights[i]))] if known else []
-        return [self.numbers.setdefault(f, len(self.numbers)) for f in features(word)]
+        return [self.numbers.setdefault(f, len(self.numbers)) for f in found]
 
     def read(self, texts: list[bytes]) -> list[np.ndarray]:
         """Feature numbers of each text, each number once."""
@@ -178,7 +208,7 @@ class Reader:
         flat, sizes = number_words(texts, tokens)
         vocabulary = tokens.words()
         cores = [core(w) for w in vocabulary]
-        lists = [self.of_word(restored(c, self.model)) if c else [] for c in cores]
+        lists = [self.of_word(c) if c else [] for c in cores]
         lengths = np.fromiter(map(len, lists), np.int64, len(lists))
         ids = np.fromiter((i for part in lists for i in part), np.int64, int(lengths.sum()))
         first = np.cumsum(lengths) - lengths
@@ -199,7 +229,7 @@ class Reader:
         found: list[int] = []
         for low, high in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
             if high - low >= 3:
-                found += self.of_word(restored("".join(cores[w] for w in words[low:high].tolist()), self.model))
+                found += self.of_word("".join(cores[w] for w in words[low:high].tolist()))
         return found
 
 
@@ -239,10 +269,11 @@ def feature_counts(labelled: DataFrame, model: np.ndarray) -> DataFrame:
     shared = labelled.sparkSession.sparkContext.broadcast(model)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = Decoder(shared.value)
         for batch in batches:
             texts, marks = byte_texts(batch["text"]), batch["toxic"].to_numpy(zero_copy_only=False)
             for low, high in slices(map(len, texts), SLICE_BYTES):
-                reader = Reader(shared.value)
+                reader = Reader(decoder)
                 rows = reader.read(texts[low:high])
                 each = np.repeat(marks[low:high].astype(np.int64), [len(r) for r in rows])
                 flat = np.concatenate(rows)
@@ -317,7 +348,7 @@ def score(docs: DataFrame, scorer: Scorer, *carry: str) -> DataFrame:
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = shared.value
-        reader = Reader(scorer.model, scorer.chosen, scorer.weights)
+        reader = Reader(Decoder(scorer.model), scorer.chosen, scorer.weights)
         for batch in batches:
             texts = byte_texts(batch["__text"])
             for low, high in slices(map(len, texts), SLICE_BYTES):

@@ -73,3 +73,22 @@ def test_near_copies_count_once(spark, documents):
     marked = documents(copies + others).selectExpr("doc_id", "text", "1 AS toxic")
     kept = [r["doc_id"] for r in toxicity.unlike(marked).collect()]
     assert sum(i < 1000 for i in kept) <= 20 and sum(i >= 1000 for i in kept) == 50
+
+
+@pytest.mark.parametrize(("written", "meant"), [
+    ("@$$", "ass"), ("$#!+", "shit"), ("455", "ass"), ("fuuck", "fuck"), ("iddiot", "idiot"), ("good", "good"), ("hello", "hello"), ("2024", "2024"), ("?", "?"), ("!!!", "!!!"),
+])
+def test_restores_signs_only_and_doubled_letters(spark, documents, written, meant):
+    words = "the idiot is an ass and said shit and fuck and hello to some nice good people were here in this place today"
+    assert toxicity.restored(written, toxicity.character_model(documents([(i, words) for i in range(20)]))) == meant
+
+
+def test_disguises_of_signs_only_and_doubled_letters_count(spark, documents):
+    draw = random.Random(6)
+    plain = "the people were here some nice place today this is a good day we said hello to them and went home again".split()
+    bad = ["ass", "idiot"]
+    rows = [(i, " ".join([*draw.choices(plain, k=14), *([bad[i // 5 % 2]] if i % 5 == 0 else []), *draw.choices(plain, k=5)])) for i in range(400)]
+    disguised = [(1000, "the people were @$$ here"), (1005, "you @ $ $ people"), (1010, "a iddiot today"), (1015, "a place of 2024")]
+    marks = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.held_out_scores(documents(rows + disguised), marks, F.col("doc_id") % 7 == 0).collect()}
+    assert [got[i]["predicted"] for i, _ in disguised] == [1, 1, 1, 0]
