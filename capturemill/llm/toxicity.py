@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from capturemill.llm.common import WordNumbers, byte_texts, gather_runs, number_words, releasing, saved, slices
-from capturemill.llm.minhash import shingle_sets
+from capturemill.llm.minhash import near_duplicates
 from capturemill.session import small_side
 
 # The letters that a sign may stand for.
@@ -47,8 +47,8 @@ PREFIXES = (4, 5, 6)
 # number of words each, so the number of such features is bounded too.
 LEAST_SHARE = 0.002
 SLICE_BYTES = 4 << 20
-SKETCHES = 3
-SKETCH_FACTORS = np.random.default_rng(41).integers(0, 1 << 63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+# A document's weight in whole numbers, so that sums do not depend on their order.
+WHOLE = 1 << 32
 
 
 def symbol(char: str) -> int:
@@ -233,56 +233,48 @@ class Reader:
         return found
 
 
-def sketches(labelled: DataFrame) -> DataFrame:
-    """(doc_id, toxic, s0, s1, ...): minima of the hashed 5-word shingles of each text; near copies share most of them."""
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = byte_texts(batch["text"])
-            for low, high in slices(map(len, texts), SLICE_BYTES):
-                least = np.zeros((high - low, SKETCHES), np.int64)
-                for i, hashes in enumerate(shingle_sets(texts[low:high], 5)):
-                    if len(hashes):
-                        least[i] = (hashes[None, :] * SKETCH_FACTORS[:, None]).min(axis=1).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch[c].slice(low, high - low) for c in ("doc_id", "toxic")), *(pa.array(least[:, n]) for n in range(SKETCHES))],
-                    names=["doc_id", "toxic", *(f"s{n}" for n in range(SKETCHES))])
+def near_copies(labelled: DataFrame) -> DataFrame:
+    """(doc_id, toxic, component_id) of labelled documents: near copies, confirmed on their 5-word shingles, share a component."""
+    components = near_duplicates(labelled.select("doc_id", "text"), width=5, percent=80).select("doc_id", "component_id").dropDuplicates(["doc_id"])
+    return saved(labelled.select("doc_id", "toxic").join(components, "doc_id"), "near-copies")
 
-    kinds = ["doc_id bigint", "toxic int", *(f"s{n} bigint" for n in range(SKETCHES))]
-    return labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", "text").mapInArrow(releasing(sketch), ", ".join(kinds))
+
+def groups(copies: DataFrame) -> DataFrame:
+    """(component_id, toxic, doc_id, copies): near copies with one label, the smallest id of them and their number."""
+    return copies.groupBy("component_id", "toxic").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
 
 
 def unlike(labelled: DataFrame) -> DataFrame:
-    """(doc_id, toxic) of one document for each sketch and label, one sketch after the other.
+    """(doc_id, toxic, copies) of one document for each group of near copies and label."""
+    return groups(near_copies(labelled)).select("doc_id", "toxic", "copies")
 
-    A group of near copies keeps few of its documents, so that words of one text do not pass for evidence.
-    """
-    left = saved(sketches(labelled), "sketches")
-    for n in range(SKETCHES):
-        others = [f"s{m}" for m in range(SKETCHES) if m != n]
-        left = left.groupBy(f"s{n}", "toxic").agg(F.min(F.struct("doc_id", *others)).alias("one")).select(
-            "toxic", f"s{n}", "one.*")
-    return left.select("doc_id", "toxic").distinct()
+
+def weights(labelled: DataFrame) -> DataFrame:
+    """(doc_id, toxic, weight): a group of near copies weighs as much as one document, so that words of one text do not pass for evidence."""
+    copies = near_copies(labelled)
+    return copies.join(groups(copies).drop("doc_id"), ["component_id", "toxic"]).select(
+        "doc_id", "toxic", F.round(F.lit(WHOLE) / F.col("copies")).cast("long").alias("weight"))
 
 
 def feature_counts(labelled: DataFrame, model: np.ndarray) -> DataFrame:
-    """(feature, toxic, clean): documents of (text, toxic) that hold the feature."""
+    """(feature, toxic, clean): weight of the documents of (text, toxic, weight) that hold the feature."""
     shared = labelled.sparkSession.sparkContext.broadcast(model)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(shared.value)
         for batch in batches:
-            texts, marks = byte_texts(batch["text"]), batch["toxic"].to_numpy(zero_copy_only=False)
+            texts, marks, weight = byte_texts(batch["text"]), batch["toxic"].to_numpy(zero_copy_only=False), batch["weight"].to_numpy()
             for low, high in slices(map(len, texts), SLICE_BYTES):
                 reader = Reader(decoder)
                 rows = reader.read(texts[low:high])
-                each = np.repeat(marks[low:high].astype(np.int64), [len(r) for r in rows])
+                each, lengths = weight[low:high], [len(r) for r in rows]
                 flat = np.concatenate(rows)
-                both = np.bincount(flat, minlength=len(reader.numbers))
-                toxic = np.bincount(flat, weights=each, minlength=len(reader.numbers)).astype(np.int64)
+                both = np.bincount(flat, weights=np.repeat(each, lengths), minlength=len(reader.numbers)).astype(np.int64)
+                toxic = np.bincount(flat, weights=np.repeat(each * marks[low:high], lengths), minlength=len(reader.numbers)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(reader.numbers.keys(), pa.string()), pa.array(toxic), pa.array(both - toxic)], names=["feature", "toxic", "clean"])
 
-    return labelled.select("text", "toxic").mapInArrow(releasing(count), "feature string, toxic bigint, clean bigint").groupBy("feature").agg(
+    return labelled.select("text", "toxic", "weight").mapInArrow(releasing(count), "feature string, toxic bigint, clean bigint").groupBy("feature").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
@@ -295,23 +287,25 @@ class Scorer:
 
 
 def train(labelled: DataFrame, documents: DataFrame) -> Scorer:
-    """A scorer from (doc_id, text, toxic) rows, near copies once per label, and a character model from all documents.
+    """A scorer from (doc_id, text, toxic) rows, near copies weighing as one per label, and a character model from all documents.
 
     A feature is evidence if its log odds differ from the whole by more than chance would show among all features (twice
     the logarithm of their number, by the likelihood ratio); its weight is the log odds, drawn in by two
     standard errors.
     """
     model = character_model(documents)
-    marked = labelled.where("toxic is not null").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
-    once = saved(marked.join(small_side(unlike(marked)), ["doc_id", "toxic"]).select("text", "toxic"), "labelled")
-    sizes = {r["toxic"]: r["n"] for r in once.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    bad, good = float(sum(n for k, n in sizes.items() if k == 1)), float(sum(n for k, n in sizes.items() if k != 1))
-    bias = float(np.log((bad + 0.5) / (good + 0.5)))
-    if not bad or not good:
+    marked = saved(labelled.where("toxic is not null").select(
+        F.monotonically_increasing_id().alias("doc_id"), "text", (F.col("toxic") == 1).cast("int").alias("toxic")), "labelled")
+    sizes = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    bias = float(np.log((sizes.get(1, 0) + 0.5) / (sizes.get(0, 0) + 0.5)))
+    if len(sizes) < 2:
         return Scorer(model, {}, np.zeros(0), bias)
-    counts = saved(feature_counts(once.withColumn("toxic", (F.col("toxic") == 1).cast("int")), model), "features")
+    weighed = small_side(weights(marked))
+    total = {r["toxic"]: r["n"] / WHOLE for r in weighed.groupBy("toxic").agg(F.sum("weight").alias("n")).collect()}
+    bad, good = total[1], total[0]
+    counts = saved(feature_counts(marked.join(weighed, ["doc_id", "toxic"]), model), "features")
     tested = counts.count()
-    a, b = F.col("toxic").cast("double"), F.col("clean").cast("double")
+    a, b = F.col("toxic") / WHOLE, F.col("clean") / WHOLE
 
     def part(x: Column, whole: float, both: Column) -> Column:
         expected = both * (whole / (bad + good))

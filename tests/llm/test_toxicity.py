@@ -92,3 +92,23 @@ def test_disguises_of_signs_only_and_doubled_letters_count(spark, documents):
     marks = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
     got = {r["doc_id"]: r for r in toxicity.held_out_scores(documents(rows + disguised), marks, F.col("doc_id") % 7 == 0).collect()}
     assert [got[i]["predicted"] for i, _ in disguised] == [1, 1, 1, 0]
+
+
+def test_shared_passages_make_no_near_copies(spark, documents):
+    draw = random.Random(9)
+    words = [f"w{i}" for i in range(3000)]
+    footer = draw.choices(words, k=30)
+    marked = documents([(i, " ".join([*draw.choices(words, k=30), *footer])) for i in range(100)]).selectExpr("doc_id", "text", "0 AS toxic")
+    assert [(r["doc_id"], r["copies"]) for r in toxicity.unlike(marked).orderBy("doc_id").collect()] == [(i, 1) for i in range(100)]
+
+
+def test_all_labels_make_the_prior_and_copies_share_a_weight(spark, documents):
+    draw = random.Random(10)
+    words = [f"w{i}" for i in range(3000)]
+    one = " ".join(draw.choices(words, k=40))
+    texts = [one] * 8 + [" ".join(draw.choices(words, k=40)) for _ in range(8)]
+    docs = documents(list(enumerate(texts)))
+    marked = docs.selectExpr("doc_id", "text", "CAST(doc_id % 4 = 0 AS INT) AS toxic")
+    assert toxicity.train(marked, docs).bias == pytest.approx(np.log(4.5 / 12.5))
+    got = {r["doc_id"]: r["weight"] / toxicity.WHOLE for r in toxicity.weights(marked).collect()}
+    assert [got[i] for i in range(16)] == pytest.approx([1 / 2 if i % 4 == 0 else 1 / 6 for i in range(8)] + [1.0] * 8)
