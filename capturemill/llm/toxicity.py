@@ -16,7 +16,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,9 +42,8 @@ MOST_DECODED = 200_000
 TWICE, THRICE = re.compile(r"(.)\1", re.DOTALL), re.compile(r"(.)\1\1+", re.DOTALL)
 SYMBOLS = 64
 PREFIXES = (4, 5, 6)
-# A feature takes part if it occurs in this share of the labelled documents of one class.  Documents hold a bounded
-# number of words each, so the number of such features is bounded too.
-LEAST_SHARE = 0.002
+# Weighted features that are broadcast; a larger table is joined.
+MOST_BROADCAST = 200_000
 SLICE_BYTES = 4 << 20
 # A document's weight in whole numbers, so that sums do not depend on their order.
 WHOLE = 1 << 32
@@ -233,6 +231,13 @@ class Reader:
         return found
 
 
+class WordReader(Reader):
+    """Distinct words of whole texts, each as the tuple of its features."""
+
+    def of_word(self, word: str) -> list[int]:
+        return [self.numbers.setdefault(tuple(self.decoder.features(word)), len(self.numbers))]
+
+
 def near_copies(labelled: DataFrame) -> DataFrame:
     """(doc_id, toxic, component_id) of labelled documents: near copies, confirmed on their 5-word shingles, share a component."""
     components = near_duplicates(labelled.select("doc_id", "text"), width=5, percent=80).select("doc_id", "component_id").dropDuplicates(["doc_id"])
@@ -284,6 +289,7 @@ class Scorer:
     chosen: dict[str, int]
     weights: np.ndarray
     bias: float
+    table: DataFrame | None = None  # (feature, weight), where they are too many to broadcast
 
 
 def train(labelled: DataFrame, documents: DataFrame) -> Scorer:
@@ -315,21 +321,21 @@ def train(labelled: DataFrame, documents: DataFrame) -> Scorer:
     ratio = 2 * (part(a, bad, a + b) + part(b, good, a + b) + part(bad - a, bad, bad + good - a - b) + part(good - b, good, bad + good - a - b))
     odds = F.log((a + 0.5) / (bad + 1.0)) - F.log((b + 0.5) / (good + 1.0))
     drawn_in = F.greatest(F.abs(odds) - 2 * F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)), F.lit(0.0)) * F.signum(odds)
-    common = (a >= F.greatest(F.lit(3.0), F.lit(LEAST_SHARE * bad))) | (b >= F.greatest(F.lit(3.0), F.lit(LEAST_SHARE * good)))
-    kept = counts.where(common & (ratio > 2 * np.log(max(tested, 2)))).select("feature", "toxic", "clean", drawn_in.alias("weight")).where("weight <> 0").toPandas()
-    kept = kept[_own_evidence(kept)].sort_values("feature", ignore_index=True)
-    return Scorer(model, {f: i for i, f in enumerate(kept["feature"])}, kept["weight"].to_numpy(np.float64), bias)
+    kept = counts.where(ratio > 2 * np.log(max(tested, 2))).select("feature", "toxic", "clean", drawn_in.alias("weight")).where("weight <> 0")
+    kept = saved(_own_evidence(saved(kept, "evidence")), "weights")
+    if kept.count() > MOST_BROADCAST:
+        return Scorer(model, {}, np.zeros(0), bias, kept)
+    few = kept.toPandas().sort_values("feature", ignore_index=True)
+    return Scorer(model, {f: i for i, f in enumerate(few["feature"])}, few["weight"].to_numpy(np.float64), bias)
 
 
-def _own_evidence(kept: pd.DataFrame) -> np.ndarray:
-    """Whole words, and beginnings that say more than the one word that mostly stands behind them."""
-    support = kept[["toxic", "clean"]].max(axis=1).tolist()
-    most: dict[str, int] = {}
-    for feature, n in zip(kept["feature"], support, strict=True):
-        if not feature.endswith("…"):
-            for prefix in features(feature)[1:]:
-                most[prefix] = max(most.get(prefix, 0), n)
-    return np.array([2 * n >= 3 * most.get(feature, 0) for feature, n in zip(kept["feature"], support, strict=True)], bool)
+def _own_evidence(kept: DataFrame) -> DataFrame:
+    """(feature, weight) of whole words, and of beginnings that say more than the one word that mostly stands behind them."""
+    held = kept.withColumn("support", F.greatest("toxic", "clean"))
+    f = F.col("feature")
+    beginnings = F.array_compact(F.array(*[F.when(F.length(f) > n, F.concat(F.substring(f, 1, n), F.lit("…"))) for n in PREFIXES]))
+    most = held.where(~f.endswith("…")).select(F.explode(beginnings).alias("feature"), "support").groupBy("feature").agg(F.max("support").alias("most"))
+    return held.join(most, "feature", "left").where(2 * F.col("support") >= 3 * F.coalesce("most", F.lit(0))).select("feature", "weight")
 
 
 def score(docs: DataFrame, scorer: Scorer, *carry: str) -> DataFrame:
@@ -337,6 +343,8 @@ def score(docs: DataFrame, scorer: Scorer, *carry: str) -> DataFrame:
 
     Null and empty texts score as texts without evidence.  Other columns are not looked at.
     """
+    if scorer.table is not None:
+        return _joined_score(docs, scorer, *carry)
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
     chosen = docs.select(*[F.col(f"`{c}`") for c in carry], F.col("text").alias("__text"))
 
@@ -355,6 +363,37 @@ def score(docs: DataFrame, scorer: Scorer, *carry: str) -> DataFrame:
     return chosen.mapInArrow(releasing(rate), ", ".join([*kinds, "score double"]))
 
 
+def _joined_score(docs: DataFrame, scorer: Scorer, *carry: str) -> DataFrame:
+    """The same by joins: each distinct word gets its strongest feature, and each text those of its words."""
+    shared = docs.sparkSession.sparkContext.broadcast(scorer.model)
+    names = [f"c{i}" for i in range(len(carry))]
+    chosen = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names, strict=True)], "text")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = Decoder(shared.value)
+        for batch in batches:
+            texts = byte_texts(batch["text"])
+            for low, high in slices(map(len, texts), SLICE_BYTES):
+                reader = WordReader(decoder)
+                found = reader.read(texts[low:high])
+                words = [list(w) for w in reader.numbers]
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch[n].slice(low, high - low) for n in names), pa.array([[words[i] for i in part.tolist()] for part in found], pa.list_(pa.list_(pa.string())))],
+                    names=[*names, "words"])
+
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]]
+    rows = saved(chosen.mapInArrow(releasing(split), ", ".join([*kinds, "words array<array<string>>"])).withColumn(
+        "uid", F.monotonically_increasing_id()), "words")
+    words = rows.select("uid", F.explode("words").alias("word"))
+    strongest = F.max(F.struct(F.abs("weight").alias("size"), (-F.col("pos")).alias("back"), "feature", "weight")).alias("best")
+    best = words.select("word").distinct().select("word", F.posexplode("word").alias("pos", "feature")).join(
+        scorer.table, "feature").groupBy("word").agg(strongest).select("word", "best.feature", "best.weight")
+    added = words.join(saved(best, "words"), "word").select("uid", "feature", "weight").distinct().groupBy("uid").agg(F.sum("weight").alias("total"))
+    total = F.greatest(F.least(F.lit(scorer.bias) + F.coalesce("total", F.lit(0.0)), F.lit(500.0)), F.lit(-500.0))
+    return rows.join(added, "uid", "left").select(
+        *[F.col(n).alias(c) for n, c in zip(names, carry, strict=True)], (1 / (1 + F.exp(-total))).alias("score"))
+
+
 def held_out_scores(docs: DataFrame, labels: DataFrame, fold: Column) -> DataFrame:
     """Learn labels outside the fold, score all: (doc_id, held_out, score, predicted).
 

@@ -112,3 +112,27 @@ def test_all_labels_make_the_prior_and_copies_share_a_weight(spark, documents):
     assert toxicity.train(marked, docs).bias == pytest.approx(np.log(4.5 / 12.5))
     got = {r["doc_id"]: r["weight"] / toxicity.WHOLE for r in toxicity.weights(marked).collect()}
     assert [got[i] for i in range(16)] == pytest.approx([1 / 2 if i % 4 == 0 else 1 / 6 for i in range(8)] + [1.0] * 8)
+
+
+@pytest.fixture(scope="module")
+def rare(spark, documents):
+    """A marker in 30 of 20,000 toxic texts and in no clean one."""
+    draw = random.Random(12)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join([*draw.choices(words, k=8), *(["common"] if i % 2 else ["usual"]), *(["slurword"] if i % 2 and i < 60 else [])]) for i in range(40_000)]
+    docs = documents(list(enumerate(texts)) + [(50_000, "slurword"), (50_001, "common s.l.u.r.w.o.r.d w1"), (50_002, "w1 w2"), (50_003, None)])
+    marked = docs.where("doc_id < 40000").selectExpr("doc_id", "text", "CAST(doc_id % 2 = 1 AS INT) AS toxic")
+    return docs, marked
+
+
+def test_rare_evidence_counts_and_joined_weights_score_alike(rare, monkeypatch):
+    docs, marked = rare
+    scorer = toxicity.train(marked, docs)
+    assert scorer.weights[scorer.chosen["slurword"]] > 0  # 30 of 20,000 toxic texts
+    want = {r["doc_id"]: r["score"] for r in toxicity.score(docs, scorer, "doc_id").collect()}
+    assert want[50_000] > 0.5
+    monkeypatch.setattr(toxicity, "MOST_BROADCAST", 0)
+    joined = toxicity.train(marked, docs)
+    assert joined.table is not None and joined.table.count() == len(scorer.chosen)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, joined, "doc_id").collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in want)
