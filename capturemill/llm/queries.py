@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capturemill.llm import ann, hmm, langid, minhash, mixing, packing, repeats, simhash, toxicity, warc
+from capturemill.llm import ann, hmm, infilling, langid, minhash, mixing, packing, repeats, simhash, toxicity, warc
 from capturemill.llm.common import fold_of, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -93,6 +93,33 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(mixing.mix(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_hmm, op3_minhash, op4_langid, op5_suffix, op6_simhash, op7_packing, op8_toxicity, op9_ann, op10_mixing)}
+def op11_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-middle form of all documents, and the texts rebuilt from it."""
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    made = infilling.fill_in_middle(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"),
+        sha(infilling.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+OP11_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+        CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+        CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM t),
+c AS (SELECT *, len(units) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS b,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+             WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_hmm, op3_minhash, op4_langid, op5_suffix, op6_simhash, op7_packing, op8_toxicity, op9_ann, op10_mixing,
+                                   op11_infilling)}
 
-ORACLE = {"op1_warc": OP1_SQL, "op3_minhash": OP3_SQL}
+ORACLE = {"op1_warc": OP1_SQL, "op3_minhash": OP3_SQL, "op11_infilling": OP11_SQL}
