@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capturemill.llm import ann, hmm, infilling, langid, minhash, mixing, packing, repeats, simhash, toxicity, warc
+from capturemill.llm import ann, hmm, infilling, langid, minhash, mixing, packing, repeats, runs, simhash, toxicity, warc
 from capturemill.llm.common import fold_of, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -119,7 +119,19 @@ FROM p
 """
 
 
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of all documents, some of them with planted runs."""
+    found = runs.find_runs(runs.with_planted_runs(table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    found = found.withColumn("best", runs.greatest_run(F.col("runs")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_warc, op2_hmm, op3_minhash, op4_langid, op5_suffix, op6_simhash, op7_packing, op8_toxicity, op9_ann, op10_mixing,
-                                   op11_infilling)}
+                                   op11_infilling, op12_runs)}
 
 ORACLE = {"op1_warc": OP1_SQL, "op3_minhash": OP3_SQL, "op11_infilling": OP11_SQL}
