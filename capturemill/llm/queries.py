@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capturemill.llm import ann, hmm, infilling, langid, minhash, mixing, packing, repeats, runs, simhash, toxicity, warc
+from capturemill.llm import ann, golay, hmm, infilling, langid, minhash, mixing, packing, repeats, runs, simhash, toxicity, warc
 from capturemill.llm.common import fold_of, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -131,7 +131,13 @@ def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
 
 
+def op13_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents by fingerprints that differ in at most 4 bits."""
+    found = golay.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", golay.hexadecimal(F.col("print")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {f.__name__: f for f in (op1_warc, op2_hmm, op3_minhash, op4_langid, op5_suffix, op6_simhash, op7_packing, op8_toxicity, op9_ann, op10_mixing,
-                                   op11_infilling, op12_runs)}
+                                   op11_infilling, op12_runs, op13_golay)}
 
 ORACLE = {"op1_warc": OP1_SQL, "op3_minhash": OP3_SQL, "op11_infilling": OP11_SQL}
