@@ -36,7 +36,7 @@ SLICE_BYTES = 4 << 20
 UNIT = 16_384
 # Pairs compared at a time, and links that a task holds before it joins them.
 BLOCK_PAIRS, HELD_LINKS = 1 << 22, 1 << 18
-PRINTS_AT_ONCE = 2_000
+PRINTS_AT_ONCE, PRINTS_PER_TASK = 2_000, 20_000
 # Rows of one fingerprint above which its rows are spread over several tasks.
 CROWD = 1_000
 
@@ -303,7 +303,9 @@ def _components(links: DataFrame) -> DataFrame:
 
 def components(classes: DataFrame, unit: int = UNIT) -> DataFrame:
     """(print, component) of all distinct fingerprints that are linked with another one."""
-    members = key_table(classes)
+    # a print of a few bytes makes about 128 rows, so the table is dealt to tasks by its rows, not by its bytes
+    tasks = max(classes.sparkSession.sparkContext.defaultParallelism, classes.count() // PRINTS_PER_TASK + 1)
+    members = key_table(classes.select("print").repartition(tasks, "print"))
     crowded, count = counted_side(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > unit).select(
         "key", F.ceil(F.col("size") / unit).alias("units")))
     if not count:
