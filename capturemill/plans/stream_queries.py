@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from capturemill.plans.catalog import query
 from capturemill.plans.log_queries import CLASSIFIED, MESSAGE, METRICS
 from capturemill.session import shared_folder
-from capturemill.streaming import logs
+from capturemill.streaming import alerts, logs
 
 
 def _lines(lens):
@@ -40,7 +40,7 @@ def stream_classify(spark, lens):
 def stream_run_metrics(spark, lens):
     folder = _folder(spark)
     logs.write_updates(
-        logs.stream_run_metrics(_lines(lens)), f"{folder}/out", f"{folder}/state"
+        logs.stream_run_metrics(_lines(lens)), f"{folder}/out", f"{folder}/state", ["run_id", "tool"]
     ).awaitTermination()
     return logs.latest_updates(spark, f"{folder}/out", ["run_id", "tool"])
 
@@ -70,6 +70,20 @@ def stalled_runs(spark, lens):
     )
 
 
+@query("live_alerts", "log_lines", sql=f"""
+    WITH {STALLED}
+    SELECT run_id, tool, CASE WHEN due = started + lim THEN 'over_limit' ELSE 'silent' END AS reason,
+      started AS started_ms, l AS last_ms, due AS alert_ms FROM alerts WHERE k = 1""")
+def live_alerts(spark, lens):
+    """The alerts that stand after the stream has written every change of them."""
+    folder = _folder(spark)
+    alerts.write_alerts(_lines(lens), f"{folder}/out", f"{folder}/state", silence=3600).awaitTermination()
+    return alerts.current_alerts(spark, f"{folder}/out").select(
+        "run_id", "tool", "reason", F.unix_millis("started").alias("started_ms"),
+        F.unix_millis("last_line").alias("last_ms"), F.unix_millis("alert_at").alias("alert_ms"),
+    )
+
+
 @query("stream_log_lines", "log_lines", sql="SELECT run_id, tool, seq, date_trunc('milliseconds', ts) AS ts, line FROM log_lines")
 def stream_log_lines(spark, lens):
     """Lines written as JSON segments, some with blanks around them and some blank, read as a stream."""

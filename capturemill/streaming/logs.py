@@ -7,13 +7,17 @@ and ``ts`` are set where the line is written.
 from __future__ import annotations
 
 import datetime as dt
+import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from capturemill.operators.logs import STEP_LIMITS, classify, counter_aggregates
+from capturemill.operators.logs import STEP_LIMITS, classify
 from capturemill.schemas import LOG_LINES
+from capturemill.streaming.counters import counted_runs
+from capturemill.streaming.state import rocks_state
 
 
 def stream_log_lines(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -38,37 +42,67 @@ def stream_classify(lines: DataFrame) -> DataFrame:
     return classify(lines)
 
 
-def stream_run_metrics(lines: DataFrame, delay: str | None = None) -> DataFrame:
+def stream_run_metrics(lines: DataFrame, keep_seconds: int | None = None) -> DataFrame:
     """Counters per run and tool, kept up to date as lines arrive (update mode).
 
     Lines delivered twice count once, and lines of any age count, so the last row written for a run equals the
-    batch result whatever the order of arrival; the state keeps the number of every line.  A ``delay`` bounds
-    that state: then lines later than the watermark are dropped, and counted in the query progress
-    (``numRowsDroppedByWatermark``), and the result may lack them.
+    batch result whatever the order of arrival.  The state keeps intervals of line numbers, one for a run that has told all
+    its lines; with ``keep_seconds`` it is let go so long after a run's last line.
     """
-    key = ["run_id", "tool", "seq"]
-    once = lines.dropDuplicates(key) if delay is None else lines.withWatermark("ts", delay).dropDuplicatesWithinWatermark(key)
-    return classify(once).groupBy("run_id", "tool").agg(*counter_aggregates())
+    return counted_runs(lines, keep_seconds)
 
 
-def write_updates(stream: DataFrame, folder: str, checkpoint: str, **trigger) -> StreamingQuery:
+# Batches of updates after which the newest rows are gathered anew.
+FOLD_BATCHES = 20
+
+
+def write_updates(stream: DataFrame, folder: str, checkpoint: str, keys: list[str] | None = None, fold: int = FOLD_BATCHES, **trigger) -> StreamingQuery:
     """Append every update to a table with its batch number; :func:`latest_updates` reads the last ones.
 
-    A batch that is retried replaces its own folder, so updates are written exactly once.
+    A batch that is retried replaces its own folder, so updates are written exactly once.  With ``keys`` the newest rows of all
+    keys are gathered once in ``fold`` batches, so that readers open one such table and the batches after it.
     """
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        if keys and number % fold == fold - 1:
+            spark, before = batch.sparkSession, number - fold
+            rows = spark.read.parquet(folder).where(F.col("batch").between(before + 1, number))
+            if before >= 0:
+                rows = rows.unionByName(spark.read.parquet(f"{folder}-folded/upto={before}"))
+            _newest(rows, keys).write.mode("overwrite").parquet(f"{folder}-folded/upto={number}")
 
-    return (
-        stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True})).start()
-    )
+    with rocks_state(stream.sparkSession):
+        return stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(
+            **(trigger or {"availableNow": True})).start()
 
 
 def latest_updates(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
     """The newest row of each key among the written updates."""
     updates = spark.read.parquet(folder)
-    values = [c for c in updates.columns if c not in (*keys, "batch")]
+    # a fold is complete once a batch after it has begun
+    folded = _folds(spark, folder)
+    done = [n for n in folded if n < max(_numbers(updates, "batch"))]
+    if done:
+        updates = updates.where(F.col("batch") > max(done)).unionByName(spark.read.parquet(f"{folder}-folded/upto={max(done)}"))
+    return _newest(updates, keys).drop("batch")
+
+
+def _folds(spark: SparkSession, folder: str) -> list[int]:
+    try:
+        return _numbers(spark.read.parquet(f"{folder}-folded"), "upto")
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+
+
+def _numbers(table: DataFrame, name: str) -> list[int]:
+    """Partition numbers of a written table, by the paths of its files."""
+    return sorted({int(n) for path in table.inputFiles() for n in re.findall(rf"/{name}=(\d+)/", path)})
+
+
+def _newest(updates: DataFrame, keys: list[str]) -> DataFrame:
+    values = [c for c in updates.columns if c not in keys]
     newest = updates.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v"))
     return newest.select(*keys, "v.*")
 

@@ -4,6 +4,7 @@ import datetime as dt
 import json
 import os
 import random
+import time
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from capturemill.operators import logs as batch
 from capturemill.plans import CATALOG
 from capturemill.plans.lenses import lens
-from capturemill.streaming import logs
+from capturemill.streaming import counters, logs
 
 START = dt.datetime(2026, 3, 1, 8, 0, 0, tzinfo=dt.timezone.utc)
 
@@ -49,6 +50,72 @@ def test_stream_trims_and_classifies(spark, tmp_path):
     assert [(r["line"], r["rule"], r["n1"]) for r in rows] == [("Triangulated 5 points", "T12", 5)]
 
 
+def updates_of(spark, folder, out, **options):
+    stream = logs.stream_run_metrics(logs.stream_log_lines(spark, str(folder), files_per_trigger=1))
+    logs.write_updates(stream, f"{out}/updates", f"{out}/state", ["run_id", "tool"], **options).awaitTermination()
+    return logs.latest_updates(spark, f"{out}/updates", ["run_id", "tool"])
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_lines_in_any_order_and_delivered_twice_count_once(spark, sf_dir, tmp_path, seed):
+    """Lines dealt at random to files, a third of them twice; some without a number."""
+    draw = random.Random(seed)
+    lines = lens(spark, sf_dir, "log_lines").withColumn("ts", F.col("ts").cast("timestamp")).where("run_id % 5 = 0")
+    rows = [json.dumps({**r.asDict(), "ts": r["ts"].isoformat()}) for r in lines.collect()]
+    rows += draw.sample(rows, len(rows) // 3) + [json.dumps({"run_id": 5, "tool": "map", "line": "Triangulated 5 points", "ts": START.isoformat()})] * 2
+    draw.shuffle(rows)
+    (tmp_path / "in").mkdir()
+    for n in range(5):
+        (tmp_path / "in" / f"{n}.json").write_text("\n".join(rows[n::5]) + "\n")
+    got = updates_of(spark, tmp_path / "in", tmp_path, fold=2)
+    once = spark.read.schema(logs.LOG_LINES).json(str(tmp_path / "in")).dropDuplicates(["run_id", "tool", "seq"])
+    want = batch.run_metrics(logs.trimmed(once))
+    assert sorted(map(repr, got.select(*want.columns).collect())) == sorted(map(repr, want.collect()))
+    assert got.schema == want.schema or [f.dataType for f in got.select(*want.columns).schema] == [f.dataType for f in want.schema]
+    # newest rows were gathered twice, and readers open the newest gathering and the batches after it
+    assert logs._folds(spark, f"{tmp_path}/updates") == [1, 3]
+
+
+def test_intervals_of_line_numbers():
+    draw = random.Random(4)
+    spans, known = [], set()
+    for _ in range(60):
+        numbers = [draw.randrange(200) for _ in range(draw.randrange(1, 12))]
+        seen = counters.Seen(spans)
+        new = [n for n in numbers if seen.add(n)]
+        assert new == [n for i, n in enumerate(numbers) if n not in known and n not in numbers[:i]]
+        known |= set(numbers)
+        spans = counters.merged(spans, sorted(seen.fresh))
+        assert {n for a, b in spans for n in range(a, b + 1)} == known
+        assert all(b + 1 < c for (_, b), (c, _) in zip(spans, spans[1:], strict=False))
+    assert counters.merged([], list(range(1, 10_001))) == [(1, 10_000)]
+
+
+def test_a_run_in_order_keeps_one_interval(spark, tmp_path):
+    for n, numbers in enumerate([range(1, 40), range(40, 80), range(85, 90), range(80, 85)]):
+        segment(tmp_path / "in", f"{n}.json", [(1, "map", s, s, "Triangulated 5 points") for s in numbers])
+        os.utime(tmp_path / "in" / f"{n}.json", (1_700_000_000 + n,) * 2)
+        got = updates_of(spark, tmp_path / "in", tmp_path).first()
+        spans = spark.read.format("statestore").option("path", f"{tmp_path}/state").option("stateVarName", "spans").load()
+        held = sorted((r["user_map_key"]["first"], r["user_map_value"]["last"]) for r in spans.collect())
+        assert held == [[(1, 39)], [(1, 79)], [(1, 79), (85, 89)], [(1, 89)]][n]
+    assert (got["lines"], got["triangulated_points"]) == (89, 445)
+
+
+def test_state_with_a_time_to_live(spark, tmp_path):
+    """Such a state needs a trigger that goes on: its batches do not end with the input."""
+    segment(tmp_path / "in", "0.json", [(1, "map", 1, 0, "Triangulated 5 points"), (1, "map", 1, 0, "Triangulated 5 points")])
+    stream = logs.stream_run_metrics(logs.stream_log_lines(spark, str(tmp_path / "in")), keep_seconds=3600)
+    running = logs.write_updates(stream, f"{tmp_path}/updates", f"{tmp_path}/state", ["run_id", "tool"], processingTime="1 second")
+    try:
+        until = time.time() + 60
+        while time.time() < until and not os.path.exists(tmp_path / "updates" / "batch=0" / "_SUCCESS"):
+            time.sleep(0.5)
+    finally:
+        running.stop()
+    assert logs.latest_updates(spark, f"{tmp_path}/updates", ["run_id", "tool"]).first()["triangulated_points"] == 5
+
+
 HOUR = 3600
 # run 1 talks until its mapper limit is passed; run 2 falls silent and later speaks again; run 3 is quiet at the end but
 # within the limit of silence; run 4 only moves the clock on; run 5 never speaks again, which only the clock shows.
