@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from capturemill.session import checkpointed
 
-MAX_ROUNDS = 60
+# Links of one node, as its high or its low end, up to which they stay together in any case.
+LEAST_HUB = 250
 # Edges a task contracts at a time; bounds its memory.
 CONTRACT_EDGES = 500_000
 
@@ -22,21 +23,21 @@ def connected_components(edges: DataFrame, group: str = "capture_id") -> DataFra
     Every task first replaces the edges it happens to hold by stars, a pre-aggregation
     that shortens paths before anything is shuffled.  Alternating large-star and
     small-star rounds (Kiveris et al., 2014) follow.  Each star is one pre-aggregated
-    minimum per node and one join back, so a hub is never gathered in one task; its
-    rows are split by the skew join.  A reliable checkpoint ends every round, and the
-    rounds stop when the edges no longer change.
+    minimum per node and one join back.  A node with more links than a task's share is a hub: its links are
+    dealt to sub-centres, each of which gets the minimum, so no task reads a hub as a whole.  A reliable checkpoint
+    ends every round, and the rounds go on until the edges no longer change, however many that takes.
     """
     plain = edges.select(F.col(group).cast("long").alias(group), F.col("u").cast("long"), F.col("v").cast("long"))
     links = checkpointed(_contracted(plain.where("u <> v")).distinct())
-    state = _fingerprint(links)
-    for _ in range(MAX_ROUNDS):
-        links = checkpointed(_small_star(_large_star(links, group), group))
-        now = _fingerprint(links)
-        if now == state:
+    seen = [_fingerprint(links)]
+    while True:
+        links = checkpointed(_round(links, group, seen[-1][0]))
+        state = _fingerprint(links)
+        if state == seen[-1]:
             break
-        state = now
-    else:
-        raise RuntimeError("connected components did not settle")
+        if state in seen:  # every round moves links to smaller nodes, so none comes back
+            raise RuntimeError("connected components went in a circle")
+        seen.append(state)
     nodes = plain.select(group, F.explode(F.array("u", "v")).alias("node"))
     roots = links.select(group, F.col("high").alias("node"), F.col("low").alias("component"))
     return nodes.distinct().join(roots, [group, "node"], "left").select(
@@ -44,6 +45,38 @@ def connected_components(edges: DataFrame, group: str = "capture_id") -> DataFra
     )
 
 
+def _round(links: DataFrame, group: str, count: int) -> DataFrame:
+    """One large star and one small star over ``count`` links."""
+    tasks = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = max(LEAST_HUB, count // tasks)
+    lots = _lots(links, group, share) if count > share else {}
+    return _small_star(_large_star(links, group, lots.get("low")), group, lots.get("high"))
+
+
+def _lots(links: DataFrame, group: str, share: int) -> dict[str, DataFrame]:
+    """Sub-centres (group, node, lots) of the nodes with more links than a share, for both ends of the links.
+
+    A large star keeps the high ends, so the counts hold for the small star after it.  No more than one node per task and end can
+    have more than a share, which bounds these tables; they are broadcast.
+    """
+    ends = F.explode(F.array(*[F.struct(F.lit(end).alias("end"), F.col(end).alias("node")) for end in ("high", "low")]))
+    hubs = checkpointed(links.select(group, ends.alias("e")).groupBy(group, "e.end", "e.node").agg(
+        F.count(F.lit(1)).alias("links")).where(F.col("links") > share).select(group, "end", "node", F.ceil(F.col("links") / share).alias("lots")))
+    found = {r["end"] for r in hubs.select("end").distinct().collect()}
+    return {end: F.broadcast(hubs.where(F.col("end") == end).drop("end")) for end in found}
+
+
+def _with_least(rows: DataFrame, least: DataFrame, group: str, lots: DataFrame | None) -> DataFrame:
+    """Rows (group, node, other) with the minimum ``m`` of their node; those of a hub are dealt by their other end."""
+    key = [group, "node"]
+    if lots is None:
+        return rows.join(least, key)
+    many = F.coalesce("lots", F.lit(1).cast("long"))
+    dealt = rows.join(lots, key, "left").withColumn("lot", F.pmod(F.xxhash64("other"), many)).drop("lots")
+    centres = least.join(lots, key, "left").withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), many - 1))).drop("lots")
+    return dealt.join(centres, [*key, "lot"]).drop("lot")
+
+
 def _contracted(edges: DataFrame) -> DataFrame:
     """Edges (group, high, low) of stars that join the same nodes, task by task."""
     group = edges.columns[0]
@@ -92,7 +125,7 @@ def _fingerprint(links: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
-def _large_star(links: DataFrame, group: str) -> DataFrame:
+def _large_star(links: DataFrame, group: str, lots: DataFrame | None = None) -> DataFrame:
     """Join every larger neighbour of a node to the node's smallest neighbour."""
     ends = [F.struct(F.col(a).alias("node"), F.col(b).alias("other")) for a, b in (("high", "low"), ("low", "high"))]
     around = links.select(group, F.explode(F.array(*ends)).alias("e")).select(group, "e.node", "e.other")
@@ -101,16 +134,17 @@ def _large_star(links: DataFrame, group: str) -> DataFrame:
     )
     larger = links.select(group, F.col("low").alias("node"), F.col("high").alias("other"))
     # repeats are left to the small star, which drops them
-    return larger.join(least, [group, "node"]).select(group, F.col("other").alias("high"), F.col("m").alias("low"))
+    return _with_least(larger, least, group, lots).select(group, F.col("other").alias("high"), F.col("m").alias("low"))
 
 
-def _small_star(links: DataFrame, group: str) -> DataFrame:
+def _small_star(links: DataFrame, group: str, lots: DataFrame | None = None) -> DataFrame:
     """Join every smaller neighbour of a node, and the node, to its smallest neighbour."""
-    least = links.groupBy(group, "high").agg(F.min("low").alias("m"))
-    moved = links.join(least, [group, "high"]).where(F.col("low") > F.col("m")).select(
-        group, F.col("low").alias("high"), F.col("m").alias("low")
+    rows = links.select(group, F.col("high").alias("node"), F.col("low").alias("other"))
+    least = rows.groupBy(group, "node").agg(F.min("other").alias("m"))
+    moved = _with_least(rows, least, group, lots).where(F.col("other") > F.col("m")).select(
+        group, F.col("other").alias("high"), F.col("m").alias("low")
     )
-    return moved.unionByName(least.select(group, "high", F.col("m").alias("low"))).distinct()
+    return moved.unionByName(least.select(group, F.col("node").alias("high"), F.col("m").alias("low"))).distinct()
 
 
 def registration_groups(strong: DataFrame) -> DataFrame:

@@ -191,6 +191,54 @@ def test_components(spark):
     assert got == want
 
 
+def plain_components(rows):
+    """Smallest node of each component, by a union-find over (group, u, v)."""
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for g, u, v in rows:
+        a, b = sorted((find((g, u)), find((g, v))))
+        root[b] = a
+    return {x: find(x)[1] for x in list(root)}
+
+
+@pytest.mark.parametrize("shape", ["low hub", "high hub", "two hubs", "path", "comb"])
+def test_components_of_hubs_and_paths(spark, shape, monkeypatch):
+    """Stars about their smallest and their largest node, a path in random order, stars on a path; small shares, so all hubs are dealt."""
+    draw, n = random.Random(7), 3000
+    ids = draw.sample(range(10**9), n)
+    rows = {
+        "low hub": [(1, -5, i) for i in ids], "high hub": [(1, i, 2 * 10**9) for i in ids],
+        "two hubs": [(1, 0 if i % 2 else 2 * 10**9, i) for i in ids] + [(1, ids[0], ids[1]), (2, 0, ids[3])],
+        "path": [(1, a, b) for a, b in zip(ids, ids[1:], strict=False)],
+        "comb": [(1, ids[i // 100 * 100], ids[i]) for i in range(n)] + [(1, ids[i], ids[i + 100]) for i in range(0, n - 100, 100)],
+    }[shape]
+    draw.shuffle(rows)
+    # one edge per task at first, so that nothing is contracted beforehand
+    monkeypatch.setattr(graph, "CONTRACT_EDGES", 1)
+    monkeypatch.setattr(graph, "LEAST_HUB", 20)
+    df = spark.createDataFrame(rows, "capture_id long, u long, v long").repartition(8)
+    got = {(r["capture_id"], r["node"]): r["component"] for r in graph.connected_components(df).collect()}
+    assert got == plain_components(rows)
+
+
+def test_no_task_reads_a_hub_as_a_whole(spark):
+    rows = [(1, 10**6, i) for i in range(8000)] + [(1, 2 * 10**6 + i, -1) for i in range(8000)]
+    links = spark.createDataFrame(rows, "g long, high long, low long")
+    lots = graph._lots(links, "g", 2000)
+    assert {end: [tuple(r) for r in table.collect()] for end, table in lots.items()} == {"high": [(1, 10**6, 4)], "low": [(1, -1, 4)]}
+    ends = links.select("g", F.col("low").alias("node"), F.col("high").alias("other"))
+    least = ends.groupBy("g", "node").agg(F.min("other").alias("m"))
+    plan = graph._with_least(ends, least, "g", lots["low"])
+    assert plan.count() == len(rows)
+    dealt = ends.join(lots["low"], ["g", "node"], "left").withColumn("lot", F.pmod(F.xxhash64("other"), F.coalesce("lots", F.lit(1))))
+    assert dealt.groupBy("g", "node", "lot").count().agg(F.max("count")).first()[0] < 2 * 2000
+
+
 def test_components_of_nothing(spark):
     empty = spark.createDataFrame([], "capture_id bigint, u bigint, v bigint")
     assert graph.connected_components(empty).count() == 0
