@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from capturemill.session import checkpointed
 
-# Links of one node, as its high or its low end, up to which they stay together in any case.
-LEAST_HUB = 250
+# Links of one node, as its high or its low end, up to which they stay together in any case: a quarter of a megabyte.
+LEAST_HUB = 10_000
 # Links that are counted to find hubs; of more links, a sample of about so many tells which nodes are worth dealing.
 COUNTED_LINKS = 1_000_000
 # Edges a task contracts at a time; bounds its memory.
@@ -59,17 +59,16 @@ def _lots(links: DataFrame, group: str, share: int, fraction: float = 1.0) -> di
     """Sub-centres (group, node, lots) of the nodes with more links than a share, for both ends of the links.
 
     A large star keeps the high ends, so the counts hold for the small star after it.  No more than one node per task and end can
-    have more than a share, which bounds these tables; they are broadcast.  A ``fraction`` of the links is looked at: what it
+    have more than a share, which bounds these tables.  A ``fraction`` of the links is looked at: what it
     finds decides how links are dealt, never what they say.
     """
     if fraction < 1.0:
         links = links.sample(fraction, seed=1)
     ends = F.explode(F.array(*[F.struct(F.lit(end).alias("end"), F.col(end).alias("node")) for end in ("high", "low")]))
-    hubs = checkpointed(links.select(group, ends.alias("e")).groupBy(group, "e.end", "e.node").agg(
-        F.count(F.lit(1)).alias("links")).where(F.col("links") > share * fraction).select(
-            group, "end", "node", F.ceil(F.col("links") / (share * fraction)).alias("lots")))
-    found = {r["end"] for r in hubs.select("end").distinct().collect()}
-    return {end: F.broadcast(hubs.where(F.col("end") == end).drop("end")) for end in found}
+    hubs = links.select(group, ends.alias("e")).groupBy(group, "e.end", "e.node").agg(F.count(F.lit(1)).alias("links")).where(
+        F.col("links") > share * fraction).select("end", group, "node", F.ceil(F.col("links") / (share * fraction)).alias("lots")).collect()
+    spark, schema = links.sparkSession, f"{group} bigint, node bigint, lots bigint"
+    return {end: F.broadcast(spark.createDataFrame([tuple(r)[1:] for r in hubs if r["end"] == end], schema)) for end in {r["end"] for r in hubs}}
 
 
 def _with_least(rows: DataFrame, least: DataFrame, group: str, lots: DataFrame | None) -> DataFrame:
