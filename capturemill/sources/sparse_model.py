@@ -1,8 +1,8 @@
 """Binary sparse models: fleets of points3D.bin and images.bin files.
 
-Records have variable length.  Small files are one unit of work each; a large file
-is first hopped through from record to record, which only tells where ranges of
-records begin, and the ranges are then decoded by as many tasks.
+Records have variable length.  Small files are one unit of work each; of a large file
+each byte range is searched for the records it holds (:mod:`capturemill.sources.chains`), and
+ranges are then decoded by as many tasks.  No file is read from its front to its end by one task.
 """
 
 from __future__ import annotations
@@ -16,7 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from capturemill.sources.ranges import SPLIT_BYTES, FileCursor, hop_ranges, in_batches
+from capturemill.session import checkpointed
+from capturemill.sources.chains import Reader, Step, record_ranges
+from capturemill.sources.ranges import SPLIT_BYTES, FileCursor, in_batches
 
 # Record layouts, little-endian.
 POINT_RECORD = "<QdddBBBd"
@@ -60,16 +62,12 @@ def load_sparse_points(
     A damaged file gives the points before the damage, then one row with only
     ``problem`` set.  ``tracks=False`` skips the tracks while decoding.
     """
-    def hop(cursor: FileCursor) -> None:
-        cursor.skip(struct.calcsize(POINT_RECORD))
-        cursor.skip(_take(cursor, COUNT)[0] * TRACK_ITEM_BYTES)
-
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 yield from _point_batches(r["path"], r["at"], r["records"], r["problem"], tracks)
 
-    ranges = _ranges(spark, path, "points3D.bin", hop, split_bytes)
+    ranges = _ranges(spark, path, "points3D.bin", _after_point, split_bytes)
     return ranges.mapInArrow(decode, POINT_COLUMNS).withColumn("capture_id", capture(F.col("path")))
 
 
@@ -140,11 +138,6 @@ def load_poses(
     split_bytes: int = SPLIT_BYTES,
 ) -> DataFrame:
     """Camera poses of all images.bin files below a folder; damage is told as for points."""
-    def hop(cursor: FileCursor) -> None:
-        cursor.skip(struct.calcsize(IMAGE_RECORD))
-        cursor.until(b"\x00")
-        cursor.skip(_take(cursor, COUNT)[0] * POINT2D_BYTES)
-
     def pose(cursor: FileCursor) -> tuple:
         ident, *numbers, camera = _take(cursor, IMAGE_RECORD)
         name = cursor.until(b"\x00").decode("utf-8", errors="ignore")
@@ -152,25 +145,42 @@ def load_poses(
         cursor.skip(points * POINT2D_BYTES)
         return ident, numbers[:4], numbers[4:], camera, name, points
 
-    return _decoded(spark, path, "images.bin", hop, pose, POSE_COLUMNS, capture, split_bytes)
+    return _decoded(spark, path, "images.bin", pose, POSE_COLUMNS, capture, split_bytes)
 
 
 RANGE_COLUMNS = "path string, at bigint, records bigint, problem string"
 
 
-def _ranges(spark: SparkSession, path: str, file_name: str, hop: Callable[[FileCursor], None], split_bytes: int) -> DataFrame:
-    """Ranges of records (path, at, records, problem) of all files of a name; a large file is hopped through by one task."""
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+# Records of images hold thousands of image points, so a range may begin far from the next record.
+IMAGE_WINDOW = 1 << 19
+
+
+def _after_point(reader: Reader, place: int) -> int | None:
+    length = reader.number(place + POINT.itemsize - 8, 8)
+    after = None if length is None else place + POINT.itemsize + length * TRACK_ITEM_BYTES
+    return after if after is not None and after <= reader.size else None
+
+
+def _after_image(reader: Reader, place: int) -> int | None:
+    at = place + struct.calcsize(IMAGE_RECORD)
+    while (end := (name := reader.take(at, 256)).find(b"\x00")) < 0:
+        if len(name) < 256:
+            return None
+        at += 256
+    points = reader.number(at + end + 1, 8)
+    after = None if points is None else at + end + 9 + points * POINT2D_BYTES
+    return after if after is not None and after <= reader.size else None
+
+
+def _ranges(spark: SparkSession, path: str, file_name: str, step: Step, split_bytes: int, window: int | None = None) -> DataFrame:
+    """Ranges of records (path, at, records, problem) of all files of a name."""
+    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for file, size in zip(batch["path"], batch["length"]):
+            for file in batch["path"]:
                 cursor = FileCursor(file)
                 try:
-                    count = _take(cursor, COUNT)[0]
-                    if size <= split_bytes:
-                        rows.append((file, 8, count, None))
-                    else:
-                        rows += [(file, at, n, None) for at, _, n in hop_ranges(cursor, count, hop, split_bytes)]
+                    rows.append((file, 8, _take(cursor, COUNT)[0], None))
                 except EOFError as problem:
                     rows.append((file, 0, 0, str(problem)))
                 finally:
@@ -178,14 +188,18 @@ def _ranges(spark: SparkSession, path: str, file_name: str, hop: Callable[[FileC
             yield pd.DataFrame(rows, columns=["path", "at", "records", "problem"])
 
     slots = spark.sparkContext.defaultParallelism
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", file_name)
-        .load(path).select("path", "length").repartition(slots)
-    )
-    return files.mapInPandas(cut, RANGE_COLUMNS).repartition(slots, "path", "at")
-
-
-def _decoded(spark, path, file_name, hop, record, columns, capture, split_bytes) -> DataFrame:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", file_name).load(path).select("path", "length")
+    ranges = files.repartition(slots).mapInPandas(heads, RANGE_COLUMNS)
+    large = files.where(F.col("length") > split_bytes)
+    if large.limit(1).count():
+        counted = ranges.join(large, "path").select(
+            "path", F.col("length").alias("size"), F.col("at").alias("start"), F.col("records").alias("count"), F.lit(None).cast("string").alias("layout"))
+        cut = record_ranges(checkpointed(counted), lambda _: step, split_bytes, **({"window": window} if window else {}))
+        ranges = ranges.join(large, "path", "left_anti").unionByName(cut.withColumn("problem", F.lit(None).cast("string")))
+    return ranges.repartition(slots, "path", "at")
+
+
+def _decoded(spark, path, file_name, record, columns, capture, split_bytes) -> DataFrame:
     names = [field.split(" ")[0] for field in columns.split(", ")]
     width = len(names) - 2
 
@@ -209,7 +223,7 @@ def _decoded(spark, path, file_name, hop, record, columns, capture, split_bytes)
                         name: pd.Series([row[i] for row in rows], dtype=object) for i, name in enumerate(names)
                     })
 
-    ranges = _ranges(spark, path, file_name, hop, split_bytes)
+    ranges = _ranges(spark, path, file_name, _after_image, split_bytes, IMAGE_WINDOW)
     return ranges.mapInPandas(decode, columns).withColumn("capture_id", capture(F.col("path")))
 
 
