@@ -1,8 +1,8 @@
 """PLY point clouds and meshes, read by byte ranges.
 
-Headers are read in tasks first.  A body of fixed records, and an ASCII body, is
-then cut into ranges that any task can read alone.  A body with list properties
-on its vertices is first hopped through to find where ranges of vertices begin.
+Headers are read in tasks first, once per load.  A body of fixed records, and an ASCII body, is
+then cut into ranges that any task can read alone.  Of a large body with list properties
+on its vertices each byte range is searched for the vertices it holds.
 """
 
 from __future__ import annotations
@@ -15,9 +15,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from capturemill.session import small_side
+from capturemill.session import checkpointed, small_side
+from capturemill.sources.chains import Reader, Step, record_ranges
 from capturemill.sources.mesh_text import mesh_from_path
-from capturemill.sources.ranges import FileCursor, hop_ranges, in_batches, read_range
+from capturemill.sources.ranges import FileCursor, in_batches, read_range
 from capturemill.sources.text_lines import numbered_lines
 
 # Scalar types and the 13-byte triangle record.
@@ -232,42 +233,69 @@ def _lists(props: list[list[str]]) -> list[tuple[np.dtype, np.dtype]]:
     return [(np.dtype("<" + SCALARS[p[1]]), np.dtype("<" + SCALARS[p[2]])) for p in props if p[0] == "list"]
 
 
-def _listed_ranges(headers: DataFrame) -> DataFrame:
-    """Ranges (path, props, first, rows, at) of bodies with list properties; faces follow as one span."""
+def _after_vertex(props: str) -> Step:
+    """Step over one vertex with list properties."""
+    listed = json.loads(props)
+    scalars = _record(listed).itemsize
+    lists = [(count.itemsize, count.kind == "i", item.itemsize) for count, item in _lists(listed)]
+
+    def step(reader: Reader, place: int) -> int | None:
+        at = place + scalars
+        for size, signed, item in lists:
+            raw = reader.take(at, size)
+            n = int.from_bytes(raw, "little", signed=signed)
+            at += size + n * item
+            if len(raw) < size or n < 0 or at > reader.size:
+                return None
+        return at if at <= reader.size else None
+
+    return step
+
+
+SPANS = "part string, path string, props string, first bigint, rows bigint, at bigint, problem string"
+
+
+def listed_spans(headers: DataFrame) -> DataFrame:
+    """Ranges (path, props, first, rows, at) of bodies with list properties; faces follow as one span.
+
+    A body that ends early has one row that tells the problem.
+    """
     split = RANGE_BYTES
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The span of faces behind the last range of vertices of each file."""
         for batch in batches:
+            rows = []
             for r in batch.itertuples(index=False):
-                props = json.loads(r.props)
-                scalars, lists = _record(props).itemsize, _lists(props)
-
-                def hop(cursor: FileCursor) -> None:
-                    cursor.exactly(scalars)
-                    for count_type, item_type in lists:
-                        n = int(np.frombuffer(cursor.exactly(count_type.itemsize), count_type)[0])
-                        if n * item_type.itemsize > cursor.left:
-                            raise EOFError("list runs past the end of the file")
-                        cursor.skip(n * item_type.itemsize)
-
-                cursor = FileCursor(r.path, r.start)
-                rows = [("vertex", r.path, r.props, first, n, at, None)
-                        for at, first, n in hop_ranges(cursor, r.nv, hop, split)]
-                try:
-                    # the walk stops early only where the body is cut short
-                    if r.nv:
-                        check = FileCursor(r.path, rows[-1][5])
-                        for _ in range(rows[-1][4]):
-                            hop(check)
-                        check.close()
-                    rows.append(("face", r.path, r.props, 0, r.nf, cursor.position, None))
-                except EOFError as problem:
-                    rows = [("vertex", r.path, r.props, 0, 0, 0, str(problem))]
-                cursor.close()
-                yield pd.DataFrame(rows, columns=["part", "path", "props", "first", "rows", "at", "problem"])
-
-    schema = "part string, path string, props string, first bigint, rows bigint, at bigint, problem string"
-    return headers.where(F.col("kind") == "listed").mapInPandas(cut, schema)
+                reader, step = Reader(r.path), _after_vertex(r.props)
+                place, left = r.at, r.rows
+                while left and place is not None:
+                    place, left = step(reader, place), left - 1
+                reader.close()
+                short = "vertex body ends early" if place is None else None
+                rows.append(("face", r.path, r.props, 0, r.nf, place or 0, short))
+            yield pd.DataFrame(rows, columns=["part", "path", "props", "first", "rows", "at", "problem"])
+
+    listed = headers.where(F.col("kind") == "listed")
+    if not listed.limit(1).count():
+        return headers.sparkSession.createDataFrame([], SPANS)
+    large = (F.col("size") - F.col("start") > split) & (F.col("nv") > 0)
+    whole = listed.select("path", "props", "nf", F.lit(0).cast("long").alias("first"), F.col("nv").alias("rows"), F.col("start").alias("at"))
+    spans = whole.join(listed.where(~large).select("path"), "path", "left_semi")
+    if listed.where(large).limit(1).count():
+        files = checkpointed(listed.where(large).select("path", "size", "start", F.col("nv").alias("count"), F.col("props").alias("layout")))
+        cut = record_ranges(files, _after_vertex, split)
+        earlier = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)  # a row per range of a file
+        cut = cut.withColumn("first", F.coalesce(F.sum("records").over(earlier), F.lit(0).cast("long")))
+        spans = spans.unionByName(cut.select("path", "first", F.col("records").alias("rows"), "at").join(listed.select("path", "props", "nf"), "path"))
+    spans = checkpointed(spans)
+    last = spans.groupBy("path").agg(F.max_by(F.struct("props", "nf", "rows", "at"), "at").alias("s")).select("path", "s.*")
+    faces = checkpointed(_spread(last).mapInPandas(ends, SPANS))
+    bad = faces.where(F.col("problem").isNotNull())
+    vertices = spans.join(bad.select("path"), "path", "left_anti").select(
+        F.lit("vertex").alias("part"), "path", "props", "first", "rows", "at", F.lit(None).cast("string").alias("problem"))
+    told = bad.select(F.lit("vertex").alias("part"), "path", "props", *[F.lit(0).cast("long").alias(c) for c in ("first", "rows", "at")], "problem")
+    return vertices.unionByName(faces.where(F.col("problem").isNull())).unionByName(told)
 
 
 def _listed_vertices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -294,7 +322,7 @@ def _listed_vertices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             cursor.close()
 
 
-def ply_vertices(headers: DataFrame, mesh: Callable[[Column], Column] = mesh_from_path) -> DataFrame:
+def ply_vertices(headers: DataFrame, mesh: Callable[[Column], Column] = mesh_from_path, spans: DataFrame | None = None) -> DataFrame:
     """Vertices of the files in a header table.
 
     Colours default to 255.  ASCII rows of under three fields are skipped; the others
@@ -306,7 +334,7 @@ def ply_vertices(headers: DataFrame, mesh: Callable[[Column], Column] = mesh_fro
     ranges = _record_ranges(fixed.where(whole), F.col("nv"), F.col("start"), F.col("__stride"))
     short = fixed.where(~whole).select("path", F.lit("vertex body is too short").alias("problem"))
     told = headers.where(F.col("problem").isNotNull()).select("path", "problem").unionByName(short)
-    listed = _listed_ranges(headers).where(F.col("part") == "vertex")
+    listed = (listed_spans(headers) if spans is None else spans).where(F.col("part") == "vertex")
     rows = (
         _spread(ranges).mapInPandas(_fixed_vertices, VERTEX)
         .unionByName(_ascii_rows(headers, VERTEX, _ascii_vertex))
@@ -342,15 +370,15 @@ def _fixed_faces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield _face_frame(r.path, r.first + done, raw)
 
 
-def ply_faces(headers: DataFrame, mesh: Callable[[Column], Column] = mesh_from_path) -> DataFrame:
+def ply_faces(headers: DataFrame, mesh: Callable[[Column], Column] = mesh_from_path, spans: DataFrame | None = None) -> DataFrame:
     """Triangles of the files in a header table.
 
     Binary faces are taken as 13-byte triangles, and none is given when the body is
     shorter than that; ASCII faces of other sizes are left out.
     """
     fixed = headers.where(F.col("kind") == "fixed").withColumn("__at", F.col("start") + F.col("nv") * _stride(headers))
-    spans = _listed_ranges(headers.where(F.col("nf") > 0)).where(F.col("part") == "face")
-    listed = spans.join(headers.select("path", "size", "nf"), "path").withColumn("__at", F.col("at"))
+    behind = (listed_spans(headers) if spans is None else spans).where((F.col("part") == "face") & (F.col("rows") > 0))
+    listed = behind.join(headers.select("path", "size", "nf"), "path").withColumn("__at", F.col("at"))
     body = [d.select("path", "props", "size", "nf", "__at") for d in (fixed, listed)]
     whole = body[0].unionByName(body[1]).where(F.col("size") >= F.col("__at") + F.col("nf") * TRIANGLE.itemsize)
     ranges = _record_ranges(whole, F.col("nf"), F.col("__at"), F.lit(TRIANGLE.itemsize).cast("long"))
@@ -363,8 +391,9 @@ def load_ply(
     pattern: str = "*.ply",
 ) -> tuple[DataFrame, DataFrame]:
     """Vertices and faces of all PLY files below a folder."""
-    headers = ply_headers(spark, path, strict, pattern)
-    return ply_vertices(headers, mesh), ply_faces(headers, mesh)
+    headers = checkpointed(ply_headers(spark, path, strict, pattern))
+    spans = listed_spans(headers)
+    return ply_vertices(headers, mesh, spans), ply_faces(headers, mesh, spans)
 
 
 def load_ply_text(

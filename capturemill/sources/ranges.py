@@ -100,22 +100,3 @@ def in_batches(rows: Iterator[tuple], size: int = 20_000) -> Iterator[list[tuple
             held = []
     if held:
         yield held
-
-
-def hop_ranges(cursor: FileCursor, count: int, hop, split: int) -> Iterator[tuple[int, int, int]]:
-    """Ranges (offset, first record, records) of about ``split`` bytes over variable-length records.
-
-    ``hop`` moves the cursor over one record.  A record the file cuts short ends the
-    walk; all records not walked are left in the last range, where decoding meets the damage.
-    """
-    start, first = cursor.position, 0
-    for n in range(count):
-        try:
-            hop(cursor)
-        except EOFError:
-            break
-        if cursor.position - start >= split and n + 1 < count:
-            yield start, first, n + 1 - first
-            start, first = cursor.position, n + 1
-    if first < count:
-        yield start, first, count - first

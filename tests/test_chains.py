@@ -6,7 +6,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from capturemill.sources import chains, sparse_model
+from capturemill.sources import chains, ply, sparse_model
 
 
 def point(ident, track):
@@ -124,3 +124,32 @@ def test_images_with_long_records(spark, tmp_path):
         columns = [c for c in whole.columns if c != "path"]
         assert sorted(map(repr, cut.select(*columns).collect())) == sorted(map(repr, whole.select(*columns).collect()))
     assert whole.where(F.col("problem").isNull()).count() == 120
+
+
+def ply_file(draw, n, faces):
+    head = f"ply\nformat binary_little_endian 1.0\nelement vertex {n}\nproperty float x\nproperty float y\nproperty float z\n"
+    head += "property list uchar uint view_indices\nproperty list ushort uchar tags\n"
+    head += f"element face {faces}\nproperty list uchar int vertex_indices\nend_header\n"
+    body = []
+    for i in range(n):
+        views, tags = draw.randrange(0, 6), draw.randrange(0, 40)
+        body.append(struct.pack("<fff", i, -i, 0.5) + struct.pack(f"<B{views}I", views, *[draw.randrange(9) for _ in range(views)])
+                    + struct.pack("<H", tags) + bytes(draw.randrange(256) for _ in range(tags)))
+    return head.encode() + b"".join(body) + b"".join(struct.pack("<Biii", 3, i, i + 1, i + 2) for i in range(faces))
+
+
+@pytest.mark.parametrize("cut", [0, 30])
+def test_listed_ply_of_large_files(spark, tmp_path, monkeypatch, cut):
+    draw = random.Random(6)
+    for capture in (1, 2):
+        data = ply_file(draw, 500, 40)
+        (tmp_path / str(capture)).mkdir()
+        (tmp_path / str(capture) / "m.ply").write_bytes(data[:len(data) - cut - 40 * 13] if cut and capture == 2 else data)
+    whole = [[tuple(r) for r in t.drop("path", "problem").collect()] for t in ply.load_ply(spark, str(tmp_path))]
+    monkeypatch.setattr(ply, "RANGE_BYTES", 3_000)
+    tables = ply.load_ply(spark, str(tmp_path))
+    assert [sorted(map(repr, (tuple(r) for r in t.drop("path", "problem").collect()))) for t in tables] == [sorted(map(repr, w)) for w in whole]
+    assert tables[0].where("problem IS NOT NULL").count() == bool(cut)
+    assert len(whole[0]) == (501 if cut else 1000)
+    # headers are read once, at the start; neither table lists the files or opens a header again
+    assert all("binaryFile" not in t._jdf.queryExecution().toString() for t in tables)
