@@ -3,10 +3,9 @@
 A window over a whole group puts the group into one task.  Here the order key is
 cut into buckets of ``2**BUCKET_BITS`` consecutive values; because the key is
 unique within its group, no bucket can hold more rows than that.  Bucket totals
-are folded the same way, so each window sees a bounded slice and a group holding
-a third of all rows is spread over many tasks.  The topmost window sees one row
-per ``2**(2 * BUCKET_BITS)`` key values in use, a few hundred for dense keys up to
-10**12.
+are folded the same way, level after level until the key is used up, so every window
+sees ``2**BUCKET_BITS`` rows at most, however keys are spread over their 64 bits, and a group
+holding a third of all rows is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -17,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET_BITS = 16
+# Rows, and buckets of 16, 32 and 48 bits.
+LEVELS = 64 // BUCKET_BITS
 
 _AGGREGATES = {"sum": F.sum, "max": F.max}
 
@@ -43,37 +44,37 @@ def running_folds(
     names = list(folds)
     kinds = {name: folds[name][0] for name in names}
     values = {name: f"__value_{name}" for name in names}
+    def level(n: int) -> str:
+        return f"__level{n}"
+
     rows = df.withColumns({
         **{values[name]: folds[name][1] for name in names},
-        "__bucket": F.shiftright(F.col(order).cast("long"), BUCKET_BITS),
-        "__upper": F.shiftright(F.col(order).cast("long"), 2 * BUCKET_BITS),
+        **{level(n): F.shiftright(F.col(order).cast("long"), n * BUCKET_BITS) for n in range(1, LEVELS)},
     })
-    buckets = rows.groupBy(*group, "__upper", "__bucket").agg(
-        *[_AGGREGATES[kinds[n]](values[n]).alias(values[n]) for n in names]
-    )
-    uppers = buckets.groupBy(*group, "__upper").agg(
-        *[_AGGREGATES[kinds[n]](values[n]).alias(values[n]) for n in names]
-    )
-
-    def before(table: DataFrame, partition: Sequence[str], key: str, prefix: str) -> DataFrame:
-        window = Window.partitionBy(*partition).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-        return table.select(
-            *partition, *([key] if key not in partition else []),
-            *[_AGGREGATES[kinds[n]](values[n]).over(window).alias(f"{prefix}{n}") for n in names],
-        )
-
-    upper_offsets = before(uppers, group, "__upper", "__up_")
-    bucket_offsets = before(buckets, [*group, "__upper"], "__bucket", "__in_").join(
-        upper_offsets, [*group, "__upper"]
-    ).select(
-        *group, "__bucket",
-        *[_combined(kinds[n], F.col(f"__up_{n}"), F.col(f"__in_{n}")).alias(f"__off_{n}") for n in names],
-    )
+    # totals of the buckets of each level; a level's buckets lie in one of the next level
+    totals, table = {}, rows
+    for n in range(1, LEVELS):
+        table = table.groupBy(*group, *[level(m) for m in range(n, LEVELS)]).agg(
+            *[_AGGREGATES[kinds[x]](values[x]).alias(values[x]) for x in names])
+        totals[n] = table
+
+    def before(n: int) -> DataFrame:
+        """What lies before each bucket of a level, inside its bucket of the next level."""
+        above = [level(m) for m in range(n + 1, LEVELS)]
+        window = Window.partitionBy(*group, *above).orderBy(level(n)).rowsBetween(Window.unboundedPreceding, -1)
+        return totals[n].select(*group, level(n), *above, *[
+            _AGGREGATES[kinds[x]](values[x]).over(window).alias(f"__in_{x}") for x in names])
+
+    offsets = before(LEVELS - 1).withColumnsRenamed({f"__in_{x}": f"__off_{x}" for x in names})
+    for n in range(LEVELS - 2, 0, -1):
+        above = [level(m) for m in range(n + 1, LEVELS)]
+        offsets = before(n).join(offsets, [*group, *above]).select(*group, level(n), *above, *[
+            _combined(kinds[x], F.col(f"__off_{x}"), F.col(f"__in_{x}")).alias(f"__off_{x}") for x in names])
 
     last = -1 if exclusive else Window.currentRow
-    inside = Window.partitionBy(*group, "__bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, last)
+    inside = Window.partitionBy(*group, level(1)).orderBy(order).rowsBetween(Window.unboundedPreceding, last)
     local = rows.withColumns({f"__run_{n}": _AGGREGATES[kinds[n]](values[n]).over(inside) for n in names})
-    joined = local.join(bucket_offsets, [*group, "__bucket"])
+    joined = local.join(offsets.select(*group, level(1), *[f"__off_{n}" for n in names]), [*group, level(1)])
     return joined.select(
         *[c for c in df.columns],
         *[_combined(kinds[n], F.col(f"__off_{n}"), F.col(f"__run_{n}")).alias(n) for n in names],

@@ -102,7 +102,7 @@ def artifact_listing(spark, lens):
     return manifest.artifact_listing(spark, _written_files(files, _folder(spark)))
 
 
-# Image files of all kinds, some in folders of their own, and files that are none.
+# Image files of all kinds, some in folders of their own, some empty, and files that are none.
 ENDINGS = (".jpg", ".JPEG", ".png", ".tif", ".TIFF", ".txt", ".jpg.bak", ".Png")
 
 
@@ -110,13 +110,13 @@ def _image_folder(spark, lens):
     ending = F.element_at(F.array(*[F.lit(e) for e in ENDINGS]), (F.col("image_id") % 8 + 1).cast("int"))
     name = F.concat(F.expr("left(name, length(name) - 4)"), ending)
     below = F.when(F.col("image_id") % 3 == 0, F.concat(F.lit("more/"), F.col("capture_id"), F.lit("/"))).otherwise("")
-    files = lens("images").select(F.concat(below, name).alias("path"), (F.col("image_id") % 5 + 1).alias("bytes"))
+    files = lens("images").select(F.concat(below, name).alias("path"), (F.col("image_id") % 5).alias("bytes"))
     return _written_files(files, _folder(spark))
 
 
 IMAGES_SQL = """
     SELECT left(name, length(name) - 4) || CASE image_id % 8 """ + " ".join(
-    f"WHEN {i} THEN '{e}'" for i, e in enumerate(ENDINGS)) + """ END AS name, image_id % 5 + 1 AS size
+    f"WHEN {i} THEN '{e}'" for i, e in enumerate(ENDINGS)) + """ END AS name, image_id % 5 AS size
     FROM images WHERE image_id % 8 NOT IN (5, 6)"""
 
 

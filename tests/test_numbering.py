@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from capturemill.operators.numbering import BUCKET_BITS, dense_first_seen_index, numbered, running_folds
+from capturemill.operators.numbering import BUCKET_BITS, LEVELS, dense_first_seen_index, numbered, running_folds
 
 
 def test_running_folds_cross_buckets(spark):
@@ -60,3 +60,19 @@ def test_broadcast_only_when_counted_small(spark):
         side, rows = counted_side(df, max_rows=limit)
         plan = spark.range(10).join(side, "id")._jdf.queryExecution().logical().toString()
         assert rows == 100 and ("UnresolvedHint" in plan or "ResolvedHint" in plan) == hinted
+
+
+def test_keys_spread_over_all_bits(spark):
+    """No window sees more rows than a level has buckets, wherever the keys lie."""
+    rng = random.Random(9)
+    keys = sorted({rng.randrange(-(1 << 63), 1 << 63) for _ in range(3000)} | {-(1 << 63), (1 << 63) - 1, 0, -1})
+    df = spark.createDataFrame([(1, k) for k in rng.sample(keys, len(keys))], "g bigint, k bigint").repartition(5)
+    got = {r["k"]: r["n"] for r in numbered(df, ["g"], "k", "n").collect()}
+    assert got == {k: n for n, k in enumerate(keys, 1)}
+    plan = numbered(df, ["g"], "k", "n")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == LEVELS
+    for n in range(LEVELS):
+        bucket = F.shiftright("k", n * BUCKET_BITS)
+        above = F.shiftright("k", min((n + 1) * BUCKET_BITS, 63)) if n + 1 < LEVELS else F.lit(0)
+        most = df.select(bucket.alias("b"), above.alias("a")).distinct().groupBy("a").count().agg(F.max("count")).first()[0]
+        assert most <= 1 << BUCKET_BITS

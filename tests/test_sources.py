@@ -1,5 +1,6 @@
 """Files written byte by byte, read back through the sources."""
 
+import os
 import sqlite3
 import struct
 
@@ -210,6 +211,28 @@ def test_feature_databases(spark, tmp_path):
     assert got == {2: "OK", 3: "OK"}
 
 
+def test_listing_has_empty_and_hidden_files(spark, tmp_path):
+    for name, data in (("1/a.jpg", b""), ("1/b c%20é.PNG", b"xy"), ("1/deep/er/c.tiff", b"x" * 9), ("2/.d.jpeg", b"1"), ("2/_e.tif", b""), ("2/x.txt", b"")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    (tmp_path / "2" / "empty").mkdir()
+    (tmp_path / "2" / "round").symlink_to(tmp_path)
+    names = lambda df: sorted((r["path"].removeprefix(f"file:{tmp_path}/"), r["size"]) for r in df.collect())
+    images = [("1/a.jpg", 0), ("1/b c%20é.PNG", 2), ("1/deep/er/c.tiff", 9), ("2/.d.jpeg", 1), ("2/_e.tif", 0)]
+    assert names(manifest.image_manifest(spark, str(tmp_path))) == images
+    walked = [os.path.join(root, f) for root, _, files in os.walk(tmp_path) for f in files]
+    assert sorted(r["path"] for r in manifest.listing(spark, f"file:{tmp_path}/").collect()) == sorted(f"file:{f}" for f in walked)
+    assert names(manifest.image_manifest(spark, str(tmp_path / "1"), recursive=False)) == images[:2]
+    assert names(manifest.listing(spark, f"{tmp_path}/[12]/*.jp*")) == [images[0], images[3]]
+    assert names(manifest.image_manifest(spark, f"{tmp_path}/*/deep")) == [images[2]]
+    assert names(manifest.listing(spark, f"{tmp_path}/1/a.jpg")) == [images[0]]
+    assert names(manifest.listing(spark, str(tmp_path / "2" / "empty"))) == []
+    with pytest.raises(FileNotFoundError):
+        manifest.listing(spark, str(tmp_path / "nothing"))
+    row = manifest.listing(spark, str(tmp_path / "1"), recursive=False).where("size = 2").first()
+    assert abs(row["mtime"].timestamp() - os.stat(tmp_path / "1" / "b c%20é.PNG").st_mtime) < 2
+
+
 def test_manifest(spark, tmp_path):
     for name in ("a.JPG", "b.tiff", "c.txt", "sub/d.png", "sub/deep/e.Jpeg", "f.tif.bak"):
         put(tmp_path / name.rsplit("/", 1)[0] if "/" in name else tmp_path, name.rsplit("/", 1)[-1], b"x" * 3)
