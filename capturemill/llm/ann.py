@@ -131,7 +131,7 @@ class QueryBlock:
         sizes = [len(h) for h in self.heaps]
         found = [x for h in self.heaps for x in h]
         return {
-            "query_row": np.repeat((self.block << 20) + np.arange(len(self.ids)), sizes), "query_id": np.repeat(self.ids, sizes),
+            "block": np.full(sum(sizes), self.block), "row": np.repeat(np.arange(len(self.ids)), sizes), "query_id": np.repeat(self.ids, sizes),
             "vec_id": np.array([-n for _, n in found], np.int64), "score": np.array([s for s, _ in found], np.float64),
         }
 
@@ -184,7 +184,7 @@ def search(
                             query.meet(ids, rows, q)
         yield from ended()
 
-    found = tiles.mapInArrow(releasing(multiply), "query_row bigint, query_id bigint, vec_id bigint, score double")
-    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
+    found = tiles.mapInArrow(releasing(multiply), "block bigint, row bigint, query_id bigint, vec_id bigint, score double")
+    best = Window.partitionBy("block", "row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")

@@ -43,3 +43,22 @@ def test_few_and_none(spark):
     one = spark.createDataFrame([(0, [1.0, 2.0], 1, 0.0, 1), (3, [2.0, 1.0], 1, 0.0, 1)], SCHEMA)
     assert [tuple(r) for r in ann.search(one, F.col("vec_id") % 20 == 0).collect()] == [(0, 1, 3, 4.0)]
     assert ann.search(one.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_thousands_of_input_partitions(spark):
+    """Blocks are numbered by task; the numbers of tasks from 2,048 on have to fit."""
+    draw = np.random.default_rng(5)
+    rows = [(i, draw.normal(size=3).astype(np.float32).tolist()) for i in range(4200)]
+    frame = spark.createDataFrame([(i, v, 1, 0.5, 2) for i, v in rows if i % 100 == 0 or i > 4100], SCHEMA)
+    numbered = spark.sparkContext.parallelize([], 2000).union(spark.sparkContext.parallelize(frame.collect(), 100))
+    wide = spark.createDataFrame(numbered, frame.schema)
+    assert wide.rdd.getNumPartitions() == 2100
+    got = ann.search(wide, F.col("vec_id") % 20 == 0).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == brute([(r["vec_id"], r["embedding"]) for r in frame.collect()], 20)
+
+
+def test_rows_of_late_tasks_are_told_apart():
+    block = ann.QueryBlock(5000 << 32, np.arange(3), np.eye(3), 2)
+    block.meet(np.arange(3, 6), np.eye(3), ann.quantised(np.eye(3)))
+    out = block.rows()
+    assert set(zip(out["block"].tolist(), out["row"].tolist(), strict=True)) == {(5000 << 32, r) for r in range(3)}
