@@ -28,8 +28,8 @@ def bounds(points: DataFrame) -> DataFrame:
     )
 
 
-# Levels of the quad split counted in one pass, and the finest level.
-SPLIT_LEVELS, FINEST = 13, 52
+# Levels of the quad split counted in one pass (65,536 cells below one), and the finest level.
+SPLIT_LEVELS, FINEST = 8, 52
 # Slices of the values inside a bracket.
 SLICES = 256
 
@@ -192,8 +192,10 @@ def restore_coordinates(points: DataFrame, transforms: DataFrame) -> DataFrame:
 def split_subscenes(points: DataFrame, max_points: int) -> DataFrame:
     """Quad split of the ground plane until no cell holds more than ``max_points``.
 
-    Points are placed on a grid of 2**52 by 2**52, as fine as a double share of the extent can be.  Cells are
-    counted ``SPLIT_LEVELS`` levels at a time; each point takes the coarsest ancestor cell that is small enough,
+    Points are placed on a grid of 2**52 by 2**52, as fine as a double share of the extent can be.  The quadrants
+    that a cell takes on its way down are the digits of its Morton code.  Cells ``SPLIT_LEVELS`` levels further down are
+    counted and sorted by these digits once; the counts of all levels between are sums over common beginnings of the
+    code, which that order holds together.  Each point takes the coarsest cell that is small enough,
     and only cells that are still too large are counted any finer.  Adds ``level``, ``cell_x``, ``cell_y`` and
     ``undivided``: points of the finest level that no split can part, more than ``max_points`` in one place.
     """
@@ -207,42 +209,53 @@ def split_subscenes(points: DataFrame, max_points: int) -> DataFrame:
         share = F.when(extent > 0, (F.col(a) - F.col(f"lo_{a}")) / extent).otherwise(0.0)
         return F.least(F.floor(share * float(1 << FINEST)), F.lit((1 << FINEST) - 1)).cast("long")
 
-    def above(column: str, level: int):
-        return F.call_function("shiftright", F.col(column), F.lit(FINEST - level))
-
     placed = points.join(box, "capture_id").select(*points.columns, fine("x").alias("__fx"), fine("y").alias("__fy"))
     cells = placed.select("capture_id", "__fx", "__fy")
+    key = ["capture_id", "__kx", "__ky"]
     chosen: list[DataFrame] = []
-    for top in range(0, FINEST, SPLIT_LEVELS):
-        low = top + SPLIT_LEVELS
-        counts = checkpointed(cells.groupBy("capture_id", above("__fx", low).alias("__kx"), above("__fy", low).alias("__ky")).agg(
-            F.count(F.lit(1)).alias("__n")))
-
-        def at_level(c: str, low: int = low):
-            return F.call_function("shiftright", F.col(f"__k{c}"), F.lit(low) - F.col("level")).alias(f"cell_{c}")
-
-        # level 0 is the whole capture; later rounds begin one level below the cells they divide
-        levels = counts.withColumn("level", F.explode(F.sequence(F.lit(top + 1 if top else 0), F.lit(low)))).select(
-            "capture_id", "__kx", "__ky", "__n", "level", at_level("x"), at_level("y"))
-        cell = ["capture_id", "level", "cell_x", "cell_y"]
-        small = levels.groupBy(*cell).agg(F.sum("__n").alias("__cell")).where(
-            (F.col("__cell") <= max_points) | (F.col("level") == FINEST))
-        found = checkpointed(levels.drop("__n").join(small, cell).groupBy("capture_id", "__kx", "__ky").agg(
-            F.min(F.struct("level", "cell_x", "cell_y", (F.col("__cell") > max_points).alias("undivided"))).alias(f"__c{low}")))
-        chosen.append(found)
-        left = checkpointed(counts.join(found, ["capture_id", "__kx", "__ky"], "left_anti").select("capture_id", "__kx", "__ky"))
-        if left.limit(1).count() == 0:
+    lows = [min(top + SPLIT_LEVELS, FINEST) for top in range(0, FINEST, SPLIT_LEVELS)]
+    for top, low in zip([0, *lows[:-1]], lows, strict=True):
+        keys = {"__kx": F.shiftright("__fx", FINEST - low), "__ky": F.shiftright("__fy", FINEST - low)}
+        found = checkpointed(_smallest_fitting(
+            cells.groupBy("capture_id", *[c.alias(n) for n, c in keys.items()]).agg(F.count(F.lit(1)).alias("__n")), top, low, max_points))
+        chosen.append(found.withColumnRenamed("__cell", f"__c{low}"))
+        left = found.where("__cell IS NULL").select(*key)
+        if low == FINEST or not left.limit(1).count():
             break
-        cells = placed.select("capture_id", "__fx", "__fy", above("__fx", low).alias("__kx"), above("__fy", low).alias("__ky")).join(
-            left, ["capture_id", "__kx", "__ky"], "left_semi").select("capture_id", "__fx", "__fy")
+        cells = placed.select("capture_id", "__fx", "__fy").withColumns(keys).join(left, key, "left_semi").select("capture_id", "__fx", "__fy")
     out = placed
-    for n, found in enumerate(chosen):
-        low = (n + 1) * SPLIT_LEVELS
-        out = out.withColumns({"__kx": above("__fx", low), "__ky": above("__fy", low)}).join(found, ["capture_id", "__kx", "__ky"], "left")
-    cell = F.coalesce(*[F.col(f"__c{(n + 1) * SPLIT_LEVELS}") for n in range(len(chosen))])
+    for low, found in zip(lows, chosen, strict=False):
+        keys = {"__kx": F.shiftright("__fx", FINEST - low), "__ky": F.shiftright("__fy", FINEST - low)}
+        out = out.withColumns(keys).join(found, key, "left")
+    cell = F.coalesce(*[F.col(f"__c{low}") for low in lows[:len(chosen)]])
     return out.select(*[F.col(c) for c in points.columns], cell.alias("__cell")).select(*points.columns, "__cell.*")
 
 
+def _smallest_fitting(counts: DataFrame, top: int, low: int, max_points: int) -> DataFrame:
+    """Cells (capture_id, __kx, __ky, __n) of level ``low`` with their coarsest ancestor that is small enough, if any.
+
+    Cells above level ``top`` are known to be too large.  A window sees the cells below one cell of level ``top``,
+    4**SPLIT_LEVELS at most.
+    """
+    above = ["capture_id", "__tx", "__ty"]
+    digits = [f"__d{n}" for n in range(top + 1, low + 1)]
+    coded = counts.withColumns({
+        "__tx": F.shiftright("__kx", low - top), "__ty": F.shiftright("__ky", low - top),
+        **{f"__d{n}": F.shiftright("__kx", low - n).bitwiseAND(F.lit(1)) * 2 + F.shiftright("__ky", low - n).bitwiseAND(F.lit(1))
+           for n in range(top + 1, low + 1)},
+    })
+    # every window below finds its rows together in this order and needs no exchange or sort of its own
+    coded = coded.repartition(*above).sortWithinPartitions(*above, *digits)
+    # level 0 is the whole capture; later rounds begin one level below the cells they divide
+    levels = range(top + 1 if top else 0, low + 1)
+    coded = coded.select("*", *[
+        F.sum("__n").over(Window.partitionBy(*above, *digits[:n - top])).alias(f"__n{n}") for n in levels])
+    fitting = [F.when((F.col(f"__n{n}") <= max_points) | F.lit(n == FINEST), F.struct(
+        F.lit(n).alias("level"), F.shiftright("__kx", low - n).alias("cell_x"), F.shiftright("__ky", low - n).alias("cell_y"),
+        (F.col(f"__n{n}") > max_points).alias("undivided"))) for n in levels]
+    return coded.select("capture_id", "__kx", "__ky", F.coalesce(*fitting).alias("__cell"))
+
+
 def subscene_sizes(points: DataFrame, max_points: int) -> DataFrame:
     """Number of points of each sub-scene."""
     return split_subscenes(points, max_points).groupBy("capture_id", "level", "cell_x", "cell_y", "undivided").agg(

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from capturemill.operators.summaries import error_grade
-from capturemill.session import small_side
+from capturemill.session import checkpointed, small_side
 
 # Images per chunk of a track: a unit of work writes at most about the square of this many pairs.
 CHUNK = 256
+# Points of an image per list, where images are compared by lists of points.
+POINTS_IN_LIST = 4_096
+POINT = ["capture_id", "point3d_id"]
 
 
 def explode_tracks(points: DataFrame) -> DataFrame:
@@ -27,41 +32,120 @@ def covisibility(observations: DataFrame, chunk: int = CHUNK) -> DataFrame:
     written by many tasks, and each task adds up its pairs before they are shuffled.  No
     track is shortened or left out.
     """
-    point = ["capture_id", "point3d_id"]
-    seen = observations.select(*point, "image_id").distinct()
-    # the count of a point's images is spread by image first, so a hot point is no single group of rows
-    long = small_side(seen.groupBy(*point).agg(F.count(F.lit(1)).alias("images")).where(F.col("images") > chunk).select(
-        *point, F.ceil(F.col("images") / chunk).alias("chunks")))
-    cut = seen.join(long, point, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    seen = observations.select(*POINT, "image_id").distinct()
+    return _shared(seen, _long_points(seen, chunk), chunk)
+
+
+def _long_points(seen: DataFrame, least: int) -> DataFrame:
+    """Points that more than ``least`` images see; their images are counted before rows meet, so a hot point is no group."""
+    return small_side(seen.groupBy(*POINT).agg(F.count(F.lit(1)).alias("images")).where(F.col("images") > least))
+
+
+def _shared(seen: DataFrame, long: DataFrame, chunk: int) -> DataFrame:
+    """Shared points of all image pairs, or of those with an image that is ``wanted``, where ``seen`` tells."""
+    chunks = long.select(*POINT, F.ceil(F.col("images") / chunk).alias("chunks"))
+    cut = seen.join(chunks, POINT, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     cut = cut.withColumn("own", F.pmod(F.xxhash64("image_id"), F.col("chunks")))
+    wanted = ["wanted"] if "wanted" in seen.columns else []
     units = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))).select(
-        *point, F.least("own", "other").alias("chunk1"), F.greatest("own", "other").alias("chunk2"), "own", "image_id")
-    key = [*point, "chunk1", "chunk2"]
-    left = units.where("own = chunk1").select(*key, F.col("image_id").alias("first"))
-    right = units.where("own = chunk2").select(*key, F.col("image_id").alias("second"))
+        *POINT, F.least("own", "other").alias("chunk1"), F.greatest("own", "other").alias("chunk2"), "own", "image_id", *wanted)
+    key = [*POINT, "chunk1", "chunk2"]
+    left = units.where("own = chunk1").select(*key, F.col("image_id").alias("first"), *[F.col(c).alias("wanted1") for c in wanted])
+    right = units.where("own = chunk2").select(*key, F.col("image_id").alias("second"), *[F.col(c).alias("wanted2") for c in wanted])
     # inside one chunk every pair is met once, between two chunks the smaller id comes first
     met = left.join(right, key).where((F.col("chunk1") < F.col("chunk2")) | (F.col("first") < F.col("second")))
+    met = met.where(F.col("wanted1") | F.col("wanted2")) if wanted else met
     return met.where("first <> second").select(
         "capture_id", F.least("first", "second").alias("image_id1"), F.greatest("first", "second").alias("image_id2")
     ).groupBy("capture_id", "image_id1", "image_id2").agg(F.count(F.lit(1)).alias("shared"))
 
 
+def _directed(covisible: DataFrame) -> DataFrame:
+    ends = [F.struct(F.col(f"image_id{a}").alias("image_id"), F.col(f"image_id{b}").alias("neighbor_id"))
+            for a, b in ((1, 2), (2, 1))]
+    return covisible.select("capture_id", "shared", F.explode(F.array(*ends)).alias("e")).select(
+        "capture_id", "e.image_id", "e.neighbor_id", "shared"
+    )
+
+
+def _ranked(directed: DataFrame, bound: int) -> DataFrame:
+    order = Window.partitionBy("capture_id", "image_id").orderBy(F.col("shared").desc(), "neighbor_id")
+    return directed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= bound)
+
+
+def best_views(observations: DataFrame, k: int | DataFrame, degree: int = CHUNK, growth: int = 8, chunk: int = CHUNK) -> DataFrame:
+    """:func:`neighbor_views` from observations, without writing the pairs of points that very many images see.
+
+    A threshold algorithm.  Points that at most ``degree`` images see are cheap: their pairs are at most ``degree`` times the
+    observations.  What an image shares with another over cheap points is a lower bound, and the hot points of the one that
+    has fewer can add no more than their number.  An image is settled if it has fewer hot points than its k-th best
+    lower bound, since no image that it has not met can reach that; the hot points are then counted for its candidates
+    only, those whose upper bound reaches the k-th lower bound.  Images that are not settled go on with
+    points of a ``growth`` times higher degree, in the end with all points.  Counts and ties are exact.
+    """
+    seen = checkpointed(observations.select(*POINT, "image_id").distinct())
+    long = _long_points(seen, min(degree, chunk))
+    most = long.agg(F.max("images")).first()[0] or 0
+    if most <= degree:
+        return neighbor_views(_shared(seen, long, chunk), k)
+    seen = seen.join(long, POINT, "left").withColumn("images", F.coalesce("images", F.lit(0)))
+    captures = seen.select("capture_id").distinct().withColumn("number_views", F.lit(k)) if isinstance(k, int) else (
+        k.select("capture_id", "number_views"))
+    captures = small_side(captures.where("number_views > 0"))
+    bound = captures.agg(F.max("number_views")).first()[0] or 0
+    image = ["capture_id", "image_id"]
+    wanted = checkpointed(seen.select(*image).distinct().join(captures, "capture_id"))
+    found: list[DataFrame] = []
+    while True:
+        near = seen.where(F.col("images") <= degree).join(wanted.select(*image, F.lit(True).alias("wanted")), image, "left").withColumn(
+            "wanted", F.coalesce("wanted", F.lit(False)))
+        pairs = checkpointed(_shared(near, long, chunk))
+        directed = _directed(pairs).join(wanted, image)
+        ranked = _ranked(directed, bound).where(F.col("rank") <= F.col("number_views"))
+        if degree >= most:
+            found.append(ranked.drop("number_views"))
+            break
+        hot = seen.where(F.col("images") > degree).select(*image, "point3d_id")
+        sizes = checkpointed(hot.groupBy(*image).agg(F.count(F.lit(1)).alias("hot")))
+        kth = ranked.where(F.col("rank") == F.col("number_views")).select(*image, F.col("shared").alias("kth"))
+        state = checkpointed(wanted.join(sizes, image, "left").join(kth, image, "left").fillna(0, ["hot", "kth"]))
+        settled = state.where("hot = 0 OR hot < kth").select(*image, "hot", "kth")
+        theirs = sizes.select("capture_id", F.col("image_id").alias("neighbor_id"), F.col("hot").alias("theirs"))
+        candidates = checkpointed(directed.join(settled, image).join(theirs, ["capture_id", "neighbor_id"], "left").where(
+            F.col("shared") + F.least("hot", F.coalesce("theirs", F.lit(0))) >= F.col("kth")).select(
+            *image, "neighbor_id", "number_views", "shared"))
+        found.append(_ranked(_with_hot(candidates, hot, sizes), bound).where(F.col("rank") <= F.col("number_views")).drop("number_views"))
+        wanted = checkpointed(state.where("hot > 0 AND hot >= kth").select(*image, "number_views"))
+        if not wanted.limit(1).count():
+            break
+        degree *= growth
+    return reduce(DataFrame.unionByName, found)
+
+
+def _with_hot(candidates: DataFrame, hot: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Candidates with the hot points that both images see added to ``shared``.
+
+    The hot points of an image are cut into lists of about ``POINTS_IN_LIST``; lists of two images meet part by part.
+    """
+    parts = -(-(sizes.agg(F.max("hot")).first()[0] or 0) // POINTS_IN_LIST) or 1
+    part = F.pmod(F.xxhash64("point3d_id"), F.lit(parts)).alias("part")
+    lists = checkpointed(hot.groupBy("capture_id", "image_id", part).agg(F.collect_list("point3d_id").alias("points")))
+    other = lists.select("capture_id", F.col("image_id").alias("neighbor_id"), "part", F.col("points").alias("other_points"))
+    pair = ["capture_id", "image_id", "neighbor_id"]
+    both = candidates.select(*pair).join(lists, ["capture_id", "image_id"]).join(other, ["capture_id", "neighbor_id", "part"])
+    more = both.groupBy(*pair).agg(F.sum(F.size(F.array_intersect("points", "other_points"))).alias("more"))
+    return candidates.join(more, pair, "left").withColumn("shared", F.col("shared") + F.coalesce("more", F.lit(0))).drop("more")
+
+
 def neighbor_views(covisible: DataFrame, k: int | DataFrame) -> DataFrame:
     """The images sharing most points with each image, best first, ties by id.
 
     ``k`` is a number, or a table (capture_id, number_views) as made by the densify
     rule; its largest number bounds the ranks before the table is joined.
     """
-    ends = [F.struct(F.col(f"image_id{a}").alias("image_id"), F.col(f"image_id{b}").alias("neighbor_id"))
-            for a, b in ((1, 2), (2, 1))]
-    both = covisible.select("capture_id", "shared", F.explode(F.array(*ends)).alias("e")).select(
-        "capture_id", "e.image_id", "e.neighbor_id", "shared"
-    )
-    order = Window.partitionBy("capture_id", "image_id").orderBy(F.col("shared").desc(), "neighbor_id")
     if not isinstance(k, int):
         k = k.select("capture_id", "number_views")
-    bound = k if isinstance(k, int) else k.agg(F.max("number_views")).first()[0] or 0
-    ranked = both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= bound)
+    ranked = _ranked(_directed(covisible), k if isinstance(k, int) else k.agg(F.max("number_views")).first()[0] or 0)
     if isinstance(k, int):
         return ranked
     return ranked.join(k, "capture_id").where(

@@ -149,7 +149,14 @@ def covisibility_long_tracks(spark, lens):
 @query("neighbor_views", "observations", sql=f"""
     WITH {SHARED}, {NEIGHBORS} SELECT capture_id, image_id, neighbor_id, shared, rank FROM ranked WHERE rank <= 4""")
 def neighbor_views(spark, lens):
-    return tracks.neighbor_views(tracks.covisibility(lens("observations")), 4)
+    return tracks.best_views(lens("observations"), 4)
+
+
+@query("neighbor_views_hot_points", "observations", sql=f"""
+    WITH {SHARED}, {NEIGHBORS} SELECT capture_id, image_id, neighbor_id, shared, rank FROM ranked WHERE rank <= 4""")
+def neighbor_views_hot_points(spark, lens):
+    """The same, with points that more than two images see counted for candidates only, as long as bounds allow."""
+    return tracks.best_views(lens("observations"), 4, degree=2, growth=4)
 
 
 PRESET_OF = """
@@ -187,7 +194,7 @@ def adapt_densify(spark, lens):
     SELECT r.capture_id, image_id, neighbor_id, shared, rank FROM ranked r JOIN adapted a ON a.capture_id = r.capture_id
     WHERE rank <= number_views""")
 def neighbor_views_by_preset(spark, lens):
-    return tracks.neighbor_views(tracks.covisibility(lens("observations")), _adapted(lens))
+    return tracks.best_views(lens("observations"), _adapted(lens))
 
 
 @query("capture_settings", "images", sql="""

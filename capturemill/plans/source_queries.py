@@ -73,6 +73,16 @@ def obj_corners_round_trip(spark, lens):
     return mesh_text.load_obj(spark, folder, pattern="part-*", parts=True)[2]
 
 
+@query("obj_file_round_trip", "vertices", "faces", sql="""
+    SELECT mesh_id, vertex_id AS v_idx, x, y, round(round(z, 9), 6) AS z FROM vertices""")
+def obj_file_round_trip(spark, lens):
+    """Vertices read from one file per mesh, joined from ordered parts."""
+    folder = _folder(spark)
+    mesh_export.write_obj(lens("vertices"), lens("faces"), f"{folder}/parts", partitions=4)
+    mesh_export.join_parts(spark, f"{folder}/parts", f"{folder}/files", ".obj")
+    return mesh_text.load_obj(spark, f"{folder}/files", pattern="*.obj")[0]
+
+
 @query("captures_round_trip", "artifacts", "models", sql="SELECT * FROM models")
 def captures_round_trip(spark, lens):
     """All captures with models, each given its scene, saved and loaded back."""

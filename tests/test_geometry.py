@@ -33,6 +33,52 @@ def test_covisibility_with_hot_points(spark):
         assert got == want
 
 
+def brute_views(rows, k):
+    by_image = {}
+    for c, p, i in set(rows):
+        by_image.setdefault((c, i), set()).add(p)
+    want = set()
+    for (c, i), mine in by_image.items():
+        near = sorted((-len(mine & other), j) for (d, j), other in by_image.items() if d == c and j != i and mine & other)
+        want |= {(c, i, j, -n, rank) for rank, (n, j) in enumerate(near[:k(c)], 1)}
+    return want
+
+
+@pytest.mark.parametrize("degree", [2, 4, 10_000])
+def test_best_views_equal_the_full_join(spark, degree):
+    rows, df = skewed_observations(spark)
+    found = tracks.best_views(df, 3, degree, growth=4, chunk=16)
+    assert {(r["capture_id"], r["image_id"], r["neighbor_id"], r["shared"], r["rank"]) for r in found.collect()} == brute_views(rows, lambda c: 3)
+    views = spark.createDataFrame([(1, 2), (2, 4), (3, 1)], "capture_id bigint, number_views bigint")
+    found = tracks.best_views(df, views, degree, growth=4, chunk=16)
+    assert {(r["capture_id"], r["image_id"], r["neighbor_id"], r["shared"], r["rank"]) for r in found.collect()} == brute_views(
+        rows, {1: 2, 2: 4}.get)
+
+
+def test_best_views_do_not_write_the_pairs_of_hot_points(spark, monkeypatch):
+    """A walk of 400 images: neighbours share twelve points, and all see three points of the horizon."""
+    rows = [(1, i * 12 + n, j) for i in range(399) for n in range(12) for j in (i, i + 1)]
+    rows += [(1, 100_000 + n, i) for n in range(3) for i in range(400)]
+    df = spark.createDataFrame(rows, "capture_id bigint, point3d_id bigint, image_id bigint")
+    written, keep = [], tracks.checkpointed
+
+    def counted(table):
+        kept = keep(table)
+        if {"image_id1", "image_id2"} <= set(kept.columns) or "neighbor_id" in kept.columns:
+            written.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(tracks, "checkpointed", counted)
+    found = tracks.best_views(df, 2, degree=16, growth=8, chunk=64)
+    assert {(r["capture_id"], r["image_id"], r["neighbor_id"], r["shared"], r["rank"]) for r in found.collect()} == brute_views(rows, lambda c: 2)
+    # 398 inner images are settled at once; the two ends have one neighbour only and go on with all points
+    assert sum(written) < 5_000 < 400 * 399 // 2
+
+
+def test_best_views_of_an_empty_table(spark):
+    assert tracks.best_views(spark.createDataFrame([], "capture_id bigint, point3d_id bigint, image_id bigint"), 3).count() == 0
+
+
 def test_min_views_by_track(spark):
     track = lambda *ids: [{"image_id": i, "point2d_idx": 0} for i in ids]
     df = spark.createDataFrame([(1, 1, track(1, 1, 2)), (1, 2, track(1, 2, 3)), (1, 3, [])],
@@ -153,6 +199,27 @@ def test_split_keeps_every_point_and_limit(spark):
     assert [r["points"] for r in sizes if r["undivided"]] == [400]
 
 
+def test_split_equals_brute_force_over_several_passes(spark):
+    rng = np.random.default_rng(5)
+    xy = np.concatenate([rng.random((500, 2)), 0.7 + 1e-5 * rng.random((700, 2)), np.tile([[0.1, 0.9]], (30, 1))])
+    df = spark.createDataFrame([(c, i, float(x), float(y)) for c in (1, 2) for i, (x, y) in enumerate(xy)],
+                               "capture_id bigint, point3d_id bigint, x double, y double")
+    low, high = xy.min(axis=0), xy.max(axis=0)
+    grid = np.minimum(((xy - low) / (high - low) * 2.0 ** 52).astype(np.int64), 2 ** 52 - 1)
+    want = {}
+    for level in range(53):
+        cells = [tuple(g) for g in (grid >> (52 - level)).tolist()]
+        sizes = {}
+        for c in cells:
+            sizes[c] = sizes.get(c, 0) + 1
+        for i, c in enumerate(cells):
+            if i not in want and (sizes[c] <= 20 or level == 52):
+                want[i] = (level, *c, sizes[c] > 20)
+    got = points.split_subscenes(df, 20).collect()
+    assert len(got) == 2 * len(xy)
+    assert all((r["level"], r["cell_x"], r["cell_y"], r["undivided"]) == want[r["point3d_id"]] for r in got)
+
+
 def test_split_goes_on_in_a_crowded_corner(spark):
     """99 % of the points lie in a square a hundred-millionth as wide as the capture."""
     rng = np.random.default_rng(3)

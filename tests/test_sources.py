@@ -274,3 +274,24 @@ def test_exports_read_back(spark, tmp_path, partitions):
     pv, pf = ply.load_ply(spark, str(tmp_path / "ply"), pattern="part-*")
     assert pf.count() == 96 and pv.count() == 100
     assert pv.where("mesh_id = 2 AND vertex_id = 3").first()["x"] == 1.0
+
+
+def test_one_file_per_mesh_equals_its_parts(spark, tmp_path):
+    lines = spark.createDataFrame([(m, 1, i, f"v {i} ü {'x' * (i % 7)}") for m in (1, 2, 30) for i in range(300 if m < 30 else 1)],
+                                  "mesh_id bigint, section int, id bigint, value string")
+    mesh_export.write_lines(lines, str(tmp_path / "parts"), 7)
+    (tmp_path / "files").mkdir()
+    (tmp_path / "files" / "1.obj").write_text("an older and much longer file" * 1000)
+    done = {r["mesh_id"]: r for r in mesh_export.join_parts(spark, str(tmp_path / "parts"), str(tmp_path / "files"), ".obj").collect()}
+    assert sorted(os.listdir(tmp_path / "files")) == ["1.obj", "2.obj", "30.obj"]
+    for m in (1, 2, 30):
+        parts = sorted((tmp_path / "parts" / f"mesh_id={m}").glob("part-*"))
+        whole = b"".join(p.read_bytes() for p in parts)
+        assert (tmp_path / "files" / f"{m}.obj").read_bytes() == whole
+        assert (done[str(m)]["bytes"], done[str(m)]["parts"]) == (len(whole), len(parts))
+    assert done["1"]["parts"] > 1
+    import pyarrow as pa
+    path = str(tmp_path / "appended" / "1.obj")
+    os.makedirs(os.path.dirname(path))
+    rows = pa.table({"mesh": ["1"] * len(parts), "path": [str(p) for p in parts], "target": [path] * len(parts)})
+    assert mesh_export._appended(rows)["bytes"].to_pylist() == [len(whole)] and open(path, "rb").read() == whole
