@@ -80,7 +80,7 @@ def obj_file_round_trip(spark, lens):
     folder = _folder(spark)
     mesh_export.write_obj(lens("vertices"), lens("faces"), f"{folder}/parts", partitions=4)
     mesh_export.join_parts(spark, f"{folder}/parts", f"{folder}/files", ".obj")
-    return mesh_text.load_obj(spark, f"{folder}/files", pattern="*.obj")[0]
+    return mesh_text.load_obj(spark, f"{folder}/files", lambda path: F.regexp_extract(path, r"/(\d+)\.obj$", 1).try_cast("long"))[0]
 
 
 @query("captures_round_trip", "artifacts", "models", sql="SELECT * FROM models")
