@@ -7,9 +7,10 @@ the full shingle sets.
 
 Equal sets are one class from the start.  A bucket's members are first compared with its smallest
 member only, each by its best estimate.  Once these links have been joined into components, only members
-of different components meet: the best estimate between two components of a bucket first, and then, in tiles that
-hold the full sets, all pairs that may reach the threshold and are still apart.  A tile sends on only the links that
-join two components, so no step writes the pairs of a large group, and no link between components is lost.
+of different components meet.  A block of members meets its whole bucket, and every component of the block names its best
+estimate, which is confirmed.  What has candidates in other components after that is gathered in clusters, whose blocks meet with their full sets:
+every component names one confirmed link to another, components are joined, and this goes on until no cluster
+names a link (Boruvka's rounds).  A step names no more pairs than it has members, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -39,8 +40,8 @@ SLICE_BYTES = 4 << 20
 TEXT_ROWS, PAIR_ROWS = 1_000, 500
 # A candidate stays unless its estimate lies five standard deviations under the threshold.
 DEVIATIONS = 5.0
-# Members in a block; two blocks of a bucket or cluster are compared by one task.
-TILE = 256
+# Members in a block that meets its whole group in one task: by signatures, and with full sets.
+BLOCK, SET_BLOCK = 1_024, 256
 
 _DRAW = np.random.default_rng(20_240_301)
 FACTORS = _DRAW.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -170,118 +171,163 @@ def confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return joined.select("u", "v", "a", "b").mapInArrow(releasing(compare), "u bigint, v bigint")
 
 
-def _candidates(tile: pa.Table, first: np.ndarray, second: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of two blocks in different components whose estimate reaches ``least``, best first."""
-    ids, parts = tile["doc_id"].to_numpy(), tile["component"].to_numpy()
-    signs = pc.list_flatten(tile["signature"]).to_numpy().view(np.uint64).reshape(-1, WORDS)
+def _signs(table: pa.Table) -> np.ndarray:
+    return pc.list_flatten(table["signature"].combine_chunks()).to_numpy().view(np.uint64).reshape(-1, WORDS)
+
+
+def _estimates(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Corrected similarity of all signatures of two blocks."""
     chance = 1.0 / (1 << BITS)
-    differing = np.zeros((len(first), len(second)), np.int64)
+    differing = np.zeros((len(a), len(b)), np.uint8)
     for w in range(WORDS):
-        x = signs[first, w][:, None] ^ signs[second, w][None, :]
+        x = a[:, w][:, None] ^ b[:, w][None, :]
         x |= x >> np.uint64(1)
         x |= x >> np.uint64(2)
         differing += np.bitwise_count(x & np.uint64(NIBBLES))
-    near = (1.0 - differing / HASHES - chance) / (1.0 - chance)
-    apart = parts[first][:, None] != parts[second][None, :]
-    if first is second:  # each pair once
-        apart &= ids[first][:, None] < ids[second][None, :]
-    u, v = np.nonzero(apart & (near >= least))
-    order = np.argsort(-near[u, v], kind="stable")
-    return first[u[order]], second[v[order]]
-
-
-class Roots(dict):
-    """Components that count as one."""
-
-    def find(self, x: int) -> int:
-        while (y := self.get(x, x)) != x:
-            self[x] = x = self.get(y, y)
-        return x
-
-
-def best_pairs(tile: pa.Table, first: np.ndarray, second: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """The best pair of any two components of a tile, as long as others have not joined them."""
-    a, b = _candidates(tile, first, second, least)
-    ids, parts, roots, out = tile["doc_id"].to_numpy(), tile["component"].to_numpy(), Roots(), []
-    for x, y, p, q in zip(ids[a].tolist(), ids[b].tolist(), parts[a].tolist(), parts[b].tolist(), strict=True):
-        p, q = roots.find(p), roots.find(q)
-        if p != q:
-            roots[q] = p
-            out.append((min(x, y), max(x, y)))
-    return out
+    return (1.0 - differing / HASHES - chance) / (1.0 - chance)
 
 
-def candidate_ties(tile: pa.Table, first: np.ndarray, second: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Every member that has a candidate, tied to the smallest such member of the tile."""
-    a, b = _candidates(tile, first, second, least)
-    some = np.unique(tile["doc_id"].to_numpy()[np.concatenate([a, b])])
-    return [(int(some[0]), int(x)) for x in some[1:]]
-
-
-def tile_links(tile: pa.Table, first: np.ndarray, second: np.ndarray, least: float, percent: int) -> list[tuple[int, int]]:
-    """Confirmed links that join two components; pairs already joined in this tile need no comparison."""
-    a, b = _candidates(tile, first, second, least)
-    ids, parts, roots, out = tile["doc_id"].to_numpy(), tile["component"].to_numpy(), Roots(), []
-    sets = [np.frombuffer(h, np.uint64) for h in tile["hashes"].to_pylist()]
-    for i, j, p, q in zip(a.tolist(), b.tolist(), parts[a].tolist(), parts[b].tolist(), strict=True):
-        p, q = roots.find(p), roots.find(q)
-        x, y = sets[i], sets[j]
-        if p == q or 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-            continue
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        if 100 * both >= percent * (len(x) + len(y) - both):
-            roots[q] = p
-            out.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
-    return out
+class Strip:
+    """A block of members that meets all members of its group, its own included, a few at a time."""
+
+    def __init__(self, own: pa.Table, least: float):
+        self.ids, self.parts = own["doc_id"].to_numpy(), own["component"].to_numpy()
+        self.signs, self.least = _signs(own), least
+
+    def near(self, others: pa.Table) -> np.ndarray:
+        """Estimates of candidates, those in other components that reach the least estimate; the rest is -1."""
+        near = _estimates(self.signs, _signs(others))
+        near[(near < self.least) | (self.parts[:, None] == others["component"].to_numpy()[None, :])] = -1.0
+        return near
+
+
+class BestPairs(Strip):
+    """The best candidate pair of every component of the block."""
+
+    def __init__(self, own: pa.Table, least: float):
+        super().__init__(own, least)
+        self.best = np.full(len(self.ids), -1.0)
+        self.other = np.zeros(len(self.ids), np.int64)
+
+    def meet(self, others: pa.Table) -> None:
+        near, ids = self.near(others), others["doc_id"].to_numpy()
+        at = near.argmax(axis=1)
+        value = near[np.arange(len(near)), at]
+        better = value > self.best
+        self.best[better], self.other[better] = value[better], ids[at[better]]
+
+    def pairs(self) -> Iterator[tuple[int, int]]:
+        order = np.lexsort((-self.best, self.parts))
+        order = order[np.flatnonzero(np.diff(self.parts[order], prepend=self.parts[order[0]] - 1))]
+        for row in order[self.best[order] >= 0].tolist():
+            x, y = int(self.ids[row]), int(self.other[row])
+            yield min(x, y), max(x, y)
+
 
+class CandidateTies(Strip):
+    """Every member of the block that has a candidate, tied to the first member of the group."""
 
-def over_tiles(members: DataFrame, group: str, compare: Callable[..., list[tuple[int, int]]], *args) -> DataFrame:
-    """Distinct (u, v) that ``compare`` finds in the tiles of members (group, blocks, doc_id, component, signature, ...).
+    def __init__(self, own: pa.Table, least: float):
+        super().__init__(own, least)
+        self.first, self.some = own["first"].to_numpy(), np.zeros(len(self.ids), bool)
 
-    A group is cut into blocks of about ``TILE`` members, and two blocks meet in one task.  Tiles are read one after
-    the other, so a task holds one tile and one batch.
+    def meet(self, others: pa.Table) -> None:
+        self.some |= (self.near(others) >= 0).any(axis=1)
+
+    def pairs(self) -> Iterator[tuple[int, int]]:
+        yield from zip(self.first[self.some].tolist(), self.ids[self.some].tolist(), strict=True)
+
+
+class ConfirmedLinks(Strip):
+    """A confirmed link to another component for every component of the block that has one."""
+
+    def __init__(self, own: pa.Table, least: float, percent: int):
+        super().__init__(own, least)
+        self.sets = [np.frombuffer(h, np.uint64) for h in own["hashes"].to_pylist()]
+        self.percent, self.linked = percent, {}
+
+    def meet(self, others: pa.Table) -> None:
+        near, ids, theirs = self.near(others), others["doc_id"].to_numpy(), others["hashes"]
+        for i in np.flatnonzero((near >= 0).any(axis=1)).tolist():
+            part, x = int(self.parts[i]), self.sets[i]
+            if part in self.linked:
+                continue
+            for j in np.argsort(-near[i], kind="stable")[:int((near[i] >= 0).sum())].tolist():
+                y = np.frombuffer(theirs[j].as_buffer(), np.uint64)
+                if 100 * min(len(x), len(y)) < self.percent * max(len(x), len(y)):
+                    continue
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= self.percent * (len(x) + len(y) - both):
+                    self.linked[part] = (int(min(self.ids[i], ids[j])), int(max(self.ids[i], ids[j])))
+                    break
+
+    def pairs(self) -> Iterator[tuple[int, int]]:
+        yield from self.linked.values()
+
+
+def over_strips(members: DataFrame, group: str, size: int, kind: Callable[..., Strip], *args) -> DataFrame:
+    """Distinct (u, v) that the strips of members (group, members, doc_id, component, signature, ...) name.
+
+    A group is cut into blocks of about ``size`` members, and a block meets the members of its group in one task, which
+    holds the block and one batch.  A strip names a pair per own member at most, so there are no more pairs than members.
     """
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    tiles = members.withColumn("own", own).withColumn("other", other).withColumns(
-        {"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", "blocks").withColumn("tile", F.xxhash64(group, "i", "j"))
-    spread = tiles.repartition("tile").sortWithinPartitions("tile", group, "i", "j", "doc_id")
+    blocks = F.ceil(F.col("members") / size)
+    strips = members.withColumn("own", F.pmod(F.xxhash64("doc_id"), blocks)).withColumn(
+        "strip", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).withColumn("other", F.col("own") != F.col("strip"))
+    # members of the block come first and are met as well
+    spread = strips.drop("own", "members").withColumn("deal", F.xxhash64(group, "strip")).repartition("deal").sortWithinPartitions(
+        "deal", group, "strip", "other", "doc_id")
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        found: set[tuple[int, int]] = set()
+        key, held, strip, found = None, [], None, set()
         for batch in batches:
-            held.append(batch)
-            table = pa.Table.from_batches(held).combine_chunks()
-            keys = np.stack([table[c].to_numpy() for c in (group, "i", "j")], axis=1)
-            edges = (np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()
-            # the last tile may go on in the next batch
-            if edges:
-                pairs(table, [0, *edges], found)
-                held = table.slice(edges[-1]).to_batches()
-        if held:
-            pairs(table := pa.Table.from_batches(held).combine_chunks(), [0, len(table)], found)
+            table = pa.Table.from_batches([batch])
+            marks = np.stack([table[group].to_numpy(), table["strip"].to_numpy(), table["other"].to_numpy().astype(np.int64)], axis=1)
+            edges = (np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1).tolist()
+            for low, high in zip([0, *edges], [*edges, len(table)], strict=True):
+                if key != (key := tuple(marks[low, :2].tolist())):
+                    found.update(whole(held, strip))
+                    held, strip = [], None
+                part = table.slice(low, high - low)
+                if not marks[low, 2]:
+                    held.append(part)
+                elif held:
+                    strip = strip or started(held)
+                    met(strip, part)
+            if len(found) >= 100_000:
+                yield named(found)
+                found = set()
+        found.update(whole(held, strip))
+        yield named(found)
+
+    def started(held: list[pa.Table]) -> Strip:
+        own = pa.concat_tables(held).combine_chunks()
+        strip = kind(own, *args)
+        met(strip, own)
+        return strip
+
+    def met(strip: Strip, others: pa.Table) -> None:
+        for at in range(0, len(others), BLOCK):
+            strip.meet(others.slice(at, BLOCK).combine_chunks())
+
+    def whole(held: list[pa.Table], strip: Strip | None) -> Iterator[tuple[int, int]]:
+        return (strip or started(held)).pairs() if held else iter(())
+
+    def named(found: set[tuple[int, int]]) -> pa.RecordBatch:
         u, v = zip(*found, strict=True) if found else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-    def pairs(table: pa.Table, bounds: list[int], found: set[tuple[int, int]]) -> None:
-        for low, high in zip(bounds[:-1], bounds[1:], strict=True):
-            if high - low > 1:
-                tile = table.slice(low, high - low).combine_chunks()
-                own, i, j = (tile[c].to_numpy() for c in ("own", "i", "j"))
-                first = np.flatnonzero(own == i[0])
-                found.update(compare(tile, first, first if i[0] == j[0] else np.flatnonzero(own == j[0]), *args))
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return spread.mapInArrow(releasing(cross), "u bigint, v bigint").distinct()
 
 
 def _mixed_members(shared: DataFrame, parts: DataFrame, marks: DataFrame) -> DataFrame:
-    """Members of the buckets that hold different components."""
+    """Members of the buckets that hold different components; of buckets with the same members one is enough."""
     placed = saved(shared.join(parts, "doc_id", "left").select(
         "bucket", "doc_id", F.coalesce("component", "doc_id").alias("component")), "placed")
     mixed = placed.groupBy("bucket").agg(
-        F.min("component").alias("a"), F.max("component").alias("b"), F.ceil(F.count(F.lit(1)) / TILE).alias("blocks")
-    ).where("a < b").select("bucket", "blocks")
+        F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("members"), F.min("doc_id").alias("first"),
+        F.bit_xor(F.xxhash64(F.lit(1), "doc_id")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(2), "doc_id")).alias("h2"),
+    ).where("a < b").groupBy("members", "first", "h1", "h2").agg(F.min("bucket").alias("bucket")).drop("h1", "h2")
     return placed.join(mixed, "bucket").join(marks, "doc_id")
 
 
@@ -319,22 +365,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     links = saved(confirmed(sets, tested, percent), "links", PAIR_ROWS)
     parts = _components(links)
 
-    best = over_tiles(_mixed_members(shared, parts, marks), "bucket", best_pairs, least)
+    best = over_strips(_mixed_members(shared, parts, marks), "bucket", BLOCK, BestPairs, least)
     best = saved(best.join(tested, ["u", "v"], "left_anti"), "best")
     if best.limit(1).count():
         links = saved(links.unionByName(confirmed(sets, best, percent)), "links", PAIR_ROWS)
         parts = _components(links)
     # candidates that are still apart, gathered in clusters so that each is compared with its sets once; a best pair
     # that has been tested says nothing of the other pairs of its components
-    ties = saved(over_tiles(_mixed_members(shared, parts, marks), "bucket", candidate_ties, least), "ties")
-    if ties.limit(1).count():
-        clusters = saved(_components(ties).select("doc_id", F.col("component").alias("cluster")), "clusters")
-        sizes = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("blocks"))
+    ties = saved(over_strips(_mixed_members(shared, parts, marks), "bucket", BLOCK, CandidateTies, least), "ties")
+    clusters = saved(_components(ties).select("doc_id", F.col("component").alias("cluster")), "clusters")
+    while ties.limit(1).count():
+        sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
         apart = clusters.join(sizes, "cluster").join(parts, "doc_id", "left").select(
-            "cluster", "blocks", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+            "cluster", "members", "doc_id", F.coalesce("component", "doc_id").alias("component"))
         apart = apart.join(marks, "doc_id").join(sets, "doc_id")
-        links = links.unionByName(saved(over_tiles(apart, "cluster", tile_links, least, percent), "links", PAIR_ROWS))
+        ties = saved(over_strips(apart, "cluster", SET_BLOCK, ConfirmedLinks, least, percent), "links", PAIR_ROWS)
+        # every component with a link has named one, so a cluster without new links is done; the others go on
+        links = links.unionByName(ties)
         parts = _components(links)
+        named = ties.select(F.col("u").alias("doc_id")).distinct().join(clusters, "doc_id").select("cluster").distinct()
+        clusters = clusters.join(named, "cluster", "left_semi")
 
     named = classes.join(parts, F.col("rep") == F.col("doc_id"), "left").select(
         "digest", F.coalesce("component", "rep").alias("component_id"))

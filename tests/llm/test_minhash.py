@@ -54,7 +54,8 @@ def rows():
 
 @pytest.mark.parametrize(("width", "tile"), [(4, 256), (5, 7)])
 def test_components_equal_brute_force(documents, rows, width, tile, monkeypatch):
-    monkeypatch.setattr(minhash, "TILE", tile)
+    monkeypatch.setattr(minhash, "BLOCK", tile)
+    monkeypatch.setattr(minhash, "SET_BLOCK", tile)
     got = minhash.near_duplicates(documents(rows), width=width, percent=80)
     assert sorted(map(tuple, got.collect())) == brute(rows, width, 80)
 
@@ -98,3 +99,28 @@ def test_a_tested_best_pair_does_not_hide_a_link(documents):
     rows = [(1, " ".join(one)), (2, " ".join(two)), (3, " ".join(three))]
     got = minhash.near_duplicates(documents(rows), width=1, percent=80)
     assert sorted(map(tuple, got.collect())) == brute(rows, 1, 80) == [(1, 40, 1, True), (2, 40, 1, False), (3, 40, 1, False)]
+
+
+def test_no_step_names_more_pairs_than_members(documents, monkeypatch):
+    """Copies of one text on both sides of the threshold, in groups that fill many blocks."""
+    draw = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for doc_id in range(400):
+        words = list(base)
+        for place in draw.sample(range(120), 2 + doc_id % 5):
+            words[place] = f"x{draw.randrange(10 ** 9)}"
+        rows.append((doc_id, " ".join(words)))
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    monkeypatch.setattr(minhash, "SET_BLOCK", 16)
+    steps, whole = [], minhash.over_strips
+
+    def counted(members, *args):
+        found = whole(members, *args)
+        steps.append((found.count(), members.count()))
+        return found
+
+    monkeypatch.setattr(minhash, "over_strips", counted)
+    got = minhash.near_duplicates(documents(rows), width=4, percent=80)
+    assert sorted(map(tuple, got.collect())) == brute(rows, 4, 80)
+    assert len(steps) >= 3 and all(pairs <= members for pairs, members in steps)
