@@ -16,7 +16,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from capturemill.llm.common import WORD, releasing, saved
@@ -56,6 +56,10 @@ def source_targets(sized: DataFrame, weights: Sequence[int] = (1, 2, 3), max_rep
     )
 
 
+def size_of(text_column: str) -> Column:
+    return F.regexp_count(F.col(text_column), F.lit(WORD)).cast("long").alias("size")
+
+
 def split_quotas(quotas: np.ndarray, low: int, high: int, seed: int) -> np.ndarray:
     """Blocks per source for the left half of the shards ``low`` to ``high`` - 1."""
     middle = (low + high) // 2
@@ -99,22 +103,26 @@ def mix(
     time the document is taken.  A null text has size 0; null is a source of its own, the last;
     repeated rows are documents of their own; other columns are not looked at; an empty table
     gives an empty mix.  The last pass of a source is cut inside one block, nearest to its target.
-    ``carry`` adds the whole row of the document as the struct ``document``.
+    ``carry`` adds the whole row of the document as the struct ``document``; ``docs`` is read twice then, so it has to be
+    a table that gives the same rows each time.
     """
     text = F.coalesce(F.col(text_column), F.lit(""))
-    sized = saved(docs.select(
-        F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"),
-        F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
+    rows = docs.select(
+        F.col(id_column).alias("doc_id"), F.col(source_column).alias("source"), text.alias("__text"),
         F.xxhash64(F.lit(seed), F.col(id_column), text).alias("deal"),
         *([F.struct("*").alias("document")] if carry else []),
-    ), "mix-sizes")
+    )
+    sized = saved(rows.select("doc_id", "source", size_of("__text"), "deal"), "mix-sizes")
     sources = small_side(source_targets(sized, weights, max_repeat).withColumns({
         "blocks": F.ceil(F.col("documents") / block_docs),
         "passes": F.coalesce(F.floor(F.col("target") / F.nullif("source_size", F.lit(0))), F.lit(0)).cast("int"),
     }).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")))
 
-    dealt = sized.join(sources.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    dealt = dealt.withColumn("block", F.pmod("deal", F.col("blocks")))
+    def with_blocks(some: DataFrame) -> DataFrame:
+        named = some.join(sources.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+        return named.withColumn("block", F.pmod("deal", F.col("blocks")))
+
+    dealt = with_blocks(sized)
     blocks = dealt.groupBy("source_no", "block").agg(
         F.sum("size").alias("block_size"), F.first("blocks").alias("blocks"),
         F.first("passes").alias("passes"), F.first("rest").alias("rest"))
@@ -127,7 +135,9 @@ def mix(
     quotas = small_side(blocks.groupBy("source_no").agg(
         F.first("blocks").alias("blocks"), F.first("passes").alias("passes"),
         F.sum(F.col("opened").cast("long")).alias("opened_blocks")))
-    chosen = dealt.select(*sized.columns, "source_no", "source_size", "target", "passes", "block").join(
+    # whole rows are read again rather than written once more; their words are counted where they are asked for
+    columns = ["doc_id", "source", size_of("__text"), "deal", "document"] if carry else sized.columns
+    chosen = (with_blocks(rows) if carry else dealt).select(*columns, "source_no", "source_size", "target", "passes", "block").join(
         small_side(_placed_blocks(blocks, quotas, shard_blocks, seed)), ["source_no", "block"])
     split = F.col("opened") & (F.col("left") < F.col("block_size"))
     chosen = chosen.withColumn("once_more", F.col("opened").cast("int"))
