@@ -118,6 +118,21 @@ def number_words(texts: Iterable[bytes], numbers: WordNumbers) -> tuple[np.ndarr
     return (np.concatenate(parts) if parts else np.zeros(0, np.int64)), np.array(sizes, np.int64)
 
 
+def distinct_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words of some texts with A-Z lower-cased, the number of each word in a row, and how many each text has.
+
+    Arrow splits at the six ASCII white-space characters; a null text is empty.
+    """
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat, lengths = parts.flatten(), parts.value_lengths().to_numpy()
+    filled = pc.binary_length(flat).to_numpy() > 0  # white space at either end leaves an empty part
+    if not filled.all():
+        flat = flat.filter(pa.array(filled))
+        lengths = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[filled], minlength=len(lengths))
+    numbered = flat.dictionary_encode()
+    return numbered.dictionary.cast(pa.binary()), numbered.indices.to_numpy().astype(np.int64), lengths.astype(np.int64)
+
+
 def slices(weights: Iterable[int], most: int) -> Iterable[tuple[int, int]]:
     """Consecutive index ranges whose weights sum to about ``most``; one long row is a range of its own."""
     start = total = end = 0

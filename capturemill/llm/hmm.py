@@ -17,16 +17,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from capturemill.llm.common import WordNumbers, byte_texts, number_words, releasing, saved, slices
+from capturemill.llm.common import distinct_words, gather_runs, releasing, saved, slices
 
 STATES = 8
 # At most 60,000 words are symbols and at most 1,000,000 are known to every task, whatever the corpus is.
 CLASS_RATE, KNOWN_RATE = 1 / 60_000, 1e-6
 SUFFIX_BYTES, SUFFIX_CLASSES = 3, 2048
+ENDING_SIGNS = ".,;:!?\"'()|-"  # not part of a word's ending
 END = 0
 WINDOW = 256
 # Windows a task handles side by side.
@@ -40,7 +42,13 @@ LN10 = math.log(10)
 
 
 def suffix_class(word: bytes) -> int:
-    return xxhash.xxh32_intdigest(word.rstrip(b".,;:!?\"'()|-")[-SUFFIX_BYTES:]) % SUFFIX_CLASSES
+    return xxhash.xxh32_intdigest(word.rstrip(ENDING_SIGNS.encode())[-SUFFIX_BYTES:]) % SUFFIX_CLASSES
+
+
+def suffix_classes(words: pa.Array) -> np.ndarray:
+    """``suffix_class`` of every word; each ending is hashed once."""
+    endings = pc.binary_slice(pc.ascii_rtrim(words.cast(pa.string(), safe=False), ENDING_SIGNS).cast(pa.binary()), -SUFFIX_BYTES, None).dictionary_encode()
+    return np.array([suffix_class(e) for e in endings.dictionary.to_pylist()], np.int64)[endings.indices.to_numpy()]
 
 
 def word_hash(word: bytes) -> int:
@@ -49,22 +57,30 @@ def word_hash(word: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def text_bytes(texts: pa.Array) -> list[int]:
+    return pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) over whole texts, A-Z lower-cased; each task sums up first."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, total = WordNumbers(), np.zeros(0, np.int64)
+        held, rows = [], 0
         for batch in batches:
-            texts = byte_texts(batch["text"])
-            for low, high in slices(map(len, texts), SLICE_BYTES):
-                words, _ = number_words((t.lower() for t in texts[low:high]), numbers)
-                now = np.bincount(words, minlength=len(numbers))
-                now[:len(total)] += total
-                total = now
-                if len(numbers) > MOST_WORDS:
-                    yield pa.RecordBatch.from_arrays([pa.array(numbers.words(), pa.binary()), pa.array(total)], names=["word", "n"])
-                    numbers, total = WordNumbers(), np.zeros(0, np.int64)
-        if len(numbers):
-            yield pa.RecordBatch.from_arrays([pa.array(numbers.words(), pa.binary()), pa.array(total)], names=["word", "n"])
+            for low, high in slices(text_bytes(batch["text"]), SLICE_BYTES):
+                words, numbers, _ = distinct_words(batch["text"].slice(low, high - low))
+                held.append(pa.table({"word": words, "n": np.bincount(numbers, minlength=len(words))}))
+                rows += len(words)
+                if rows > MOST_WORDS:
+                    held = [summed(held)]
+                    rows = len(held[0])
+                    if 2 * rows > MOST_WORDS:
+                        yield from held[0].to_batches()
+                        held, rows = [], 0
+        if held:
+            yield from summed(held).to_batches()
+
+    def summed(held: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
     return docs.select("text").mapInArrow(releasing(count), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -74,8 +90,7 @@ def class_masses(counts: DataFrame) -> DataFrame:
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SUFFIX_CLASSES)
         for batch in batches:
-            of = np.fromiter(map(suffix_class, batch["word"].to_pylist()), np.int64, batch.num_rows)
-            total += np.bincount(of, weights=batch["n"].to_numpy() + 0.5, minlength=SUFFIX_CLASSES)
+            total += np.bincount(suffix_classes(batch["word"]), weights=batch["n"].to_numpy() + 0.5, minlength=SUFFIX_CLASSES)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(SUFFIX_CLASSES)), pa.array(total)], names=["class", "mass"])
 
     return counts.select("word", "n").mapInArrow(releasing(add), "class bigint, mass double").groupBy("class").agg(F.sum("mass").alias("mass"))
@@ -89,9 +104,6 @@ class Vocabulary:
     masses: np.ndarray  # count + 0.5 behind every symbol: the end, words, suffix classes
     words: int  # symbols that are words
 
-    def symbol_of(self, word: bytes) -> int:
-        return 1 + self.words + suffix_class(word)
-
 
 def vocabulary(counts: DataFrame, texts: int) -> Vocabulary:
     row = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
@@ -129,33 +141,38 @@ def encoded(docs: DataFrame, held_out: Column, vocabulary: Vocabulary) -> DataFr
         whole = math.log10(v.tokens + 0.5 * (v.types + 1)) if v.tokens else math.log10(0.5)
         masses = np.log10(v.masses)
         end_count = v.masses[END] - 0.5
+        known_words = pa.array(list(v.known), pa.binary())
+        # the last place is that of all other words
+        known_counts = np.array([n for n, _ in v.known.values()] + [0], np.int64)
+        known_symbols = np.array([symbol for _, symbol in v.known.values()] + [0], np.int64)
         for batch in batches:
-            texts = byte_texts(batch["text"])
-            for low, high in slices(map(len, texts), SLICE_BYTES):
-                numbers = WordNumbers()
-                words, sizes = number_words((t.lower() for t in texts[low:high]), numbers)
-                vocabulary = numbers.words()
-                found = [v.known.get(w) for w in vocabulary]
-                count = np.array([f[0] if f else 0 for f in found], np.int64)
-                symbol = np.array([f[1] if f else v.symbol_of(w) for f, w in zip(found, vocabulary, strict=True)], np.int64)
-                hashes = np.array([0 if f else word_hash(w) for f, w in zip(found, vocabulary, strict=True)], np.int64)
+            for low, high in slices(text_bytes(batch["text"]), SLICE_BYTES):
+                vocabulary, words, sizes = distinct_words(batch["text"].slice(low, high - low))
+                texts = len(sizes)
+                place = pc.index_in(vocabulary, value_set=known_words)
+                strange = place.is_null().to_numpy(zero_copy_only=False)
+                place = place.fill_null(len(known_words)).to_numpy()
+                count, symbol, hashes = known_counts[place], known_symbols[place], np.zeros(len(place), np.int64)
+                others = vocabulary.filter(pa.array(strange))
+                symbol[strange] = 1 + v.words + suffix_classes(others)
+                hashes[strange] = np.fromiter(map(word_hash, others.to_pylist()), np.int64, len(others))
                 is_known = count > 0
                 log_count = np.where(is_known, np.log10(np.maximum(count, 1) + 0.5), 0.0)
                 inside = np.where(symbol > v.words, log_count - masses[symbol], 0.0)
-                rows, at = [], 0
-                for n in sizes.tolist():
-                    own = words[at:at + n]
-                    at += n
-                    known = is_known[own]
-                    rare, times = np.unique(own[~known], return_counts=True)
-                    base = float(log_count[own].sum()) + math.log10(end_count + 0.5) - whole * (n + 1)
-                    rows.append((n + 1, int(known.sum()) + (end_count > 0), base, float(inside[own].sum()),
-                                 np.append(symbol[own], END).astype("<u2").tobytes(), hashes[rare], times.astype(np.int32)))
-                n_tokens, n_known, base, within, symbols, rare, times = zip(*rows, strict=True)
+                text = np.repeat(np.arange(texts), sizes)
+                base = np.bincount(text, weights=log_count[words], minlength=texts) + math.log10(end_count + 0.5) - whole * (sizes + 1)
+                known = is_known[words]
+                n_known = np.bincount(text[known], minlength=texts) + (end_count > 0)
+                unknown, times = np.unique(text[~known] * len(vocabulary) + words[~known], return_counts=True)
+                rare_ends = np.searchsorted(unknown, np.arange(texts + 1) * len(vocabulary))
+                chained = np.insert(symbol[words], np.cumsum(sizes), END).astype("<u2")
+                chain_ends = np.concatenate([[0], np.cumsum(2 * (sizes + 1))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    batch["doc_id"].slice(low, high - low), batch["held_out"].slice(low, high - low), pa.array(n_tokens, pa.int64()),
-                    pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(within, pa.float64()), pa.array(symbols, pa.binary()),
-                    pa.array(rare, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32())),
+                    batch["doc_id"].slice(low, texts), batch["held_out"].slice(low, texts), pa.array(sizes + 1), pa.array(n_known, pa.int64()),
+                    pa.array(base, pa.float64()), pa.array(np.bincount(text, weights=inside[words], minlength=texts), pa.float64()),
+                    pa.Array.from_buffers(pa.binary(), texts, [None, pa.py_buffer(chain_ends), pa.py_buffer(chained)]),
+                    pa.ListArray.from_arrays(rare_ends.astype(np.int32), hashes[unknown % max(len(vocabulary), 1)]),
+                    pa.ListArray.from_arrays(rare_ends.astype(np.int32), times.astype(np.int32)),
                 ], names=[part.split()[0] for part in ENCODED.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text").mapInArrow(releasing(encode), ENCODED)
@@ -183,6 +200,7 @@ def expected_counts(symbols: list[np.ndarray], chain: Chain) -> tuple[np.ndarray
     """Expected emissions (symbols, states), and rows for the starts, the middles and the steps of the states."""
     states = chain.step.shape[0]
     emit, step = chain.emit.astype(np.float32), chain.step.astype(np.float32)
+    back_step, ones = np.ascontiguousarray(step.T), np.ones(states, np.float32)
     flat = np.concatenate(symbols).astype(np.int64)
     lengths = np.array([len(s) for s in symbols])
     begins = np.cumsum(lengths) - lengths
@@ -191,47 +209,47 @@ def expected_counts(symbols: list[np.ndarray], chain: Chain) -> tuple[np.ndarray
     starts = np.repeat(begins, parts) + inside * WINDOW
     sizes = np.minimum(np.repeat(lengths, parts) - inside * WINDOW, WINDOW)
     order = np.argsort(-sizes, kind="stable")
-    emitted = np.zeros((len(emit), states))
+    emitted = np.zeros((states, len(emit)))
     moves = np.zeros((2 + states, states))
     for low in range(0, len(order), SIDE_BY_SIDE):
         chosen = order[low:low + SIDE_BY_SIDE]
         start, size, head = starts[chosen], sizes[chosen], inside[chosen] == 0
         most = int(size[0])
         active = np.searchsorted(-size, -np.arange(most), side="left")
-        forward, scale, seen, likely = [], [], [], []
-        alpha = np.where(head[:, None], chain.start, chain.middle).astype(np.float32)
+        # Column edges[t] + i is the t-th symbol of the i-th window: a step of all windows is a run of columns.
+        edges = np.concatenate([[0], np.cumsum(active)])
+        seen = flat[start[gather_runs(np.zeros(most, np.int64), active)] + np.repeat(np.arange(most), active)]
+        likely = np.ascontiguousarray(emit.take(seen, axis=0).T)
+        forward = np.empty_like(likely)
         for t in range(most):
-            n = active[t]
-            at = flat[start[:n] + t]
-            e = emit[at]
-            alpha = (alpha if t == 0 else alpha[:n] @ step) * e
-            total = np.maximum(alpha.sum(axis=1, keepdims=True), np.float32(1e-30))
-            alpha = alpha / total
-            forward.append(alpha)
-            scale.append(total)
-            seen.append(at)
-            likely.append(e)
-        beta = np.ones((active[-1], states), np.float32)
-        gammas: list[np.ndarray] = [np.empty(0)] * most
+            now = slice(edges[t], edges[t + 1])
+            alpha = forward[:, now]
+            if t:
+                np.matmul(back_step, forward[:, edges[t - 1]:edges[t - 1] + active[t]], out=alpha)
+            else:
+                alpha[:] = np.where(head, chain.start[:, None], chain.middle[:, None])
+            alpha *= likely[:, now]
+            scale = 1 / np.maximum(ones @ alpha, np.float32(1e-30))
+            alpha *= scale
+            likely[:, now] *= scale
+        beta = np.ones((states, active[-1]), np.float32)
         pairs = np.zeros((states, states), np.float32)
         for t in range(most - 1, -1, -1):
-            gamma = forward[t] * beta
-            gammas[t] = gamma
+            now = slice(edges[t], edges[t + 1])
             if t:
-                back = likely[t] * beta / scale[t]
-                pairs += forward[t - 1][:len(back)].T @ back
-                wider = np.ones((active[t - 1], states), np.float32)
-                wider[:len(back)] = back @ step.T
-                beta = wider
-        moves[0] += gammas[0][head].sum(axis=0)
-        moves[1] += gammas[0][~head].sum(axis=0)
+                back = likely[:, now] * beta
+                pairs += forward[:, edges[t - 1]:edges[t - 1] + active[t]] @ back.T
+                wider = np.ones((states, active[t - 1]), np.float32)
+                np.matmul(step, back, out=wider[:, :active[t]])
+            forward[:, now] *= beta  # what the state is after all symbols of its window
+            beta = wider if t else beta
+        first = forward[:, :active[0]]
+        moves[0] += first[:, head].sum(axis=1)
+        moves[1] += first[:, ~head].sum(axis=1)
         moves[2:] += pairs * step
-        at, gamma = np.concatenate(seen).astype(np.uint16), np.concatenate(gammas)
-        by = np.argsort(at, kind="stable")
-        sorted_at = at[by]
-        edges = np.flatnonzero(np.concatenate([[True], sorted_at[1:] != sorted_at[:-1]]))
-        emitted[sorted_at[edges]] += np.add.reduceat(gamma[by], edges, axis=0)
-    return emitted, moves
+        for k in range(states):
+            emitted[k] += np.bincount(seen, weights=forward[k], minlength=len(emit))
+    return emitted.T, moves
 
 
 def baum_welch(rows: DataFrame, chain: Chain, masses: np.ndarray) -> Chain:

@@ -3,10 +3,12 @@ from collections import Counter
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from capturemill.llm import hmm
+from capturemill.llm.common import distinct_words
 
 
 def tokens(text):
@@ -113,3 +115,21 @@ def test_a_round_without_texts_changes_nothing(spark, documents):
     first = hmm.first_chain(v.masses, 3)
     after = hmm.baum_welch(hmm.encoded(docs, F.lit(True), v).where("not held_out"), first, v.masses)
     assert np.array_equal(after.emit, first.emit) and np.array_equal(after.step, first.step)
+
+
+def test_words_of_a_slice_are_numbered_as_split_splits():
+    texts = ["", None, "  a B\ta\n", "É a b\x0b\x0cc\r", " ", "a b c", "x" * 100_000 + " a"]
+    words, numbers, sizes = distinct_words(pa.array(texts, pa.string()))
+    split = [[bytes(w) for w in (t or "").encode().lower().split()] for t in texts]
+    assert sizes.tolist() == [len(s) for s in split]
+    assert [words.to_pylist()[n] for n in numbers] == [w for s in split for w in s]
+    assert len(set(words.to_pylist())) == len(words)
+    for none in ([], [None], ["", " "]):
+        words, numbers, sizes = distinct_words(pa.array(none, pa.string()))
+        assert (len(words), len(numbers), sizes.tolist()) == (0, 0, [0] * len(none))
+
+
+def test_classes_of_many_words_equal_those_of_one():
+    words = [b"abc.,", b"...", b"", "xé".encode(), b"a(b)-", b"\xff\xfe!", "café—".encode(), b"abc"]
+    assert hmm.suffix_classes(pa.array(words, pa.binary())).tolist() == [hmm.suffix_class(w) for w in words]
+    assert len(hmm.suffix_classes(pa.array([], pa.binary()))) == 0
