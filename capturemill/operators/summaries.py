@@ -21,7 +21,13 @@ DEFAULT_POINTS = 9999
 DEFAULT_IMAGES = 999
 
 
+def settled(mean) -> F.Column:
+    """A mean to nine digits, for comparisons: what lies behind them depends on the order in which it was summed."""
+    return F.round(mean, 9)
+
+
 def error_grade(error) -> F.Column:
+    error = settled(error)
     return F.when(error < GOOD_ERROR, "good").when(error < HIGH_ERROR, "high").when(error.isNotNull(), "poor")
 
 

@@ -277,7 +277,7 @@ REGISTERED = """
 
 def _registered(lens):
     graded = tracks.reprojection_by_image(lens("points3d"), lens("observations"))
-    return graded.where(F.col("mean_error") < 1.49 + F.col("capture_id") * 0.004)
+    return graded.where(summaries.settled(F.col("mean_error")) < 1.49 + F.col("capture_id") * 0.004)
 
 
 @query("feature_summary", "keypoints", sql=f"WITH {FEATURES} SELECT * FROM features")

@@ -1,6 +1,10 @@
 """Summaries and decisions at their edges."""
 
-from capturemill.operators import artifacts, devices, images, summaries
+import pytest
+from pyspark.sql import functions as F
+
+from capturemill.operators import artifacts, devices, images, summaries, tracks
+from capturemill.plans import pair_queries
 
 
 def frame(spark, rows, schema):
@@ -115,3 +119,15 @@ def test_hosts(spark):
     hosts = frame(spark, [("a", 8.0), ("b", 4.0), ("c", 3.9)], "host string, ram_gb double")
     got = {r["host"]: (r["tier"], r["graphics"]) for r in devices.host_tier(hosts, devices.device_inventory(probe, probe)).collect()}
     assert got == {"a": ("READY", "dGPU"), "b": ("WARN", "iGPU"), "c": ("INSUFFICIENT", "iGPU")}
+
+
+@pytest.mark.parametrize("step", [1, -1])
+def test_a_mean_at_a_limit_does_not_depend_on_the_order_of_its_sum(spark, step):
+    """These errors have a mean of 1 (and of 1.49) that a sum of doubles in one of the orders falls short of."""
+    errors = [117, 74, 5, 106, 142, 164, 25, 47, 161, 159][::step]
+    points = frame(spark, [(0, n, e / 100) for n, e in enumerate(errors)], "capture_id bigint, point3d_id bigint, error double")
+    seen = points.select("capture_id", "point3d_id").withColumn("image_id", F.lit(1).cast("long"))
+    assert tracks.reprojection_by_capture(points.coalesce(1)).first()["grade"] == "high"
+    assert tracks.reprojection_by_image(points.coalesce(1), seen).first()["grade"] == "high"
+    lens = {"points3d": points.withColumn("error", F.col("error") + 0.49), "observations": seen}
+    assert pair_queries._registered(lens.__getitem__).count() == 0
