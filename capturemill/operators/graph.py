@@ -23,7 +23,10 @@ def connected_components(edges: DataFrame, group: str = "capture_id") -> DataFra
     """Label every node of (group, u, v) with the smallest node id of its component.
 
     Every task first replaces the edges it happens to hold by stars, a pre-aggregation
-    that shortens paths before anything is shuffled.  Alternating large-star and
+    that shortens paths before anything is shuffled.  If more links are left than a task contracts at a time, they are dealt
+    by ranges of their high ends and contracted once more, which settles most of a graph whose neighbours have near numbers,
+    as meshes have; nodes that have but one link then wait aside for the label of its low end.
+    A task contracts what is left if it holds all of it at a time (``CONTRACT_EDGES``).  Otherwise alternating large-star and
     small-star rounds (Kiveris et al., 2014) follow.  Each star is one pre-aggregated
     minimum per node and one join back.  A node with more links than a task's share is a hub: its links are
     dealt to sub-centres, each of which gets the minimum, so no task reads a hub as a whole.  A reliable checkpoint
@@ -32,19 +35,45 @@ def connected_components(edges: DataFrame, group: str = "capture_id") -> DataFra
     plain = edges.select(F.col(group).cast("long").alias(group), F.col("u").cast("long"), F.col("v").cast("long"))
     links = checkpointed(_contracted(plain.where("u <> v")).distinct())
     seen = [_fingerprint(links)]
+    leaves = None
+    if seen[-1][0] > CONTRACT_EDGES:
+        near = links.repartitionByRange(group, "high", "low").withColumnsRenamed({"high": "u", "low": "v"})
+        links, leaves = _without_leaves(checkpointed(_contracted(near).distinct()), group)
+        seen = [_fingerprint(links)]
+    if seen[-1][0] <= CONTRACT_EDGES:
+        links = checkpointed(_contracted(links.withColumnsRenamed({"high": "u", "low": "v"}).coalesce(1)))
+    else:
+        links = _in_rounds(links, group, seen)
+    nodes = plain.select(group, F.explode(F.array("u", "v")).alias("node"))
+    roots = links.select(group, F.col("high").alias("node"), F.col("low").alias("component"))
+    if leaves is not None:
+        above = links.select(group, "high", F.col("low").alias("least")).withColumnRenamed("high", "low")
+        roots = roots.unionByName(leaves.join(above, [group, "low"], "left").select(
+            group, F.col("high").alias("node"), F.coalesce("least", "low").alias("component")))
+    return nodes.distinct().join(roots, [group, "node"], "left").select(
+        group, "node", F.coalesce("component", "node").alias("component")
+    )
+
+
+def _without_leaves(links: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
+    """Links without those whose high end has no other link, and these: such a node has the label of its low end."""
+    ends = links.select(group, "high", "low", F.explode(F.array("high", "low")).alias("node"))
+    # a node's links that are counted are those it is the high end of, named by their low end, if it has but one in all
+    counted = ends.groupBy(group, "node").agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("node") == F.col("high"), F.col("low"))).alias("low"))
+    leaves = checkpointed(counted.where("n = 1 AND low IS NOT NULL").select(group, F.col("node").alias("high"), "low"))
+    return checkpointed(links.join(leaves.select(group, "high"), [group, "high"], "left_anti")), leaves
+
+
+def _in_rounds(links: DataFrame, group: str, seen: list[tuple]) -> DataFrame:
+    """Links from every node to the smallest one of its component; ``seen`` begins with the state of ``links``."""
     while True:
         links = checkpointed(_round(links, group, seen[-1][0]))
         state = _fingerprint(links)
         if state == seen[-1]:
-            break
+            return links
         if state in seen:  # every round moves links to smaller nodes, so none comes back
             raise RuntimeError("connected components went in a circle")
         seen.append(state)
-    nodes = plain.select(group, F.explode(F.array("u", "v")).alias("node"))
-    roots = links.select(group, F.col("high").alias("node"), F.col("low").alias("component"))
-    return nodes.distinct().join(roots, [group, "node"], "left").select(
-        group, "node", F.coalesce("component", "node").alias("component")
-    )
 
 
 def _round(links: DataFrame, group: str, count: int) -> DataFrame:

@@ -306,6 +306,23 @@ def test_no_task_reads_a_hub_as_a_whole(spark):
     assert dealt.groupBy("g", "node", "lot").count().agg(F.max("count")).first()[0] < 2 * 2000
 
 
+@pytest.mark.parametrize("most", [40, 1000])
+def test_components_of_near_numbers_need_no_rounds(spark, monkeypatch, most):
+    """A grid in random order is contracted by ranges; the few nodes that ranges share are left, and go to one task."""
+    wide, high = 20, 100
+    rows = [(g, n, n + step) for g in (1, 2) for n in range(wide * high) for step in (1, wide)
+            if n // wide + step // wide < high and n % wide + step % wide < wide and (g == 1 or n // wide != 50)]
+    random.Random(4).shuffle(rows)
+    rounds = []
+    whole = graph._round
+    monkeypatch.setattr(graph, "CONTRACT_EDGES", most)
+    monkeypatch.setattr(graph, "_round", lambda *args: rounds.append(args[2]) or whole(*args))
+    df = spark.createDataFrame(rows, "capture_id long, u long, v long").repartition(8)
+    got = {(r["capture_id"], r["node"]): r["component"] for r in graph.connected_components(df).collect()}
+    assert got == plain_components(rows)
+    assert all(count < len(rows) // 8 for count in rounds) and (most == 40 or not rounds)
+
+
 def test_components_of_nothing(spark):
     empty = spark.createDataFrame([], "capture_id bigint, u bigint, v bigint")
     assert graph.connected_components(empty).count() == 0
