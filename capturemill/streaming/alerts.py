@@ -27,6 +27,11 @@ ALERTS = (
 )
 
 
+STATE = (
+    "slots array<struct<slot: bigint, first: bigint, last: bigint>>, version bigint, reason string, started bigint, last bigint, due bigint, at bigint"
+)
+
+
 class Alert(NamedTuple):
     reason: str
     started: int
@@ -51,6 +56,21 @@ def stall(slots: list[tuple[int, int]], limit: int, silence: int, clock: int) ->
     return None, due
 
 
+class Held(NamedTuple):
+    """What the state of a run keeps: slots (slot, first, last) in order, the alert written last, and the timer."""
+    slots: list[tuple[int, int, int]]
+    version: int = 0
+    reason: str | None = None
+    started: int | None = None
+    last: int | None = None
+    due: int | None = None
+    at: int | None = None
+
+    @classmethod
+    def of(cls, value: tuple | None) -> Held:
+        return cls([tuple(s) for s in value[0]], *value[1:]) if value is not None else cls([])
+
+
 class StallProcessor(StatefulProcessor):
     """State of one run and tool: its slots, its deadline, and the alert written last."""
 
@@ -59,9 +79,8 @@ class StallProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.slots = handle.getMapState("slots", "slot bigint", "first bigint, last bigint")
-        self.written = handle.getValueState("written", "version bigint, reason string, started bigint, last bigint, due bigint")
-        self.deadline = handle.getValueState("deadline", "at bigint")
+        # one value, since each call of a state is a round trip between Python and the store, and a review reads all slots anyway
+        self.state = handle.getValueState("state", STATE)
 
     def handleInputRows(self, key, rows: Iterable[Row], timerValues) -> Iterator[Row]:
         spans: dict[int, tuple[int, int]] = {}
@@ -69,52 +88,49 @@ class StallProcessor(StatefulProcessor):
             if row["at"] is not None:
                 first, last = spans.get(row["at"] // SLOT_MS, (row["at"], row["at"]))
                 spans[row["at"] // SLOT_MS] = min(first, row["at"]), max(last, row["at"])
-        moved = False
+        held = Held.of(self.state.get())
+        slots = {slot: (first, last) for slot, first, last in held.slots}
+        moved = {}
         for slot, (first, last) in spans.items():
-            held = self.slots.getValue((slot,))
-            span = (min(first, held[0]), max(last, held[1])) if held else (first, last)
-            if held is None or tuple(held) != span:
-                self.slots.updateValue((slot,), span)
-                moved = True
+            before = slots.get(slot, (first, last))
+            span = min(first, before[0]), max(last, before[1])
+            if slots.get(slot) != span:
+                moved[slot] = span
         if moved:
-            yield from self._review(key, timerValues.getCurrentWatermarkInMs())
+            held = held._replace(slots=sorted((slot, *span) for slot, span in (slots | moved).items()))
+            yield from self._review(key, held, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.deadline.clear()
-        yield from self._review(key, timerValues.getCurrentWatermarkInMs())
+        yield from self._review(key, Held.of(self.state.get())._replace(at=None), timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
 
-    def _review(self, key, clock: int) -> Iterator[Row]:
+    def _review(self, key, held: Held, clock: int) -> Iterator[Row]:
         """Write what has changed about the alert, and wait for the next deadline."""
         run_id, tool = key
-        spans = sorted(tuple(span) for span in self.slots.values())
+        spans = [(first, last) for _, first, last in held.slots]
         alert, due = stall(spans, STEP_LIMITS.get(tool, NO_LIMIT) * 1000, self.silence, clock)
-        self._wait(due)
-        held = self.written.get() if self.written.exists() else None
-        version, before = (held[0], Alert(*held[1:]) if held[1] is not None else None) if held else (0, None)
+        before = Alert(held.reason, held.started, held.last, held.due) if held.reason is not None else None
+        # the clock has to be past the deadline, not at it
+        at = None if due is None else due + 1
+        self._wait(held.at, at)
+        version = held.version + (alert != before)
+        self.state.update((held.slots, version, *(alert or (None,) * 4), at))
         if alert == before:
             return
         kind = "raised" if before is None else "withdrawn" if alert is None else "corrected"
         told = alert or before
-        self.written.update((version + 1, *(alert or (None,) * 4)))
-        yield Row(run_id=run_id, tool=tool, version=version + 1, kind=kind, reason=told.reason, started_ms=told.started,
+        yield Row(run_id=run_id, tool=tool, version=version, kind=kind, reason=told.reason, started_ms=told.started,
                   last_ms=told.last, due_ms=told.due, clock_ms=clock)
 
-    def _wait(self, due: int | None) -> None:
-        # the clock has to be past the deadline, not at it
-        at = None if due is None else due + 1
-        held = self.deadline.get()[0] if self.deadline.exists() else None
+    def _wait(self, held: int | None, at: int | None) -> None:
         if held == at:
             return
         if held is not None:
             self.handle.deleteTimer(held)
-        if at is None:
-            self.deadline.clear()
-        else:
+        if at is not None:
             self.handle.registerTimer(at)
-            self.deadline.update((at,))
 
 
 def stalled_alerts(lines: DataFrame, silence: int = 600) -> DataFrame:

@@ -129,3 +129,41 @@ def test_lines_without_a_time_or_a_run(spark, tmp_path):
     stamped(folder, ["0.json", "1.json"])
     got = live(spark, folder, tmp_path, 600)
     assert {(r["run_id"], r["tool"]) for r in got.collect()} == {(1, "map"), (None, "map")}
+
+
+def test_a_batch_of_a_run_costs_few_calls_of_its_state():
+    """Each call is a round trip; their number must not grow with the slots of a run."""
+    calls = []
+
+    class State:
+        value = None
+
+        def exists(self):
+            return calls.append("exists") or self.value is not None
+
+        def get(self):
+            return calls.append("get") or self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+    class Handle:
+        def getValueState(self, *_):
+            return State()
+
+        def registerTimer(self, at):
+            calls.append("timer")
+
+        def deleteTimer(self, at):
+            calls.append("no timer")
+
+    class Clock:
+        def getCurrentWatermarkInMs(self):
+            return 0
+
+    processor = alerts.StallProcessor(3600)
+    processor.init(Handle())
+    rows = [{"at": minute * 60_000} for minute in range(50)]
+    assert list(processor.handleInputRows((1, "map"), rows, Clock())) == [] and len(calls) == 3
+    assert list(processor.handleInputRows((1, "map"), rows, Clock())) == [] and len(calls) == 4
