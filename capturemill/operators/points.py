@@ -186,7 +186,7 @@ def normalize_coordinates(points: DataFrame, mode: int) -> DataFrame:
 def restore_coordinates(points: DataFrame, transforms: DataFrame) -> DataFrame:
     """Undo :func:`normalize_coordinates` with its transform table."""
     moved = {a: F.col(a) * F.col("norm_scale") + F.col(f"shift_{a}") for a in AXES}
-    return points.join(transforms, "capture_id").withColumns(moved).select(*points.columns)
+    return points.join(small_side(transforms), "capture_id").withColumns(moved).select(*points.columns)
 
 
 def split_subscenes(points: DataFrame, max_points: int) -> DataFrame:

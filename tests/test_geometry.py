@@ -401,3 +401,23 @@ def test_unpack_obj(spark):
     assert got == [(2.0, 0.5, 0.75), (1.0, 0.0, 1.0), (0.0, 0.0, 1.0), (2.0, 0.0, 1.0)]
     assert [tuple(r)[1:] for r in faces.orderBy("face_id").collect()] == [(0, 0, 1, 2), (1, 0, 3, 1)]
     assert mesh.unresolved_corners(df, v.where("v_idx < 2")).count() == 3
+
+
+def joins_of(spark, build):
+    """Text of a plan whose joins are broadcast only where the library says so."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return build()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def few_captures(spark):
+    return spark.range(400).selectExpr("id % 2 AS capture_id", "id AS point3d_id", "id * 1.5D AS x", "id % 20 * 1D AS y", "1D AS z")
+
+
+def test_restoring_shuffles_no_points(spark):
+    cloud = few_captures(spark)
+    plan = joins_of(spark, lambda: points.restore_coordinates(points.normalize_coordinates(cloud, 2), points.normalization(cloud, 2)))
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
