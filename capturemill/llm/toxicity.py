@@ -17,10 +17,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from capturemill.llm.common import WordNumbers, byte_texts, gather_runs, number_words, releasing, saved, slices
+from capturemill.llm.common import distinct_words, gather_runs, releasing, saved, slices
 from capturemill.llm.minhash import near_duplicates
 from capturemill.session import small_side
 
@@ -39,6 +40,7 @@ EDGES = ".,;:?\"'`´()[]{}<>«»“”„‚‘’…*_~-–—/\\#&=%^"
 SIGN, DROPPED, SHORTENED, DOUBLED, LEFT = -1.0, -0.5, -0.7, -4.0, -5.0
 # Decoded tokens a task remembers.
 MOST_DECODED = 200_000
+NONE: list[int] = []
 TWICE, THRICE = re.compile(r"(.)\1", re.DOTALL), re.compile(r"(.)\1\1+", re.DOTALL)
 SYMBOLS = 64
 PREFIXES = (4, 5, 6)
@@ -60,17 +62,21 @@ def core(token: bytes) -> str:
     return token.decode("utf-8", "replace").lower().strip(EDGES)
 
 
+def text_slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """Texts in a row, some at a time."""
+    for low, high in slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), SLICE_BYTES):
+        yield texts.slice(low, high - low)
+
+
 def trigram_counts(docs: DataFrame) -> DataFrame:
     """(trigram, n) over the letter-only words of all documents, each word with two edges before and one after."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SYMBOLS ** 3, np.int64)
         for batch in batches:
-            texts = byte_texts(batch["text"])
-            for low, high in slices(map(len, texts), SLICE_BYTES):
-                numbers = WordNumbers()
-                words, _ = number_words(texts[low:high], numbers)
-                weights = np.bincount(words, minlength=len(numbers))
-                cores = [core(w) for w in numbers.words()]
+            for texts in text_slices(batch["text"]):
+                vocabulary, words, _ = distinct_words(texts)
+                weights = np.bincount(words, minlength=len(vocabulary))
+                cores = map(core, vocabulary.to_pylist())
                 plain = [(c, n) for c, n in zip(cores, weights.tolist(), strict=True) if c.isalpha()]
                 if not plain:
                     continue
@@ -136,6 +142,8 @@ def restored(word: str, model: np.ndarray) -> str:
     lettered = any(c.isalpha() for c in word)
     if not TWICE.search(word) if word.isalpha() else not lettered and not any(c in LOOKS_LIKE for c in word):
         return word
+    # one row of doubles, whose items are plain floats
+    table = memoryview(model.reshape(-1))
     best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for step in lattice(word):
         after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
@@ -144,12 +152,12 @@ def restored(word: str, model: np.ndarray) -> str:
                 x, y, total = a, b, score + cost
                 for letter in letters:
                     z = symbol(letter)
-                    total += model[x, y, z]
+                    total += table[(x * SYMBOLS + y) * SYMBOLS + z]
                     x, y = y, z
                 if (x, y) not in after or total > after[x, y][0]:
                     after[x, y] = (total, (path, letters) if letters else path)
         best = after
-    total, path = max(((s + model[a, b, 0], p) for (a, b), (s, p) in best.items()), key=lambda t: t[0])
+    total, path = max(((s + table[(a * SYMBOLS + b) * SYMBOLS], p) for (a, b), (s, p) in best.items()), key=lambda t: t[0])
     if not lettered and (path is None or total <= LEFT * len(THRICE.sub(r"\1\1", word))):
         return word
     out = []
@@ -188,48 +196,68 @@ class Decoder:
 class Reader:
     """Distinct features of whole texts."""
 
-    def __init__(self, decoder: Decoder, chosen: dict[str, int] | None = None, weights: np.ndarray | None = None):
-        self.decoder, self.chosen, self.weights = decoder, chosen, weights
+    def __init__(self, decoder: Decoder):
+        self.decoder = decoder
         self.numbers: dict[str, int] = {}
 
     def of_word(self, word: str) -> list[int]:
-        """All features of a word, or the strongest of the chosen ones: a word and its beginnings are one piece of evidence."""
-        found = self.decoder.features(word)
-        if self.chosen is not None:
-            known = [self.chosen[f] for f in found if f in self.chosen]
-            return [max(known, key=lambda i: abs(self.weights[i]))] if known else []
-        return [self.numbers.setdefault(f, len(self.numbers)) for f in found]
-
-    def read(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Feature numbers of each text, each number once."""
-        tokens = WordNumbers()
-        flat, sizes = number_words(texts, tokens)
-        vocabulary = tokens.words()
-        cores = [core(w) for w in vocabulary]
+        """All features of a word."""
+        return [self.numbers.setdefault(f, len(self.numbers)) for f in self.decoder.features(word)]
+
+    def read(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Text and feature numbers, each pair once, in ascending order."""
+        vocabulary, flat, sizes = distinct_words(texts)
+        cores = [core(w) for w in vocabulary.to_pylist()]
         lists = [self.of_word(c) if c else [] for c in cores]
         lengths = np.fromiter(map(len, lists), np.int64, len(lists))
         ids = np.fromiter((i for part in lists for i in part), np.int64, int(lengths.sum()))
-        first = np.cumsum(lengths) - lengths
         single = np.fromiter((len(c) == 1 for c in cores), bool, len(cores))
-        ends = np.cumsum(sizes)
-        out = []
-        for end, size in zip(ends.tolist(), sizes.tolist(), strict=True):
-            words = flat[end - size:end]
-            own = ids[gather_runs(first[words], lengths[words])]
-            extra = self._spaced(words, single, cores)
-            out.append(np.unique(np.concatenate([own, np.array(extra, np.int64)]) if extra else own))
-        return out
-
-    def _spaced(self, words: np.ndarray, single: np.ndarray, cores: list[str]) -> list[int]:
-        """Features of every run of three or more single characters, read as one word."""
-        alone = np.concatenate([[False], single[words], [False]])
-        edges = np.flatnonzero(alone[1:] != alone[:-1])
-        found: list[int] = []
-        for low, high in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-            if high - low >= 3:
-                found += self.of_word("".join(cores[w] for w in words[low:high].tolist()))
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        spaced = [(text, i) for text, word in self._spaced(flat, owner, single, cores) for i in self.of_word(word)]
+        more = np.array(spaced, np.int64).reshape(-1, 2)
+        telling = lengths[flat] > 0
+        flat, owner = flat[telling], owner[telling]
+        rows = np.concatenate([np.repeat(owner, lengths[flat]), more[:, 0]])
+        found = np.concatenate([ids[gather_runs((np.cumsum(lengths) - lengths)[flat], lengths[flat])], more[:, 1]])
+        width = int(found.max(initial=0)) + 1
+        pairs = np.sort(rows * width + found)
+        return np.divmod(pairs[np.diff(pairs, prepend=-1) > 0], width)
+
+    def _spaced(self, words: np.ndarray, owner: np.ndarray, single: np.ndarray, cores: list[str]) -> Iterator[tuple[int, str]]:
+        """(text number, word) of every run of three or more single characters of a text, read as one word."""
+        at = np.flatnonzero(single[words])
+        first = np.flatnonzero((np.diff(at, prepend=-2) > 1) | (np.diff(owner[at], prepend=-1) > 0))
+        for start, end in zip(first.tolist(), np.append(first, len(at))[1:].tolist(), strict=True):
+            if end - start >= 3:
+                yield int(owner[at[start]]), "".join(cores[w] for w in words[at[start:end]].tolist())
+
+
+class EvidenceReader(Reader):
+    """Chosen features of whole texts: of a word and its beginnings, which are one piece of evidence, the strongest."""
+
+    def __init__(self, decoder: Decoder, chosen: dict[str, int], weights: np.ndarray):
+        super().__init__(decoder)
+        self.chosen, self.sizes = chosen, np.abs(weights).tolist()
+        # a word that is read as it is written is looked up without making its features
+        self.known: dict[str, list[int]] = {}
+        self.begun = [(n, {f[:-1]: i for f, i in chosen.items() if len(f) == n + 1 and f.endswith("…")}) for n in PREFIXES]
+
+    def of_word(self, word: str) -> list[int]:
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) >= MOST_DECODED:
+                self.known.clear()
+            self.known[word] = found = self._strongest(word)
         return found
 
+    def _strongest(self, word: str) -> list[int]:
+        if word.isalpha() and not TWICE.search(word):
+            known = [i] if (i := self.chosen.get(word)) is not None else []
+            known += [i for n, begun in self.begun if len(word) > n and (i := begun.get(word[:n])) is not None]
+        else:
+            known = [self.chosen[f] for f in self.decoder.features(word) if f in self.chosen]
+        return [max(known, key=self.sizes.__getitem__)] if known else NONE
+
 
 class WordReader(Reader):
     """Distinct words of whole texts, each as the tuple of its features."""
@@ -268,14 +296,13 @@ def feature_counts(labelled: DataFrame, model: np.ndarray) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(shared.value)
         for batch in batches:
-            texts, marks, weight = byte_texts(batch["text"]), batch["toxic"].to_numpy(zero_copy_only=False), batch["weight"].to_numpy()
-            for low, high in slices(map(len, texts), SLICE_BYTES):
+            marks, weight, low = batch["toxic"].to_numpy(zero_copy_only=False), batch["weight"].to_numpy(), 0
+            for texts in text_slices(batch["text"]):
                 reader = Reader(decoder)
-                rows = reader.read(texts[low:high])
-                each, lengths = weight[low:high], [len(r) for r in rows]
-                flat = np.concatenate(rows)
-                both = np.bincount(flat, weights=np.repeat(each, lengths), minlength=len(reader.numbers)).astype(np.int64)
-                toxic = np.bincount(flat, weights=np.repeat(each * marks[low:high], lengths), minlength=len(reader.numbers)).astype(np.int64)
+                rows, found = reader.read(texts)
+                rows, low = rows + low, low + len(texts)
+                both = np.bincount(found, weights=weight[rows], minlength=len(reader.numbers)).astype(np.int64)
+                toxic = np.bincount(found, weights=(weight * marks)[rows], minlength=len(reader.numbers)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(reader.numbers.keys(), pa.string()), pa.array(toxic), pa.array(both - toxic)], names=["feature", "toxic", "clean"])
 
@@ -350,14 +377,16 @@ def score(docs: DataFrame, scorer: Scorer, *carry: str) -> DataFrame:
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = shared.value
-        reader = Reader(Decoder(scorer.model), scorer.chosen, scorer.weights)
+        reader = EvidenceReader(Decoder(scorer.model), scorer.chosen, scorer.weights)
         for batch in batches:
-            texts = byte_texts(batch["__text"])
-            for low, high in slices(map(len, texts), SLICE_BYTES):
-                total = np.array([scorer.bias + scorer.weights[found].sum() for found in reader.read(texts[low:high])])
+            low = 0
+            for texts in text_slices(batch["__text"]):
+                rows, found = reader.read(texts)
+                total = scorer.bias + np.bincount(rows, weights=scorer.weights[found], minlength=len(texts))
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch[c].slice(low, high - low) for c in carry), pa.array(1.0 / (1.0 + np.exp(-np.clip(total, -500, 500))))],
+                    [*(batch[c].slice(low, len(texts)) for c in carry), pa.array(1.0 / (1.0 + np.exp(-np.clip(total, -500, 500))))],
                     names=[*carry, "score"])
+                low += len(texts)
 
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]]
     return chosen.mapInArrow(releasing(rate), ", ".join([*kinds, "score double"]))
@@ -372,14 +401,16 @@ def _joined_score(docs: DataFrame, scorer: Scorer, *carry: str) -> DataFrame:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(shared.value)
         for batch in batches:
-            texts = byte_texts(batch["text"])
-            for low, high in slices(map(len, texts), SLICE_BYTES):
+            low = 0
+            for texts in text_slices(batch["text"]):
                 reader = WordReader(decoder)
-                found = reader.read(texts[low:high])
+                rows, found = reader.read(texts)
                 words = [list(w) for w in reader.numbers]
+                parts = np.split(found, np.cumsum(np.bincount(rows, minlength=len(texts)))[:-1])
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch[n].slice(low, high - low) for n in names), pa.array([[words[i] for i in part.tolist()] for part in found], pa.list_(pa.list_(pa.string())))],
+                    [*(batch[n].slice(low, len(texts)) for n in names), pa.array([[words[i] for i in part.tolist()] for part in parts], pa.list_(pa.list_(pa.string())))],
                     names=[*names, "words"])
+                low += len(texts)
 
     kinds = [f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1]]
     rows = saved(chosen.mapInArrow(releasing(split), ", ".join([*kinds, "words array<array<string>>"])).withColumn(

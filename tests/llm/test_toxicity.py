@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,3 +137,30 @@ def test_rare_evidence_counts_and_joined_weights_score_alike(rare, monkeypatch):
     assert joined.table is not None and joined.table.count() == len(scorer.chosen)
     got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, joined, "doc_id").collect()}
     assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in want)
+
+
+def test_words_are_looked_up_once_in_all_slices(model, monkeypatch):
+    """What a word tells is found once, not in every slice, and is the strongest of all its features."""
+    monkeypatch.setattr(toxicity, "SLICE_BYTES", 40)
+    chosen = {"idiot": 0, "idio…": 1, "stup…": 2, "good": 3, "stupid": 4, "nice": 5}
+    weights = np.array([2.0, 2.5, -1.0, -3.0, 0.5, 1.0])
+    asked = []
+    strongest = toxicity.EvidenceReader._strongest
+    monkeypatch.setattr(toxicity.EvidenceReader, "_strongest", lambda self, word: asked.append(word) or strongest(self, word))
+    texts = pa.array(["1d10t GOOD good, the", None, "s t u p i d nice", "", "stupidly idiots a", "b c", "d idiot the", "a b", *["the idiots good 1d10t"] * 5])
+    reader = toxicity.EvidenceReader(toxicity.Decoder(model), chosen, weights)
+    got, sets = [], []
+    for part in toxicity.text_slices(texts):
+        rows, found = reader.read(part)
+        sets += [set(found[rows == i].tolist()) for i in range(len(part))]
+        got.append(len(part))
+    assert len(got) > 3 and len(asked) == len(set(asked))
+
+    def best(word):
+        known = [chosen[f] for f in toxicity.Decoder(model).features(word) if f in chosen]
+        return {max(known, key=lambda i: abs(weights[i]))} if known else set()
+
+    for text, found in zip(texts.to_pylist(), sets, strict=True):
+        words = [toxicity.core(w) for w in (text or "").encode().split()]
+        spaced = ["stupid"] if text == "s t u p i d nice" else []
+        assert found == set().union(*[best(w) for w in [*words, *spaced]])
