@@ -8,6 +8,7 @@ import time
 
 import pytest
 from pyspark.errors import AnalysisException
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from capturemill.operators import logs as batch
@@ -158,3 +159,49 @@ def test_streams_read_a_table_of_part_files(spark, sf_dir, tmp_path):
     assert got.count() > 0
     with pytest.raises(AnalysisException):
         CATALOG["stream_classify"].run(spark, str(tmp_path / "nothing"))
+
+
+class CountedState:
+    """The state of one key in memory, and the calls that reach it."""
+
+    def __init__(self):
+        self.value, self.entries, self.calls = None, {}, 0
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            return {
+                "get": lambda: self.value, "exists": lambda: self.value is not None, "update": lambda v: setattr(self, "value", v),
+                "iterator": lambda: iter(list(self.entries.items())), "updateValue": lambda k, v: self.entries.__setitem__(k, v),
+                "removeKey": lambda k: self.entries.pop(k),
+            }[name](*args)
+
+        return call
+
+
+def test_a_run_with_gaps_costs_few_calls_of_its_state(spark):
+    """Calls of a state are round trips: their number does not grow with the intervals of a run."""
+    lines = spark.createDataFrame([], "run_id bigint, tool string, seq bigint, ts timestamp, line string")
+    from capturemill.operators.logs import run_metrics
+    counter = counters.CounterProcessor(run_metrics(lines).schema, None)
+    state, spans = CountedState(), CountedState()
+    counter.counters, counter.spans = state, spans
+    told = '{"matched":"T12","triangulated":5}'
+
+    def batch(numbers):
+        state.calls = spans.calls = 0
+        got = list(counter.handleInputRows((1, "map"), iter([Row(seq=n, told=told) for n in numbers]), None))
+        assert state.calls + spans.calls <= 2 + counters.FEW
+        return got[0]["lines"] if got else None
+
+    assert batch(range(0, 200, 2)) == 100
+    assert batch(range(0, 200, 2)) is None
+    assert batch(range(1, 180, 2)) == 190
+    assert sum(last - first + 1 for (first,), (last,) in spans.entries.items()) in (0, 190)
+    assert batch(range(181, 200, 2)) == 200
+    assert spans.entries == {(0,): (199,)}
+    assert batch([50, 199, 200]) == 201
+    assert spans.entries == {(0,): (200,)}
+    assert batch(range(300, 340, 10)) == 205
+    assert batch([300, 310, 200, 5]) is None
+    assert not spans.entries
