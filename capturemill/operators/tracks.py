@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from capturemill.operators.summaries import error_grade
-from capturemill.session import checkpointed, small_side
+from capturemill.session import checkpointed, counted_side, small_side
 
 # Images per chunk of a track: a unit of work writes at most about the square of this many pairs.
 CHUNK = 256
@@ -42,11 +42,30 @@ def _long_points(seen: DataFrame, least: int) -> DataFrame:
 
 
 def _shared(seen: DataFrame, long: DataFrame, chunk: int) -> DataFrame:
-    """Shared points of all image pairs, or of those with an image that is ``wanted``, where ``seen`` tells."""
-    chunks = long.select(*POINT, F.ceil(F.col("images") / chunk).alias("chunks"))
-    cut = seen.join(chunks, POINT, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    """Shared points of all image pairs, or of those with an image that is ``wanted``, where ``seen`` tells.
+
+    The images of a point that at most ``chunk`` see are one list, whose pairs are written where it is gathered; longer tracks
+    are cut into units.
+    """
+    cut, longer = counted_side(long.where(F.col("images") > chunk).select(*POINT, F.ceil(F.col("images") / chunk).alias("chunks")))
+    met = _met_in_lists(seen.join(cut.select(*POINT), POINT, "left_anti") if longer else seen)
+    met = met.unionByName(_met_in_units(seen.join(cut, POINT))) if longer else met
+    return met.groupBy("capture_id", "image_id1", "image_id2").agg(F.count(F.lit(1)).alias("shared"))
+
+
+def _met_in_lists(seen: DataFrame) -> DataFrame:
+    wanted = [c for c in ("wanted",) if c in seen.columns]
+    # rows without a point or an image meet no other
+    lists = seen.dropna(subset=[*POINT, "image_id"]).groupBy(*POINT).agg(F.sort_array(F.collect_list(F.struct("image_id", *wanted))).alias("images")).where(F.size("images") > 1)
+    firsts = lists.select("capture_id", "images", F.posexplode("images").alias("at", "first"))
+    met = firsts.select("capture_id", "first", F.explode(F.slice("images", F.col("at") + 2, F.size("images"))).alias("second"))
+    met = met.where(F.col("first.wanted") | F.col("second.wanted")) if wanted else met
+    return met.select("capture_id", F.col("first.image_id").alias("image_id1"), F.col("second.image_id").alias("image_id2"))
+
+
+def _met_in_units(cut: DataFrame) -> DataFrame:
     cut = cut.withColumn("own", F.pmod(F.xxhash64("image_id"), F.col("chunks")))
-    wanted = ["wanted"] if "wanted" in seen.columns else []
+    wanted = ["wanted"] if "wanted" in cut.columns else []
     units = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))).select(
         *POINT, F.least("own", "other").alias("chunk1"), F.greatest("own", "other").alias("chunk2"), "own", "image_id", *wanted)
     key = [*POINT, "chunk1", "chunk2"]
@@ -56,8 +75,7 @@ def _shared(seen: DataFrame, long: DataFrame, chunk: int) -> DataFrame:
     met = left.join(right, key).where((F.col("chunk1") < F.col("chunk2")) | (F.col("first") < F.col("second")))
     met = met.where(F.col("wanted1") | F.col("wanted2")) if wanted else met
     return met.where("first <> second").select(
-        "capture_id", F.least("first", "second").alias("image_id1"), F.greatest("first", "second").alias("image_id2")
-    ).groupBy("capture_id", "image_id1", "image_id2").agg(F.count(F.lit(1)).alias("shared"))
+        "capture_id", F.least("first", "second").alias("image_id1"), F.greatest("first", "second").alias("image_id2"))
 
 
 def _directed(covisible: DataFrame) -> DataFrame:
@@ -81,45 +99,76 @@ def best_views(observations: DataFrame, k: int | DataFrame, degree: int = CHUNK,
     has fewer can add no more than their number.  An image is settled if it has fewer hot points than its k-th best
     lower bound, since no image that it has not met can reach that; the hot points are then counted for its candidates
     only, those whose upper bound reaches the k-th lower bound.  Images that are not settled go on with
-    points of a ``growth`` times higher degree, in the end with all points.  Counts and ties are exact.
+    points of a ``growth`` times higher degree, in the end with all points; so do, without a round, images whose cheap points
+    are too few to settle them, and with them the rest if it is less than half of all that are left.  Counts and ties are exact.
     """
     seen = checkpointed(observations.select(*POINT, "image_id").distinct())
-    long = _long_points(seen, min(degree, chunk))
+    least = min(degree, chunk)
+    long = _long_points(seen, least)
     most = long.agg(F.max("images")).first()[0] or 0
     if most <= degree:
         return neighbor_views(_shared(seen, long, chunk), k)
-    seen = seen.join(long, POINT, "left").withColumn("images", F.coalesce("images", F.lit(0)))
+    seen = checkpointed(seen.join(long, POINT, "left").withColumn("images", F.coalesce("images", F.lit(0))))
     captures = seen.select("capture_id").distinct().withColumn("number_views", F.lit(k)) if isinstance(k, int) else (
         k.select("capture_id", "number_views"))
     captures = small_side(captures.where("number_views > 0"))
     bound = captures.agg(F.max("number_views")).first()[0] or 0
     image = ["capture_id", "image_id"]
-    wanted = checkpointed(seen.select(*image).distinct().join(captures, "capture_id"))
+    degrees = [degree]
+    while degrees[-1] < most:
+        degrees.append(degrees[-1] * growth)
+    wanted, left = counted_side(_profile(seen, degrees, least).join(captures, "capture_id"))
+    all_images = seen.select(*image).distinct().count()
     found: list[DataFrame] = []
-    while True:
-        near = seen.where(F.col("images") <= degree).join(wanted.select(*image, F.lit(True).alias("wanted")), image, "left").withColumn(
-            "wanted", F.coalesce("wanted", F.lit(False)))
-        pairs = checkpointed(_shared(near, long, chunk))
-        directed = _directed(pairs).join(wanted, image)
-        ranked = _ranked(directed, bound).where(F.col("rank") <= F.col("number_views"))
+    for level, degree in enumerate(degrees):
+        if not left:
+            break
+        # a round is for the images that it can settle, and not run for a few of them; the others wait for a higher degree
+        hopeful, several = counted_side(wanted.where(_can_settle(level)).select(*image, "number_views"))
+        if 2 * several < left:
+            continue
+        near = seen.where(F.col("images") <= degree).select(*POINT, "image_id")
+        if several < all_images:
+            near = near.join(hopeful.select(*image, F.lit(True).alias("wanted")), image, "left").withColumn("wanted", F.coalesce("wanted", F.lit(False)))
+        pairs = _shared(near, long, chunk)
         if degree >= most:
-            found.append(ranked.drop("number_views"))
+            found.append(_ranked(_directed(pairs), bound).join(hopeful, image).where(F.col("rank") <= F.col("number_views")).drop("number_views"))
             break
+        directed = _directed(checkpointed(pairs)).join(hopeful, image)
+        ranked = _ranked(directed, bound).where(F.col("rank") <= F.col("number_views"))
         hot = seen.where(F.col("images") > degree).select(*image, "point3d_id")
         sizes = checkpointed(hot.groupBy(*image).agg(F.count(F.lit(1)).alias("hot")))
         kth = ranked.where(F.col("rank") == F.col("number_views")).select(*image, F.col("shared").alias("kth"))
-        state = checkpointed(wanted.join(sizes, image, "left").join(kth, image, "left").fillna(0, ["hot", "kth"]))
+        state = checkpointed(hopeful.join(sizes, image, "left").join(kth, image, "left").fillna(0, ["hot", "kth"]))
         settled = state.where("hot = 0 OR hot < kth").select(*image, "hot", "kth")
         theirs = sizes.select("capture_id", F.col("image_id").alias("neighbor_id"), F.col("hot").alias("theirs"))
         candidates = checkpointed(directed.join(settled, image).join(theirs, ["capture_id", "neighbor_id"], "left").where(
             F.col("shared") + F.least("hot", F.coalesce("theirs", F.lit(0))) >= F.col("kth")).select(
             *image, "neighbor_id", "number_views", "shared"))
         found.append(_ranked(_with_hot(candidates, hot, sizes), bound).where(F.col("rank") <= F.col("number_views")).drop("number_views"))
-        wanted = checkpointed(state.where("hot > 0 AND hot >= kth").select(*image, "number_views"))
-        if not wanted.limit(1).count():
-            break
-        degree *= growth
-    return reduce(DataFrame.unionByName, found)
+        wanted, left = counted_side(wanted.join(settled.select(*image), image, "left_anti"))
+    return reduce(DataFrame.unionByName, found) if found else neighbor_views(_shared(seen.select(*POINT, "image_id").limit(0), long, chunk), bound)
+
+
+def _profile(seen: DataFrame, degrees: list[int], least: int) -> DataFrame:
+    """For each image and degree: hot points, other points, and the images met over these, at most (``hot``, ``cheap``, ``met`` lists)."""
+    # points that at most ``least`` images see are not counted one by one
+    others = F.when(F.col("images") == 0, least).otherwise(F.col("images")) - 1
+
+    def per_degree(value):
+        return F.array(*[value(F.lit(d)) for d in degrees])
+
+    return seen.groupBy("capture_id", "image_id").agg(
+        per_degree(lambda d: F.count_if(F.col("images") > d)).alias("hot"),
+        per_degree(lambda d: F.count_if(F.col("images") <= d)).alias("cheap"),
+        per_degree(lambda d: F.coalesce(F.sum(F.when(F.col("images") <= d, others)), F.lit(0))).alias("met"),
+    )
+
+
+def _can_settle(level: int):
+    """Whether an image may have fewer hot points than its k-th best bound: k others share so much only if they are met so often."""
+    hot, cheap, met = (F.col(c)[level] for c in ("hot", "cheap", "met"))
+    return (hot == 0) | ((hot < cheap) & ((hot + 1) * F.col("number_views") <= met))
 
 
 def _with_hot(candidates: DataFrame, hot: DataFrame, sizes: DataFrame) -> DataFrame:

@@ -75,6 +75,23 @@ def test_best_views_do_not_write_the_pairs_of_hot_points(spark, monkeypatch):
     assert sum(written) < 5_000 < 400 * 399 // 2
 
 
+def test_best_views_run_no_round_that_settles_nothing(spark, monkeypatch):
+    """Each image has more hot points than cheap ones, so the cheap ones alone settle none."""
+    rng = random.Random(4)
+    rows = [(1, p, i) for p in range(200) for i in rng.sample(range(30), 2 if p % 4 == 0 else 5)]
+    df = spark.createDataFrame([*rows, (1, None, 3), (1, None, 4)], "capture_id bigint, point3d_id bigint, image_id bigint")
+    rounds, write = [], tracks._shared
+
+    def counted(seen, *rest):
+        rounds.append(seen)
+        return write(seen, *rest)
+
+    monkeypatch.setattr(tracks, "_shared", counted)
+    found = tracks.best_views(df, 3, degree=2, growth=4)
+    assert {(r["capture_id"], r["image_id"], r["neighbor_id"], r["shared"], r["rank"]) for r in found.collect()} == brute_views(rows, lambda c: 3)
+    assert len(rounds) == 1
+
+
 def test_best_views_of_an_empty_table(spark):
     assert tracks.best_views(spark.createDataFrame([], "capture_id bigint, point3d_id bigint, image_id bigint"), 3).count() == 0
 
