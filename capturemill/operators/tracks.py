@@ -193,7 +193,8 @@ def neighbor_views(covisible: DataFrame, k: int | DataFrame) -> DataFrame:
     rule; its largest number bounds the ranks before the table is joined.
     """
     if not isinstance(k, int):
-        k = k.select("capture_id", "number_views")
+        # read for its largest number and by the join: write it once
+        k = small_side(k.select("capture_id", "number_views"))
     ranked = _ranked(_directed(covisible), k if isinstance(k, int) else k.agg(F.max("number_views")).first()[0] or 0)
     if isinstance(k, int):
         return ranked

@@ -92,6 +92,22 @@ def test_best_views_run_no_round_that_settles_nothing(spark, monkeypatch):
     assert len(rounds) == 1
 
 
+def test_best_views_read_the_table_of_views_once(spark):
+    """The table (capture_id, number_views) may be as dear as the densify rule that makes it."""
+    rows, df = skewed_observations(spark)
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def views(capture):
+        asked.add(1)
+        return capture + 1
+
+    k = spark.range(1, 3).select(F.col("id").alias("capture_id"), views.asNondeterministic()("id").alias("number_views"))
+    found = tracks.best_views(df, k, 10_000)
+    assert {(r["capture_id"], r["image_id"], r["neighbor_id"], r["shared"], r["rank"]) for r in found.collect()} == brute_views(rows, lambda c: c + 1)
+    assert asked.value == 2
+
+
 def test_best_views_of_an_empty_table(spark):
     assert tracks.best_views(spark.createDataFrame([], "capture_id bigint, point3d_id bigint, image_id bigint"), 3).count() == 0
 
