@@ -87,19 +87,13 @@ def texture_map(lines: DataFrame, artifacts: DataFrame) -> DataFrame:
     ``texture`` in its name.  ``artifacts`` is (mesh_id, name).
     """
     named = texture_names(lines).groupBy("mesh_id").agg(F.min_by("texture", "seq").alias("wanted"))
-    files = artifacts.select("mesh_id", F.col("name").alias("file")).distinct()
-    exact = named.join(
-        files.withColumnRenamed("file", "exact"),
-        (named["mesh_id"] == files["mesh_id"]) & (F.col("wanted") == F.col("exact")), "left",
-    ).select(named["mesh_id"], "wanted", "exact")
-    by_base = exact.withColumn("base", base_name(F.col("wanted"))).join(
-        files.withColumnRenamed("file", "base").withColumn("found", F.col("base")), ["mesh_id", "base"], "left"
-    ).select("mesh_id", F.lit(True).alias("named"), F.coalesce("exact", "found").alias("texture"))
-    low = F.lower("file")
-    guess = files.where(low.rlike(r"\.(png|jpe?g)$") & F.contains(low, F.lit("texture"))).groupBy("mesh_id").agg(
-        F.min("file").alias("guess")
-    )
-    meshes = files.select("mesh_id").union(lines.select("mesh_id")).distinct()
-    return meshes.join(by_base, "mesh_id", "left").join(guess, "mesh_id", "left").select(
-        "mesh_id", F.when(F.col("named"), F.col("texture")).otherwise(F.col("guess")).alias("texture")
-    )
+    # one join and one grouping by mesh, which share their exchange and order; a file passes by and is not kept
+    rows = artifacts.select("mesh_id", F.col("name").alias("file")).unionByName(
+        lines.select("mesh_id", F.lit(None).cast("string").alias("file")))
+    low, base = F.lower("file"), base_name(F.col("wanted"))
+    likely = low.rlike(r"\.(png|jpe?g)$") & F.contains(low, F.lit("texture")) & F.col("mesh_id").isNotNull()
+    found = rows.join(named.hint("merge"), "mesh_id", "left").groupBy("mesh_id").agg(
+        F.first("wanted").alias("wanted"), F.bool_or(F.col("file") == F.col("wanted")).alias("exact"),
+        F.bool_or(F.col("file") == base).alias("by_base"), F.min(F.when(likely, F.col("file"))).alias("guess"))
+    return found.select("mesh_id", F.when(F.col("wanted").isNull(), F.col("guess")).when(
+        F.col("exact"), F.col("wanted")).when(F.col("by_base"), base).alias("texture"))

@@ -182,6 +182,20 @@ def test_obj_and_materials(spark, tmp_path):
     assert {r["mesh_id"]: r["texture"] for r in mesh_text.texture_map(lines, held).collect()} == {4: "t 1.png", 5: "a_TEXTURE.jpeg", 6: None}
 
 
+def test_texture_map_joins_once(spark):
+    """Repeated and missing names and meshes; one join, so a task sorts no more than the rows that come in and those with a texture."""
+    lines = spark.createDataFrame([(1, 0, "map_Kd d/a.png"), (1, 1, "map_Kd b.png"), (2, 0, "map_Kd d/a.png"), (3, 0, "map_Kd none.png"),
+                                   (4, 0, None), (None, 0, "map_Kd a.png"), (8, 0, "newmtl a")], "mesh_id bigint, seq bigint, line string")
+    held = spark.createDataFrame([(1, "a.png"), (1, "a.png"), (1, "d/a.png"), (2, "a.png"), (2, "texture.png"), (3, "texture.png"), (3, None),
+                                  (4, "my_texture.jpg"), (4, "TEXTURE.png"), (5, None), (None, "texture.png")], "mesh_id bigint, name string")
+    found = mesh_text.texture_map(lines, held)
+    rows = found.collect()
+    assert {r["mesh_id"]: r["texture"] for r in rows} == {
+        1: "d/a.png", 2: "a.png", 3: None, 4: "TEXTURE.png", 5: None, 8: None, None: None}
+    assert len(rows) == 7
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
 def test_feature_databases(spark, tmp_path):
     for capture, n in ((1, 0), (2, 1), (3, 3)):
         folder = tmp_path / str(capture)
