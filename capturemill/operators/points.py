@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from capturemill.session import checkpointed, small_side
+from capturemill.session import SMALL_TABLE_ROWS, checkpointed, small_side
 
 AXES = ("x", "y", "z")
 # Rank error asked of the approximate percentile that brackets the exact one.
@@ -199,7 +200,32 @@ def split_subscenes(points: DataFrame, max_points: int) -> DataFrame:
     and only cells that are still too large are counted any finer.  Adds ``level``, ``cell_x``, ``cell_y`` and
     ``undivided``: points of the finest level that no split can part, more than ``max_points`` in one place.
     """
+    placed, chosen = _divided(points, max_points)
+    out = placed.withColumn("__cell", F.lit(None).cast(chosen[0][1].schema["__cell"].dataType))
+    parts = []
+    for number, (low, found, rows) in enumerate(chosen, 1):
+        large = rows > SMALL_TABLE_ROWS
+        # only points that the passes before have left open are shuffled, and written if a later pass reads them twice
+        if large and number > 1:
+            parts.append(out.where("__cell IS NOT NULL"))
+            out = out.where("__cell IS NULL")
+        finer = found.select("capture_id", "__kx", "__ky", F.col("__cell").alias("__finer"))
+        out = out.withColumns(_keys(low)).join(finer if large else F.broadcast(finer), ["capture_id", "__kx", "__ky"], "left").select(
+            *placed.columns, F.coalesce("__cell", "__finer").alias("__cell"))
+        out = checkpointed(out) if large and number < len(chosen) else out
+    return reduce(DataFrame.unionByName, [*parts, out]).select(*points.columns, "__cell.*")
+
+
+def _keys(low: int) -> dict[str, Column]:
+    """The cell of level ``low`` that a placed point lies in."""
+    return {"__kx": F.shiftright("__fx", FINEST - low), "__ky": F.shiftright("__fy", FINEST - low)}
+
+
+def _divided(points: DataFrame, max_points: int) -> tuple[DataFrame, list[tuple[int, DataFrame, int]]]:
+    """Points placed on the grid, and the cells of each pass: its finest level, the table of :func:`_smallest_fitting` and its rows."""
     ground = ("x", "y")
+    # the extents, every pass and the lookup read the points: write them once
+    points = checkpointed(points)
     box = small_side(points.groupBy("capture_id").agg(
         *[F.min(a).alias(f"lo_{a}") for a in ground], *[F.max(a).alias(f"hi_{a}") for a in ground]
     ))
@@ -212,23 +238,19 @@ def split_subscenes(points: DataFrame, max_points: int) -> DataFrame:
     placed = points.join(box, "capture_id").select(*points.columns, fine("x").alias("__fx"), fine("y").alias("__fy"))
     cells = placed.select("capture_id", "__fx", "__fy")
     key = ["capture_id", "__kx", "__ky"]
-    chosen: list[DataFrame] = []
+    chosen: list[tuple[int, DataFrame, int]] = []
     lows = [min(top + SPLIT_LEVELS, FINEST) for top in range(0, FINEST, SPLIT_LEVELS)]
     for top, low in zip([0, *lows[:-1]], lows, strict=True):
-        keys = {"__kx": F.shiftright("__fx", FINEST - low), "__ky": F.shiftright("__fy", FINEST - low)}
-        found = checkpointed(_smallest_fitting(
-            cells.groupBy("capture_id", *[c.alias(n) for n, c in keys.items()]).agg(F.count(F.lit(1)).alias("__n")), top, low, max_points))
-        chosen.append(found.withColumnRenamed("__cell", f"__c{low}"))
+        counts = cells.withColumns(_keys(low)).groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
+        found = checkpointed(_smallest_fitting(counts, top, low, max_points))
+        chosen.append((low, found, found.count()))
         left = found.where("__cell IS NULL").select(*key)
-        if low == FINEST or not left.limit(1).count():
+        rows = left.count()
+        if low == FINEST or not rows:
             break
-        cells = placed.select("capture_id", "__fx", "__fy").withColumns(keys).join(left, key, "left_semi").select("capture_id", "__fx", "__fy")
-    out = placed
-    for low, found in zip(lows, chosen, strict=False):
-        keys = {"__kx": F.shiftright("__fx", FINEST - low), "__ky": F.shiftright("__fy", FINEST - low)}
-        out = out.withColumns(keys).join(found, key, "left")
-    cell = F.coalesce(*[F.col(f"__c{low}") for low in lows[:len(chosen)]])
-    return out.select(*[F.col(c) for c in points.columns], cell.alias("__cell")).select(*points.columns, "__cell.*")
+        left = F.broadcast(left) if rows <= SMALL_TABLE_ROWS else left
+        cells = placed.select("capture_id", "__fx", "__fy").withColumns(_keys(low)).join(left, key, "left_semi").select("capture_id", "__fx", "__fy")
+    return placed, chosen
 
 
 def _smallest_fitting(counts: DataFrame, top: int, low: int, max_points: int) -> DataFrame:
@@ -253,7 +275,7 @@ def _smallest_fitting(counts: DataFrame, top: int, low: int, max_points: int) ->
     fitting = [F.when((F.col(f"__n{n}") <= max_points) | F.lit(n == FINEST), F.struct(
         F.lit(n).alias("level"), F.shiftright("__kx", low - n).alias("cell_x"), F.shiftright("__ky", low - n).alias("cell_y"),
         (F.col(f"__n{n}") > max_points).alias("undivided"))) for n in levels]
-    return coded.select("capture_id", "__kx", "__ky", F.coalesce(*fitting).alias("__cell"))
+    return coded.select("capture_id", "__kx", "__ky", "__n", F.coalesce(*fitting).alias("__cell"))
 
 
 def subscene_sizes(points: DataFrame, max_points: int) -> DataFrame:

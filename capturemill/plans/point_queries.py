@@ -107,7 +107,7 @@ SPLIT = """
 
 @query("split_subscenes", "points3d", sql=f"WITH {SPLIT} SELECT *, false AS undivided FROM parts")
 def split_subscenes(spark, lens):
-    return points.split_subscenes(lens("points3d"), 200).select(
+    return points.split_subscenes(lens("points3d").select("capture_id", "point3d_id", "x", "y"), 200).select(
         "capture_id", "point3d_id", "level", "cell_x", "cell_y", "undivided"
     )
 

@@ -253,6 +253,39 @@ def test_split_equals_brute_force_over_several_passes(spark):
     assert all((r["level"], r["cell_x"], r["cell_y"], r["undivided"]) == want[r["point3d_id"]] for r in got)
 
 
+@pytest.mark.parametrize("rows", [0, 40, 200_000])
+def test_split_is_the_same_by_broadcast_and_by_shuffle(spark, monkeypatch, rows):
+    """The passes have few cells or more than a broadcast may hold; points without a coordinate are kept."""
+    rng = np.random.default_rng(6)
+    xy = np.concatenate([rng.random((300, 2)), 0.7 + 1e-5 * rng.random((300, 2)), 0.2 + 1e-9 * rng.random((90, 2))])
+    df = spark.createDataFrame([*((1, i, float(x), float(y)) for i, (x, y) in enumerate(xy)), (1, 9_001, None, 0.5), (1, 9_002, 0.5, None)],
+                               "capture_id bigint, point3d_id bigint, x double, y double")
+    want = points.split_subscenes(df, 20).collect()
+    monkeypatch.setattr(points, "SMALL_TABLE_ROWS", rows)
+    got = points.split_subscenes(df, 20).collect()
+    assert sorted(got) == sorted(want) and len(got) == len(xy) + 2
+    by_cell = {}
+    for r in want:
+        by_cell[tuple(r)[4:]] = by_cell.get(tuple(r)[4:], 0) + 1
+    assert {tuple(r)[1:5]: r["points"] for r in points.subscene_sizes(df, 20).collect()} == by_cell
+
+
+@pytest.mark.parametrize("split", ["split_subscenes"])
+def test_split_reads_its_points_once(spark, split):
+    """The points may be as dear as the joins that make them."""
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def place(i):
+        asked.add(1)
+        return float(i * 7 % 1000)
+
+    df = spark.range(1000).select(F.lit(1).cast("long").alias("capture_id"), F.col("id").alias("point3d_id"),
+                                  place.asNondeterministic()("id").alias("x"), (F.col("id") % 10).cast("double").alias("y"))
+    assert len(getattr(points, split)(df, 50).collect()) > 1
+    assert asked.value == 1000
+
+
 def test_split_goes_on_in_a_crowded_corner(spark):
     """99 % of the points lie in a square a hundred-millionth as wide as the capture."""
     rng = np.random.default_rng(3)
