@@ -279,7 +279,9 @@ def _smallest_fitting(counts: DataFrame, top: int, low: int, max_points: int) ->
 
 
 def subscene_sizes(points: DataFrame, max_points: int) -> DataFrame:
-    """Number of points of each sub-scene."""
-    return split_subscenes(points, max_points).groupBy("capture_id", "level", "cell_x", "cell_y", "undivided").agg(
-        F.count(F.lit(1)).alias("points")
-    )
+    """Number of points of each sub-scene, added up from the counts of the cells that it was chosen for."""
+    _, chosen = _divided(points.select("capture_id", "x", "y"), max_points)
+    key = ["level", "cell_x", "cell_y", "undivided"]
+    cells = [found.where("__cell IS NOT NULL").select("capture_id", "__cell", "__n") for _, found, _ in chosen]
+    return reduce(DataFrame.unionByName, cells).select("capture_id", "__cell.*", "__n").groupBy("capture_id", *key).agg(
+        F.sum("__n").alias("points"))

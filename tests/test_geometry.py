@@ -270,7 +270,7 @@ def test_split_is_the_same_by_broadcast_and_by_shuffle(spark, monkeypatch, rows)
     assert {tuple(r)[1:5]: r["points"] for r in points.subscene_sizes(df, 20).collect()} == by_cell
 
 
-@pytest.mark.parametrize("split", ["split_subscenes"])
+@pytest.mark.parametrize("split", ["split_subscenes", "subscene_sizes"])
 def test_split_reads_its_points_once(spark, split):
     """The points may be as dear as the joins that make them."""
     asked = spark.sparkContext.accumulator(0)
