@@ -2,7 +2,8 @@
 
 Terms are word trigrams, weighted by their length.  Each of two 64-bit hashes votes on signed bits.  Votes are
 counted in 16-bit lanes: one long holds every sixteenth bit of a hash, so sixteen sums count 64 bits.  No chunk
-of ``CHUNK`` terms can overflow a lane; chunks are unpacked to 32-bit lanes and added up.
+of ``2**CHUNK_BITS`` terms can fill more than 15 bits of a lane, so the highest lane leaves the sign of the long alone
+(a sum beyond it is an error in ANSI mode); chunks are unpacked to 32-bit lanes and added up.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ BITS = 64 * HASHES
 LANES = 16
 LANE_16, LANE_32 = 0x0001000100010001, 0x0000FFFF0000FFFF
 MOST_WEIGHT = 7
-CHUNK = 8192  # times MOST_WEIGHT is less than 2**16
+CHUNK_BITS = 12  # 2**CHUNK_BITS times MOST_WEIGHT is less than 2**15
 # Documents with ids that agree above this many bits are neighbours in one bucket, 1,024 at most.
 ID_BITS = 10
 FIRST_ID = -(1 << 63)
@@ -52,7 +53,7 @@ def with_terms(df: DataFrame, text: str, *keys: str) -> DataFrame:
 def votes_to_fingerprint(voted: DataFrame, *keys: str) -> DataFrame:
     """(keys, high, low): the two longs of the fingerprint; a bit is set if more weight votes for it than against."""
     lanes = [(h, i) for h in range(HASHES) for i in range(LANES)]
-    counted = voted.groupBy(*keys, F.shiftright(F.coalesce("place", F.lit(0)), 13).alias("chunk")).agg(
+    counted = voted.groupBy(*keys, F.shiftright(F.coalesce("place", F.lit(0)), CHUNK_BITS).alias("chunk")).agg(
         F.sum("weight").alias("total"),
         *[F.sum(F.shiftrightunsigned(F.col(f"hash{h}"), i).bitwiseAND(F.lit(LANE_16)) * F.col("weight")).alias(f"v{h}_{i}") for h, i in lanes])
     wide = counted.groupBy(*keys).agg(

@@ -55,6 +55,16 @@ def test_votes_of_a_long_text_equal_plain_sums(spark, documents):
     assert [row["high"] & (1 << 64) - 1, row["low"] & (1 << 64) - 1] == want
 
 
+@pytest.mark.parametrize("word", ["scherungtzber", "x" * 30])
+def test_a_word_repeated_thousands_of_times(documents, word):
+    """All terms of a text vote for the same bits, which are then those of its hashes; no sum of votes overflows."""
+    rows = [(1, f"{word} " * 20_000), (2, word), (3, f"{word} {word} {word}")]
+    got = {r["doc_id"]: r for r in simhash.near_counts(simhash.compared(documents(rows))).collect()}
+    assert set(got) == {1, 2, 3}
+    assert got[1]["fingerprint"] == got[3]["fingerprint"] != got[2]["fingerprint"]
+    assert [got[i]["near_docs"] for i in (1, 2, 3)] == [1, 0, 1]
+
+
 def test_similar_texts_have_near_fingerprints(spark):
     got = simhash.compared(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).select("near_edited", "near_next").toPandas()
     assert (got["near_edited"] > got["near_next"]).mean() > 0.95
